@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, quality_rules, token_counts, url_filters
+from . import decontamination, jaccard_join, license_scan, quality_rules, token_counts, url_filters
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents")).drop("node", "class_node")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items")
@@ -35,6 +39,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op4_decontamination": op4_decontamination,
         "op6_license_scan": op6_license_scan,
         "op7_url_filters": op7_url_filters,
