@@ -470,3 +470,16 @@ def classes(docs: DataFrame) -> DataFrame:
     full = described.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "class_node")
     empty = described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node", "node")
     return full.unionAll(empty)
+
+
+def drop_duplicates(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """One document of each class, the least by doc_id, with all its columns; documents without words all stay.
+
+    The rows are numbered in a written table; the numbers of the dropped ones are broadcast if their
+    counted number is within most_broadcast (8 bytes each), else anti-joined by shuffle.
+    """
+    numbered = materialise(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid")), "numbered")
+    found = classes(numbered.select(F.struct(F.col("row.doc_id").alias("id"), F.col("rid").alias("rid")).alias("doc_id"), F.col("row.text").alias("text")))
+    dropped = materialise(found.where("doc_id.rid <> component_id.rid").select("doc_id.rid"), "dropped")
+    n = dropped.count()
+    return numbered.join(F.broadcast(dropped) if n <= most_broadcast else dropped, "rid", "left_anti").select("row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, license_scan, quality_rules, token_counts, url_filters
+from . import decontamination, jaccard_join, license_scan, mixing, quality_rules, token_counts, token_shards, url_filters
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +16,19 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents")).drop("node", "class_node")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items")
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.write_shards(table(spark, sf_dir, "documents"))[0]
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -37,14 +45,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op3_mixing": op3_mixing,
         "op4_decontamination": op4_decontamination,
+        "op5_token_shards": op5_token_shards,
         "op6_license_scan": op6_license_scan,
         "op7_url_filters": op7_url_filters,
         "op8_quality_rules": op8_quality_rules,
         "op10_token_counts": op10_token_counts,
+        "pipeline": pipeline,
     }
 
 
