@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, license_scan, mixing, quality_rules, token_counts, token_shards, url_filters
+from . import decontamination, jaccard_join, language_id, license_scan, mixing, quality_rules, token_counts, token_shards, url_filters
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents")).drop("node", "class_node")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_languages(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op2_language_id": op2_language_id,
         "op3_mixing": op3_mixing,
         "op4_decontamination": op4_decontamination,
         "op5_token_shards": op5_token_shards,
