@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language_id, license_scan, mixing, quality_rules, token_counts, token_shards, url_filters
+from . import decontamination, jaccard_join, language_id, license_scan, mixing, quality_rules, token_counts, token_shards, toxicity, url_filters
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents")).drop("n_removed")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op6_license_scan": op6_license_scan,
         "op7_url_filters": op7_url_filters,
         "op8_quality_rules": op8_quality_rules,
+        "op9_toxicity": op9_toxicity,
         "op10_token_counts": op10_token_counts,
         "pipeline": pipeline,
     }
