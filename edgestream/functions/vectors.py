@@ -40,26 +40,38 @@ def encode_edge(a: Column, b: Column, kind: str = "hadamard") -> Column:
 
 
 def haar(a: Column, size: int) -> Column:
-    """Haar coefficients, coarse to fine, of an array padded with zeros to size (a power of two)."""
+    """Haar coefficients, coarse to fine, of an array padded with zeros to size (a power of two).
+
+    Coefficient 2^l + b is (left half - right half) / sqrt(width) of block b of width size / 2^l.
+    """
     padded = F.concat(F.transform(a, lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), F.lit(size) - F.size(a)))
-    fine, now, n = None, padded, size
-    while n > 1:
-        half = F.sequence(F.lit(0), F.lit(n // 2 - 1))
-        left = lambda k, s=now: s[2 * k]
-        right = lambda k, s=now: s[2 * k + 1]
-        detail = F.transform(half, lambda k: (left(k) - right(k)) / F.sqrt(F.lit(2.0)))
-        now, n = F.transform(half, lambda k: (left(k) + right(k)) / F.sqrt(F.lit(2.0))), n // 2
-        fine = detail if fine is None else F.concat(detail, fine)
-    return now if fine is None else F.concat(now, fine)
+
+    def details(width: int) -> Column:
+        half = width // 2
+
+        def one(k: Column) -> Column:
+            left, right = F.slice(padded, k * width + 1, F.lit(half)), F.slice(padded, k * width + 1 + half, F.lit(half))
+            return (total(left) - total(right)) / F.sqrt(F.lit(float(width)))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(size // width - 1)), one)
+
+    levels = [size >> k for k in range(size.bit_length() - 1)]
+    return F.concat(F.array(total(padded) / F.sqrt(F.lit(float(size)))), *map(details, levels))
 
 
 def inverse_haar(a: Column, size: int) -> Column:
-    now, n = F.slice(a, 1, 1), 1
-    while n < size:
-        detail = F.slice(a, n + 1, n)
-        now = F.flatten(F.zip_with(now, detail, lambda s, d: F.array((s + d) / F.sqrt(F.lit(2.0)), (s - d) / F.sqrt(F.lit(2.0)))))
-        n *= 2
-    return now
+    """The array of which a are the Haar coefficients: each place sums its block's coefficient at each level."""
+
+    def value(i: Column) -> Column:
+        out, width = a[0] / F.sqrt(F.lit(float(size))), size
+        while width > 1:
+            block, half = F.floor(i / width), width // 2
+            sign = F.when(F.pmod(i, F.lit(width)) < half, 1.0).otherwise(-1.0)
+            out = out + sign * F.element_at(a, (block + size // width + 1).cast("int")) / F.sqrt(F.lit(float(width)))
+            width = half
+        return out
+
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value)
 
 
 def time_encoding(dt: Column, width: int) -> Column:

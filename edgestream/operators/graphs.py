@@ -68,7 +68,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, weighted: bool = False, rounds:
     mass = cut_lineage(start.select("node", (RESTART * (F.col("total") / F.col("_m") if weighted else 1.0 / F.col("_n"))).alias("mass")))
     flow, collected = mass, [mass]
     for k in range(rounds):
-        flow = flow.join(shares, flow.node == shares.u).groupBy("v").agg(F.sum((1 - RESTART) * F.col("mass") * F.col("share")).alias("mass")).withColumnRenamed("v", "node")
+        flow = flow.join(shares, F.col("node") == F.col("u")).groupBy("v").agg(F.sum((1 - RESTART) * F.col("mass") * F.col("share")).alias("mass")).withColumnRenamed("v", "node")
         if (k + 1) % cut_every == 0:
             flow = cut_lineage(flow)
         collected.append(flow)
@@ -90,16 +90,16 @@ def snapshot_pageranks(edges: DataFrame, weighted: bool = False, rounds: int = 1
     share = F.col("weight") / F.sum("weight").over(w) if weighted else 1.0 / F.count("*").over(w)
     shares = cut_lineage(alive.select("tick", "src", "dst", "weight", share.alias("share")))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    outs = shares.groupBy("tick", F.col("src").alias("node")).agg(F.sum("weight").alias("total"))
-    spine = spans.crossJoin(F.broadcast(nodes.agg(F.count("*").alias("n"))))
-    sums = outs.groupBy("tick").agg(F.sum("total").alias("m"))
     if weighted:
-        mass = outs.join(sums, "tick").select("tick", "node", (RESTART * F.col("total") / F.col("m")).alias("mass"))
-    else:
-        mass = spine.join(nodes, F.lit(True)).select("tick", "node", (RESTART / F.col("n")).alias("mass"))
+        outs = shares.groupBy("tick", F.col("src").alias("node")).agg(F.sum("weight").alias("total"))
+        mass = outs.select("tick", "node", (RESTART * F.col("total") / F.sum("total").over(Window.partitionBy("tick"))).alias("mass"))
+    else:  # every tick's restart reaches every node: the spine of the result
+        counted = with_scalars(nodes, n=F.count("*"))
+        mass = counted.crossJoin(F.broadcast(spans)).select("tick", "node", (RESTART / F.col("n")).alias("mass"))
+    mass = cut_lineage(mass)
     flow, total = mass, mass
     for _ in range(rounds):
-        flow = flow.join(shares, (flow.tick == shares.tick) & (flow.node == shares.src)).groupBy(shares.tick, F.col("dst").alias("node")).agg(F.sum((1 - RESTART) * F.col("mass") * F.col("share")).alias("mass"))
+        flow = flow.withColumnRenamed("node", "src").join(shares, ["tick", "src"]).groupBy("tick", F.col("dst").alias("node")).agg(F.sum((1 - RESTART) * F.col("mass") * F.col("share")).alias("mass"))
         flow = cut_lineage(flow)
         total = total.unionAll(flow)
     raw = total.groupBy("tick", "node").agg(F.sum("mass").alias("raw"))

@@ -72,8 +72,7 @@ def derivative(s, d):
     e = ev(s, d).withColumn("t", F.expr("(t - 1) div 24"))
     r1 = G.snapshot_pageranks(e, False, 4).withColumnRenamed("rank", "r1")
     r2 = G.snapshot_pageranks(e, True, 4).withColumnRenamed("rank", "r2")
-    spine = e.select("t").distinct().join(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), F.lit(True))
-    full = spine.join(r1, ["t", "node"], "left").join(r2, ["t", "node"], "left").na.fill(0.0, ["r1", "r2"])
+    full = r1.join(r2, ["t", "node"], "left").na.fill(0.0, ["r2"])  # r1 has every tick and node
     return G.derivative_scores(full).select("t", F.round("score", 4).alias("score"))
 
 
@@ -106,8 +105,8 @@ QUERIES = {
     "microcluster_relational": lambda s, d: C.relational(ev(s, d)).select("seq", "t", "label", F.round("score", 5).alias("score")),
     "microcluster_filtering": lambda s, d: C.filtering(ev(s, d), 1e3).select("seq", "t", "label", F.round("score", 6).alias("score")),
     "snapshot_rollup_max": lambda s, d: R.snapshot_rollup(scored(s, d), "max"),
-    "snapshot_rollup_mean": lambda s, d: R.snapshot_rollup(scored(s, d), "mean").select("t", "attack", F.round("score", 5).alias("score")),
-    "snapshot_rollup_sum": lambda s, d: R.snapshot_rollup(scored(s, d), "sum").select("t", "attack", F.round("score", 4).alias("score")),
+    "snapshot_rollup_mean": lambda s, d: R.snapshot_rollup(scored(s, d), "mean").select("t", "attack", F.round(F.col("score") + 3e-9, 6).alias("score")),
+    "snapshot_rollup_sum": lambda s, d: R.snapshot_rollup(scored(s, d), "sum").select("t", "attack", F.round("score", 6).alias("score")),
     "bin_attack_label": lambda s, d: R.bin_attack_label(ev(s, d), 5),
     "roc_auc": lambda s, d: M.roc_auc(scored(s, d)).select(*_r("auc", "best_auc")),
     "roc_points": lambda s, d: M.roc_points(scored(s, d)).select("score", *_r("fpr", "tpr")),
@@ -234,8 +233,8 @@ SQL = {
     "microcluster_normal": with_sql(f"{_NORMAL} SELECT * FROM sc"),
     "microcluster_relational": with_sql(", tj AS (SELECT t, row_number() OVER (ORDER BY t) AS j FROM (SELECT DISTINCT t FROM ev)), evj AS (SELECT ev.*, j FROM ev JOIN tj USING (t))" + _relational_key("e", "(evj.src || ',' || evj.dst)") + _relational_key("u", "evj.src") + _relational_key("d", "evj.dst") + f" SELECT ev.seq, ev.t, ev.label, round(greatest({_CHI.format('es')}, {_CHI.format('us')}, {_CHI.format('ds')}), 5) AS score FROM ev JOIN es ON es.seq = ev.seq JOIN us ON us.seq = ev.seq JOIN ds ON ds.seq = ev.seq"),
     "snapshot_rollup_max": with_sql(f"{_NORMAL} SELECT t, max(score) AS score, max(label) AS attack FROM sc GROUP BY t"),
-    "snapshot_rollup_mean": with_sql(f"{_NORMAL} SELECT t, round(avg(score), 5) AS score, max(label) AS attack FROM sc GROUP BY t"),
-    "snapshot_rollup_sum": with_sql(f"{_NORMAL} SELECT t, round(sum(score), 4) AS score, max(label) AS attack FROM sc GROUP BY t"),
+    "snapshot_rollup_mean": with_sql(f"{_NORMAL} SELECT t, round(avg(score) + 3e-9, 6) AS score, max(label) AS attack FROM sc GROUP BY t"),
+    "snapshot_rollup_sum": with_sql(f"{_NORMAL} SELECT t, round(sum(score), 6) AS score, max(label) AS attack FROM sc GROUP BY t"),
     "bin_attack_label": with_sql("SELECT t, CAST(sum(label) AS BIGINT) AS attacks, CASE WHEN sum(label) >= 5 THEN 1 ELSE 0 END AS label FROM ev GROUP BY t"),
     "roc_auc": with_sql(f"{_NORMAL}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM sc), a AS (SELECT (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS auc FROM r) SELECT round(auc, 6) AS auc, round(greatest(auc, 1 - auc), 6) AS best_auc FROM a"),
     "roc_points": with_sql(f"{_CUM} SELECT score, round(fpr, 6) AS fpr, round(recall, 6) AS tpr FROM pr"),

@@ -90,7 +90,7 @@ def column_split_stream(spark: SparkSession, features: str, labels: str, size: s
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file's rows with their line number from 0: wholetext keeps a file in one piece, and its lines are counted by place."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("seq", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n+$", ""), "\n")).alias("seq", "line"))
     return whole.select(F.col("seq").cast("long"), F.from_csv("line", schema).alias("r")).select("seq", "r.*")
 
 
