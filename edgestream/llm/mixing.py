@@ -138,7 +138,7 @@ def mixed(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST
     """
     id_type = sizes.schema["doc_id"].dataType.simpleString()
     goal = materialise(targets(sizes, weights, most), "targets")
-    share = F.col("target") / F.col("source_size")
+    share = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     tops = [1 << 62, *strata[:-1]]
     inside = [(F.col("size") >= low) & (F.col("size") < top) for low, top in zip(strata, tops, strict=True)]
     words = [F.sum(F.when(c, F.col("size"))).alias(f"w{k}") for k, c in enumerate(inside)]
