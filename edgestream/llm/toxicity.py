@@ -313,7 +313,7 @@ def choose_insults(pieces: list[pa.RecordBatch]) -> dict[int, float]:
     return {int(h): float((t + 1) / (t + c + 2)) for h, t, c in zip(names[real], bad[real], clean[real], strict=True)}
 
 
-def fit_prices(x: np.ndarray, y: np.ndarray, steps_: int = 25, spread: float = 3.0) -> tuple[np.ndarray, float]:
+def fit_prices(x: np.ndarray, y: np.ndarray, steps_: int = 60, spread: float = 3.0) -> tuple[np.ndarray, float]:
     """Logistic fit by Newton steps, with the grammar's own prices as the prior's centre."""
     centre = np.array([*(PRIOR[k] for k in KINDS), BIAS])
     full = np.column_stack([x, np.ones(len(x))])
@@ -322,7 +322,7 @@ def fit_prices(x: np.ndarray, y: np.ndarray, steps_: int = 25, spread: float = 3
         p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
         slope = full.T @ (p - y) + (w - centre) / spread**2
         bend = (full * (p * (1 - p))[:, None]).T @ full + np.eye(len(w)) / spread**2
-        w = w - np.linalg.solve(bend, slope)
+        w = w - np.clip(np.linalg.solve(bend, slope), -1.0, 1.0)  # a full step may overshoot far from the optimum
     return np.append(np.maximum(w[:-1], 0.0), w[-1])[:-1], float(w[-1])
 
 
