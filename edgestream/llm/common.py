@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from functools import cache, lru_cache
@@ -45,6 +47,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps: it follows the driver's garbage collection,
+    which may not happen for long on its own. What has been materialised does not need them any more."""
+    for _ in range(2):  # the first collection frees what held the references, the second queues them
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def _forget() -> None:
     for spark, path in _scratch:
         try:
@@ -147,7 +158,7 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.
         return np.zeros(0, np.uint64)
     run = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw if fold is None else fold[raw]] * powers(_P, n), out=run[1:])
-    return mix((run[ends] - run[starts]) * powers(_P_INV, n)[starts] + (ends - starts).astype(np.uint64))
+    return mix((run[ends] - run[starts]) * powers(_P_INV, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

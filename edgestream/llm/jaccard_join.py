@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffer_of, materialise, mix, span_hashes, steps, window_hashes, word_spans
+from .common import SPACE, buffer_of, materialise, mix, span_hashes, steps, tidy, window_hashes, word_spans
 from .stars import components
 
 WIDTH = 5
@@ -132,7 +132,7 @@ def _sent(part: list[int], blobs: dict[str, list[bytes]]) -> pa.RecordBatch:
 
 
 def _deltas(values: np.ndarray) -> bytes:
-    """Ascending 40-bit values as 32-bit steps; a wider step is written as a marker and 64 bits."""
+    """Ascending values as 32-bit steps; a wider step is written as a marker and 64 bits."""
     step = np.diff(values, prepend=np.uint64(0))
     wide = step >= np.uint64(0xFFFFFFFF)
     out = np.where(wide, np.uint64(0xFFFFFFFF), step).astype(np.uint32)
@@ -223,6 +223,8 @@ def frequent(texts: DataFrame, parts: int, most: int = MOST_FREQUENT) -> Order:
     """The levels of count that hold at most `most` shingles in all, from the highest down."""
     sent = texts.mapInArrow(lambda it: _send_shingles(it, parts), "part int, blob binary")
     levels = materialise(_by_part(sent, parts).mapInArrow(_count, "level int, n long, blob binary"), "counts")
+    del sent
+    tidy(texts.sparkSession)
     total, least = 0, 1 << 30
     for r in sorted(levels.groupBy("level").agg(F.sum("n").alias("n")).collect(), key=lambda r: -r.level):
         total += r.n
@@ -252,19 +254,33 @@ def _band_edges() -> np.ndarray:
 BANDS = _band_edges()
 
 
+#: Posted shingles keep their upper 48 bits, sent as steps; a chance meeting makes a candidate, never a link.
+_KEY = np.uint64(16)
+#: Marks of a posting beside its band: it is late in its own block, and in the next one.
+_LATE, _LATE_NEXT = 1 << 8, 1 << 9
+
+
+def marks(size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Band of each set, and whether a place is late: i + j <= (n + m) / 9 and n, m lie below a block's end, so one of two is at most half of that."""
+    band = np.searchsorted(BANDS, size, "right") - 1
+    own, following = 9 * place > BANDS[band + 1], 9 * place > BANDS[band + 2]
+    return (band + _LATE * own + _LATE_NEXT * following).astype(np.uint16)
+
+
 def _send_postings(batches: Iterator[pa.RecordBatch], order, parts: int) -> Iterator[pa.RecordBatch]:
     own: Order = order.value
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def send() -> pa.RecordBatch:
-        key, node, band, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, node, mark = (np.concatenate(x) for x in zip(*held, strict=True))
         by = np.argsort(key)
-        key, node, band, place = key[by], node[by], band[by], place[by]
+        key, node, mark = key[by], node[by], mark[by]
         at = _cut(key, parts)
+        key >>= _KEY
         full = [k for k in range(parts) if at[k] < at[k + 1]]
         cut = lambda x: [x[at[k] : at[k + 1]].tobytes() for k in full]
-        return _sent(full, {"keys": cut(key), "nodes": cut(node), "bands": cut(band), "places": cut(place)})
+        return _sent(full, {"keys": [_deltas(key[at[k] : at[k + 1]]) for k in full], "nodes": cut(node), "marks": cut(mark)})
 
     for piece in _pieces(batches):
         s = distinct_sets(shingle_sets(_text_column(piece)))
@@ -274,7 +290,7 @@ def _send_postings(batches: Iterator[pa.RecordBatch], order, parts: int) -> Iter
         place = np.arange(len(doc)) - np.repeat(s.bounds[:-1], n)
         posted = place < np.repeat(n - (4 * n + 4) // 5 + 1, n)
         d = doc[posted]
-        held.append((s.shingles[by][posted], s.names[d], (np.searchsorted(BANDS, n, "right") - 1).astype(np.uint8)[d], place[posted].astype(np.uint32)))
+        held.append((s.shingles[by][posted], s.names[d], marks(n[d], place[posted])))
         size += len(d)
         if size >= HELD:
             yield send()
@@ -283,21 +299,21 @@ def _send_postings(batches: Iterator[pa.RecordBatch], order, parts: int) -> Iter
         yield send()
 
 
-def lead(key: np.ndarray, node: np.ndarray, band: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def lead(key: np.ndarray, node: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leader and member rows of all blocks of the lists. A block is a key and two neighbouring bands."""
     by = np.lexsort((node, key))
-    key, node, band, place = key[by], node[by], band[by].astype(np.int64), place[by].astype(np.int64)
+    key, node, mark = key[by], node[by], mark[by].astype(np.int64)
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # a copy posts the same again
-    key, node, band, place = key[new], node[new], band[new], place[new]
+    key, node, mark = key[new], node[new], mark[new]
     same = key[1:] == key[:-1]
     shared = np.zeros(len(key), bool)
     shared[1:] |= same
     shared[:-1] |= same
-    key, node, band, place = key[shared], node[shared], band[shared], place[shared]
+    key, node, mark = key[shared], node[shared], mark[shared]
     # a set is in the block of its band, as the larger one, and in that of the next, as the smaller one
-    key, node, place, block = np.r_[key, key], np.r_[node, node], np.r_[place, place], np.r_[band, band + 1]
-    late = 9 * place > BANDS[block + 1]  # i + j <= (n + m) / 9 and n, m below the block's end: one is at most half of that
+    band = mark & 0xFF
+    key, node, block, late = np.r_[key, key], np.r_[node, node], np.r_[band, band + 1], np.r_[mark & _LATE, mark & _LATE_NEXT] > 0
     by = np.lexsort((node, late, block, key))
     key, node, block, late = key[by], node[by], block[by], late[by]
     first = np.ones(len(key), bool)
@@ -310,9 +326,11 @@ def lead(key: np.ndarray, node: np.ndarray, band: np.ndarray, place: np.ndarray)
 
 
 def _lead(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    kinds = (("keys", np.uint64), ("nodes", np.uint64), ("bands", np.uint8), ("places", np.uint32))
     for _, held in _parts(batches):
-        leader, member = lead(*(np.concatenate([np.frombuffer(x, kind) for x in _blobs(held, name)]) for name, kind in kinds))
+        key = np.concatenate([_undeltas(b) for b in _blobs(held, "keys")])
+        node = np.concatenate([np.frombuffer(b, np.uint64) for b in _blobs(held, "nodes")])
+        mark = np.concatenate([np.frombuffer(b, np.uint16) for b in _blobs(held, "marks")])
+        leader, member = lead(key, node, mark)
         if len(leader):
             yield _pairs_sent(leader, member, parts)
 
@@ -352,18 +370,19 @@ def _send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (leader, salt, role, member, shingles), the leader's own first: each member's difference."""
-    now, own, names = None, _EMPTY, ["leader", "member", "n_leader", "n", "difference"]
+    """From rows (leader, salt, role, member, shingles), the leader's own first: each member's difference, once."""
+    now, own, before, names = None, _EMPTY, None, ["leader", "member", "n_leader", "n", "difference"]
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
-        rows = zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
-        for leader, salt, role, member, blob in rows:
-            shingles = np.frombuffer(blob, np.uint64)
+        for leader, salt, role, member, blob in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if role == 0:
-                now, own = (leader, salt), shingles
-            elif now != (leader, salt):
+                if now != (leader, salt):
+                    now, own, before = (leader, salt), np.frombuffer(blob, np.uint64), None
+                continue
+            if now != (leader, salt):
                 raise RuntimeError("a member came before its leader")
-            else:
+            if member != before:  # a set may come from several blocks of documents
+                before, shingles = member, np.frombuffer(blob, np.uint64)
                 for column, x in zip(out, (leader, member, len(own), len(shingles), np.setxor1d(own, shingles, assume_unique=True).tobytes()), strict=True):
                     column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
@@ -418,22 +437,25 @@ def links(texts: DataFrame, parts: int) -> DataFrame:
     """Edges a, b between set names whose components are the classes of the join (texts: one column text)."""
     spark = texts.sparkSession
     order = spark.sparkContext.broadcast(frequent(texts, parts))
-    postings = texts.mapInArrow(lambda it: _send_postings(it, order, parts), "part int, keys binary, nodes binary, bands binary, places binary")
+    postings = texts.mapInArrow(lambda it: _send_postings(it, order, parts), "part int, keys binary, nodes binary, marks binary")
     rows = _by_part(postings, parts).mapInArrow(lambda it: _lead(it, parts), "part int, leaders binary, members binary")
     member = materialise(_by_part(rows, parts).mapInArrow(_memberships, "leader long, member long"), "members")
-
-    needed = materialise(member.select(F.col("leader").alias("node")).unionAll(member.select(F.col("member").alias("node"))).distinct(), "needed")
-    sets = texts.mapInArrow(_send_sets, "node long, shingles binary")
-    wanted = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed
-    sets = materialise(sets.join(wanted, "node", "left_semi"), "sets")  # copies in different blocks repeat a set
+    del postings, rows
+    tidy(spark)
+    # a leader is a member of its own group; every set is joined to its groups once
     sizes = member.groupBy("leader").agg(F.count("*").alias("size"))
-    salts = F.floor((F.col("size") + TILE - 1) / TILE).cast("int")
-    led = sizes.select("leader", salts.alias("salts"))
-    leaders = led.join(sets.withColumnRenamed("node", "leader"), "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("leader").alias("member"), "shingles")
-    salted = member.join(led, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"))
-    members = salted.join(sets.withColumnRenamed("node", "member"), "member").select("leader", "salt", F.lit(1).alias("role"), "member", "shingles")
-    dealt = leaders.unionAll(members).repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt", "role")
-    apart = materialise(dealt.mapInArrow(_differences, "leader long, member long, n_leader long, n long, difference binary").dropDuplicates(["leader", "member"]), "apart")
+    led = sizes.select("leader", F.floor((F.col("size") + TILE - 1) / TILE).cast("int").alias("salts"))
+    salt = F.array(F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
+    own = led.select("leader", F.col("leader").alias("member"), F.sequence(F.lit(0), F.col("salts") - 1).alias("salt"), F.lit(0).alias("role"))
+    groups = materialise(own.unionAll(member.join(led, "leader").select("leader", "member", salt.alias("salt"), F.lit(1).alias("role"))), "groups")
+    needed = materialise(groups.select(F.col("member").alias("node")).distinct(), "needed")
+    wanted = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed
+    sets = texts.mapInArrow(_send_sets, "node long, shingles binary").join(wanted, "node", "left_semi")
+    placed = sets.join(groups, F.col("node") == F.col("member")).select("leader", F.explode("salt").alias("salt"), "role", "member", "shingles")
+    dealt = placed.repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt", "role", "member")
+    apart = materialise(dealt.mapInArrow(_differences, "leader long, member long, n_leader long, n long, difference binary"), "apart")
+    del sets, placed, dealt
+    tidy(spark)
     outlier = 9 * F.length("difference") / 8 > F.col("n") + F.col("n_leader")
     apart = apart.withColumn("outlier", outlier)
     direct = apart.where(~F.col("outlier")).select(F.col("leader").alias("a"), F.col("member").alias("b"))
@@ -447,7 +469,10 @@ def links(texts: DataFrame, parts: int) -> DataFrame:
     as_member = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r")).select("leader", (F.col("r") * F.col("cols") + col).alias("tile"), "member", "n", "difference", (F.col("outlier") & (F.col("r") == row)).alias("outlier"))
     as_outlier = placed.where("outlier and cols > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c")).where(F.col("c") != col).select("leader", (row * F.col("cols") + F.col("c")).alias("tile"), "member", "n", "difference", "outlier")
     tiles = as_member.unionAll(as_outlier).select("leader", "tile", "outlier", "member", "n", "difference").repartition(parts, "leader", "tile").sortWithinPartitions("leader", "tile")
-    return direct.unionAll(tiles.mapInArrow(_tiles, "a long, b long"))
+    found = materialise(direct.unionAll(tiles.mapInArrow(_tiles, "a long, b long")), "links")
+    del tiles, as_member, as_outlier, placed
+    tidy(spark)
+    return found
 
 
 def partitions(df: DataFrame) -> int:
