@@ -28,6 +28,7 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,15 @@ class Permutation:
         return self._walk(slot, self.keys[::-1])
 
 
+def pack(tokens: np.ndarray) -> bytes:
+    """Token ids compressed for the exchange, in which a row is compressed alone (a table's pages are compressed together)."""
+    return zstandard.compress(tokens.tobytes(), 3)
+
+
+def unpack(blob: bytes) -> bytes:
+    return zstandard.decompress(blob)
+
+
 # --- encoding ----------------------------------------------------------------------------------
 
 
@@ -141,12 +151,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], bases, layout: Layout, with_token
     first, kind, order = bases.value, np.dtype(f"<u{layout.width}"), Permutation(max(layout.n_sequences, 1), layout.key)
     for batch in batches:
         start = np.array([first[p] for p in batch.column(0).to_pylist()], np.int64) + batch.column(1).to_numpy(zero_copy_only=False)
-        ids, blobs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        size = np.array([len(b) // layout.width for b in blobs], np.int64)
+        ids, blobs = batch.column(2).to_pylist(), [np.frombuffer(b, kind) for b in batch.column(3).to_pylist()]
+        size = np.array([len(b) for b in blobs], np.int64)
         breaks = np.flatnonzero(np.r_[True, start[1:] != start[:-1] + size[:-1]]) if len(start) else np.zeros(0, np.int64)
         out: list[tuple] = []
         for a, z in zip(breaks, np.r_[breaks[1:], len(start)], strict=True):
-            tokens = np.frombuffer(b"".join(blobs[a:z]), kind)
+            tokens = np.concatenate(blobs[a:z])
             at = int(start[a])
             bounds = np.r_[at, np.arange(at // layout.length + 1, -(-(at + len(tokens)) // layout.length)) * layout.length, at + len(tokens)]
             sequence = bounds[:-1] // layout.length
@@ -158,7 +168,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], bases, layout: Layout, with_token
             high = np.searchsorted(start[a:z], bounds[1:], "left") + a
             for k in range(len(sequence)):
                 run = tokens[bounds[k] - at : bounds[k + 1] - at]
-                out.append((int(slots[k]), int(sequence[k]), int(bounds[k] % layout.length), len(run), int(sums[k]), ids[low[k] : high[k]], run.tobytes() if with_tokens else None))
+                out.append((int(slots[k]), int(sequence[k]), int(bounds[k] % layout.length), len(run), int(sums[k]), ids[low[k] : high[k]], pack(run) if with_tokens else None))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(batch.schema.field(2).type), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], ["slot", "sequence", "begin", "n", "name", "doc_ids", "tokens"])
 
@@ -174,7 +184,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.
                 out.append(b"".join(held))
                 held = []
             now = slot
-            held.append(tokens)
+            held.append(unpack(tokens))
         yield pa.RecordBatch.from_arrays([pa.array([(x + pad)[: len(pad)] for x in out], pa.binary())], ["record"])
     if held:
         yield pa.RecordBatch.from_arrays([pa.array([(b"".join(held) + pad)[: len(pad)]], pa.binary())], ["record"])
