@@ -56,8 +56,20 @@ def tidy(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
-def _forget() -> None:
-    for spark, path in _scratch:
+def written() -> int:
+    """How many tables materialise() has written and not dropped."""
+    return len(_scratch)
+
+
+def drop_tables(start: int, end: int) -> None:
+    """Delete the tables of that range of materialise() calls: what was computed from them has been written elsewhere."""
+    gone = _scratch[start:end]
+    del _scratch[start:end]
+    _forget(gone)
+
+
+def _forget(tables: list[tuple[SparkSession, str]] | None = None) -> None:
+    for spark, path in _scratch if tables is None else tables:
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
