@@ -388,10 +388,10 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
 
 
-def derive(names: np.ndarray, sizes: np.ndarray, differences: list[np.ndarray], outlier: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join classes within a group, as pairs of names: outliers against all members.
+def derive(names: np.ndarray, sizes: np.ndarray, differences: list[np.ndarray], outlier: np.ndarray, compared: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join classes within a group, as pairs of names: outliers (those compared here, or all) against all members.
 
-    Members that link with the leader (not outlier) are one class from the start.
+    Members that link with the leader (not outlier) are one class from the start; every outlier begins as its own.
     """
     flat = np.concatenate(differences) if differences else _EMPTY
     _, token = np.unique(flat, return_inverse=True)
@@ -400,7 +400,7 @@ def derive(names: np.ndarray, sizes: np.ndarray, differences: list[np.ndarray],
     mark = np.zeros(int(token.max()) + 1 if len(token) else 1, np.int32)
     label = np.where(outlier, np.arange(len(names)) + 1, 0)
     edges = []
-    for o in np.flatnonzero(outlier):
+    for o in np.flatnonzero(outlier if compared is None else compared):
         own = token[bounds[o] : bounds[o + 1]]
         mark[own] = 1
         run = np.concatenate([[0], np.cumsum(mark[token])])
@@ -414,21 +414,21 @@ def derive(names: np.ndarray, sizes: np.ndarray, differences: list[np.ndarray],
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (leader, tile, outlier, member, n, difference), sorted by leader and tile."""
+    """Rows (leader, tile, outlier, compared, member, n, difference), sorted by leader and tile."""
     now, held = None, []
 
     def answer() -> pa.RecordBatch:
-        member, n, difference, outlier = zip(*held, strict=True)
-        links = derive(np.array(member), np.array(n), [np.frombuffer(d, np.uint64) for d in difference], np.array(outlier))
+        member, n, difference, outlier, compared = zip(*held, strict=True)
+        links = derive(np.array(member), np.array(n), [np.frombuffer(d, np.uint64) for d in difference], np.array(outlier), np.array(compared))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        for leader, tile, outlier, member, n, difference in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+        for leader, tile, outlier, compared, member, n, difference in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
             if (leader, tile) != now:
                 if held:
                     yield answer()
                 now, held = (leader, tile), []
-            held.append((member, n, difference, outlier))
+            held.append((member, n, difference, outlier, compared))
     if held:
         yield answer()
 
@@ -456,6 +456,13 @@ def links(texts: DataFrame, parts: int) -> DataFrame:
     apart = materialise(dealt.mapInArrow(_differences, "leader long, member long, n_leader long, n long, difference binary"), "apart")
     del sets, placed, dealt
     tidy(spark)
+    found = materialise(group_links(apart, parts), "links")
+    tidy(spark)
+    return found
+
+
+def group_links(apart: DataFrame, parts: int) -> DataFrame:
+    """Edges a, b of the groups, from every member's difference to its leader."""
     outlier = 9 * F.length("difference") / 8 > F.col("n") + F.col("n_leader")
     apart = apart.withColumn("outlier", outlier)
     direct = apart.where(~F.col("outlier")).select(F.col("leader").alias("a"), F.col("member").alias("b"))
@@ -466,13 +473,11 @@ def links(texts: DataFrame, parts: int) -> DataFrame:
     grid = counted.select("leader", cut("out").alias("rows"), cut("size").alias("cols"))
     placed = apart.join(grid, "leader").withColumn("h", F.xxhash64("member"))
     row, col = F.pmod("h", "rows").cast("int"), F.pmod("h", "cols").cast("int")
-    as_member = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r")).select("leader", (F.col("r") * F.col("cols") + col).alias("tile"), "member", "n", "difference", (F.col("outlier") & (F.col("r") == row)).alias("outlier"))
-    as_outlier = placed.where("outlier and cols > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c")).where(F.col("c") != col).select("leader", (row * F.col("cols") + F.col("c")).alias("tile"), "member", "n", "difference", "outlier")
-    tiles = as_member.unionAll(as_outlier).select("leader", "tile", "outlier", "member", "n", "difference").repartition(parts, "leader", "tile").sortWithinPartitions("leader", "tile")
-    found = materialise(direct.unionAll(tiles.mapInArrow(_tiles, "a long, b long")), "links")
-    del tiles, as_member, as_outlier, placed
-    tidy(spark)
-    return found
+    # an outlier of another row is not compared here, but is no friend of the leader either
+    as_member = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r")).select("leader", (F.col("r") * F.col("cols") + col).alias("tile"), "member", "n", "difference", "outlier", (F.col("outlier") & (F.col("r") == row)).alias("compared"))
+    as_outlier = placed.where("outlier and cols > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c")).where(F.col("c") != col).select("leader", (row * F.col("cols") + F.col("c")).alias("tile"), "member", "n", "difference", "outlier", F.col("outlier").alias("compared"))
+    tiles = as_member.unionAll(as_outlier).select("leader", "tile", "outlier", "compared", "member", "n", "difference").repartition(parts, "leader", "tile").sortWithinPartitions("leader", "tile")
+    return direct.unionAll(tiles.mapInArrow(_tiles, "a long, b long"))
 
 
 def partitions(df: DataFrame) -> int:

@@ -90,6 +90,27 @@ def test_derived_answers_equal_direct_ones():
     assert classes(chain + edges) == classes(chain + direct)
 
 
+def test_chains_of_outliers_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 7)  # twelve outliers: two rows of tiles, several members of a chain in each
+    draw, rows, chains = np.random.default_rng(5), [], []
+    for leader in range(1, 41):
+        own = [1000 * leader + int(x) for x in draw.permutation(900)[:12]]
+        chains.append({*own})
+        rows.append((leader, leader, 100, 100, bytearray()))
+        for k, member in enumerate(own):  # 20 shingles from the next, 40 from the one after (limit 22); 30 or more from the leader
+            apart = np.r_[np.arange(10**6, 10**6 + 30), np.arange(20 * k)].astype(np.uint64)
+            rows.append((leader, member, 100, 100, bytearray(apart.tobytes())))
+    rows = [rows[k] for k in draw.permutation(len(rows))]  # a member's first link is not always the one before it
+    found = jaccard_join.group_links(spark.createDataFrame(rows, "leader long, member long, n_leader long, n long, difference binary"), 4).collect()
+    for chain in chains:
+        label = {x: x for x in chain}
+        for a, b in found:
+            if a in chain and b in chain:
+                label = {x: label[a] if y == label[b] else y for x, y in label.items()}
+        assert len(set(label.values())) == 1
+    assert {(a, b) for a, b in found if a <= 40 or b <= 40} == {(k, k) for k in range(1, 41)}  # none with a leader
+
+
 def test_jaccard_stage_keeps_one_of_each_class(spark):
     base = " ".join(f"w{i}" for i in range(100))
     docs = frame(spark, [base, base + " tail", "other text", None, None, base, "one"])
