@@ -18,55 +18,62 @@ def bridge_scores(edges: DataFrame, sample: int = 500, restart: float = 0.15, ro
         frame = frame.sort_values("seq")
         draw = np.random.Generator(np.random.PCG64(seed))
         held: list[tuple[float, int, str, str, float]] = []
-        out: dict[str, dict[str, float]] = {}
+        slot: dict[str, int] = {}  # of the nodes held and the two at hand
+        uses, free = [0] * (2 * sample + 2), list(range(2 * sample + 2))
+        n = len(uses)
+        ends, weights = np.zeros((2, sample), np.int64), np.zeros(sample)  # of the edges held, by position
         per_tick = frame.groupby("t")["seq"].count().to_dict()
         ticks = sorted(per_tick)
         before = dict(zip(ticks, [-1, *ticks[:-1]], strict=True))
 
-        def change(u: str, v: str, w: float) -> None:
-            own = out.setdefault(u, {})
-            own[v] = own.get(v, 0.0) + w
-            if own[v] <= 1e-12:
-                del own[v]
-            if not own:
-                del out[u]
-
-        def visits(u: str, v: str, extra: float) -> float:
-            mass, at_v, all_steps = {u: 1.0}, 0.0, 0.0
+        def use(x: str) -> int:
+            if x not in slot:
+                slot[x] = free.pop()
+            uses[slot[x]] += 1
+            return slot[x]
+
+        def leave(x: str) -> None:
+            uses[slot[x]] -= 1
+            if not uses[slot[x]]:
+                free.append(slot.pop(x))
+
+        def visits(u: int, v: int, extra: float) -> np.ndarray:
+            """Shares at v from u and at u from v, each without and with the edge: four walks in copies of the graph."""
+            a, b = np.concatenate([ends[0], ends[1]]), np.concatenate([ends[1], ends[0]])
+            w = np.concatenate([weights, weights])
+            total = np.tile(np.bincount(a, w, n), 4)
+            total[[n + u, 3 * n + v]] += extra
+            x = np.concatenate([a, a + n, a + 2 * n, a + 3 * n, [n + u, 3 * n + v]])
+            y = np.concatenate([b, b + n, b + 2 * n, b + 3 * n, [n + v, 3 * n + u]])
+            share = (1 - restart) * np.concatenate([w, w, w, w, [extra, extra]]) / np.where(total[x] > 0, total[x], 1.0)
+            mass = np.zeros(4 * n)
+            mass[[u, n + u, 2 * n + v, 3 * n + v]] = 1.0
+            seen = np.zeros(4 * n)
             for _ in range(rounds):
-                at_v += mass.get(v, 0.0)
-                all_steps += sum(mass.values())
-                moved: dict[str, float] = {}
-                for x, m in mass.items():
-                    own = out.get(x, {})
-                    if extra and x == u:
-                        own = {**own, v: own.get(v, 0.0) + extra}
-                    total = sum(own.values())
-                    for y, w in own.items():
-                        moved[y] = moved.get(y, 0.0) + m * (1 - restart) * w / total
-                mass = moved
-                if not mass:
-                    break
-            return at_v / all_steps if all_steps else 0.0
+                seen += mass
+                mass = np.bincount(y, mass[x] * share, 4 * n)
+            return seen[[v, n + v, 2 * n + u, 3 * n + u]] / seen.reshape(4, n).sum(axis=1)
 
         scores = []
         for seq, t, u, v, w in zip(frame["seq"], frame["t"], frame["src"], frame["dst"], frame["weight"], strict=True):
             if len(held) == sample:
-                there, back = (max(0.0, visits(a, b, w) - visits(a, b, 0.0)) for a, b in ((u, v), (v, u)))
-                scores.append((there + back) / 2)
+                there, there_with, back, back_with = visits(use(u), use(v), w)
+                leave(u)
+                leave(v)
+                scores.append(float(max(0.0, there_with - there) + max(0.0, back_with - back)) / 2)
             else:
                 scores.append(0.0)
             rate = (t - before[t]) / per_tick[t]
             priority = float(np.log10(max(draw.random(), 1e-300)) / rate)
             if len(held) < sample or priority > min(held)[0]:
-                if len(held) == sample:
-                    _, _, a, b, x = gone = min(held)
-                    held.remove(gone)
-                    change(a, b, -x)
-                    change(b, a, -x)
-                held.append((priority, seq, u, v, w))
-                change(u, v, w)
-                change(v, u, w)
+                k = len(held)
+                if k == sample:
+                    _, _, a, b, _ = gone = min(held)
+                    k = held.index(gone)
+                    leave(a)
+                    leave(b)
+                held[k : k + 1] = [(priority, seq, u, v, w)]
+                ends[:, k], weights[k] = (use(u), use(v)), w
         return pd.DataFrame({"seq": frame["seq"], "score": scores})
 
     return edges.select(stream, "seq", "t", "src", "dst", "weight").groupBy(stream).applyInPandas(run, "seq long, score double")

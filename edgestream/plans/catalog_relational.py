@@ -147,7 +147,7 @@ QUERIES = {
     "reservoir_sample": lambda s, d: G.reservoir(ev(s, d), 200).select("seq", "src", "dst"),
     "random_walks": lambda s, d: G.random_walks(G.both_ways(small_graph(s, d)), small_graph(s, d).select(F.col("u").alias("node")).distinct(), 4),
     "fixed_fanout": lambda s, d: G.fixed_fanout(li(s, d), 8),
-    "bridge_score": lambda s, d: W.bridge_scores(ev(s, d).where("seq < 2000").withColumn("stream_id", F.lit(0)), 200, rounds=6),
+    "bridge_score": lambda s, d: W.bridge_scores(ev(s, d).withColumn("stream_id", F.lit(0))),
     "frequency_factor": lambda s, d: W.factor_scores(ev(s, d).withColumn("stream_id", F.lit(0))),
 }
 

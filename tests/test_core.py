@@ -2,13 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from edgestream.functions import paths as P
 from edgestream.functions import vectors as V
-from edgestream.operators import evaluation, graphs, injection, linkstream, memory, microcluster, relational, sequence
-from edgestream.plans import ordering
+from edgestream.operators import evaluation, graphs, injection, linkstream, memory, microcluster, relational, sequence, walkscore
+from edgestream.plans import catalog_relational, ordering
 from edgestream.sources import readers, writers
 
 
@@ -178,3 +179,50 @@ def test_streaming_equals_batch(spark, tmp_path):
     got = {r.seq: r.score for r in spark.table("scores").collect()}
     want = {r.seq: r.score for r in microcluster.normal(e).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+
+
+def plain_bridge_scores(rows, sample, rounds, restart=0.15, seed=1):
+    draw, held, scores = np.random.Generator(np.random.PCG64(seed)), [], []
+    ticks = sorted({r[1] for r in rows})
+
+    def share(u, v, extra):
+        out = {}
+        for a, b, w in [e for _, _, a, b, w in held for e in ((a, b, w), (b, a, w))] + [(u, v, extra)]:
+            if w:
+                out.setdefault(a, []).append((b, w))
+        mass, at, every = {u: 1.0}, 0.0, 0.0
+        for _ in range(rounds):
+            at, every, moved = at + mass.get(v, 0.0), every + sum(mass.values()), {}
+            for x, m in mass.items():
+                total = sum(w for _, w in out.get(x, []))
+                for y, w in out.get(x, []):
+                    moved[y] = moved.get(y, 0.0) + m * (1 - restart) * w / total
+            mass = moved
+        return at / every
+
+    for seq, t, u, v, w in rows:
+        full = len(held) == sample
+        scores.append(sum(max(0.0, share(a, b, w) - share(a, b, 0.0)) for a, b in ((u, v), (v, u))) / 2 if full else 0.0)
+        k = ticks.index(t)
+        rate = (t - (ticks[k - 1] if k else -1)) / sum(r[1] == t for r in rows)
+        priority = float(np.log10(max(draw.random(), 1e-300)) / rate)
+        if not full or priority > min(held)[0]:
+            held = [h for h in held if not full or h != min(held)] + [(priority, seq, u, v, w)]
+    return scores
+
+
+def test_bridge_scores_match_a_plain_walk(spark):
+    rows = [(i, 1 + i // 7, f"n{i * i % 13}", f"n{(i * 5 + i // 3) % 11}", 1.0 + i % 3) for i in range(80)]
+    e = spark.createDataFrame([(*r, 0) for r in rows], "seq long, t long, src string, dst string, weight double, stream_id int")
+    got = column(walkscore.bridge_scores(e, 20, rounds=12), "score")
+    assert any(r[2] == r[3] for r in rows) and sum(x > 0 for x in got) > 10
+    assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got, plain_bridge_scores(rows, 20, 12), strict=True))
+
+
+def test_bridge_query_scores_every_event(spark, monkeypatch):
+    rows = [(i + 1700, 1 + i // 40, f"u{i * i % 61}", f"v{i * 7 % 53}", 1.0) for i in range(620)]
+    e = spark.createDataFrame(rows, "seq long, t long, src string, dst string, weight double")
+    monkeypatch.setattr(catalog_relational, "ev", lambda s, d: e)
+    got = catalog_relational.QUERIES["bridge_score"](spark, "").orderBy("seq").collect()
+    assert [r.seq for r in got] == [r[0] for r in rows]
+    assert all(r.score == 0.0 for r in got[:500]) and any(r.score > 0.0 for r in got[500:])  # the operator's own sample of 500
