@@ -124,9 +124,9 @@ QUERIES = {
     "pagerank_v1": ranked(False),
     "pagerank_v2": ranked(True),
     "derivative_scores": derivative,
-    "edge_link_score": lambda s, d: L.edge_scores(ev(s, d), R.malicious_pairs(ev(s, d).where("seq < 1000")), 20, 300).select("src", "dst", "t", *_r("score")),
+    "edge_link_score": lambda s, d: L.edge_scores(ev(s, d), R.malicious_pairs(ev(s, d)), 20, 300).select("src", "dst", "t", *_r("score")),
     "edge_link_score_active": lambda s, d: L.edge_scores(ev(s, d), R.malicious_pairs(ev(s, d)), 200, 30, True).select("src", "dst", "t", *_r("score")),
-    "node_link_score": lambda s, d: L.node_scores(ev(s, d), nodes(s, d).where("node < '12'"), 20, 100).select("node", "t", *_r("score")),
+    "node_link_score": lambda s, d: L.node_scores(ev(s, d), nodes(s, d), 20, 100).select("node", "t", *_r("score")),
     "graph_link_score": lambda s, d: L.graph_scores(ev(s, d), 10, 100).select("t", *_r("score")),
     "edge_encoding_hadamard": encoded("hadamard"),
     "edge_encoding_average": encoded("average"),

@@ -226,3 +226,21 @@ def test_bridge_query_scores_every_event(spark, monkeypatch):
     got = catalog_relational.QUERIES["bridge_score"](spark, "").orderBy("seq").collect()
     assert [r.seq for r in got] == [r[0] for r in rows]
     assert all(r.score == 0.0 for r in got[:500]) and any(r.score > 0.0 for r in got[500:])  # the operator's own sample of 500
+
+
+def test_link_queries_take_every_malicious_pair_and_node(spark, monkeypatch):
+    rows = [(t, f"{k}", f"k{(t + k) % 3}", int((t * k) % 4 == 1)) for t in (*range(1, 31), 101, 299, *range(301, 306)) for k in range(9, 16)]
+    e = stream(spark, rows).withColumn("seq", F.col("seq") + 950)
+    monkeypatch.setattr(catalog_relational, "ev", lambda s, d: e)
+    pairs = {(u, v) for _, u, v, bad in rows if bad}
+    ticks = {p: sorted({t for t, u, v, _ in rows if (u, v) == p}) for p in pairs}
+    want = {}
+    for (u, v), seen in ticks.items():
+        for t in range(300, 306):
+            near = [x for x in seen if t - 20 <= x < t]
+            p = len(near) / (near[-1] - near[0] + 1) if near and near[-1] > near[0] else 0.0
+            want[u, v, t] = ((t in seen) - p) ** 2 / max(p * (1 - p), 0.01)
+    got = {(r.src, r.dst, r.t): r.score for r in catalog_relational.QUERIES["edge_link_score"](spark, "").collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
+    scored = {r.node for r in catalog_relational.QUERIES["node_link_score"](spark, "").collect()}
+    assert scored == {u for u, _ in pairs} and len(scored) > 3
