@@ -55,23 +55,23 @@ def featured(s, d):
     return held.select("seq", "src", "dst", "f")
 
 
-def small_graph(s, d):
-    return li(s, d).where("u <= 20").select(F.concat(F.lit("s"), F.col("u").cast("string")).alias("u"), F.concat(F.lit("p"), F.col("v").cast("string")).alias("v"))
+def supplier_parts(s, d):
+    return li(s, d).select(F.concat(F.lit("s"), F.col("u").cast("string")).alias("u"), F.concat(F.lit("p"), F.col("v").cast("string")).alias("v"))
 
 
 def ranked(weighted):
     def run(s, d):
-        e = small_graph(s, d)
+        e = supplier_parts(s, d)
         e = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("w", F.lit(1.0))
-        return G.pagerank(e, e.select(F.col("u").alias("node")), weighted, 6).select("node", *_r("rank"))
+        return G.pagerank(e, e.select(F.col("u").alias("node")), weighted).select("node", *_r("rank"))
 
     return run
 
 
 def derivative(s, d):
     e = ev(s, d).withColumn("t", F.expr("(t - 1) div 24"))
-    r1 = G.snapshot_pageranks(e, False, 4).withColumnRenamed("rank", "r1")
-    r2 = G.snapshot_pageranks(e, True, 4).withColumnRenamed("rank", "r2")
+    r1 = G.snapshot_pageranks(e).withColumnRenamed("rank", "r1")
+    r2 = G.snapshot_pageranks(e, True).withColumnRenamed("rank", "r2")
     full = r1.join(r2, ["t", "node"], "left").na.fill(0.0, ["r2"])  # r1 has every tick and node
     return G.derivative_scores(full).select("t", F.round("score", 4).alias("score"))
 
@@ -145,7 +145,7 @@ QUERIES = {
     "cms_estimates": lambda s, d: C.sketch_estimates(li(s, d), SKETCH, COLUMNS),
     "sketch_scores": lambda s, d: C.sketch_scores(ev(s, d).select("seq", "t", F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"), F.lit(0).alias("stream_id")), fade=0.5),
     "reservoir_sample": lambda s, d: G.reservoir(ev(s, d), 200).select("seq", "src", "dst"),
-    "random_walks": lambda s, d: G.random_walks(G.both_ways(small_graph(s, d)), small_graph(s, d).select(F.col("u").alias("node")).distinct(), 4),
+    "random_walks": lambda s, d: G.random_walks(G.both_ways(supplier_parts(s, d)), supplier_parts(s, d).select(F.col("u").alias("node")).distinct(), 4),
     "fixed_fanout": lambda s, d: G.fixed_fanout(li(s, d), 8),
     "bridge_score": lambda s, d: W.bridge_scores(ev(s, d).withColumn("stream_id", F.lit(0))),
     "frequency_factor": lambda s, d: W.factor_scores(ev(s, d).withColumn("stream_id", F.lit(0))),

@@ -244,3 +244,45 @@ def test_link_queries_take_every_malicious_pair_and_node(spark, monkeypatch):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
     scored = {r.node for r in catalog_relational.QUERIES["node_link_score"](spark, "").collect()}
     assert scored == {u for u, _ in pairs} and len(scored) > 3
+
+
+def plain_ranks(edges, nodes, weighted):
+    w, fan = {}, {}
+    for u, v in edges:
+        w[u, v] = w.get((u, v), 0.0) + 1.0
+    if not weighted:
+        w = dict.fromkeys(w, 1.0)
+    for (u, _), x in w.items():
+        fan[u] = fan.get(u, 0.0) + x
+    flow = {n: 0.5 * (fan.get(n, 0.0) / sum(fan.values()) if weighted else 1 / len(nodes)) for n in nodes}
+    total = dict(flow)
+    for _ in range(60):  # to the limit
+        moved = dict.fromkeys(nodes, 0.0)
+        for (u, v), x in w.items():
+            moved[v] += 0.5 * flow[u] * x / fan[u]
+        flow = moved
+        total = {n: total[n] + flow[n] for n in nodes}
+    return {n: x / sum(total.values()) for n, x in total.items()}
+
+
+def test_pagerank_queries_reach_the_limit_on_the_whole_graph(spark, monkeypatch):
+    pairs = [(k, k * k % 7) for k in range(15, 40)] + [(15, 1), (15, 1), (30, 5)]
+    monkeypatch.setattr(catalog_relational, "li", lambda s, d: spark.createDataFrame(pairs, "u long, v long"))
+    named = [(f"s{u}", f"p{v}") for u, v in pairs]
+    nodes = {n for e in named for n in e}
+    for name in ("pagerank_v1", "pagerank_v2"):
+        got = {r.node: r.rank for r in catalog_relational.QUERIES[name](spark, "").collect()}
+        want = plain_ranks(named + [(v, u) for u, v in named], nodes, name == "pagerank_v2")
+        assert got.keys() == nodes and sum(abs(got[n] - want[n]) for n in nodes) < 1e-3  # the reference's residual
+    assert {r.start for r in catalog_relational.QUERIES["random_walks"](spark, "").collect()} == {u for u, _ in named}
+
+
+def test_derivative_query_uses_the_operators_rounds(spark, monkeypatch):
+    rows = [(1 + 24 * (i // 4), f"n{i * i % 7}", f"n{(i * 3 + 1) % 5}", 0) for i in range(24)]
+    e = stream(spark, rows)
+    monkeypatch.setattr(catalog_relational, "ev", lambda s, d: e)
+    daily = e.withColumn("t", F.expr("(t - 1) div 24"))
+    full = graphs.snapshot_pageranks(daily).withColumnRenamed("rank", "r1").join(graphs.snapshot_pageranks(daily, True).withColumnRenamed("rank", "r2"), ["t", "node"], "left").na.fill(0.0, ["r2"])
+    want = {r.t: round(r.score, 4) for r in graphs.derivative_scores(full).collect()}
+    got = {r.t: r.score for r in catalog_relational.QUERIES["derivative_scores"](spark, "").collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[t], want[t], abs_tol=2e-4) for t in want)
