@@ -64,7 +64,7 @@ QUERIES = {
     "idle_padding": lambda s, d: S.idle_padding(ev(s, d), 300),
     "fill_pair_gaps": lambda s, d: S.fill_pair_gaps(ev(s, d), 20000).groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("clock").alias("first"), F.max("clock").alias("last")),
     "tail_padding": lambda s, d: S.tail_padding(ev(s, d), 10, 5),
-    "fill_seconds": lambda s, d: S.fill_seconds(ev(s, d).where("seq < 50")).select("seq", "clock").groupBy("seq").agg(F.count("*").alias("n"), F.max("clock").alias("last")),
+    "fill_seconds": lambda s, d: S.fill_seconds(ev(s, d)).select("seq", "clock").groupBy("seq").agg(F.count("*").alias("n"), F.max("clock").alias("last")),
     "sliding_windows": lambda s, d: S.sliding_windows(ev(s, d), 800, 200).groupBy("window").agg(F.count("*").alias("n"), F.min("seq").alias("first"), (2 * F.sum("label") > 800).alias("attack")),
     "attack_spans": lambda s, d: S.attack_spans(ev(s, d)),
     "temporal_split": lambda s, d: S.temporal_split(ev(s, d), 0.7, 0.85).select("seq", "part"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from edgestream.functions import paths as P
 from edgestream.functions import vectors as V
 from edgestream.operators import evaluation, graphs, injection, linkstream, memory, microcluster, relational, sequence, walkscore
-from edgestream.plans import catalog_relational, ordering
+from edgestream.plans import catalog_relational, catalog_sequence, ordering
 from edgestream.sources import readers, writers
 
 
@@ -286,3 +286,21 @@ def test_derivative_query_uses_the_operators_rounds(spark, monkeypatch):
     want = {r.t: round(r.score, 4) for r in graphs.derivative_scores(full).collect()}
     got = {r.t: r.score for r in catalog_relational.QUERIES["derivative_scores"](spark, "").collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[t], want[t], abs_tol=2e-4) for t in want)
+
+
+def test_queries_take_the_whole_table(spark, monkeypatch):
+    rows = [(1 + i // 1500 * 2, f"{5 + i % 4}", "k", int(i == 1600)) for i in range(10600)]
+    e = stream(spark, rows).withColumn("clock", F.col("seq") + F.when(F.col("seq") > 10400, 1000).otherwise(0))
+    for module in (catalog_relational, catalog_sequence):
+        monkeypatch.setattr(module, "ev", lambda s, d: e)
+    ask = lambda name, module=catalog_relational: module.QUERIES[name](spark, "").collect()
+    assert {r.seq: r.n for r in ask("fill_seconds", catalog_sequence)} == {i: 1001 if i == 10400 else 1 for i in range(10600)}
+    assert {r.t for r in ask("empty_slices")} == set(range(0, 15, 2))
+    assert {r.t: r.label for r in ask("spine_labels")} == {t: int(t == 3) for t in range(1, 16)}
+    assert {r.target: r.position for r in ask("nearest_gap")} == dict.fromkeys(range(0, 10600, 250), 10400)
+    monkeypatch.setattr(catalog_relational, "li", lambda s, d: spark.createDataFrame([(10, 2), (60, 2), (60, 1)], "u long, v long"))
+    assert {r.node: r.neighbours for r in ask("adjacency_lists")} == {1000010: [2], 1000060: [1, 2], 1: [1000060], 2: [1000010, 1000060]}
+    x = np.arange(64.0) ** 1.5 % 7
+    monkeypatch.setattr(catalog_relational, "vectors", lambda s, d: spark.createDataFrame([(0, x.tolist())], "node long, x array<double>"))
+    got = {r.k: r.c for r in ask("haar")}
+    assert got.keys() == set(range(64)) and all(math.isclose(got[k], c, abs_tol=1e-5) for k, c in enumerate(linkstream.haar_matrix(x[None])[0]))
