@@ -304,3 +304,52 @@ def test_queries_take_the_whole_table(spark, monkeypatch):
     monkeypatch.setattr(catalog_relational, "vectors", lambda s, d: spark.createDataFrame([(0, x.tolist())], "node long, x array<double>"))
     got = {r.k: r.c for r in ask("haar")}
     assert got.keys() == set(range(64)) and all(math.isclose(got[k], c, abs_tol=1e-5) for k, c in enumerate(linkstream.haar_matrix(x[None])[0]))
+
+
+def plain_link_score(history, present):
+    """The reference's score by explicit basis vectors (history: oldest tick first)."""
+    n = 1 << max(0, (len(present) - 1).bit_length())
+
+    def basis():
+        yield np.full(n, n**-0.5), slice(0, n)
+        size = n
+        while size > 1:
+            for a in range(0, n, size):
+                b = np.zeros(n)
+                b[a : a + size // 2], b[a + size // 2 : a + size] = size**-0.5, -(size**-0.5)
+                yield b, slice(a, a + size)
+            size //= 2
+
+    def leaves(x, order):
+        return np.array([x[i] for i in order] + [0.0] * (n - len(order)))
+
+    def by_rank(p):
+        return sorted(range(len(p)), key=lambda i: (-p[i], i))
+
+    best, p = math.inf, np.zeros(len(present))
+    first = next((i for i, h in enumerate(history) if any(h)), len(history))
+    for length in range(2, len(history) - first):
+        window = history[-length:]
+        if not any(map(any, window)):
+            continue
+        q = np.array([sum(h[i] for h in window) / length for i in range(len(present))])
+        gap = 0.0
+        for b, part in basis():
+            xs = [float(leaves(h, by_rank(q)) @ b) for h in window]
+            gap += (leaves(q * (1 - q), by_rank(q))[part].mean() - np.var(xs)) ** 2
+        if math.sqrt(gap) <= best + 1e-9:
+            best, p = min(best, math.sqrt(gap)), q
+    x, m, v = (leaves(y, by_rank(p)) for y in (present, p, p * (1 - p)))
+    return sum(float((x - m) @ b) ** 2 / max(v[part].mean(), 0.01) for b, part in basis())
+
+
+def test_node_link_scores_match_a_plain_fit_on_every_tick(spark):
+    draw = np.random.default_rng(4)
+    rows = [(t, "a", o, 0) for t in range(1, 26) for k, o in enumerate("vwxyz") if t not in (13, 14, 22, 23, 24, 25) and draw.random() < (0.9, 0.5, 0.3, 0.2, 0.1)[k]]
+    e = stream(spark, [*rows, (27, "b", "c", 0)])
+    met = sorted({r[2] for r in rows})
+    there = lambda t: [float((t, "a", o, 0) in rows) for o in met]
+    got = {r.t: r.score for r in linkstream.node_scores(e, spark.createDataFrame([("a",)], "node string"), 8, 5).collect()}
+    assert got.keys() == set(range(5, 28))  # quiet ticks too, to the stream's last
+    assert all(math.isclose(got[t], plain_link_score([there(k) for k in range(t - 8, t)], there(t)), rel_tol=1e-6, abs_tol=1e-6) for t in got)
+    assert {r.t for r in linkstream.graph_scores(e, 8, 5).collect()} == set(range(5, 28))
