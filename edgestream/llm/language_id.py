@@ -6,7 +6,7 @@ Over a document's words, the best path with a penalty for each switch labels spa
 most labelled words is the prediction, and its share of them the score.
 
 Most documents are one language throughout, and that is decided without the dynamic program, exactly:
-if no stretch of words gains more than one penalty by any other language, no switch can pay. Only the
+if no stretch of words gains more than half a penalty by any other language, no switch can pay. Only the
 other documents are run through it, all of a block position by position at once.
 
 The model is fitted on at most SAMPLE_PER_LANGUAGE labelled documents of each language, chosen by a hash
@@ -116,7 +116,11 @@ def word_scores(words: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def plain(score: np.ndarray, first: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each document's best single language, and whether no switch can improve on it."""
+    """Each document's best single language, and whether no switch can improve on it.
+
+    Sure if no stretch of words gains more than switch / 2 in another language: a path of m > 1 stretches
+    gains at most m * switch / 2, which is no more than its (m - 1) * switch.
+    """
     n_docs, k = len(first) - 1, score.shape[1]
     run = np.concatenate([np.zeros((1, k)), np.cumsum(score, axis=0)])
     best = np.argmax(run[first[1:]] - run[first[:-1]], axis=1) if n_docs else np.zeros(0, np.int64)
@@ -129,7 +133,7 @@ def plain(score: np.ndarray, first: np.ndarray, switch: float) -> tuple[np.ndarr
         low = float(np.abs(total).max(initial=0.0)) * 2 + 1
         after, before = total[1:] - doc * low, total[:-1] - doc * low
         rise = after - np.minimum.accumulate(before) if len(doc) else after
-        np.logical_and.at(sure, doc[rise > switch - 1e-6], False)
+        np.logical_and.at(sure, doc[rise > switch / 2 - 1e-6], False)
     return best, sure
 
 

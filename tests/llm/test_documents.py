@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
 from edgestream.llm import decontamination, language_id, license_scan, quality_rules, token_counts, toxicity, url_filters
@@ -210,3 +211,12 @@ def test_toxicity(spark):
     assert s[0] > s[2] > s[3] and s[0] > s[1] > s[3] and s[3] == s[4] == s[5]
     assert toxicity.held_out_toxicity(docs, labels.limit(0)).count() == 120
     assert toxicity.held_out_toxicity(empty(spark), labels).count() == 0
+
+
+def test_two_halves_beat_a_third_language():
+    # A is ahead of C by 17 in the first half, B in the second; C is the best single one, and A to B better by 16
+    score = np.array([[0.0, -90.0, -8.5]] * 2 + [[-90.0, 0.0, -8.5]] * 2)
+    best, sure = language_id.plain(score, np.array([0, 4]), 18.0)
+    assert list(best) == [2] and list(sure) == [False]
+    assert list(language_id.viterbi([score], 18.0)[0]) == [0, 0, 1, 1]
+    assert language_id.plain(np.array([[0.0, -8.0, -9.0]] * 3), np.array([0, 3]), 18.0)[1].all()
