@@ -80,8 +80,10 @@ def bridge_scores(edges: DataFrame, sample: int = 500, restart: float = 0.15, ro
 
 
 def factor_scores(edges: DataFrame, most: int = 100, alpha: float = 0.999, width: int = 8, setup: int = 24, every: int = 24, rounds: int = 30, rate: float = 0.05, seed: int = 1, stream: str = "stream_id") -> DataFrame:
-    """seq, score: an edge's decayed frequency over the rate exp(h_s Q h_d) of a factorisation, refitted every few ticks.
+    """seq, score: the largest of a tick's counts of the edge, of its source's edges and of its target's edges, each over its rate.
 
+    An edge's rate is exp(h_s Q h_d) of a factorisation of decayed frequencies, refitted every few ticks; a group's
+    is the sum of the rates of its edges in the tick.
     A stream keeps its `most` most frequent pairs. Scores are keyed by seq; before the first fit they are 0.
     """
 
@@ -101,9 +103,15 @@ def factor_scores(edges: DataFrame, most: int = 100, alpha: float = 0.999, width
         for t, rows in frame.groupby("t"):
             counts = rows.groupby(["src", "dst"])["seq"].count()
             if fitted:
+                groups: dict[tuple, list[float]] = {}  # count and rate of each edge, source and target
                 for (s, d), n in counts.items():
                     expected = float(np.exp(np.clip(vector(s) @ q @ vector(d), -20, 20)))
-                    scores[t, s, d] = n / max(expected, 1e-9)
+                    for key in ((s, d), (s, None), (None, d)):
+                        both = groups.setdefault(key, [0.0, 0.0])
+                        both[0] += n
+                        both[1] += expected
+                for s, d in counts.index:
+                    scores[t, s, d] = max(n / max(expected, 1e-9) for n, expected in (groups[s, d], groups[s, None], groups[None, d]))
             held = {k: f * alpha ** (t - last) for k, f in held.items()}
             for pair, n in counts.items():
                 held[pair] = held.get(pair, 0.0) + (1 - alpha) * n

@@ -353,3 +353,27 @@ def test_node_link_scores_match_a_plain_fit_on_every_tick(spark):
     assert got.keys() == set(range(5, 28))  # quiet ticks too, to the stream's last
     assert all(math.isclose(got[t], plain_link_score([there(k) for k in range(t - 8, t)], there(t)), rel_tol=1e-6, abs_tol=1e-6) for t in got)
     assert {r.t for r in linkstream.graph_scores(e, 8, 5).collect()} == set(range(5, 28))
+
+
+def test_factor_scores_take_the_largest_of_edge_and_groups(spark):
+    quiet = [(t, f"s{t % 3}", f"d{t % 2}", 0) for t in range(1, 31)]
+    burst = [(31, "s0", f"d{k}", 0) for k in range(6) for _ in range(1 + k % 3)] + [(31, f"s{k}", "d0", 0) for k in range(1, 5)]
+    e = stream(spark, quiet + burst).withColumn("stream_id", F.lit(0))
+    # without fitting rounds the vectors are the draws, in order of use
+    got = column(walkscore.factor_scores(e, rounds=0), "score")
+    draw = np.random.Generator(np.random.PCG64(1))
+    q, vectors, want = draw.normal(size=(8, 8)) / 8, {}, []
+
+    def rate(s, d):
+        a, b = (vectors.setdefault(x, draw.normal(size=8) * 0.1) for x in (s, d))  # each use draws
+        return math.exp(a @ q @ b)
+
+    for t in range(1, 32):
+        now = [r[1:3] for r in quiet + burst if r[0] == t]
+        if t <= 25:
+            want += [0.0] * len(now)
+            continue
+        rates = {p: rate(*p) for p in sorted(set(now))}
+        parts = lambda s, d: ([p for p in rates if p == (s, d)], [p for p in rates if p[0] == s], [p for p in rates if p[1] == d])
+        want += [max(sum(now.count(p) for p in part) / sum(rates[p] for p in part) for part in parts(s, d)) for s, d in now]
+    assert len(got) == len(want) and all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, want, strict=True))
