@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache, lru_cache
 
 import numpy as np
@@ -15,10 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Text bytes that one numpy step holds; a longer document forms a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
+#: Bytes of an Arrow batch between the JVM and a Python worker: both sides hold a batch or two.
+BATCH_BYTES = 4 << 20
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -27,10 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of bounded bytes, whatever the rows' length (a setting of the session)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) != f"{BATCH_BYTES}b":
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (local tests) a temporary one."""
+    """The cluster's shared folder; only a local master without one (tests) gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="edgestream-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -44,7 +58,9 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     if not _scratch:
         atexit.register(_forget)
     _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
 
 
 def tidy(spark: SparkSession) -> None:
@@ -56,15 +72,24 @@ def tidy(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more: what was computed from them has been written."""
+    paths = {getattr(t, "_written_path", None) for t in tables}
+    gone = [x for x in _scratch if x[1] in paths]
+    _scratch[:] = [x for x in _scratch if x[1] not in paths]
+    _forget(gone)
+
+
 def written() -> int:
     """How many tables materialise() has written and not dropped."""
     return len(_scratch)
 
 
-def drop_tables(start: int, end: int) -> None:
-    """Delete the tables of that range of materialise() calls: what was computed from them has been written elsewhere."""
-    gone = _scratch[start:end]
-    del _scratch[start:end]
+def drop_since(start: int, but: Sequence[DataFrame] = ()) -> None:
+    """Delete the tables written since written() said start, but those: the last reader's result of the others has been written."""
+    keep = {t._written_path for t in but}
+    gone = [x for x in _scratch[start:] if x[1] not in keep]
+    _scratch[start:] = [x for x in _scratch[start:] if x[1] in keep]
     _forget(gone)
 
 

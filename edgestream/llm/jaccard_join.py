@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffer_of, materialise, mix, span_hashes, steps, tidy, window_hashes, word_spans
+from .common import SPACE, buffer_of, drop, drop_since, in_arrow, materialise, mix, span_hashes, steps, tidy, window_hashes, word_spans, written
 from .stars import components
 
 WIDTH = 5
@@ -44,11 +44,20 @@ MOST_FREQUENT = 1 << 20
 #: A shingle in fewer texts than this is never counted as frequent.
 LEAST_COUNT = 4
 #: Shingles a task holds before it sends them on.
-HELD = 1 << 21
+HELD = 1 << 19
+#: Shingles that a part of the exchanges is sized for.
+PART_SHINGLES = 1 << 22
+#: Postings that a part ranks at a time.
+RANKED = 1 << 17
 #: Leader and member names that are broadcast to pick sets (8 bytes each); beyond it they are joined by shuffle.
 MOST_BROADCAST = 1 << 20
-#: Members of a tile in step 4.
+#: Members of a group that one row of the group's own set serves in step 4.
+SALTED = 256
+#: Members, and bytes of their differences, on each side of a tile in step 4.
 TILE = 4096
+TILE_BYTES = 4 << 20
+#: Names of sets sent that a task remembers, so that copies are not sent again.
+REMEMBERED = 1 << 18
 
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -146,16 +155,44 @@ def _undeltas(blob: bytes) -> np.ndarray:
     return np.cumsum(step, dtype=np.uint64)
 
 
+def _counts(count: np.ndarray) -> bytes:
+    """Counts as a byte each; those of 255 or more follow as 64 bits."""
+    wide = count >= 255
+    return np.uint32(wide.sum()).tobytes() + count[wide].astype(np.int64).tobytes() + np.where(wide, 255, count).astype(np.uint8).tobytes()
+
+
+def _uncounts(blob: bytes) -> np.ndarray:
+    n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    count = np.frombuffer(blob, np.uint8, -1, 4 + 8 * n).astype(np.int64)
+    count[count == 255] = np.frombuffer(blob, np.int64, n, 4)
+    return count
+
+
+def _first_of(*keys: np.ndarray) -> np.ndarray:
+    """Whether each place begins a run of equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
 def _send_shingles(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     size = 0
 
     def send() -> pa.RecordBatch:
-        values = np.sort(np.concatenate(held))
-        at = _cut(values, parts)
+        # a shingle goes once a block with its count there, so that a frequent one is no hot spot
+        values = np.concatenate(held)
+        values.sort()
+        at = np.flatnonzero(_first_of(values >> _LOW))
+        count = np.diff(np.r_[at, len(values)])
+        values = values[at]
+        cuts = _cut(values, parts)
         values >>= _LOW
-        full = [k for k in range(parts) if at[k] < at[k + 1]]
-        return _sent(full, {"blob": [_deltas(values[at[k] : at[k + 1]]) for k in full]})
+        full = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
+        spans = [slice(cuts[k], cuts[k + 1]) for k in full]
+        return _sent(full, {"blob": [_deltas(values[x]) for x in spans], "counts": [_counts(count[x]) for x in spans]})
 
     for piece in _pieces(batches):
         s = distinct_sets(shingle_sets(_text_column(piece)))
@@ -192,8 +229,14 @@ def _blobs(held: list[pa.RecordBatch], name: str) -> Iterator[bytes]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles in LEAST_COUNT texts or more, in classes by the logarithm of their count."""
     for _, held in _parts(batches):
-        value, count = np.unique(np.concatenate([_undeltas(b) for b in _blobs(held, "blob")]), return_counts=True)
-        value, count = value[count >= LEAST_COUNT], count[count >= LEAST_COUNT]
+        value = np.concatenate([_undeltas(b) for b in _blobs(held, "blob")])
+        count = np.concatenate([_uncounts(b) for b in _blobs(held, "counts")])
+        by = np.argsort(value, kind="stable")  # merges the ascending runs
+        value = value[by]
+        at = np.flatnonzero(_first_of(value))
+        count = np.add.reduceat(count[by], at) if len(at) else count
+        value = value[at][count >= LEAST_COUNT]
+        count = count[count >= LEAST_COUNT]
         level = np.floor(4 * np.log2(count)).astype(np.int32)
         for k in np.unique(level):
             own = value[level == k]
@@ -221,8 +264,8 @@ def _by_part(df: DataFrame, parts: int) -> DataFrame:
 
 def frequent(texts: DataFrame, parts: int, most: int = MOST_FREQUENT) -> Order:
     """The levels of count that hold at most `most` shingles in all, from the highest down."""
-    sent = texts.mapInArrow(lambda it: _send_shingles(it, parts), "part int, blob binary")
-    levels = materialise(_by_part(sent, parts).mapInArrow(_count, "level int, n long, blob binary"), "counts")
+    sent = in_arrow(texts, lambda it: _send_shingles(it, parts), "part int, blob binary, counts binary")
+    levels = materialise(in_arrow(_by_part(sent, parts), _count, "level int, n long, blob binary"), "counts")
     del sent
     tidy(texts.sparkSession)
     total, least = 0, 1 << 30
@@ -232,6 +275,7 @@ def frequent(texts: DataFrame, parts: int, most: int = MOST_FREQUENT) -> Order:
             break
         least = r.level
     rows = levels.where(F.col("level") >= least).collect()  # at most `most` shingles
+    drop(levels)
     if not rows:
         return Order(_EMPTY, np.zeros(0, np.int64))
     value = np.concatenate([np.frombuffer(r.blob, np.uint64) for r in rows])
@@ -330,9 +374,16 @@ def _lead(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         key = np.concatenate([_undeltas(b) for b in _blobs(held, "keys")])
         node = np.concatenate([np.frombuffer(b, np.uint64) for b in _blobs(held, "nodes")])
         mark = np.concatenate([np.frombuffer(b, np.uint16) for b in _blobs(held, "marks")])
-        leader, member = lead(key, node, mark)
-        if len(leader):
-            yield _pairs_sent(leader, member, parts)
+        by = np.argsort(key)
+        key, node, mark = key[by], node[by], mark[by]
+        del by
+        at = 0
+        while at < len(key):  # whole lists, some RANKED postings at a time
+            end = int(np.searchsorted(key, key[min(at + RANKED, len(key)) - 1], "right"))
+            leader, member = lead(key[at:end], node[at:end], mark[at:end])
+            at = end
+            if len(leader):
+                yield _pairs_sent(leader, member, parts)
 
 
 def _unique_pairs(leader: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -362,11 +413,12 @@ def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sent = _EMPTY  # names of the sets that this task has sent lately
     for piece in _pieces(batches):
         s = distinct_sets(shingle_sets(_text_column(piece)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(s.names.view(np.int64)), pa.array([s.shingles[a:z].tobytes() for a, z in zip(s.bounds[:-1], s.bounds[1:], strict=True)], pa.binary())], ["node", "shingles"]
-        )
+        new = np.flatnonzero(~np.isin(s.names, sent))
+        sent = s.names[new] if len(sent) >= REMEMBERED else np.concatenate([sent, s.names[new]])
+        yield pa.RecordBatch.from_arrays([pa.array(s.names[new].view(np.int64)), pa.array([s.shingles[s.bounds[k] : s.bounds[k + 1]].tobytes() for k in new], pa.binary())], ["node", "shingles"])
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,26 +489,28 @@ def links(texts: DataFrame, parts: int) -> DataFrame:
     """Edges a, b between set names whose components are the classes of the join (texts: one column text)."""
     spark = texts.sparkSession
     order = spark.sparkContext.broadcast(frequent(texts, parts))
-    postings = texts.mapInArrow(lambda it: _send_postings(it, order, parts), "part int, keys binary, nodes binary, marks binary")
-    rows = _by_part(postings, parts).mapInArrow(lambda it: _lead(it, parts), "part int, leaders binary, members binary")
-    member = materialise(_by_part(rows, parts).mapInArrow(_memberships, "leader long, member long"), "members")
+    postings = in_arrow(texts, lambda it: _send_postings(it, order, parts), "part int, keys binary, nodes binary, marks binary")
+    rows = in_arrow(_by_part(postings, parts), lambda it: _lead(it, parts), "part int, leaders binary, members binary")
+    member = materialise(in_arrow(_by_part(rows, parts), _memberships, "leader long, member long"), "members")
     del postings, rows
     tidy(spark)
     # a leader is a member of its own group; every set is joined to its groups once
     sizes = member.groupBy("leader").agg(F.count("*").alias("size"))
-    led = sizes.select("leader", F.floor((F.col("size") + TILE - 1) / TILE).cast("int").alias("salts"))
+    led = sizes.select("leader", F.floor((F.col("size") + SALTED - 1) / SALTED).cast("int").alias("salts"))
     salt = F.array(F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
     own = led.select("leader", F.col("leader").alias("member"), F.sequence(F.lit(0), F.col("salts") - 1).alias("salt"), F.lit(0).alias("role"))
     groups = materialise(own.unionAll(member.join(led, "leader").select("leader", "member", salt.alias("salt"), F.lit(1).alias("role"))), "groups")
     needed = materialise(groups.select(F.col("member").alias("node")).distinct(), "needed")
     wanted = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed
-    sets = texts.mapInArrow(_send_sets, "node long, shingles binary").join(wanted, "node", "left_semi")
+    sets = in_arrow(texts, _send_sets, "node long, shingles binary").join(wanted, "node", "left_semi")
     placed = sets.join(groups, F.col("node") == F.col("member")).select("leader", F.explode("salt").alias("salt"), "role", "member", "shingles")
     dealt = placed.repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt", "role", "member")
-    apart = materialise(dealt.mapInArrow(_differences, "leader long, member long, n_leader long, n long, difference binary"), "apart")
-    del sets, placed, dealt
+    apart = materialise(in_arrow(dealt, _differences, "leader long, member long, n_leader long, n long, difference binary"), "apart")
+    del sets, placed, dealt, wanted
+    drop(member, groups, needed)
     tidy(spark)
     found = materialise(group_links(apart, parts), "links")
+    drop(apart)
     tidy(spark)
     return found
 
@@ -468,33 +522,37 @@ def group_links(apart: DataFrame, parts: int) -> DataFrame:
     direct = apart.where(~F.col("outlier")).select(F.col("leader").alias("a"), F.col("member").alias("b"))
 
     # a tile is a block of outliers against a block of members; a group of up to TILE members is one tile
-    counted = apart.groupBy("leader").agg(F.count("*").alias("size"), F.count_if("outlier").alias("out")).where("out > 0 and size > 1")
-    cut = lambda c: F.floor((F.col(c) + TILE - 1) / TILE).cast("int")
-    grid = counted.select("leader", cut("out").alias("rows"), cut("size").alias("cols"))
+    own = F.length("difference").cast("long")
+    counted = apart.groupBy("leader").agg(F.count("*").alias("size"), F.count_if("outlier").alias("out"), F.sum(own).alias("bytes"), F.sum(F.when(F.col("outlier"), own)).alias("out_bytes")).where("out > 0 and size > 1")
+    cut = lambda c, b: F.greatest(F.ceil(F.col(c) / TILE), F.ceil(F.col(b) / TILE_BYTES)).cast("int")
+    grid = counted.select("leader", cut("out", "out_bytes").alias("rows"), cut("size", "bytes").alias("cols"))
     placed = apart.join(grid, "leader").withColumn("h", F.xxhash64("member"))
     row, col = F.pmod("h", "rows").cast("int"), F.pmod("h", "cols").cast("int")
     # an outlier of another row is not compared here, but is no friend of the leader either
     as_member = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r")).select("leader", (F.col("r") * F.col("cols") + col).alias("tile"), "member", "n", "difference", "outlier", (F.col("outlier") & (F.col("r") == row)).alias("compared"))
     as_outlier = placed.where("outlier and cols > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c")).where(F.col("c") != col).select("leader", (row * F.col("cols") + F.col("c")).alias("tile"), "member", "n", "difference", "outlier", F.col("outlier").alias("compared"))
     tiles = as_member.unionAll(as_outlier).select("leader", "tile", "outlier", "compared", "member", "n", "difference").repartition(parts, "leader", "tile").sortWithinPartitions("leader", "tile")
-    return direct.unionAll(tiles.mapInArrow(_tiles, "a long, b long"))
+    return direct.unionAll(in_arrow(tiles, _tiles, "a long, b long"))
 
 
-def partitions(df: DataFrame) -> int:
-    """Parts of the exchanges: those of the session, at least 16."""
-    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def partitions(described: DataFrame, per_part: int = PART_SHINGLES) -> int:
+    """Parts of the exchanges: as many as the counted shingles need, at least those of the session and 16."""
+    total = described.agg(F.sum("n_shingles").alias("n")).first().n or 0
+    return max(16, int(described.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // per_part))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, node (the set's name), class_node of every row."""
-    parts = partitions(docs)
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long"
-    described = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_describe, kind), "described")
+    described = materialise(in_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), _describe, kind), "described")
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    found = components(links(texts, parts))
+    edges = links(texts, partitions(described))
+    found = components(edges)
+    drop(edges)
     # a set's least document, then a class's
     least = described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = materialise(least.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("class_node"), "least"), "named")
+    drop(found)
     by_class = named.groupBy("class_node").agg(F.min("least").alias("component_id"))
     named = named.join(by_class, "class_node").select("node", "class_node", "component_id")
     full = described.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "class_node")
@@ -508,8 +566,10 @@ def drop_duplicates(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> Da
     The rows are numbered in a written table; the numbers of the dropped ones are broadcast if their
     counted number is within most_broadcast (8 bytes each), else anti-joined by shuffle.
     """
+    start = written()
     numbered = materialise(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid")), "numbered")
     found = classes(numbered.select(F.struct(F.col("row.doc_id").alias("id"), F.col("rid").alias("rid")).alias("doc_id"), F.col("row.text").alias("text")))
     dropped = materialise(found.where("doc_id.rid <> component_id.rid").select("doc_id.rid"), "dropped")
     n = dropped.count()
+    drop_since(start, but=(numbered, dropped))
     return numbered.join(F.broadcast(dropped) if n <= most_broadcast else dropped, "rid", "left_anti").select("row.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, LOWER_BYTES, NOT_ALNUM, buffer_of, crc32_remainder, steps, word_spans
+from .common import LOWER, LOWER_BYTES, NOT_ALNUM, buffer_of, crc32_remainder, in_arrow, steps, word_spans
 
 SAMPLE_PER_LANGUAGE = 2000
 GRAMS = 1 << 16
@@ -199,7 +199,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))]), F.col("lang"))
     chosen = held.where(draw < share * 1_000_000).select("lang", "text")
-    rows = chosen.mapInArrow(_tally, "lang string, grams binary, scripts binary")
+    rows = in_arrow(chosen, _tally, "lang string, grams binary, scripts binary")
     grams: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
     for r in rows.toLocalIterator():  # a task's tallies at a time
@@ -267,7 +267,7 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*carry).alias("row"), F.col("text").cast("string").alias("text"))
     kind = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<first_word:long,last_word:long,lang:string>>"
-    return rows.mapInArrow(lambda it: _predict(it, sent, switch, with_spans), kind)
+    return in_arrow(rows, lambda it: _predict(it, sent, switch, with_spans), kind)
 
 
 def held_out_languages(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, NOT_ALNUM, steps
+from .common import LOWER_BYTES, NOT_ALNUM, in_arrow, steps
 
 _TO_WORDS = bytes(32 if NOT_ALNUM[LOWER_BYTES[b]] else LOWER_BYTES[b] for b in range(256))
 
@@ -248,4 +248,4 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
-    return docs.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan_batches, f"doc_id {docs.schema[key].dataType.simpleString()}, {SCHEMA}")
+    return in_arrow(docs.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text")), _scan_batches, f"doc_id {docs.schema[key].dataType.simpleString()}, {SCHEMA}")

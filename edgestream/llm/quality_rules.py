@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, buffer_of, materialise, mix, per_document, span_hashes, steps, window_hashes, word_spans
+from .common import SPACE, buffer_of, in_arrow, materialise, mix, per_document, span_hashes, steps, window_hashes, word_spans
 
 #: Fixed value: the contract's symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -132,7 +132,7 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     """Base counts and distinct normalised lines of each document, with a row id, as a written table."""
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, {BASE}, text_hash long, text_bytes long, lines array<struct<line:long,words:long>>"
-    found = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(_measure_batches, kind)
+    found = in_arrow(docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")), _measure_batches, kind)
     return materialise(found.withColumn("rid", F.monotonically_increasing_id()), "quality")
 
 
@@ -174,7 +174,7 @@ def keep_good(docs: DataFrame, host: str = "source", most_broadcast: int = MOST_
     depleted = materialise(judged.where(~F.col("base_failed") & ~F.col("kept")).select("host", "text_hash", "text_bytes").distinct(), "depleted")
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     kinds = T.StructType([row.schema["row"], T.StructField("host", T.StringType()), T.StructField("text_hash", T.LongType()), T.StructField("text_bytes", T.LongType())])
-    passed = row.mapInArrow(_passing_batches, kinds)
+    passed = in_arrow(row, _passing_batches, kinds)
     n = depleted.count()
     if n:
         named = depleted.withColumnsRenamed({c: f"d_{c}" for c in depleted.columns})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop, materialise
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -36,10 +36,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        now = materialise(_small_star(_large_star(now)), "edges")
+        last, now = now, materialise(_small_star(_large_star(now)), "edges")
+        drop(last)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             roots = now.select("b").distinct()
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
+            out = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots.select(F.col("b").alias("node"), F.col("b").alias("root"))), "roots")
+            drop(now)
+            return out
         before = state
     raise RuntimeError("components did not settle")

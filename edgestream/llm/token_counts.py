@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps
+from .common import in_arrow, steps
 
 LIMIT = 2048
 MOST_REMEMBERED = 400_000
@@ -212,4 +212,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, k
     with open(path or default_path(), encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = f"doc_id {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
-    return docs.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _count_batches(it, definition, limit), kind)
+    return in_arrow(docs.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text")), lambda it: _count_batches(it, definition, limit), kind)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, scratch_dir, steps
+from .common import in_arrow, materialise, mix, scratch_dir, steps
 
 LENGTH = 2048
 PER_SHARD = 4096
@@ -135,7 +135,7 @@ def encoded(docs: DataFrame, ranks: tuple[bytes, str] | None = None) -> tuple[Da
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, place long, n long, tokens binary"
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return materialise(texts.mapInArrow(lambda it: _encode(it, sent, end, width), kind), "tokens"), end, width
+    return materialise(in_arrow(texts, lambda it: _encode(it, sent, end, width), kind), "tokens"), end, width
 
 
 # --- sequences ---------------------------------------------------------------------------------
@@ -211,14 +211,14 @@ def write_shards(docs: DataFrame, path: str | None = None, length: int = LENGTH,
     path = path or f"{scratch_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
     n_shards = -(-layout.n_sequences // per_shard)
     if n_shards:
-        pieces = rows.mapInArrow(lambda it: _pieces(it, sent, layout, True), kind).select("slot", "begin", "tokens")
+        pieces = in_arrow(rows, lambda it: _pieces(it, sent, layout, True), kind).select("slot", "begin", "tokens")
         dealt = pieces.repartitionById(n_shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot", "begin")
-        records = dealt.select("slot", "tokens").mapInArrow(lambda it: _assemble(it, layout), "record binary")
+        records = in_arrow(dealt.select("slot", "tokens"), lambda it: _assemble(it, layout), "record binary")
         # the text writer writes a string's bytes as they are
         records.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n").text(f"{path}/shards")
     spark.createDataFrame([(json.dumps(layout._asdict()),)], "value string").coalesce(1).write.text(f"{path}/layout.json")
 
-    parts = rows.mapInArrow(lambda it: _pieces(it, sent, layout, False), kind).drop("tokens")
+    parts = in_arrow(rows, lambda it: _pieces(it, sent, layout, False), kind).drop("tokens")
     named = parts.groupBy("slot").agg(
         F.first("sequence").alias("sequence"),
         F.sum(F.col("n").cast("long")).alias("n_tokens"),

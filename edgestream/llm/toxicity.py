@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, NOT_ALNUM, buffer_of, crc32_remainder, mix, separators, span_hashes, steps, window_hashes, word_spans
+from .common import LOWER_BYTES, NOT_ALNUM, buffer_of, crc32_remainder, in_arrow, mix, separators, span_hashes, steps, window_hashes, word_spans
 
 SAMPLE_TOXIC = 3000
 SAMPLE_CLEAN = 9000
@@ -354,7 +354,7 @@ def learn(labelled: DataFrame, most: tuple[int, int] = (SAMPLE_CLEAN, SAMPLE_TOX
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000))
     share = F.when(F.col("toxic") == 1, min(1.0, most[1] / counts[1])).otherwise(min(1.0, most[0] / counts[0]))
     chosen = held.where(draw < share * 1_000_000).select(F.col("toxic").cast("long"), "text")
-    row = chosen.repartition(1).mapInArrow(_fit_batches, "model binary").first()  # bounded by the sample
+    row = in_arrow(chosen.repartition(1), _fit_batches, "model binary").first()  # bounded by the sample
     return Model(*pickle.loads(row.model)) if row else hand_model()
 
 
@@ -375,7 +375,7 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
     """row (a struct of the carried columns), score, predicted of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*carry).alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _score(it, sent), f"row {rows.schema['row'].dataType.simpleString()}, score double, predicted int")
+    return in_arrow(rows, lambda it: _score(it, sent), f"row {rows.schema['row'].dataType.simpleString()}, score double, predicted int")
 
 
 def held_out_toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (SAMPLE_CLEAN, SAMPLE_TOXIC)) -> DataFrame:
