@@ -7,59 +7,34 @@ written as Parquet and read again as the next one's docs.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from edgestream.llm import decontamination, jaccard_join, mixing, quality_rules, token_shards
-from edgestream.llm.common import drop_tables, materialise, table, written
+from edgestream.llm.common import drop, drop_since, materialise, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: The range of tables that the stage before has written on its way.
-_before: list[tuple[int, int]] = []
-
-
-def stage(run_one: Stage) -> Stage:
-    """A stage that first deletes the helper tables of the one before, whose result has been written by then."""
-
-    @wraps(run_one)
-    def run_it(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _before:
-            drop_tables(*_before.pop())
-        start = written()
-        out = run_one(spark, docs, sf_dir)
-        _before.append((start, written()))
-        return out
-
-    return run_it
-
-
-@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.keep_good(docs)
 
 
-@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of the Jaccard join."""
     return jaccard_join.drop_duplicates(docs)
 
 
-@stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mix(docs)
 
 
-@stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards in training order; a row for each sequence."""
     return token_shards.write_shards(docs)[0]
@@ -80,7 +55,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        start, before = written(), docs
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialise(docs, f"stage-{name}")
+            drop_since(start, but=(docs,))  # the stage's helper tables: its result has just been written
+            drop(before)
     return docs
