@@ -12,9 +12,11 @@ other documents are run through it, all of a block position by position at once.
 The model is fitted on at most SAMPLE_PER_LANGUAGE labelled documents of each language, chosen by a hash
 of their key, with whole texts; its size is fixed (GRAMS scores a language).
 
-Defined results: null text and text without a letter is "und" with score 0, as is all text if nothing was
-learned; letters in no learned script count for no language (all such text is "und"); repeated rows are
-predicted each; equal scores go to the alphabetically first language; extra columns are not read.
+Defined results: null text and text without a letter (any character of a Unicode letter category) is "und"
+with score 0, as is all text if nothing was learned; text whose letters are all in scripts that no language
+uses is the most frequent learned language, with that language's share of the sample as its score; repeated
+rows are predicted each; equal scores go to the alphabetically first language; extra columns are not read.
+A text of n words needs n x languages doubles and as many small back pointers, whatever lies beside it.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +56,15 @@ class Model(NamedTuple):
     languages: list[str]
     grams: np.ndarray  # GRAMS x languages, float32
     scripts: np.ndarray  # N_SCRIPTS x languages, bool
+    prior: np.ndarray  # share of the learned words of each language
+
+
+_LETTER = regex.compile(r"\p{L}")
+
+
+def with_letter(text: pa.Array) -> np.ndarray:
+    """Whether each text holds a letter: the search ends at the first one."""
+    return np.array([t is not None and _LETTER.search(t) is not None for t in text.to_pylist()], bool)
 
 
 class Words(NamedTuple):
@@ -138,34 +150,37 @@ def plain(score: np.ndarray, first: np.ndarray, switch: float) -> tuple[np.ndarr
 
 
 def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
-    """Best label path of each document (words x languages scores), all documents a position at a time."""
+    """Best label path of each document (words x languages scores), all documents a position at a time.
+
+    Documents lie behind one another, the longest first, so that those alive at a position are the first
+    ones; nothing is padded.
+    """
     order = sorted(range(len(scores)), key=lambda d: -len(scores[d]))
-    length = [len(scores[d]) for d in order]
-    if not length or not length[0]:
+    length = np.array([len(scores[d]) for d in order], np.int64)
+    if not len(length) or not length[0]:
         return [np.zeros(0, np.int64) for _ in scores]
     k = scores[0].shape[1]
+    flat = np.concatenate([scores[d] for d in order])
+    first = np.concatenate([[0], np.cumsum(length)])[:-1]
     best = np.zeros((len(order), k))
-    back = [np.zeros((0, k), np.int16)] * length[0]
+    back = np.zeros((len(flat), k), np.uint8 if k < 256 else np.uint16)
     alive = len(order)
-    padded = np.zeros((len(order), length[0], k))
-    for row, d in enumerate(order):
-        padded[row, : length[row]] = scores[d]
-    for t in range(length[0]):
+    for t in range(int(length[0])):
         while length[alive - 1] <= t:
             alive -= 1
-        now = best[:alive]
+        now, at = best[:alive], first[:alive] + t
         top = now.argmax(axis=1)
         value = now[np.arange(alive), top]
         move = value[:, None] - switch > now
-        back[t] = np.where(move, top[:, None], np.arange(k)).astype(np.int16)
-        best[:alive] = np.where(move, value[:, None] - switch, now) + padded[:alive, t]
+        back[at] = np.where(move, top[:, None], np.arange(k))
+        best[:alive] = np.where(move, value[:, None] - switch, now) + flat[at]
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)
     for row, d in enumerate(order):
         path = np.zeros(length[row], np.int64)
         state = int(best[row].argmax())
-        for t in range(length[row] - 1, -1, -1):
+        for t in range(int(length[row]) - 1, -1, -1):
             path[t] = state
-            state = int(back[t][row, state])
+            state = int(back[first[row] + t, state])
         out[d] = path
     return out
 
@@ -174,7 +189,7 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram and script counts of each language of a task's rows (lang, text)."""
+    """Trigram and script counts of each language of a task's rows (lang, text): only codes met, so that all tasks together send what the sample holds."""
     grams: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -187,7 +202,23 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 grams[name] = grams.get(name, 0) + np.bincount(words.grams[of_gram == name], minlength=GRAMS)
                 scripts[name] = scripts.get(name, 0) + np.bincount(words.script[of_word == name], minlength=N_SCRIPTS)
     names = sorted(grams)
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([grams[x].astype(np.int64).tobytes() for x in names], pa.binary()), pa.array([scripts[x].astype(np.int64).tobytes() for x in names], pa.binary())], ["lang", "grams", "scripts"])
+    both = [np.concatenate([grams[x], scripts[x]]).astype(np.int64) for x in names]
+    codes = [np.flatnonzero(x) for x in both]
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([c.astype(np.int32).tobytes() for c in codes], pa.binary()), pa.array([x[c].tobytes() for x, c in zip(both, codes, strict=True)], pa.binary())], ["lang", "codes", "counts"])
+
+
+def _sum_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One tally a language, from the rows of whole languages."""
+    total: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for name, codes, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            own = total.setdefault(name, np.zeros(GRAMS + N_SCRIPTS, np.int64))
+            own[np.frombuffer(codes, np.int32)] += np.frombuffer(counts, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["lang", "tally"])
+
+
+#: What is learned from no row at all.
+NOTHING = Model([], np.zeros((GRAMS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool), np.zeros(0))
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
@@ -195,25 +226,23 @@ def learn(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     held = labelled.where("lang is not null and text is not null")
     counts = {r.lang: r["count"] for r in held.groupBy("lang").count().collect()}  # a row a language
     if not counts:
-        return Model([], np.zeros((GRAMS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
+        return NOTHING
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))]), F.col("lang"))
     chosen = held.where(draw < share * 1_000_000).select("lang", "text")
-    rows = in_arrow(chosen, _tally, "lang string, grams binary, scripts binary")
-    grams: dict[str, np.ndarray] = {}
-    scripts: dict[str, np.ndarray] = {}
-    for r in rows.toLocalIterator():  # a task's tallies at a time
-        grams[r.lang] = grams.get(r.lang, 0) + np.frombuffer(r.grams, np.int64)
-        scripts[r.lang] = scripts.get(r.lang, 0) + np.frombuffer(r.scripts, np.int64)
-    names = sorted(grams)
-    if not names:
-        return Model([], np.zeros((GRAMS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
-    tally = np.stack([grams[x] for x in names], axis=1) + SMOOTHING
+    tallies = in_arrow(chosen, _tally, "lang string, codes binary, counts binary")
+    found = in_arrow(tallies.repartition("lang"), _sum_tallies, "lang string, tally binary").collect()  # a row a language, of fixed size
+    if not found:
+        return NOTHING
+    found.sort(key=lambda r: r.lang)
+    names, whole = [r.lang for r in found], np.stack([np.frombuffer(r.tally, np.int64) for r in found], axis=1)
+    tally = whole[:GRAMS] + SMOOTHING
     chance = np.log(tally / tally.sum(axis=0))
     ratio = np.clip(chance - chance.mean(axis=1, keepdims=True), -MOST_RATIO, MOST_RATIO).astype(np.float32)
-    used = np.stack([scripts[x] for x in names], axis=1).astype(float)
+    used = whole[GRAMS:].astype(float)
+    prior = used.sum(axis=0) / max(used.sum(), 1.0)
     used[0] = 0
-    return Model(names, ratio, used >= np.maximum(1, LEAST_SCRIPT_SHARE * used.sum(axis=0)))
+    return Model(names, ratio, used >= np.maximum(1, LEAST_SCRIPT_SHARE * used.sum(axis=0)), prior)
 
 
 # --- prediction --------------------------------------------------------------------------------
@@ -232,8 +261,10 @@ def predict_piece(text: pa.Array, model: Model, switch: float, with_spans: bool)
     predicted, share, spans = [UNKNOWN] * n_docs, np.zeros(n_docs), [[] for _ in range(n_docs)]
     if not k:
         return predicted, share, spans
-    words = words_of(text)
+    words, letters = words_of(text), with_letter(text)
     score, known = word_scores(words, model)
+    known &= np.repeat(letters, np.diff(words.first))
+    usual = int(model.prior.argmax())
     best, sure = plain(score, words.first, switch)
     mixed = np.flatnonzero(~sure)
     paths = dict(zip(mixed.tolist(), viterbi([score[words.first[d] : words.first[d + 1]] for d in mixed], switch), strict=True))
@@ -241,6 +272,8 @@ def predict_piece(text: pa.Array, model: Model, switch: float, with_spans: bool)
         a, z = words.first[d], words.first[d + 1]
         n = int(known[a:z].sum())
         if not n:
+            if letters[d]:
+                predicted[d], share[d] = model.languages[usual], float(model.prior[usual])
             continue
         if d in paths:
             votes = np.bincount(paths[d][known[a:z]], minlength=k)
