@@ -1,14 +1,16 @@
 """Operator 9, toxicity: a weighted finite-state grammar over clauses.
 
-Words are read as classes: insult, threat, target, negation, report, other. Three transducers rewrite a
+Words are read as classes: insult, threat, target, negation, report, other. Four transducers rewrite a
 clause's classes (negation marks what follows it closely, reported speech marks the rest of its clause,
-a near target marks an insult or threat), and a weighted acceptor prices the marked symbols. The
-machines are composed once into one table, which then runs over those clauses only that hold an insult
-or a threat. A text's score is a logistic value of what its clauses matched, never of isolated words.
+a near target before an insult or threat marks it, and one after it is marked itself as aimed at), and a
+weighted acceptor prices the marked symbols. The machines are composed once into one table, which then
+runs over those clauses only that hold an insult or a threat. A text's score is a logistic value of what
+its clauses matched, added over at most MOST_CLAUSES of a kind: by its own prices, one insult that is
+aimed at nobody stays below the threshold, a threat at somebody lies above it.
 
 Learned from labelled rows: the insult lexicon (words, and beginnings of words, that more toxic texts
-hold than chance allows, and hardly a clean one; near copies count as one text), and the prices, whose
-prior is the grammar's own. The fit uses at most about SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents,
+hold than chance allows, and more of them than clean ones; near copies count as one text; an entry weighs
+its precision), and the prices, whose prior is the grammar's own. The fit uses at most about SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents,
 chosen by a hash of their key, with whole texts, in one task.
 
 Defined results: null and empty texts match nothing and score the bias; without any labelled row the
@@ -35,10 +37,14 @@ SAMPLE_TOXIC = 3000
 SAMPLE_CLEAN = 9000
 THRESHOLD = 0.3
 #: Lengths in bytes of the beginnings of words that may enter the lexicon.
-BEGINNINGS = (4, 5, 6, 7)
+BEGINNINGS = (5, 6, 7, 8)
 #: An entry is in this many toxic texts at least, and this precise.
 LEAST_TEXTS = 3
-LEAST_PRECISION = 0.95
+LEAST_PRECISION = 0.5
+#: Clauses of a kind that a text's score counts, and the most that one clause counts.
+MOST_CLAUSES, MOST_OF_CLAUSE = 4.0, 2.0
+#: Words between a target and what it marks, before and after.
+REACH_BEFORE, REACH_AFTER = 4, 3
 #: Log of the expected number of entries that chance alone would make.
 MOST_CHANCE = -4.0
 #: Orders in which texts are compared to find near copies within the sample.
@@ -46,11 +52,11 @@ COPY_HASHES = 6
 
 #: The grammar's words in the four languages.
 WORDS = {
-    "threat": "kill hurt destroy punch strangle beat murder töten umbringen schlagen tuer frapper matar golpear",
-    "target": "you your yours he she they him her them du dich dir sie ihr tu toi vous il elle ils tú usted él ella ellos",
-    "negation": "not never no nobody nicht nie kein keine pas jamais aucun nunca jamás ningún",
+    "threat": "kill hurt destroy punch strangle beat murder shoot stab töten umbringen schlagen verprügeln tuer tuerai frapper frapperai égorger matar mataré golpear golpearé",
+    "target": "you your yours he she they him her them du dich dir sie ihr euch bist tu te toi vous il elle ils tú te usted ustedes él ella ellos eres hijo hija",
+    "negation": "not never no nobody cannot nicht nie kein keine pas jamais aucun nunca jamás ningún",
     "report": "said says say wrote quoted claimed called alleged sagte sagt behauptet dit déclare affirme dijo dice afirma",
-    "insult": "idiot moron stupid worthless pathetic scum loser clown trash disgusting",
+    "insult": "idiot moron stupid worthless pathetic scum loser clown trash disgusting bitch bastard asshole imbecile dummkopf arschloch wichser abschaum versager trottel idiote stupide connard connasse salope imbécile crétin idiota estúpido estúpida imbécil puta puto cabrón pendejo gilipollas basura",
 }
 CLASSES = ("other", "insult", "threat", "target", "negation", "report")
 _CODE = {c: k for k, c in enumerate(CLASSES)}
@@ -58,8 +64,10 @@ _ENDS_CLAUSE = separators(b'.!?;:\n"')
 _ENDS_WORD = NOT_ALNUM[np.frombuffer(LOWER_BYTES, np.uint8)]
 
 #: Prices before any data: log odds that a clause's marked symbol adds, and the bias.
-PRIOR = {"insult": 5.0, "insult+target": 6.0, "insult+negated": 1.5, "insult+reported": 2.0, "threat": 0.3, "threat+target": 2.0, "threat+negated": 0.1, "threat+reported": 0.5}
+PRIOR = {"insult": 2.2, "insult+target": 5.5, "insult+aimed": 1.0, "insult+negated": 0.5, "insult+reported": 1.0, "threat": 0.5, "threat+target": 1.5, "threat+aimed": 6.0, "threat+negated": 0.1, "threat+reported": 0.5}
 KINDS = tuple(PRIOR)
+#: Kinds of which one clause decides, and the log odds it then leads to at least.
+DECISIVE, DECIDES = ("insult+target", "threat+aimed"), 0.5
 BIAS = -3.5
 
 
@@ -119,20 +127,38 @@ def reported() -> Fst:
     return f
 
 
-def targeted(reach: int = 4) -> Fst:
+def _told() -> list[str]:
+    return [*_marked(), "insult+reported", "threat+reported"]
+
+
+def targeted(reach: int = REACH_BEFORE) -> Fst:
     """Marks plain insults and threats within reach words after a target."""
     f = Fst(0)
     for left in range(reach + 1):
-        for c in [*_marked(), "insult+reported", "threat+reported"]:
+        for c in _told():
             to = reach if c == "target" else max(left - 1, 0)
             f.arc(left, c, to, f"{c}+target" if left and c in ("insult", "threat") else c)
     return f
 
 
+def aimed(reach: int = REACH_AFTER) -> Fst:
+    """Marks a target within reach words after an insult or threat that is neither negated nor reported: that is whom it is aimed at."""
+    f = Fst(("", 0))
+    for kind, left in [("", 0), *((k, n) for k in ("insult", "threat") for n in range(1, reach + 1))]:
+        for c in [*_told(), "insult+target", "threat+target"]:
+            if c in ("insult", "threat", "insult+target", "threat+target"):
+                f.arc((kind, left), c, (c.split("+")[0], reach), c)
+            elif c == "target" and left:
+                f.arc((kind, left), c, ("", 0), f"{kind}+aimed")
+            else:
+                f.arc((kind, left), c, (kind, left - 1) if left > 1 else ("", 0), c)
+    return f
+
+
 def prices(weights: dict[str, float]) -> Fst:
     """One state that weighs the marked symbols."""
     f = Fst(0)
-    for c in {*_marked(), "insult+reported", "threat+reported", "insult+target", "threat+target"}:
+    for c in [*_told(), "insult+target", "threat+target", "insult+aimed", "threat+aimed"]:
         f.arc(0, c, 0, c, weights.get(c, 0.0))
     return f
 
@@ -146,7 +172,7 @@ class Machine(NamedTuple):
 
 
 def machine(weights: dict[str, float]) -> Machine:
-    whole = negation().compose(reported()).compose(targeted()).compose(prices(weights))
+    whole = negation().compose(reported()).compose(targeted()).compose(aimed()).compose(prices(weights))
     states = [whole.start, *sorted({s for s, _ in whole.arcs} - {whole.start}, key=repr)]
     number = {s: k for k, s in enumerate(states)}
     arcs = [[whole.arcs[s, c] for c in CLASSES] for s in states]
@@ -217,7 +243,8 @@ def classify(r: Read, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
 
 
 def clause_features(r: Read, lex: Lexicon, m: Machine) -> np.ndarray:
-    """documents x kinds: the most that one clause matched of each kind (an insult counts its lexicon weight), at most 2."""
+    """documents x kinds: what the clauses matched of each kind (an insult counts its lexicon weight), at most
+    MOST_OF_CLAUSE of one clause and MOST_CLAUSES of a document."""
     classes, weight = classify(r, lex)
     out = np.zeros((len(r.first) - 1, len(KINDS)))
     hot = np.flatnonzero((classes == _CODE["insult"]) | (classes == _CODE["threat"]))
@@ -226,14 +253,14 @@ def clause_features(r: Read, lex: Lexicon, m: Machine) -> np.ndarray:
         a, z = np.searchsorted(r.clause, c), np.searchsorted(r.clause, c, "right")
         doc = int(np.searchsorted(r.first, a, "right") - 1)
         state, found = 0, [0.0] * len(KINDS)
-        last = int(hot[np.searchsorted(hot, z) - 1]) + 1
+        last = min(z, int(hot[np.searchsorted(hot, z) - 1]) + 1 + REACH_AFTER)  # what it is aimed at may follow
         for k, code in enumerate(classes[a:last].tolist(), a):
             kind = m.kind[state][code]
             if kind >= 0:
                 found[kind] += weight[k] if code == insult else 1.0
             state = m.to[state][code]
-        np.maximum(out[doc], np.minimum(found, 2.0), out=out[doc])
-    return out
+        out[doc] += np.minimum(found, MOST_OF_CLAUSE)
+    return np.minimum(out, MOST_CLAUSES)
 
 
 # --- learning ----------------------------------------------------------------------------------
@@ -281,12 +308,19 @@ def clusters(least: np.ndarray) -> np.ndarray:
 def distinct_features(r: Read, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of a text's label and a word or beginning of a word in it."""
     own = np.repeat(docs, np.diff(r.first))
-    pairs = np.unique(np.stack([np.tile(own, len(r.hashes)).astype(np.uint64), np.concatenate(r.hashes)], axis=1), axis=0)
-    return pairs[:, 0].astype(np.int64), pairs[:, 1]
+    return unique_pairs(np.tile(own, len(r.hashes)), np.concatenate(r.hashes))
+
+
+def unique_pairs(docs: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.lexsort((features, docs))
+    docs, features = docs[by], features[by]
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (features[1:] != features[:-1])
+    return docs[new], features[new]
 
 
 def choose_insults(pieces: list[pa.RecordBatch]) -> dict[int, float]:
-    """Features that the toxic texts of LEAST_TEXTS clusters or more hold, and hardly a clean one, beyond chance."""
+    """Features that the toxic texts of LEAST_TEXTS clusters or more hold, more than clean texts do, beyond chance."""
     toxic_reads = [read(bad.column(1)) for p in pieces if (bad := p.filter(pc.equal(p.column(0), 1))).num_rows]
     label = clusters(np.concatenate([alike(r) for r in toxic_reads]))
     docs, features, base = [], [], 0
@@ -296,8 +330,7 @@ def choose_insults(pieces: list[pa.RecordBatch]) -> dict[int, float]:
         docs.append(d)
         features.append(f)
         base += n
-    pairs = np.unique(np.stack([np.concatenate(docs).astype(np.uint64), np.concatenate(features)], axis=1), axis=0)
-    names, bad = np.unique(pairs[:, 1], return_counts=True)
+    names, bad = np.unique(unique_pairs(np.concatenate(docs), np.concatenate(features))[1], return_counts=True)
     names, bad = names[bad >= LEAST_TEXTS], bad[bad >= LEAST_TEXTS]
     clean = np.zeros(len(names), np.int64)
     n_clean = 0
@@ -323,7 +356,10 @@ def fit_prices(x: np.ndarray, y: np.ndarray, steps_: int = 60, spread: float = 3
         slope = full.T @ (p - y) + (w - centre) / spread**2
         bend = (full * (p * (1 - p))[:, None]).T @ full + np.eye(len(w)) / spread**2
         w = w - np.clip(np.linalg.solve(bend, slope), -1.0, 1.0)  # a full step may overshoot far from the optimum
-    return np.append(np.maximum(w[:-1], 0.0), w[-1])[:-1], float(w[-1])
+    price, bias = np.maximum(w[:-1], 0.0), float(w[-1])
+    for k in DECISIVE:  # whatever isolated words are worth here, one such clause is enough
+        price[KINDS.index(k)] = max(price[KINDS.index(k)], DECIDES - bias)
+    return price, bias
 
 
 def fit(pieces: list[pa.RecordBatch]) -> Model:
