@@ -128,8 +128,11 @@ lines AS (SELECT rid, source, line, regexp_extract_all({_LOWER.replace("coalesce
           FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS line FROM d)),
 dup AS (SELECT rid, sum(c - 1) AS n FROM (SELECT rid, line, count(*) AS c FROM lines WHERE len(lw) > 0 GROUP BY 1, 2) GROUP BY 1),
 normal AS (SELECT rid, source, array_to_string(lw, ' ') AS line, sum(len(lw)) AS words FROM lines WHERE len(lw) > 0 GROUP BY ALL),
-common AS (SELECT normal.source, line FROM normal JOIN (SELECT min(rid) AS rid FROM d GROUP BY source, text) USING (rid)
-           GROUP BY ALL HAVING count(*) > {quality_rules.MAX_LINE_DOCUMENTS}),
+texts AS (SELECT source, min(rid) AS rid FROM d GROUP BY source, text),
+hosts AS (SELECT source AS host, count(*) AS n FROM texts GROUP BY 1),
+counted AS (SELECT normal.source, line, count(*) AS c FROM normal JOIN texts USING (rid) GROUP BY ALL),
+common AS (SELECT counted.source, line FROM counted JOIN hosts ON counted.source IS NOT DISTINCT FROM hosts.host
+           WHERE c > {quality_rules.LEAST_LINE_DOCUMENTS} AND 100 * c > {quality_rules.LINE_PERCENT} * n),
 gone AS (SELECT rid, sum(words) AS n FROM normal JOIN common ON normal.source IS NOT DISTINCT FROM common.source AND normal.line = common.line GROUP BY 1),
 base AS (
   SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
