@@ -3,7 +3,7 @@
 Each rule is a regular expression over the folded words of a text, joined by single spaces, with a
 priority. A rule runs only on texts that hold its keyword (one automaton pass over the text finds all
 keywords). A detection that lies within another one of higher priority, or of the same priority and
-greater length, is suppressed. The contract's base phrases are rules too, and are never suppressed.
+greater length, is suppressed, in one sweep over them in that order. The contract's base phrases are rules too, and are never suppressed.
 
 Defined results: null and empty texts have no words, detections or labels, and score 0; repeated rows
 are scanned each; only the key and the text are read, so other columns cannot clash.
@@ -189,9 +189,22 @@ class Scanner:
 def suppress(found: list[Detection]) -> list[Detection]:
     """Leave out each detection within a kept one of higher priority, or of the same and greater length."""
     kept: list[Detection] = []
+    # kept spans that lie within no other kept one: both their starts and their ends ascend, so the last
+    # one that starts no later than a span reaches furthest of all that could hold it
+    starts: list[int] = []
+    outer: list[Detection] = []
     for d in sorted(set(found), key=lambda d: (d.priority, d.start - d.end, d.start, d.label)):
-        if not any(k.start <= d.start and d.end <= k.end and (k.start, k.end, k.priority) != (d.start, d.end, d.priority) for k in kept):
+        at = bisect_right(starts, d.start)
+        holder = outer[at - 1] if at else None
+        if holder is None or holder.end < d.end:
             kept.append(d)
+            low = at - 1 if at and starts[at - 1] == d.start else at
+            high = low
+            while high < len(outer) and outer[high].end <= d.end:
+                high += 1
+            starts[low:high], outer[low:high] = [d.start], [d]
+        elif (holder.start, holder.end, holder.priority) == (d.start, d.end, d.priority):
+            kept.append(d)  # another label of the same place
     return sorted(kept)
 
 
