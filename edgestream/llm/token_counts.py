@@ -3,7 +3,8 @@
 A batch's distinct new pre-tokens lie behind one another in one symbol array. In each round every
 sequence finds its lowest-rank pair and merges all its places of that pair, left to right, at the
 same time as all others; sequences without a pair drop out. What survives is counted. Counts of
-chunks between spaces are remembered within a task, up to MOST_REMEMBERED words.
+chunks between spaces are remembered within a task, chunks of up to LONGEST_REMEMBERED characters and
+MOST_REMEMBERED characters in all.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special strings inside a text are
 one token each, as the library has it by default; repeated rows are counted each; a very long text
@@ -14,7 +15,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections import ChainMap
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import in_arrow, steps
 
 LIMIT = 2048
-MOST_REMEMBERED = 400_000
+MOST_REMEMBERED = 4 << 20
+LONGEST_REMEMBERED = 64
 #: Characters of a text that are split at a time.
 PART = 1 << 20
 NEVER = np.int32(2**31 - 1)
@@ -57,6 +60,7 @@ class WordBpe:
         self.size = max(vocab.values()) + 1
         self._index([(vocab[a], vocab[b], rank, vocab[a + b]) for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in merges)])
         self.known: dict[str, int] = {}
+        self.remembered = 0
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
 
     def _index(self, pairs: list[tuple[int, int, int, int]]) -> None:
@@ -142,9 +146,9 @@ class WordBpe:
         size = 0
 
         def settle() -> None:
-            self.learn({c for _, chunks in held for c in chunks})
+            known = self.learn({c for _, chunks in held for c in chunks})
             for k, chunks in held:
-                out[k] += sum(map(self.known.__getitem__, chunks))
+                out[k] += sum(map(known.__getitem__, chunks))
             held.clear()
 
         for k, text in enumerate(texts):
@@ -164,11 +168,10 @@ class WordBpe:
         settle()
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Count the chunks (text between spaces) not met yet: the pre-tokens of all in one merge."""
-        if len(self.known) > MOST_REMEMBERED:
-            self.known.clear()
+    def learn(self, chunks: set[str]) -> Mapping[str, int]:
+        """Counts of the chunks (text between spaces): the pre-tokens of all that were not met yet in one merge."""
         new = list(chunks.difference(self.known))
+        fresh: dict[str, int] = {}
         if new:
             words = np.array(self.split_lines.findall("\n".join(new)), object)
             ends = np.r_[np.flatnonzero(words == "\n"), len(words)]
@@ -176,7 +179,16 @@ class WordBpe:
             total = np.zeros(len(words) + 1, np.int64)
             total[1:][own] = self.symbols_left(words[own].tolist())
             total = np.cumsum(total)[np.r_[0, ends]]
-            self.known.update(zip(new, np.diff(total).tolist(), strict=True))
+            fresh = dict(zip(new, np.diff(total).tolist(), strict=True))
+        short = {c: n for c, n in fresh.items() if len(c) <= LONGEST_REMEMBERED}
+        size = sum(map(len, short))
+        if self.remembered + size > MOST_REMEMBERED:  # all that these texts need is in the old and the new counts
+            out = ChainMap(fresh, self.known)
+            self.known, self.remembered = short, size
+            return out
+        self.known.update(short)
+        self.remembered += size
+        return self.known if len(short) == len(fresh) else ChainMap(self.known, fresh)
 
 
 def byte_characters() -> list[str]:
