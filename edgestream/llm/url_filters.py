@@ -19,9 +19,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, materialise
 
-#: A rule list is a parameter kept in the plan; a longer one belongs in a table joined on the token.
+#: A rule list up to this is a literal of the plan; a longer one is a table, joined to the URLs on the token.
 MOST_RULES = 10_000
 
 
@@ -44,6 +44,7 @@ class PatternRule(NamedTuple):
     verdict: str
     pattern: str
     literals: tuple[str, ...]
+    one_of: tuple[str, ...] = ()  # every match holds one of these, where it holds no fixed literal
 
 
 #: The contract's rules.
@@ -64,8 +65,8 @@ PATTERN_RULES = (
     PatternRule("free download", "block", r"(^|[^a-z0-9])free[-_./]+(crack|keygen|warez)([^a-z0-9]|$)", ("free",)),
     PatternRule("adult", "block", r"(^|[^a-z0-9])(www[.])?xxx[./]", ("xxx",)),
     PatternRule("payday loan", "block", r"(^|[^a-z0-9])payday[-_.]loans?([^a-z0-9]|$)", ("payday",)),
-    PatternRule("session id", "block", r"[?&;](phpsessid|jsessionid)=", ()),
-    PatternRule("login page", "block", r"/(login|signin|logout)([./?#]|$)", ()),
+    PatternRule("session id", "block", r"[?&;](phpsessid|jsessionid)=", (), ("phpsessid", "jsessionid")),
+    PatternRule("login page", "block", r"/(login|signin|logout)([./?#]|$)", (), ("login", "signin", "logout")),
     PatternRule("raw address", "block", r"^[a-z]+://[0-9]{1,3}([.][0-9]{1,3}){3}([:/?#]|$)", ()),
 )
 
@@ -92,11 +93,13 @@ def token_counts(urls: DataFrame, url: str, wanted: Sequence[str]) -> dict[str,
     return {r.token: r["count"] for r in hits.groupBy("token").count().collect()}
 
 
-def rarest_token_index(literals: dict[int, tuple[str, ...]], counts: dict[str, int]) -> dict[str, list[int]]:
-    """Rule numbers under the rarest literal of each (ties: the smaller token); "" keeps rules without one."""
+def rarest_token_index(literals: dict[int, tuple[str, ...]], counts: dict[str, int], one_of: dict[int, tuple[str, ...]] | None = None) -> dict[str, list[int]]:
+    """Rule numbers under the rarest literal of each (ties: the smaller token), or under each of its
+    alternatives; "" keeps rules without either."""
     index: dict[str, list[int]] = {}
     for k, words in literals.items():
-        index.setdefault(min(words, key=lambda w: (counts.get(w, 0), w)) if words else "", []).append(k)
+        for w in [min(words, key=lambda w: (counts.get(w, 0), w))] if words else (one_of or {}).get(k) or [""]:
+            index.setdefault(w, []).append(k)
     return index
 
 
@@ -112,19 +115,38 @@ def filter_urls(
     The longest fitting host rule wins; without one, the first pattern rule in list order; without
     one, the URL is allowed.
     """
-    if len(host_rules) + len(pattern_rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     ordered_hosts = sorted(host_rules, key=lambda r: (-len(r.label), r.label))
-    rules: list[tuple[str, str, str, str, tuple[str, ...]]] = []  # kind, name, verdict, pattern over "host path" or the url
+    rules: list[tuple[str, str, str, str, tuple[str, ...], tuple[str, ...]]] = []  # kind, name, verdict, pattern over "host path" or the url, tokens
     for r in ordered_hosts:
         words = tuple(w for w in re.split("[^a-z0-9]+", r.host) if w)  # path words may be cut short by the prefix rule
-        rules.append(("host", r.label, r.verdict, rf"(?s)^([^\n]*\.)?{re.escape(r.host)}\n{re.escape(r.path)}.*$", words))
-    rules += [("pattern", p.name, p.verdict, p.pattern, p.literals) for p in pattern_rules]
+        rules.append(("host", r.label, r.verdict, rf"(?s)^([^\n]*\.)?{re.escape(r.host)}\n{re.escape(r.path)}.*$", words, ()))
+    rules += [("pattern", p.name, p.verdict, p.pattern, p.literals, p.one_of) for p in pattern_rules]
+    base = urls.select(F.col(key).alias("_key"), F.coalesce(F.col(url), F.lit("")).alias("_url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    base = base.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("host", "path")})
+    best = _by_table(base, rules) if len(rules) > MOST_RULES else _by_map(base, urls, url, rules)
+    return best.select(
+        F.col("_key").alias(key),
+        "host",
+        "path",
+        F.when(F.col("_best.kind") == "host", F.col("_best.name")).alias("rule"),
+        F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"),
+        F.when(F.col("_best.kind") == "pattern", F.col("_best.name")).alias("pattern"),
+    )
+
+
+def _fits(rule: Column) -> Column:
+    """Whether a candidate's regular expression fits the row."""
+    place = F.concat("host", F.lit("\n"), "path")
+    return F.when(rule["kind"] == "host", (F.col("host") != "") & F.rlike(place, rule["pattern"])).otherwise((F.col("host") != "") & F.rlike(lower_ascii(F.col("_url")), rule["pattern"]))
+
+
+def _by_map(base: DataFrame, urls: DataFrame, url: str, rules: Sequence[tuple]) -> DataFrame:
+    """base with _best, the first rule that fits: candidates come from a literal map of tokens."""
     counts = token_counts(urls, url, sorted({w for r in rules for w in r[4]}))
-    index = rarest_token_index({k: r[4] for k, r in enumerate(rules)}, counts)
+    index = rarest_token_index({k: r[4] for k, r in enumerate(rules)}, counts, {k: r[5] for k, r in enumerate(rules)})
 
     def entry(k: int) -> Column:
-        kind, name, verdict, pattern, _ = rules[k]
+        kind, name, verdict, pattern, *_ = rules[k]
         return F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(verdict).alias("verdict"), F.lit(pattern).alias("pattern"))
 
     always = index.pop("", [])
@@ -132,24 +154,34 @@ def filter_urls(
     kind = "array<struct<k:int,kind:string,name:string,verdict:string,pattern:string>>"
     empty = F.array().cast(kind)
     fixed = F.array(*map(entry, always)).cast(kind) if always else empty
-
-    base = urls.select(F.col(key), F.coalesce(F.col(url), F.lit("")).alias("_url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    base = base.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("host", "path")})
     known = F.array(*map(F.lit, sorted(index))) if index else F.array().cast("array<string>")
     hit = F.array_intersect(tokens_of(F.col("_url")), known)
     fetched = F.flatten(F.transform(hit, lambda t: F.coalesce(F.element_at(listed, t).cast(kind), empty))) if listed is not None else empty
-    base = base.withColumn("_candidates", F.concat(fixed, fetched))
-    place = F.concat("host", F.lit("\n"), "path")
-    fits = F.filter(
-        "_candidates",
-        lambda r: F.when(r["kind"] == "host", (F.col("host") != "") & F.rlike(place, r["pattern"])).otherwise((F.col("host") != "") & F.rlike(lower_ascii(F.col("_url")), r["pattern"])),
-    )
-    best = F.try_element_at(F.array_sort(fits), F.lit(1))  # structs sort by k: host rules by length, then patterns
-    return base.withColumn("_best", best).select(
-        key,
-        "host",
-        "path",
-        F.when(F.col("_best.kind") == "host", F.col("_best.name")).alias("rule"),
-        F.coalesce("_best.verdict", F.lit("allow")).alias("verdict"),
-        F.when(F.col("_best.kind") == "pattern", F.col("_best.name")).alias("pattern"),
-    )
+    candidates = base.withColumn("_candidates", F.concat(fixed, fetched))
+    # structs sort by k: host rules by length, then patterns
+    return candidates.withColumn("_best", F.try_element_at(F.array_sort(F.filter("_candidates", _fits)), F.lit(1)))
+
+
+def _by_table(base: DataFrame, rules: Sequence[tuple]) -> DataFrame:
+    """The same for any number of rules: a table of rules joined on their rarest token, of which a URL's tokens
+    fetch the rows; a URL and its tokens are exchanged, adaptive execution splits a hot token."""
+    spark = base.sparkSession
+    rows = [(k, kind, name, verdict, pattern, list(words), list(one_of)) for k, (kind, name, verdict, pattern, words, one_of) in enumerate(rules)]
+    table = materialise(spark.createDataFrame(rows, "k int, kind string, name string, verdict string, pattern string, words array<string>, one_of array<string>"), "rules")
+    numbered = materialise(base.withColumn("_rid", F.monotonically_increasing_id()), "urls")
+    tokens = numbered.select("_rid", F.explode(F.array_distinct(tokens_of(F.col("_url")))).alias("token"))
+    wanted = table.select("k", F.explode("words").alias("token"))
+    held = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = wanted.join(held, "token", "left").groupBy("k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
+    other = table.where(F.size("words") == 0).select("k", F.explode("one_of").alias("token"))
+    under = rarest.select("k", "token").unionAll(other).join(table.select("k", "kind", "name", "verdict", "pattern"), "k")
+    rule = F.struct("k", "kind", "name", "verdict", "pattern")
+    fetched = tokens.join(under.select("token", rule.alias("rule")), "token").join(numbered.select("_rid", "_url", "host", "path"), "_rid")
+    always = [k for k, r in enumerate(rules) if not r[4] and not r[5]]
+    fits = fetched.where(_fits(F.col("rule"))).select("_rid", "rule")
+    if always:  # rules without any token run on every URL
+        run = table.where(F.col("k").isin(always)).agg(F.collect_list(rule).alias("r")).first().r
+        kind = "struct<k:int,kind:string,name:string,verdict:string,pattern:string>"
+        every = F.array(*(F.struct(*(F.lit(x[c]).alias(c) for c in ("k", "kind", "name", "verdict", "pattern"))).cast(kind) for x in run))
+        fits = fits.unionAll(numbered.select("_rid", "_url", "host", "path", F.explode(every).alias("rule")).where(_fits(F.col("rule"))).select("_rid", "rule"))
+    return numbered.join(fits.groupBy("_rid").agg(F.min("rule").alias("_best")), "_rid", "left")
