@@ -216,7 +216,31 @@ def test_pipeline_stages(spark):
     stages = dict(corpus_pipeline.STAGES)
     kept = stages["quality"](spark, docs, folder).cache()
     assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
+    assert kept.where("n_chars <> length(text)").count() == 0
     single = stages["near_duplicates"](spark, kept, folder).cache()
     left = jaccard_join.classes(single)
     assert left.where("n_shingles > 0").groupBy("component_id").count().where("count > 1").count() == 0
-    assert stages["benchmark_leaks"](spark, single, folder).columns == docs.columns
+    clean = stages["benchmark_leaks"](spark, single, folder).cache()
+    assert clean.columns == docs.columns
+    mixed = stages["source_mix"](spark, clean, folder).cache()
+    assert mixed.columns == docs.columns and 0 < mixed.select("doc_id").distinct().count() <= clean.count()
+    shards = stages["token_output"](spark, mixed, folder).collect()
+    assert sorted(r.slot for r in shards) == list(range(len(shards)))
+
+
+def test_pipeline_stages_on_awkward_tables(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (awkward(spark), empty(spark), awkward(spark).withColumn("doc_id", __import__("pyspark").sql.functions.expr("nullif(doc_id, 3)"))):
+            out = stage(spark, docs, folder)
+            rows = out.collect()
+            if name == "token_output":
+                assert bool(rows) == bool(docs.count())
+                continue
+            assert out.columns == docs.columns and len(rows) <= 3 * docs.count()
+            if name == "near_duplicates" and rows:
+                assert sum(r.text in (None, "", "   \n\t ") for r in rows) == 3 and len(rows) == 10
+            if name == "benchmark_leaks":
+                assert len(rows) == docs.count()

@@ -1,6 +1,7 @@
 """Operators that read one document at a time, against plain Python."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -21,9 +22,10 @@ def plain_quality(text):
     text = text or ""
     w = words(text)
     grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
-    hit = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 8)} if len(grams) < 3000 else None
+    count = Counter(grams)
+    hit = {j for i, g in enumerate(grams) if count[g] > 1 for j in range(i, i + 8)}
     lines = [x for x in text.split("\n") if words(x)]
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), None if hit is None else len(hit)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
 
 
 def test_quality_base_counts(spark):
@@ -34,8 +36,7 @@ def test_quality_base_counts(spark):
     for r in found:
         expected = plain_quality(texts[r.doc_id])
         got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
-        assert got[:4] == expected[:4]
-        assert expected[4] is None or got[4] == expected[4]
+        assert got == expected
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
 
 
@@ -44,12 +45,29 @@ def test_quality_frequent_lines(spark):
     texts = [f"{notice}\nown{i} text{i}" for i in range(12)] + [f"{notice}\n" + " ".join(f"w{i}_{k}" for k in range(60)) for i in range(3)]
     sources = ["a"] * 12 + ["a", "b", None]
     measured = quality_rules.measure(frame(spark, texts, sources=sources))
-    got = {r.doc_id: (r.n_removed, r.kept) for r in quality_rules.judge(measured, limit=10).collect()}
+    got = {r.doc_id: (r.n_removed, r.kept) for r in quality_rules.judge(measured, least=10, percent=0).collect()}
     n = len(words(notice))
     assert got[0] == (n, False) and got[12] == (n, True)
     assert got[13] == (0, True) and got[14] == (0, True)  # other hosts
     copies = quality_rules.measure(frame(spark, [texts[0]] * 30, sources=["a"] * 30))
-    assert quality_rules.judge(copies, limit=10).where("n_removed > 0").count() == 0  # copies are one text
+    assert quality_rules.judge(copies, least=10, percent=0).where("n_removed > 0").count() == 0  # copies are one text
+
+
+@pytest.mark.parametrize("most_broadcast", [1 << 20, 0])
+def test_quality_stage_removes_frequent_lines(spark, most_broadcast):
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    notice = "Please  accept all cookies before you read on"
+    texts = [f"{notice.upper() if i % 2 else notice}\n{body(i)}\n\n{notice}" for i in range(9)] + [f"{notice}\n{body(90)}", "\n".join([notice] * 3 + ["own words"]), body(91), None]
+    sources = ["a"] * 9 + ["b", "a", "a", None]
+    docs = frame(spark, texts, sources=sources)
+    docs = docs.unionAll(docs.where("doc_id = 0"))
+    got = sorted((r.doc_id, r.text) for r in quality_rules.keep_good(docs, most_broadcast=most_broadcast, least=5, percent=1).collect())
+    expected = [(i, f"{body(i)}\n") for i in (0, *range(9))] + [(9, texts[9]), (11, texts[11])]
+    assert got == expected  # 10 is depleted; host b has its own count
+    judged = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.quality(docs).collect()}
+    assert judged[10] == (False, False) or judged[10][0]
+    # a line must also reach a share of its host's texts
+    assert quality_rules.judge(quality_rules.measure(docs), least=5, percent=99).where("n_removed > 0").count() == 0
 
 
 def test_quality_stage_keeps_rows_and_columns(spark):
@@ -77,9 +95,10 @@ def plain_contamination(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_decontamination(spark, monkeypatch, block_bytes):
-    monkeypatch.setattr(decontamination.benchmark_blocks, "__defaults__", (block_bytes,))
+@pytest.mark.parametrize("most", [1 << 20, 1])
+def test_decontamination(spark, monkeypatch, most):
+    # most = 1: an item a block, a block a pass
+    monkeypatch.setattr(decontamination, "passes", lambda b, w, *_, f=decontamination.passes: f(b, w, most, most))
     passage = " ".join(f"q{i}" for i in range(14))
     items = [(1, passage), (2, "Short Item"), (3, None), (4, "!!"), (11, f"other {passage} end"), (5, "a b c d e f g h a b")]
     texts = [f"Intro, {passage.upper()}! outro", "a short-item here short item", passage[:20], None, "", "a b c d e f g h a b c d e f g h a b", "é short é item"]
@@ -126,6 +145,37 @@ def test_license_rules_compile_and_suppress():
     assert labels("apache helicopter") == []
 
 
+def plain_suppress(found):
+    kept = []
+    for d in sorted(set(found), key=lambda d: (d.priority, d.start - d.end, d.start, d.label)):
+        if not any(k.start <= d.start and d.end <= k.end and (k.start, k.end, k.priority) != (d.start, d.end, d.priority) for k in kept):
+            kept.append(d)
+    return sorted(kept)
+
+
+def test_suppression_equals_the_plain_one():
+    draw = __import__("random").Random(4)
+    for _ in range(400):
+        found = [license_scan.Detection(a := draw.randrange(30), a + draw.randrange(1, 12), draw.randrange(3), draw.choice("ab")) for _ in range(draw.randrange(25))]
+        assert license_scan.suppress(found) == plain_suppress(found)
+
+
+def test_license_base_columns_against_brute_force(spark):
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    draw = __import__("random").Random(6)
+    vocabulary = ["mit", "MIT", "license", "License", "apache", "general", "public", "x", "é", "licenses"]
+    texts = ["".join(draw.choice(vocabulary) + draw.choice([" ", "-", "\n", ". "]) for _ in range(draw.randrange(60))) for _ in range(60)] + ["released under the mit license " * 2000]
+    docs = frame(spark, texts).unionAll(awkward(spark).selectExpr("doc_id + 100 AS doc_id", "text", "lang", "source", "n_chars", "lines", "host", "row", "rid", "size"))
+    source = {r.doc_id: r.text for r in docs.collect()}
+    for r in license_scan.scan(docs).collect():
+        w = alnum(source[r.doc_id])
+        places = [(i, label) for i in range(len(w)) for p, label in phrases.items() if tuple(w[i : i + len(p)]) == p]
+        base = sorted({label for _, label in places})
+        assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(places), ",".join(base))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert set(base) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+
+
 # --- URLs --------------------------------------------------------------------------------------
 
 
@@ -143,6 +193,17 @@ def test_url_filters(spark):
     assert url_filters.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_rules_of_a_table_answer_like_those_of_the_plan(spark, monkeypatch):
+    long_url = "http://example.net/en/" + "/".join(f"part{k}" for k in range(20_000)) + "/login"
+    urls = ["http://A.example.NET/en/1?x", "https://cheap-pills.example.com/en/", "http://a.com/login?x", "http://a.com/?jsessionid=3", "http://10.2.3.4/x", "http://a.com/blogin", long_url, None, "", "http://a.org/fr/x", "http://casino-poker.com/free-warez"] * 2
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: tuple(r) for r in url_filters.filter_urls(pages).collect()}
+    assert [got[i][4] for i in (1, 2, 3, 4, 5)] == ["block", "block", "block", "block", "allow"] and len(got) == 22
+    monkeypatch.setattr(url_filters, "MOST_RULES", 3)
+    assert {r.page_id: tuple(r) for r in url_filters.filter_urls(pages).collect()} == got
+    assert url_filters.filter_urls(pages.limit(0)).count() == 0
+
+
 # --- token counts ------------------------------------------------------------------------------
 
 
@@ -174,12 +235,58 @@ def test_language_spans_and_scripts(spark):
     got = by_id(language_id.identify(probe, model).select("row.doc_id", "lang_pred", "score", "spans"))
     assert [got[i].lang_pred for i in range(3)] == ["en", "de", "ru"]
     assert got[3].lang_pred == "de" and [s.lang for s in got[3].spans] == ["en", "de"] and 0 < got[3].score < 1
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (4, 5, 6, 7))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (4, 5, 6))
+    assert got[7].lang_pred in model.languages
     held = language_id.held_out_languages(docs)
-    assert held.columns == ["doc_id", "held_out", "lang_pred", "score"] and held.where("lang <> lang_pred").count() == 0 if "lang" in held.columns else True
+    assert held.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert held.join(docs.select("doc_id", "lang"), "doc_id").where("lang <> lang_pred").count() == 0
     assert language_id.held_out_languages(empty(spark)).count() == 0
 
 
+def test_language_is_unknown_only_without_a_letter(spark):
+    docs = frame(spark, [EN, DE] * 10, langs=["en", "de"] * 10)
+    model = language_id.learn(docs)
+    letters = ["日本語", "привет", "\u0450", "Ｈｅｌｌｏ", "𐐀𐐁", "ᚠᚢ", "ⴰⵣ", "a", "1 ª"]
+    none = ["", None, "12 34", "\u0301", "٣٤ ۵", "!?", "\u200d", "  \n", "½ ² №", "😀"]
+    got = by_id(language_id.identify(frame(spark, letters + none), model, with_spans=False).select("row.doc_id", "lang_pred", "score"))
+    assert all(got[i].lang_pred in ("en", "de") and 0 < got[i].score <= 1 for i in range(len(letters)))
+    assert all((got[i].lang_pred, got[i].score) == ("und", 0) for i in range(len(letters), len(letters + none)))
+    found = language_id.held_out_languages(awkward(spark).unionAll(docs.selectExpr("doc_id + 50 AS doc_id", *docs.columns[1:]))).collect()
+    assert len(found) == 32 and all(0 <= r.score <= 1 for r in found)
+
+
+def plain_path(score, switch):
+    """The best labels of the words by trying what every word's best predecessor is, one word after the other."""
+    best, back = list(score[0]), []
+    for row in score[1:]:
+        step = [max((best[j] - (switch if j != k else 0), -(j != k), -j) for j in range(len(row))) for k in range(len(row))]
+        back.append([-s[2] for s in step])
+        best = [s[0] + x for s, x in zip(step, row, strict=True)]
+    state = max(range(len(best)), key=lambda k: (best[k], -k))
+    path = [state]
+    for row in reversed(back):
+        path.append(state := row[state])
+    return path[::-1], max(best)
+
+
+def test_predictions_equal_a_plain_viterbi(spark):
+    draw = __import__("random").Random(8)
+    de, en = DE.split(), EN.split()
+    docs = frame(spark, [EN, DE] * 20, langs=["en", "de"] * 20)
+    model = language_id.learn(docs)
+    texts = [" ".join(x for _ in range(draw.randrange(1, 6)) for x in draw.choices(draw.choice([de, en]), k=draw.randrange(1, 30))) for _ in range(40)]
+    import pyarrow as pa
+
+    words = language_id.words_of(pa.array(texts))
+    score, known = language_id.word_scores(words, model)
+    predicted, share, _ = language_id.predict_piece(pa.array(texts), model, 6.0, False)
+    for d in range(len(texts)):
+        a, z = words.first[d], words.first[d + 1]
+        path, _ = plain_path(score[a:z].tolist(), 6.0)
+        votes = [path.count(k) for k in range(2)]
+        assert abs(share[d] - max(votes) / len(path)) < 1e-9 and (votes[0] == votes[1] or predicted[d] == model.languages[votes.index(max(votes))])
+
+
 def test_plain_decision_agrees_with_viterbi():
     import numpy as np
 
@@ -210,6 +317,8 @@ def test_toxicity(spark):
     s = {r.doc_id: r.score for r in toxicity.score(probe, model).select("row.doc_id", "score").collect()}
     assert s[0] > s[2] > s[3] and s[0] > s[1] > s[3] and s[3] == s[4] == s[5]
     assert toxicity.held_out_toxicity(docs, labels.limit(0)).count() == 120
+    found = toxicity.held_out_toxicity(awkward(spark), labels).collect()
+    assert len(found) == 12 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in found)
     assert toxicity.held_out_toxicity(empty(spark), labels).count() == 0
 
 
@@ -220,3 +329,40 @@ def test_two_halves_beat_a_third_language():
     assert list(best) == [2] and list(sure) == [False]
     assert list(language_id.viterbi([score], 18.0)[0]) == [0, 0, 1, 1]
     assert language_id.plain(np.array([[0.0, -8.0, -9.0]] * 3), np.array([0, 3]), 18.0)[1].all()
+
+
+def test_toxicity_is_of_clauses_and_not_of_words():
+    import pyarrow as pa
+
+    model = toxicity.hand_model()
+    lex, m = toxicity.lexicon(model.insults), toxicity.machine(dict(zip(toxicity.KINDS, model.weights, strict=True)))
+
+    def flagged(text):
+        x = toxicity.clause_features(toxicity.read(pa.array([text])), lex, m) @ model.weights + model.bias
+        return float(1 / (1 + np.exp(-x[0]))) >= toxicity.THRESHOLD
+
+    for text in ("you are an idiot", "i will kill you", "we will kill them all", "hijo de puta", "tu es stupide", "du bist ein trottel", "what a moron. what a clown"):
+        assert flagged(text), text
+    for text in ("idiot", "take out the trash", "you are not an idiot", "i will never kill you", "he said he will kill you", "she said you are an idiot", "killing time", "you. idiot", "", "hello"):
+        assert not flagged(text), text
+
+
+def test_the_composed_machine_equals_its_parts_in_turn():
+    draw = __import__("random").Random(2)
+    parts = [toxicity.negation(), toxicity.reported(), toxicity.targeted(), toxicity.aimed()]
+    m = toxicity.machine(toxicity.PRIOR)
+    for _ in range(300):
+        read = draw.choices(toxicity.CLASSES, k=draw.randrange(1, 15))
+        marked = read
+        for f in parts:
+            state, out = f.start, []
+            for c in marked:
+                state, symbol, _ = f.arcs[state, c]
+                out.append(symbol)
+            marked = out
+        state, got = 0, []
+        for c in read:
+            code = toxicity.CLASSES.index(c)
+            got.append((m.kind[state][code], m.weight[state][code]))
+            state = m.to[state][code]
+        assert got == [(toxicity.KINDS.index(s) if s in toxicity.KINDS else -1, toxicity.PRIOR.get(s, 0.0)) for s in marked]
