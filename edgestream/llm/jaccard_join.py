@@ -54,7 +54,7 @@ MOST_BROADCAST = 1 << 20
 #: Members of a group that one row of the group's own set serves in step 4.
 SALTED = 256
 #: Members, and bytes of their differences, on each side of a tile in step 4.
-TILE = 4096
+TILE = 1024
 TILE_BYTES = 4 << 20
 #: Names of sets sent that a task remembers, so that copies are not sent again.
 REMEMBERED = 1 << 18
@@ -259,7 +259,7 @@ class Order(NamedTuple):
 
 
 def _by_part(df: DataFrame, parts: int) -> DataFrame:
-    return df.repartition(parts, "part").sortWithinPartitions("part")
+    return df.repartitionById(parts, F.col("part"))  # one part a partition
 
 
 def frequent(texts: DataFrame, parts: int, most: int = MOST_FREQUENT) -> Order:
