@@ -3,6 +3,8 @@
 1. Documents are encoded once into a written table (token ids as little-endian integers, each document
    ended by an end token). The table's parts, and the rows in a part, fix one long stream of tokens; a
    document's place in it is its part's first token (a running sum over one row a part) plus its own.
+   The exchange carries tokens by their rank of frequency, counted over the whole table, as two byte planes
+   and compressed: a token then costs little more than its information.
 2. The stream is cut every `length` tokens into sequences, across documents, so only the last is padded.
 3. A keyed Feistel network over the next even number of bits, walked until it lands below the number of
    sequences, is a permutation of them: it gives each sequence its slot in training order, without a sort
@@ -14,7 +16,8 @@
 
 Defined results: null and empty texts have no tokens and take no place in the stream; repeated rows are
 encoded each; a null doc_id is listed as null; an empty table gives no sequence and no shard; extra
-columns are not read.
+columns are not read. The order is fixed by the written token table: read again from other files, the same
+documents may get other slots.
 """
 
 from __future__ import annotations
@@ -33,10 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_arrow, materialise, mix, scratch_dir, steps
+from .common import buffer_of, in_arrow, materialise, mix, scratch_dir, steps
 
 LENGTH = 2048
+#: Records of a shard, at least; doubled until the shards are no more than MOST_SHARDS.
 PER_SHARD = 4096
+MOST_SHARDS = 8192
 KEY = 0x5DEECE66D
 ROUNDS = 6
 
@@ -84,13 +89,53 @@ class Permutation:
         return self._walk(slot, self.keys[::-1])
 
 
-def pack(tokens: np.ndarray) -> bytes:
-    """Token ids compressed for the exchange, in which a row is compressed alone (a table's pages are compressed together)."""
-    return zstandard.compress(tokens.tobytes(), 3)
+class Ranks(NamedTuple):
+    """Token ids by falling frequency (ties: the smaller id), and the rank of each id."""
 
+    ids: np.ndarray
+    of: np.ndarray
 
-def unpack(blob: bytes) -> bytes:
-    return zstandard.decompress(blob)
+    @classmethod
+    def by(cls, counts: np.ndarray, width: int) -> Ranks:
+        ids = np.argsort(-counts, kind="stable").astype(np.dtype(f"<u{width}"))
+        of = np.empty_like(ids)
+        of[ids] = np.arange(len(ids), dtype=ids.dtype)
+        return cls(ids, of)
+
+    def pack(self, tokens: np.ndarray) -> bytes:
+        """Token ids compressed for the exchange, in which a row is compressed alone: the low bytes of the ranks, then the higher ones."""
+        planes = self.of[tokens].view(np.uint8).reshape(len(tokens), -1).T
+        return zstandard.compress(planes.tobytes(), 3)
+
+    def unpack(self, blob: bytes) -> bytes:
+        width = self.ids.dtype.itemsize
+        planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(width, -1)
+        return self.ids[np.ascontiguousarray(planes.T).view(self.ids.dtype)[:, 0]].tobytes()
+
+
+def _count_tokens(batches: Iterator[pa.RecordBatch], size: int, width: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(size, np.int64)
+    for batch in batches:
+        raw, _ = buffer_of(batch.column(0))
+        total += np.bincount(raw.view(np.dtype(f"<u{width}")), minlength=size)
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "n"])
+
+
+def frequencies(table: DataFrame, size: int, width: int) -> np.ndarray:
+    """How often each token stands in the table: a row a token of the vocabulary reaches the driver."""
+    seen = in_arrow(table.select("tokens"), lambda it: _count_tokens(it, size, width), "token long, n long")
+    counts = np.zeros(size, np.int64)
+    for r in seen.groupBy("token").agg(F.sum("n").alias("n")).collect():
+        counts[r.token] = r.n
+    return counts
+
+
+def records_of_shard(n_sequences: int, least: int = PER_SHARD, most_shards: int = MOST_SHARDS) -> int:
+    """least, doubled until the shards are few enough."""
+    while n_sequences > least * most_shards:
+        least *= 2
+    return least
 
 
 # --- encoding ----------------------------------------------------------------------------------
@@ -146,8 +191,10 @@ def _token_hash(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
     return mix((place.astype(np.uint64) << np.uint64(20)) + tokens.astype(np.uint64) + np.uint64(1))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], bases, layout: Layout, with_tokens: bool) -> Iterator[pa.RecordBatch]:
-    """Rows part, place, doc_id, tokens to pieces of sequences. Documents that follow one another share pieces."""
+def _pieces(batches: Iterator[pa.RecordBatch], bases, layout: Layout, ranks=None) -> Iterator[pa.RecordBatch]:
+    """Rows part, place, doc_id, tokens to pieces of sequences, with packed tokens if ranks are given. Documents
+    that follow one another share pieces."""
+    pack = ranks.value.pack if ranks is not None else None
     first, kind, order = bases.value, np.dtype(f"<u{layout.width}"), Permutation(max(layout.n_sequences, 1), layout.key)
     for batch in batches:
         start = np.array([first[p] for p in batch.column(0).to_pylist()], np.int64) + batch.column(1).to_numpy(zero_copy_only=False)
@@ -168,14 +215,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], bases, layout: Layout, with_token
             high = np.searchsorted(start[a:z], bounds[1:], "left") + a
             for k in range(len(sequence)):
                 run = tokens[bounds[k] - at : bounds[k + 1] - at]
-                out.append((int(slots[k]), int(sequence[k]), int(bounds[k] % layout.length), len(run), int(sums[k]), ids[low[k] : high[k]], pack(run) if with_tokens else None))
+                out.append((int(slots[k]), int(sequence[k]), int(bounds[k] % layout.length), len(run), int(sums[k]), ids[low[k] : high[k]], pack(run) if pack else None))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(batch.schema.field(2).type), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], ["slot", "sequence", "begin", "n", "name", "doc_ids", "tokens"])
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+def _assemble(batches: Iterator[pa.RecordBatch], layout: Layout, ranks) -> Iterator[pa.RecordBatch]:
     """Pieces sorted by slot and begin, joined to records of fixed size; the stream's end is padded with end tokens."""
     pad = np.full(layout.length, layout.end, np.dtype(f"<u{layout.width}")).tobytes()
+    unpack = ranks.value.unpack
     now, held = None, []
     for batch in batches:
         out = []
@@ -190,7 +238,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array([(b"".join(held) + pad)[: len(pad)]], pa.binary())], ["record"])
 
 
-def write_shards(docs: DataFrame, path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, ranks: tuple[bytes, str] | None = None) -> tuple[DataFrame, str]:
+def write_shards(docs: DataFrame, path: str | None = None, length: int = LENGTH, per_shard: int | None = None, key: int = KEY, ranks: tuple[bytes, str] | None = None) -> tuple[DataFrame, str]:
     """Write the shards below path (a folder of the shared one if None).
 
     Returns a row for each sequence (slot, sequence, shard, record, byte_offset, n_tokens, doc_ids,
@@ -202,6 +250,7 @@ def write_shards(docs: DataFrame, path: str | None = None, length: int = LENGTH,
     bases, total = {}, 0
     for p in sorted(sums):
         bases[p], total = total, total + sums[p]
+    per_shard = per_shard or records_of_shard(-(-total // length))
     layout = Layout(length, per_shard, width, total, -(-total // length), key, end)
     sent = spark.sparkContext.broadcast(bases)
     rows = table.select("part", "place", "doc_id", "tokens")
@@ -211,14 +260,15 @@ def write_shards(docs: DataFrame, path: str | None = None, length: int = LENGTH,
     path = path or f"{scratch_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
     n_shards = -(-layout.n_sequences // per_shard)
     if n_shards:
-        pieces = in_arrow(rows, lambda it: _pieces(it, sent, layout, True), kind).select("slot", "begin", "tokens")
+        by_rank = spark.sparkContext.broadcast(Ranks.by(frequencies(table, end + 1, width), width))  # a vocabulary
+        pieces = in_arrow(rows, lambda it: _pieces(it, sent, layout, by_rank), kind).select("slot", "begin", "tokens")
         dealt = pieces.repartitionById(n_shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot", "begin")
-        records = in_arrow(dealt.select("slot", "tokens"), lambda it: _assemble(it, layout), "record binary")
+        records = in_arrow(dealt.select("slot", "tokens"), lambda it: _assemble(it, layout, by_rank), "record binary")
         # the text writer writes a string's bytes as they are
         records.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n").text(f"{path}/shards")
     spark.createDataFrame([(json.dumps(layout._asdict()),)], "value string").coalesce(1).write.text(f"{path}/layout.json")
 
-    parts = in_arrow(rows, lambda it: _pieces(it, sent, layout, False), kind).drop("tokens")
+    parts = in_arrow(rows, lambda it: _pieces(it, sent, layout), kind).drop("tokens")
     named = parts.groupBy("slot").agg(
         F.first("sequence").alias("sequence"),
         F.sum(F.col("n").cast("long")).alias("n_tokens"),
