@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is
 written as Parquet and read again as the next one's docs.
+
+Defined results, at every stage: null and empty texts are documents without words, which the quality stage
+rejects and every other stage keeps (the mix takes none of them); repeated rows are documents of their own,
+of which the duplicate stage keeps one; null keys, sources and languages are values like others; an empty
+table gives an empty result with the same columns; extra columns are carried along, whatever their names.
+The quality stage takes boilerplate lines out of the texts it keeps, and counts n_chars again.
 """
 
 from __future__ import annotations
@@ -9,15 +15,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from edgestream.llm import decontamination, jaccard_join, mixing, quality_rules, token_shards
 from edgestream.llm.common import drop, drop_since, materialise, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.keep_good(docs)
+    """Documents that the quality rules keep, without boilerplate lines."""
+    kept = quality_rules.keep_good(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
