@@ -51,8 +51,13 @@ def pairs(s, d):
     return held.select(F.col("node").alias("u"), (F.col("node") + 1).alias("v"))
 
 
+def rounded(name, digits=5):
+    """All of an array column's values."""
+    return F.transform(name, lambda x: F.round(x, digits) + 0.0).alias(name)
+
+
 def encoded(kind):
-    return lambda s, d: E.encoded_edges(pairs(s, d), vectors(s, d), kind).select("u", "v", F.round(V.total(F.col("code")), 5).alias("total"), F.round(F.col("code")[3], 5).alias("third"))
+    return lambda s, d: E.encoded_edges(pairs(s, d), vectors(s, d), kind).select("u", "v", rounded("code"))
 
 
 def featured(s, d):
@@ -85,7 +90,7 @@ QUERIES = {
     "edge_totals": lambda s, d: R.edge_totals(ev(s, d)),
     "activity_series": lambda s, d: R.activity(ev(s, d)),
     "stream_stats": lambda s, d: R.stream_stats(ev(s, d)),
-    "empty_slices": lambda s, d: R.empty_slices(ev(s, d)),
+    "empty_slices": lambda s, d: R.empty_slices(ev(s, d).withColumn("t", F.expr("clock div 60"))),
     "link_stream_set": lambda s, d: R.link_stream(ev(s, d).withColumn("weight", F.col("seq").cast("double"))),
     "edge_time_series": lambda s, d: R.time_series_view(ev(s, d)),
     "node_set": lambda s, d: R.node_set(ev(s, d)),
@@ -110,7 +115,7 @@ QUERIES = {
     "microcluster_relational": lambda s, d: C.relational(ev(s, d)).select("seq", "t", "label", F.round("score", 5).alias("score")),
     "microcluster_filtering": lambda s, d: C.filtering(ev(s, d), 1e3).select("seq", "t", "label", F.round("score", 6).alias("score")),
     "snapshot_rollup_max": lambda s, d: R.snapshot_rollup(scored(s, d), "max"),
-    "snapshot_rollup_mean": lambda s, d: R.snapshot_rollup(scored(s, d), "mean").select("t", "attack", F.round(F.col("score") + 3e-9, 6).alias("score")),
+    "snapshot_rollup_mean": lambda s, d: R.snapshot_rollup(C.normal(ev(s, d)), "mean").select("t", "attack", F.round("score", 5).alias("score")),
     "snapshot_rollup_sum": lambda s, d: R.snapshot_rollup(scored(s, d), "sum").select("t", "attack", F.round("score", 6).alias("score")),
     "bin_attack_label": lambda s, d: R.bin_attack_label(ev(s, d), 5),
     "roc_auc": lambda s, d: M.roc_auc(scored(s, d)).select(*_r("auc", "best_auc")),
@@ -138,12 +143,12 @@ QUERIES = {
     "edge_encoding_l1": encoded("l1"),
     "edge_encoding_l2": encoded("l2"),
     "cosine": lambda s, d: E.encoded_edges(pairs(s, d), vectors(s, d)).select("u", "v").join(vectors(s, d).select(F.col("node").alias("u"), F.col("x").alias("p")), "u").join(vectors(s, d).select(F.col("node").alias("v"), F.col("x").alias("q")), "v").select("u", "v", F.round(V.cosine(F.col("p"), F.col("q")), 5).alias("cosine")),
-    "haar": lambda s, d: vectors(s, d).select("node", F.posexplode(V.haar(F.col("x"), 64)).alias("k", "c")).select("node", "k", F.round("c", 5).alias("c")),
+    "haar": lambda s, d: vectors(s, d).select("node", F.posexplode(V.haar(F.col("x"), 64)).alias("k", "c")).select("node", "k", (F.round("c", 5) + 0.0).alias("c")),
     "nearest_centroid": lambda s, d: E.nearest_centre(vectors(s, d), E.class_centres(vectors(s, d))).select("node", "centre", F.round("distance", 5).alias("distance")),
-    "neighbour_mean": lambda s, d: E.aggregate_neighbours(pairs(s, d), vectors(s, d)).select("node", F.round(F.col("x")[0], 5).alias("x0")),
-    "gin_aggregate": lambda s, d: E.gin_aggregate(pairs(s, d), vectors(s, d)).select("node", F.round(F.col("x")[0], 5).alias("x0")),
+    "neighbour_mean": lambda s, d: E.aggregate_neighbours(pairs(s, d), vectors(s, d)).select("node", rounded("x")),
+    "gin_aggregate": lambda s, d: E.gin_aggregate(pairs(s, d), vectors(s, d)).select("node", rounded("x")),
     "online_centroid_update": lambda s, d: moved(s, d),
-    "node_memory_ema": lambda s, d: N.memories(featured(s, d)).select("node", "seq", "end", F.round(F.col("memory")[2], 5).alias("m2")),
+    "node_memory_ema": lambda s, d: N.memories(featured(s, d)).select("node", "seq", "end", rounded("memory", 8)),
     "edge_memory_score": lambda s, d: N.edge_scores(featured(s, d)).select("seq", F.round("score", 5).alias("score")),
     "window_memory_score": lambda s, d: N.window_scores(S.sliding_windows(featured(s, d), 800, 400)).select("window", F.round("score", 5).alias("score")),
     "zscore_online": lambda s, d: N.z_scores(transitions(s, d), 1.5),
@@ -168,10 +173,11 @@ def transitions(s, d):
 def moved(s, d):
     v = vectors(s, d)
     a, b = E.class_centres(v.where("node % 2 = 0")), E.class_centres(v.where("node % 2 = 1")).withColumnsRenamed({"centre": "c2", "n": "n2"})
-    return a.join(b, "label").select("label", F.round(E.moved_centre(F.col("centre"), F.col("n"), F.col("c2"), F.col("n2"), 0.7)[0], 5).alias("x0"))
+    return a.join(b, "label").select("label", E.moved_centre(F.col("centre"), F.col("n"), F.col("c2"), F.col("n2"), 0.7).alias("x")).select("label", rounded("x"))
 
 
 _NORMAL = ", n AS (SELECT seq, t, label, count(*) OVER (PARTITION BY src, dst ORDER BY seq) AS s, count(*) OVER (PARTITION BY src, dst, t ORDER BY seq) AS a FROM ev), sc AS (SELECT seq, t, label, round(CASE WHEN t <= 1 THEN 0.0 ELSE pow((a - s / t) * t, 2) / (s * (t - 1)) END, 6) AS score FROM n)"
+_RAW = _NORMAL.replace("round(CASE", "(CASE").replace(", 6) AS score", ") AS score")
 _CUM = _NORMAL + ", g AS (SELECT score, sum(label) AS p, sum(1 - label) AS q FROM sc GROUP BY score), c AS (SELECT score, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER () AS ap, sum(q) OVER () AS an FROM g WINDOW w AS (ORDER BY score DESC)), pr AS (SELECT score, tp / (tp + fp) AS precision, tp / ap AS recall, fp / an AS fpr FROM c)"
 _FEW = ", few AS (SELECT src AS node FROM ev WHERE t <= 24 UNION SELECT dst FROM ev WHERE t <= 24), badn AS (SELECT DISTINCT src AS node FROM ev WHERE label = 1), badp AS (SELECT DISTINCT src, dst FROM ev WHERE label = 1)"
 _VEC = "v AS (SELECT vec_id AS node, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x, label FROM embeddings)"
@@ -179,15 +185,15 @@ _PAIR = f"WITH {_VEC}, e AS (SELECT a.node AS u, b.node AS v, a.x AS p, b.x AS q
 
 
 def _encoding(f: str) -> str:
-    return _PAIR + f", c AS (SELECT u, v, list_transform(range(1, len(p) + 1), lambda i: {f}) AS c FROM e) SELECT u, v, round(list_sum(c), 5) AS total, round(c[4], 5) AS third FROM c"
+    return _PAIR + f", c AS (SELECT u, v, list_transform(range(1, len(p) + 1), lambda i: {f}) AS c FROM e) SELECT u, v, list_transform(c, lambda x: round(x, 5) + 0.0) AS code FROM c"
 
 
-def _pagerank(weighted: bool, rounds: int = 6) -> str:
+def _pagerank(weighted: bool, rounds: int = 10) -> str:
     share = "w / sum(w) OVER (PARTITION BY u)" if weighted else "1.0 / count(*) OVER (PARTITION BY u)"
     start = "SELECT u AS node, 0.5 * sum(w) / (SELECT sum(w) FROM m) AS mass FROM m GROUP BY u" if weighted else "SELECT u AS node, 0.5 / (SELECT count(DISTINCT u) FROM m) AS mass FROM m GROUP BY u"
     steps = "".join(f", f{k + 1} AS (SELECT v AS node, sum(0.5 * mass * share) AS mass FROM f{k} JOIN sh ON node = u GROUP BY v)" for k in range(rounds))
     every = " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(rounds + 1))
-    return f"""WITH {T.LI}, sg AS (SELECT 's' || u AS u, 'p' || v AS v FROM li WHERE u <= 20), b AS (SELECT u, v FROM sg UNION ALL SELECT v, u FROM sg),
+    return f"""WITH {T.LI}, sg AS (SELECT 's' || u AS u, 'p' || v AS v FROM li), b AS (SELECT u, v FROM sg UNION ALL SELECT v, u FROM sg),
 m AS (SELECT u, v, CAST(count(*) AS DOUBLE) AS w FROM b GROUP BY ALL), sh AS (SELECT u, v, {share} AS share FROM m), f0 AS ({start}){steps},
 r AS (SELECT node, sum(mass) AS raw FROM ({every}) GROUP BY node) SELECT node, round(raw / (SELECT sum(raw) FROM r), 6) AS rank FROM r"""
 
@@ -214,7 +220,7 @@ SQL = {
     "edge_totals": with_sql("SELECT src, dst, sum(weight) AS total FROM ev GROUP BY ALL"),
     "activity_series": with_sql("SELECT t, sum(weight) AS activity FROM ev GROUP BY ALL"),
     "stream_stats": with_sql(", z AS (SELECT DISTINCT src, dst, t FROM ev) SELECT count(*) AS size, count(DISTINCT t) AS n_times, min(t) AS first_t, max(t) AS last_t, (SELECT count(*) FROM (SELECT src FROM z UNION SELECT dst FROM z)) AS n_nodes FROM z"),
-    "empty_slices": with_sql(", z AS (SELECT t FROM ev WHERE label = 1 AND src < '3') SELECT unnest(range(0, (SELECT max(t) FROM z))) AS t EXCEPT SELECT t FROM z"),
+    "empty_slices": with_sql(", z AS (SELECT clock // 60 AS t FROM ev) SELECT unnest(range(0, (SELECT max(t) FROM z))) AS t EXCEPT SELECT t FROM z"),
     "link_stream_set": with_sql("SELECT src, dst, t, CAST(max(seq) AS DOUBLE) AS weight FROM ev GROUP BY ALL"),
     "edge_time_series": with_sql("SELECT src, dst, list_sort(list(t)) AS ticks FROM ev GROUP BY ALL"),
     "node_set": with_sql("SELECT src AS node FROM ev UNION SELECT dst FROM ev"),
@@ -226,11 +232,11 @@ SQL = {
     "malicious_gt": with_sql(f"{_FEW} SELECT src, dst, t, label FROM ev JOIN badp USING (src, dst)"),
     "fake_edges_anti": f"WITH {T.LI} SELECT DISTINCT u, v + 1 AS v FROM li EXCEPT SELECT u, v FROM li",
     "past_neighbours_only": with_sql(", b AS (SELECT src AS node, dst AS other, t FROM ev UNION ALL SELECT dst, src, t FROM ev) SELECT node, other FROM b WHERE t < 100 EXCEPT SELECT node, other FROM b WHERE t = 100"),
-    "spine_labels": with_sql(", z AS (SELECT DISTINCT t FROM ev WHERE label = 1 AND src < '2') SELECT t, CASE WHEN t IN (SELECT t FROM z) THEN 1 ELSE 0 END AS label FROM (SELECT unnest(range((SELECT min(t) FROM ev), (SELECT max(t) FROM ev) + 1)) AS t)"),
+    "spine_labels": with_sql(", z AS (SELECT DISTINCT t FROM ev WHERE label = 1) SELECT t, CASE WHEN t IN (SELECT t FROM z) THEN 1 ELSE 0 END AS label FROM (SELECT unnest(range((SELECT min(t) FROM ev), (SELECT max(t) FROM ev) + 1)) AS t)"),
     "score_label_join": with_sql(f"{_NORMAL} SELECT seq, score, label FROM sc"),
     "snapshot_fill_labels": with_sql("SELECT t, sum(weight) AS activity, CASE WHEN sum(label) >= 3 THEN 1 ELSE 0 END AS label FROM ev GROUP BY t"),
     "recent_neighbours": with_sql(", b AS (SELECT src AS node, dst AS other, seq, 0 AS e, clock FROM ev UNION ALL SELECT dst, src, seq, 1, clock FROM ev), l AS (SELECT node, list(other ORDER BY seq, e) AS o, list(clock ORDER BY seq, e) AS c FROM b GROUP BY node) SELECT seq, list_slice(o, greatest(1, k - 4), k) AS neighbours FROM (SELECT seq, o, len(list_filter(c, lambda x: x < clock)) AS k FROM ev JOIN l ON l.node = ev.src)"),
-    "nearest_gap": with_sql(", g AS (SELECT seq AS position FROM (SELECT seq, lead(clock) OVER (ORDER BY seq) - clock AS gap FROM ev) WHERE gap >= 900), q AS (SELECT unnest(range(0, 10000, 250)) AS target) SELECT target, position FROM (SELECT target, position, row_number() OVER (PARTITION BY target ORDER BY abs(position - target), position DESC) AS r FROM q, g) WHERE r = 1"),
+    "nearest_gap": with_sql(", g AS (SELECT seq AS position FROM (SELECT seq, lead(clock) OVER (ORDER BY seq) - clock AS gap FROM ev) WHERE gap >= 900), q AS (SELECT unnest(range(0, (SELECT count(*) FROM ev), 250)) AS target) SELECT target, position FROM (SELECT target, position, row_number() OVER (PARTITION BY target ORDER BY abs(position - target), position DESC) AS r FROM q, g) WHERE r = 1"),
     "delta_counts": with_sql("SELECT t, src, dst, count(*) AS n FROM ev GROUP BY ALL"),
     "frequency_decay": with_sql("SELECT src, dst, round((1 - 0.99) * sum(pow(0.99, (SELECT max(t) FROM ev) - t)), 6) AS f FROM ev GROUP BY ALL"),
     "top_frequencies": with_sql(", z AS (SELECT src, dst, round((1 - 0.99) * sum(pow(0.99, (SELECT max(t) FROM ev) - t)), 9) AS f FROM ev GROUP BY ALL) SELECT src, dst, round(f, 6) AS f FROM (SELECT * FROM z ORDER BY f DESC, src, dst LIMIT 100)"),
@@ -238,7 +244,7 @@ SQL = {
     "microcluster_normal": with_sql(f"{_NORMAL} SELECT * FROM sc"),
     "microcluster_relational": with_sql(", tj AS (SELECT t, row_number() OVER (ORDER BY t) AS j FROM (SELECT DISTINCT t FROM ev)), evj AS (SELECT ev.*, j FROM ev JOIN tj USING (t))" + _relational_key("e", "(evj.src || ',' || evj.dst)") + _relational_key("u", "evj.src") + _relational_key("d", "evj.dst") + f" SELECT ev.seq, ev.t, ev.label, round(greatest({_CHI.format('es')}, {_CHI.format('us')}, {_CHI.format('ds')}), 5) AS score FROM ev JOIN es ON es.seq = ev.seq JOIN us ON us.seq = ev.seq JOIN ds ON ds.seq = ev.seq"),
     "snapshot_rollup_max": with_sql(f"{_NORMAL} SELECT t, max(score) AS score, max(label) AS attack FROM sc GROUP BY t"),
-    "snapshot_rollup_mean": with_sql(f"{_NORMAL} SELECT t, round(avg(score) + 3e-9, 6) AS score, max(label) AS attack FROM sc GROUP BY t"),
+    "snapshot_rollup_mean": with_sql(f"{_RAW} SELECT t, round(avg(score), 5) AS score, max(label) AS attack FROM sc GROUP BY t"),
     "snapshot_rollup_sum": with_sql(f"{_NORMAL} SELECT t, round(sum(score), 6) AS score, max(label) AS attack FROM sc GROUP BY t"),
     "bin_attack_label": with_sql("SELECT t, CAST(sum(label) AS BIGINT) AS attacks, CASE WHEN sum(label) >= 5 THEN 1 ELSE 0 END AS label FROM ev GROUP BY t"),
     "roc_auc": with_sql(f"{_NORMAL}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM sc), a AS (SELECT (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS auc FROM r) SELECT round(auc, 6) AS auc, round(greatest(auc, 1 - auc), 6) AS best_auc FROM a"),
@@ -250,24 +256,23 @@ SQL = {
     "classification_f1": with_sql(", p AS (SELECT label, CAST(dst < '5' AS INT) AS y FROM ev), c AS (SELECT c, count(*) FILTER (label = c AND y = c) AS tp, count(*) FILTER (label <> c AND y = c) AS fp, count(*) FILTER (label = c AND y <> c) AS fn FROM p, (SELECT unnest([0, 1]) AS c) GROUP BY c), f AS (SELECT *, 2 * tp / (2 * tp + fp + fn) AS f1 FROM c) SELECT round(sum(tp) / sum(tp + fn), 6) AS accuracy, round(sum(tp) / sum(tp + fn), 6) AS micro_f1, round(avg(f1), 6) AS macro_f1, round(sum(f1 * (tp + fn)) / sum(tp + fn), 6) AS weighted_f1 FROM f"),
     "mean_reciprocal_rank": with_sql(f"{_NORMAL}, r AS (SELECT seq, rank() OVER (PARTITION BY t ORDER BY score DESC) AS r FROM sc) SELECT round(avg(1 / r), 6) AS mrr FROM r WHERE seq % 97 = 3"),
     "hourly_snapshots": with_sql(", b AS (SELECT min(clock) AS a, max(clock) AS z FROM ev), k AS (SELECT (clock - a) // 3600 AS snapshot, src, dst FROM ev, b WHERE a + (clock - a) // 3600 * 3600 < z), n AS (SELECT snapshot, count(DISTINCT node) AS n_nodes FROM (SELECT snapshot, src AS node FROM k UNION ALL SELECT snapshot, dst FROM k) GROUP BY ALL) SELECT snapshot, count(*) AS n_edges, any_value(n_nodes) AS n_nodes FROM k JOIN n USING (snapshot) GROUP BY snapshot"),
-    "adjacency_lists": f"WITH {T.LI}, z AS (SELECT u + 1000000 AS u, v FROM li WHERE u < 50), b AS (SELECT u, v FROM z UNION SELECT v, u FROM z) SELECT u AS node, list_sort(list(v)) AS neighbours FROM b GROUP BY u",
+    "adjacency_lists": f"WITH {T.LI}, z AS (SELECT u + 1000000 AS u, v FROM li), b AS (SELECT u, v FROM z UNION SELECT v, u FROM z) SELECT u AS node, list_sort(list(v)) AS neighbours FROM b GROUP BY u",
     "degree": f"WITH {T.LI} SELECT node, count(*) AS degree FROM (SELECT u AS node FROM li UNION ALL SELECT v FROM li) GROUP BY node",
     "undirected_clean": f"WITH {T.LI} SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM li WHERE u <> v",
     "cumulative_adjacency": with_sql("SELECT src, dst, t, CAST(sum(count(*)) OVER (PARTITION BY src, dst ORDER BY t) AS BIGINT) AS weight FROM ev GROUP BY src, dst, t"),
     "pagerank_v1": _pagerank(False),
     "pagerank_v2": _pagerank(True),
-    "edge_link_score": with_sql(_LINK.format(where="seq < 1000", w=20, spine="SELECT DISTINCT q.src, q.dst, unnest(range(300, (SELECT max(t) FROM h) + 1)) AS t FROM q")),
+    "edge_link_score": with_sql(_LINK.format(where="true", w=20, spine="SELECT DISTINCT q.src, q.dst, unnest(range(300, (SELECT max(t) FROM h) + 1)) AS t FROM q")),
     "edge_link_score_active": with_sql(_LINK.format(where="true", w=200, spine="SELECT src, dst, t FROM h WHERE t >= 30")),
     "edge_encoding_hadamard": _encoding("p[i] * q[i]"),
     "edge_encoding_average": _encoding("(p[i] + q[i]) / 2"),
     "edge_encoding_l1": _encoding("abs(p[i] - q[i])"),
     "edge_encoding_l2": _encoding("(p[i] - q[i]) * (p[i] - q[i])"),
     "cosine": _PAIR + " SELECT u, v, round(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i] * q[i])) / (sqrt(list_sum(list_transform(p, lambda x: x * x))) * sqrt(list_sum(list_transform(q, lambda x: x * x)))), 5) AS cosine FROM e",
-    "haar": f"WITH {_VEC} SELECT node, 0 AS k, round(list_sum(x) / 8, 5) AS c FROM v UNION ALL SELECT node, 1, round((list_sum(x[1:32]) - list_sum(x[33:64])) / 8, 5) FROM v UNION ALL SELECT node, 2, round((list_sum(x[1:16]) - list_sum(x[17:32])) / sqrt(32), 5) FROM v UNION ALL SELECT node, 3, round((list_sum(x[33:48]) - list_sum(x[49:64])) / sqrt(32), 5) FROM v UNION ALL SELECT node, 63, round((x[63] - x[64]) / sqrt(2), 5) FROM v",
+    "haar": f"WITH {_VEC} SELECT node, 0 AS k, round(list_sum(x) / 8, 5) + 0.0 AS c FROM v" + "".join(f" UNION ALL SELECT node, {64 // w} + b, round((list_sum(x[b * {w} + 1:b * {w} + {w // 2}]) - list_sum(x[b * {w} + {w // 2} + 1:(b + 1) * {w}])) / sqrt({w}), 5) + 0.0 FROM (SELECT node, x, unnest(range({64 // w})) AS b FROM v)" for w in (64, 32, 16, 8, 4, 2)),
     "nearest_centroid": f"WITH {_VEC}, f AS (SELECT label, i, avg(x[i]) AS m FROM (SELECT label, x, unnest(range(1, 65)) AS i FROM v) GROUP BY ALL), d AS (SELECT node, f.label AS centre, sqrt(sum(pow(x[i] - m, 2))) AS distance FROM v, f GROUP BY node, f.label) SELECT node, centre, round(distance, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY distance, centre) AS r FROM d) WHERE r = 1",
-    "neighbour_mean": _PAIR + " SELECT u AS node, round(avg(q[1]), 5) AS x0 FROM e GROUP BY u",
-    "gin_aggregate": f"WITH {_VEC} SELECT a.node, round(a.x[1] + coalesce(b.x[1], 0), 5) AS x0 FROM v a LEFT JOIN v b ON b.node = a.node + 1",
-    "online_centroid_update": f"WITH {_VEC}, c AS (SELECT label, avg(x[1]) FILTER (node % 2 = 0) AS c0, count(*) FILTER (node % 2 = 0) AS n0, avg(x[1]) FILTER (node % 2 = 1) AS c1, count(*) FILTER (node % 2 = 1) AS n1 FROM v GROUP BY label) SELECT label, round((0.7 * c0 * n0 + 0.3 * c1 * n1) / (0.7 * n0 + 0.3 * n1), 5) AS x0 FROM c",
-    "node_memory_ema": f"WITH RECURSIVE {T.EV}{_FEATURED}, m AS (SELECT node, seq, e, a, x AS m FROM nu WHERE a = 0 UNION ALL SELECT nu.node, nu.seq, nu.e, nu.a, 0.5 * (1 - 0.3 * (nu.a / (nu.a + 10))) * m.m + (1 - 0.5 * (1 - 0.3 * (nu.a / (nu.a + 10)))) * nu.x FROM m JOIN nu ON nu.node = m.node AND nu.a = m.a + 1) SELECT node, seq, e AS \"end\", round(m, 5) AS m2 FROM m",
+    "neighbour_mean": _PAIR + ", a AS (SELECT u AS node, i, avg(q[i]) AS m FROM (SELECT u, q, unnest(range(1, 65)) AS i FROM e) GROUP BY ALL) SELECT node, list(round(m, 5) + 0.0 ORDER BY i) AS x FROM a GROUP BY node",
+    "gin_aggregate": f"WITH {_VEC} SELECT a.node, list_transform(range(1, 65), lambda i: round(a.x[i] + coalesce(b.x[i], 0), 5) + 0.0) AS x FROM v a LEFT JOIN v b ON b.node = a.node + 1",
+    "online_centroid_update": f"WITH {_VEC}, c AS (SELECT label, i, avg(y) FILTER (node % 2 = 0) AS c0, count(*) FILTER (node % 2 = 0) AS n0, avg(y) FILTER (node % 2 = 1) AS c1, count(*) FILTER (node % 2 = 1) AS n1 FROM (SELECT label, node, unnest(range(1, 65)) AS i, unnest(x) AS y FROM v) GROUP BY ALL) SELECT label, list(round((0.7 * c0 * n0 + 0.3 * c1 * n1) / (0.7 * n0 + 0.3 * n1), 5) + 0.0 ORDER BY i) AS x FROM c GROUP BY label",
     "cms_estimates": f"WITH {T.LI}, h AS (SELECT u, v, r, ((CASE WHEN w < 0 THEN w + {COLUMNS} ELSE w END)) AS c FROM (SELECT u, v, r, (((((u + 104729 * v + 2147483648) % 4294967296 - 2147483648) * p + q + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) % {COLUMNS} AS w FROM li, (VALUES (0, 16807, 11), (1, 48271, 7), (2, 69621, 3)) f(r, p, q))), cell AS (SELECT r, c, count(*) AS value FROM h GROUP BY ALL) SELECT u, v, n, min(value) AS estimate FROM (SELECT u, v, r, c, count(*) AS n FROM h GROUP BY ALL) JOIN cell USING (r, c) GROUP BY ALL",
 }

@@ -56,7 +56,7 @@ QUERIES = {
     "gap_quartiles_by_count": lambda s, d: S.gap_quartiles_by_count(S.gap_rows(ev(s, d), "before")).select("seq", "quartile"),
     "gap_quartiles_by_position": lambda s, d: S.gap_quartiles_by_position(ev(s, d)).select("seq", "quartile"),
     "batch_summary": lambda s, d: batch_summary(s, d),
-    "batch_depth_counts": lambda s, d: S.batches(urls(s, d), 40).withColumn("depth", P.path_depth(F.col("path"))).groupBy("batch", "depth").agg(F.count("*").alias("n")),
+    "batch_depths": lambda s, d: S.batches(urls(s, d), 40).select("seq", "batch", P.path_depth(F.col("path")).alias("depth")),
     "path_depth": lambda s, d: urls(s, d).select("seq", P.path_depth(F.col("path")).alias("depth")),
     "path_tree_distance": lambda s, d: global_lag(urls(s, d), {"before": "path"}).where("before is not null").select("seq", P.tree_distance(F.col("before"), F.col("path")).alias("distance")),
     "path_edges": lambda s, d: urls(s, d).select("seq", F.inline(P.path_edges(F.col("path")))),
@@ -134,7 +134,7 @@ SELECT seq, round(label / 10.0, 6) AS f0, round(gap / 10000.0, 6) AS f1, round((
     "gap_quartiles_by_count": with_sql(", g AS (SELECT seq FROM (SELECT seq, lead(clock) OVER (ORDER BY seq) - clock AS gap FROM ev) WHERE gap >= 301), k AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS k, count(*) OVER () AS n FROM g) SELECT seq, CAST(k >= n // 4 AS INT) + CAST(k >= n // 2 AS INT) + CAST(k >= 3 * n // 4 AS INT) AS quartile FROM k"),
     "gap_quartiles_by_position": with_sql(", k AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS k, count(*) OVER () AS n, lead(clock) OVER (ORDER BY seq) - clock AS gap FROM ev) SELECT seq, CASE WHEN k * 100.0 / n < 25 THEN 0 WHEN k * 100.0 / n < 50 THEN 1 WHEN k * 100.0 / n < 75 THEN 2 ELSE 3 END AS quartile FROM k WHERE gap >= 301"),
     "batch_summary": with_sql(", b AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 64 AS batch FROM ev), g AS (SELECT *, clock - lag(clock) OVER (PARTITION BY batch ORDER BY seq) AS gap FROM b) SELECT batch, count(*) AS n, round(avg(gap), 6) AS mean_gap, round(avg(label), 6) AS mean_label FROM g GROUP BY batch HAVING count(*) = 64"),
-    "batch_depth_counts": _URL + ", b AS (SELECT (row_number() OVER (ORDER BY seq) - 1) // 40 AS batch, len(p) AS depth FROM parts), f AS (SELECT *, count(*) OVER (PARTITION BY batch) AS size FROM b) SELECT batch, depth, count(*) AS n FROM f WHERE size = 40 GROUP BY ALL",
+    "batch_depths": _URL + ", b AS (SELECT seq, (row_number() OVER (ORDER BY seq) - 1) // 40 AS batch, len(p) AS depth FROM parts), f AS (SELECT *, count(*) OVER (PARTITION BY batch) AS size FROM b) SELECT seq, batch, depth FROM f WHERE size = 40",
     "path_depth": _URL + " SELECT seq, len(p) AS depth FROM parts",
     "path_tree_distance": _URL + ", l AS (SELECT seq, p, lag(p) OVER (ORDER BY seq) AS q FROM parts), c AS (SELECT seq, p, q, (SELECT coalesce(min(i) - 1, least(len(p), len(q))) FROM (SELECT unnest(range(1, least(len(p), len(q)) + 1)) AS i) WHERE p[i] <> q[i]) AS common FROM l WHERE q IS NOT NULL) SELECT seq, len(p) + len(q) - 2 * common AS distance FROM c",
     "path_edges": _URL + " SELECT seq, p[i] AS parent, p[i + 1] AS child FROM (SELECT seq, p, unnest(range(1, len(p))) AS i FROM parts)",
@@ -142,7 +142,7 @@ SELECT seq, round(label / 10.0, 6) AS f0, round(gap / 10000.0, 6) AS f1, round((
     "idle_padding": with_sql(", b AS (SELECT (clock - (SELECT min(clock) FROM ev)) // 300 AS bin, src, seq FROM ev), l AS (SELECT bin, max_by(src, seq) AS node FROM b GROUP BY bin), n AS (SELECT bin, node, lead(bin) OVER (ORDER BY bin) AS nxt FROM l) SELECT unnest(range(bin + 1, nxt)) AS bin, node AS src, node AS dst FROM n WHERE nxt > bin + 1"),
     "fill_pair_gaps": with_sql(", n AS (SELECT src, dst, clock, lead(clock) OVER (PARTITION BY src, dst ORDER BY clock, seq) AS nxt FROM ev), f AS (SELECT src, dst, unnest(range(clock + 20000, nxt, 20000)) AS clock FROM n WHERE nxt - clock > 20000) SELECT src, dst, count(*) AS n, min(clock) AS first, max(clock) AS last FROM f GROUP BY ALL"),
     "tail_padding": with_sql("SELECT max_by(dst, seq) AS src, max_by(dst, seq) AS dst, max_by(clock, seq) + 5 * k AS clock FROM ev, (SELECT unnest(range(1, 11)) AS k) GROUP BY k"),
-    "fill_seconds": with_sql("SELECT seq, greatest(1, coalesce(nxt - clock, 1)) AS n, greatest(clock, coalesce(nxt - 1, clock)) AS last FROM (SELECT seq, clock, lead(clock) OVER (ORDER BY seq) AS nxt FROM ev WHERE seq < 50)"),
+    "fill_seconds": with_sql("SELECT seq, greatest(1, coalesce(nxt - clock, 1)) AS n, greatest(clock, coalesce(nxt - 1, clock)) AS last FROM (SELECT seq, clock, lead(clock) OVER (ORDER BY seq) AS nxt FROM ev)"),
     "sliding_windows": with_sql(", k AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS k FROM ev), w AS (SELECT unnest(range(0, ((SELECT count(*) FROM ev) - 800) // 200 + 1)) AS win) SELECT win AS \"window\", count(*) AS n, min(seq) AS first, 2 * sum(label) > 800 AS attack FROM w JOIN k ON k >= win * 200 AND k < win * 200 + 800 GROUP BY win"),
     "attack_spans": with_sql(", k AS (SELECT label, row_number() OVER (ORDER BY seq) - 1 AS k FROM ev), i AS (SELECT k, k - row_number() OVER (ORDER BY k) AS island FROM k WHERE label = 1) SELECT min(k) AS first, max(k) AS last FROM i GROUP BY island"),
     "temporal_split": with_sql("SELECT seq, CASE WHEN clock <= (SELECT quantile_cont(clock, 0.7) FROM ev) THEN 'train' WHEN clock <= (SELECT quantile_cont(clock, 0.85) FROM ev) THEN 'valid' ELSE 'test' END AS part FROM ev"),
