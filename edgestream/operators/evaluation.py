@@ -1,11 +1,11 @@
-"""Measures of scores against labels. Rows are first counted by distinct score, so windows see one row a score."""
+"""Measures of scores against labels. Rows are counted by distinct score, and the scores run through in ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordering import with_scalars
+from ..plans.ordering import RANGE, global_lag, global_sum, in_order, with_scalars
 
 
 def by_score(scored: DataFrame) -> DataFrame:
@@ -16,23 +16,25 @@ def by_score(scored: DataFrame) -> DataFrame:
 
 def roc_auc(scored: DataFrame) -> DataFrame:
     """auc, best_auc (of the score and its negative); null if a class is missing."""
-    held = by_score(scored)
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = held.withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
+    held = global_sum(in_order(by_score(scored), "score"), F.col("n"), "upto", "_m", RANGE)
+    won = held.withColumn("won", F.col("p") * (F.col("upto") - F.col("n") / 2.0))
     auc = F.try_divide(F.sum("won"), F.sum("p") * F.sum("n"))
     return won.agg(auc.alias("auc")).withColumn("best_auc", F.greatest("auc", 1 - F.col("auc")))
 
 
 def cumulative(scored: DataFrame) -> DataFrame:
     """score, tp, fp, all_p, all_n from the highest score down."""
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    held = by_score(scored).withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
+    held = in_order(by_score(scored), F.desc("score"))
+    held = global_sum(global_sum(held, F.col("p"), "tp", "_m", RANGE), F.col("n"), "fp", "_m", RANGE)
     return with_scalars(held, all_p=F.sum("p"), all_n=F.sum("n"))
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
-    c = cumulative(scored)
-    return c.select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "all_p").alias("recall"))
+    return _precision_recall(cumulative(scored)).drop("_m")
+
+
+def _precision_recall(c: DataFrame) -> DataFrame:
+    return c.select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "all_p").alias("recall"), "_m")
 
 
 def roc_points(scored: DataFrame) -> DataFrame:
@@ -42,8 +44,7 @@ def roc_points(scored: DataFrame) -> DataFrame:
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """ap (steps) and pr_auc (trapezoids from recall 0 at precision 1)."""
-    w = Window.orderBy(F.desc("score"))
-    held = pr_curve(scored).withColumns({"r0": F.coalesce(F.lag("recall").over(w), F.lit(0.0)), "p0": F.coalesce(F.lag("precision").over(w), F.lit(1.0))})
+    held = global_lag(_precision_recall(cumulative(scored)), {"r0": "recall", "p0": "precision"}, "_m", RANGE).na.fill({"r0": 0.0, "p0": 1.0})
     step = F.col("recall") - F.col("r0")
     return held.agg(F.sum(step * F.col("precision")).alias("ap"), F.sum(step * (F.col("precision") + F.col("p0")) / 2).alias("pr_auc"))
 

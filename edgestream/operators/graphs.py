@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordering import with_scalars
+from ..plans.ordering import cut_lineage, with_scalars
 
 RESTART = 0.5
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the cluster's shared folder; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="edgestream-"))
-    return df.checkpoint()
-
-
 def undirected(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Distinct u < v pairs without loops."""
     return edges.where(F.col(u) != F.col(v)).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordering import global_number
+from ..plans.ordering import RANGE, global_number, in_order
 from .sequence import strictly_increasing
 
 
@@ -17,9 +17,8 @@ def organised(benign: DataFrame, malicious: DataFrame, clock: str = "clock") ->
 
 
 def renumbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with seq replaced by 1, 2, ... in the given order."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("seq", n.cast("long"))
+    """df with seq replaced by 1, 2, ... in the given order: range partitions, with their counts carried over."""
+    return global_number(in_order(df, *order), "_new", "_m", RANGE).withColumn("seq", F.col("_new").cast("long")).drop("_m", "_new")
 
 
 def into_gap(benign: DataFrame, malicious: DataFrame, after_seq: int, clock: str = "clock") -> DataFrame:

@@ -134,31 +134,44 @@ def sketch_estimates(edges: DataFrame, factors: list[tuple[int, int]], columns:
     return keyed.join(cells, ["row", "column"]).groupBy("u", "v", "n").agg(F.min("value").alias("estimate"))
 
 
-def sketch_scores(edges: DataFrame, rows: int = 2, columns: int = 1024, fade: float | None = None, seed: int = 7, stream: str = "stream_id") -> DataFrame:
-    """seq, score with counts kept in sketches of fixed size, each stream in order in one task (streams in parallel)."""
+#: Sketch columns of scores are taken modulo this prime first.
+PRIME = 2**31 - 1
+
+
+def _cells(rows: int, columns: int, seed: int, relational: bool) -> Column:
+    """kind, row, cell of an edge (u, v): the pair's own sketch, and with relational those of its source and target."""
+    p = F.lit(PRIME).cast("long")
+    factors = sketch_factors(rows, seed)
+
+    def cell(a: Column, b: Column, r: int) -> Column:
+        mixed = F.pmod(F.pmod(a, p) + 104729 * F.pmod(b, p), p)
+        return F.pmod(F.pmod(mixed * factors[r][0] + factors[r][1], p), F.lit(columns))
+
+    u, v, zero = F.col("u"), F.col("v"), F.lit(0).cast("long")
+    kinds = ((u, v), (u, zero), (v, zero)) if relational else ((u, v),)
+    return F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(r).alias("row"), cell(a, b, r).alias("cell")) for k, (a, b) in enumerate(kinds) for r in range(rows)))
+
+
+def sketch_factors(rows: int, seed: int) -> list[tuple[int, int]]:
     draw = np.random.Generator(np.random.PCG64(seed))
-    factors = draw.integers(1, 2**31 - 1, (rows, 2))
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        now, current, total = 1, np.zeros((3, rows, columns)), np.zeros((3, rows, columns))
-        scores = np.zeros(len(frame))
-        at = np.arange(rows)
-        for i, (u, v, t) in enumerate(zip(frame["u"], frame["v"], frame["t"], strict=True)):
-            if t > now:
-                current *= fade if fade is not None else 0.0
-                now = t
-            best = 0.0
-            for k, (a, b) in enumerate(((u, v), (u, 0), (v, 0)) if fade is not None else ((u, v),)):
-                cell = ((int(a) + 104729 * int(b)) * factors[:, 0] + factors[:, 1]) % (2**31 - 1) % columns
-                current[k, at, cell] += 1
-                total[k, at, cell] += 1
-                x, s = current[k, at, cell].min(), total[k, at, cell].min()
-                if s and t > 1:
-                    best = max(best, ((x - s / t) * t) ** 2 / (s * (t - 1)))
-            scores[i] = best
-        return pd.DataFrame({"seq": frame["seq"], "score": scores})
-
-    return edges.select("seq", "t", "u", "v", stream).groupBy(stream).applyInPandas(run, "seq long, score double")
+    return [(int(a), int(b)) for a, b in draw.integers(1, PRIME, (rows, 2))]
 
 
+def sketch_scores(edges: DataFrame, rows: int = 2, columns: int = 1024, fade: float | None = None, seed: int = 7, stream: str = "stream_id") -> DataFrame:
+    """seq, score with counts kept in sketches of fixed size, as they stand after each edge of its stream.
+
+    A cell's total is its count so far, its current value the count decayed by the ticks that passed (without
+    fade, the tick's own count). Both are windows over the cell's updates, so a stream is folded by cells and
+    not in one task; an edge takes the least of its cells.
+    """
+    ticks = edges.select(stream, "t").distinct().withColumn("j", F.row_number().over(Window.partitionBy(stream).orderBy("t")))
+    keyed = edges.join(ticks, [stream, "t"]).select("seq", "t", "j", stream, F.inline(_cells(rows, columns, seed, fade is not None))).withColumn("key", F.struct(stream, "kind", "row", "cell"))
+    in_tick = F.row_number().over(Window.partitionBy("key", "t").orderBy("seq")).cast("double")
+    held = keyed.withColumn("_k", in_tick)
+    if fade is None:
+        so_far = F.row_number().over(Window.partitionBy("key").orderBy("seq")).cast("double")
+        held = held.withColumns({"a": F.col("_k"), "s": so_far})
+    else:
+        held = held.join(decayed_counts(keyed, fade), ["key", "t"]).withColumns({"a": F.col("before_a") + F.col("_k"), "s": F.col("before_s") + F.col("_k")})
+    least = held.groupBy("seq", "t", "kind").agg(F.min("a").alias("a"), F.min("s").alias("s"))
+    return least.groupBy("seq").agg(F.max(chi_score(F.col("a"), F.col("s"), F.col("t"))).alias("score"))

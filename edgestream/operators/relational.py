@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordering import with_scalars
+from ..plans.ordering import RANGE, global_last, in_order, with_scalars
 
 
 def malicious_pairs(edges: DataFrame) -> DataFrame:
@@ -60,13 +60,12 @@ def recent_neighbours(edges: DataFrame, n: int, clock: str = "clock") -> DataFra
 def nearest(points: DataFrame, targets: DataFrame, point: str = "position", target: str = "target") -> DataFrame:
     """target, position: the nearest point of each target, the upper one at a tie.
 
-    Points and targets are merged into one order, and the last point below and first one above are
-    carried by two windows: no pair is formed.
+    Points and targets are merged into one order, cut into ranges, and the last point below and the first one
+    above are carried along it: no pair is formed, and no task sees all rows.
     """
     merged = points.select(F.col(point).alias("x"), F.col(point).alias("p"), F.lit(None).cast("double").alias("q"), F.lit(0).alias("k")).unionAll(targets.select(F.col(target).alias("x"), F.lit(None), F.col(target).cast("double"), F.lit(1)))
-    below = F.last("p", ignorenulls=True).over(Window.orderBy("x", "k").rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("p", ignorenulls=True).over(Window.orderBy("x", F.col("k").desc()).rowsBetween(0, Window.unboundedFollowing))
-    found = merged.select("k", "q", below.alias("below"), above.alias("above")).where("k = 1")
+    ordered = in_order(merged, "x", "k")  # a point at a target's place comes before it, so it counts as below
+    found = global_last(global_last(ordered, {"below": "p"}, "_m", RANGE), {"above": "p"}, "_m", RANGE, backwards=True).where("k = 1")
     choice = F.when(F.col("below").isNull() | (F.col("above") - F.col("q") <= F.col("q") - F.col("below")), F.coalesce("above", "below")).otherwise(F.col("below"))
     return found.select(F.col("q").cast("long").alias(target), choice.alias(point))
 

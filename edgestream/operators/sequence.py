@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordering import global_lag, global_lead, global_max, global_number, global_sum, with_scalars
+from ..plans.ordering import RANGE, global_lag, global_lead, global_max, global_number, global_sum, in_order, with_scalars
 
 GAP = 301
 
@@ -64,7 +64,7 @@ def interleaved_ids(edges: DataFrame, base: int = 1) -> DataFrame:
 def sorted_ids(edges: DataFrame, base: int = 0) -> DataFrame:
     """node, id: dense ids by value, over both ends."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return nodes.withColumn("id", F.row_number().over(Window.orderBy("node")) - 1 + base)
+    return global_number(in_order(nodes, "node"), "_k", "_m", RANGE).select("node", (F.col("_k") - 1 + base).alias("id"))
 
 
 def bipartite_ids(edges: DataFrame) -> DataFrame:
@@ -190,13 +190,24 @@ def attack_spans(stream: DataFrame) -> DataFrame:
 
 
 def temporal_split(edges: DataFrame, train: float = 0.85, valid: float | None = None, clock: str = "clock") -> DataFrame:
-    """part: train (up to the quantile, with it), valid (up to the next), test."""
-    cuts = {"_a": F.percentile(clock, F.lit(train))} | ({"_b": F.percentile(clock, F.lit(valid))} if valid else {})
-    held = with_scalars(edges, **cuts)
+    """part: train (up to the quantile, with it), valid (up to the next), test.
+
+    The quantiles are exact: rows are counted by tick, and the ticks' counts added up in order.
+    """
+    shares = {"_a": train} | ({"_b": valid} if valid else {})
+    ticks = in_order(edges.groupBy(F.col(clock).alias("c")).agg(F.count("*").alias("n")), "c")
+    upto = with_scalars(global_sum(ticks, F.col("n"), "upto", "_m", RANGE), all=F.sum("n"))
+
+    def quantile(q: float) -> Column:
+        place = (F.col("all") - 1) * F.lit(q)
+        low, high = (F.min(F.when(F.col("upto") > k, F.col("c"))) for k in (F.floor(place), F.ceil(place)))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    held = edges.crossJoin(F.broadcast(upto.agg(*(quantile(q).alias(k) for k, q in shares.items()))))
     part = F.when(F.col(clock) <= F.col("_a"), "train")
     if valid:
         part = part.when(F.col(clock) <= F.col("_b"), "valid")
-    return held.withColumn("part", part.otherwise("test")).drop(*cuts)
+    return held.withColumn("part", part.otherwise("test")).drop(*shares)
 
 
 def strictly_increasing(log: DataFrame, clock: str = "clock") -> DataFrame:

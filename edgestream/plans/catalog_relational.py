@@ -153,7 +153,7 @@ QUERIES = {
     "window_memory_score": lambda s, d: N.window_scores(S.sliding_windows(featured(s, d), 800, 400)).select("window", F.round("score", 5).alias("score")),
     "zscore_online": lambda s, d: N.z_scores(transitions(s, d), 1.5),
     "cms_estimates": lambda s, d: C.sketch_estimates(li(s, d), SKETCH, COLUMNS),
-    "sketch_scores": lambda s, d: C.sketch_scores(ev(s, d).select("seq", "t", F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"), F.lit(0).alias("stream_id")), fade=0.5),
+    "sketch_scores": lambda s, d: C.sketch_scores(ev(s, d).select("seq", "t", F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"), F.lit(0).alias("stream_id")), fade=0.5).select("seq", F.round("score", 5).alias("score")),
     "reservoir_sample": lambda s, d: G.reservoir(ev(s, d), 200).select("seq", "src", "dst"),
     "random_walks": lambda s, d: G.random_walks(G.both_ways(supplier_parts(s, d)), supplier_parts(s, d).select(F.col("u").alias("node")).distinct(), 4),
     "fixed_fanout": lambda s, d: G.fixed_fanout(li(s, d), 8),
@@ -216,6 +216,21 @@ dd AS (SELECT seq, degree FROM deg WHERE e = 1),
 up AS (SELECT node, ends.seq, ends.e, (degree - (SELECT avg(degree) FROM dd)) / ((SELECT stddev_pop(degree) FROM dd) + 1e-9) AS x FROM ends JOIN dd ON ends.seq = dd.seq),
 nu AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY seq, e) - 1 AS a FROM up)"""
 
+
+
+def _sketch(rows: int = 2, columns: int = 1024, seed: int = 7) -> str:
+    """Every edge in its cells; a cell's counts before a tick, plain and decayed, and its place within the tick."""
+    cell = "(({0} % {p} + 104729 * ({1} % {p})) % {p} * {f} + {g}) % {p} % {c}"
+    kinds = ("CAST(src AS BIGINT)", "CAST(dst AS BIGINT)"), ("CAST(src AS BIGINT)", "0"), ("CAST(dst AS BIGINT)", "0")
+    cells = " UNION ALL ".join(f"SELECT seq, t, j, {k} AS kind, {r} AS row, {cell.format(a, b, p=C.PRIME, f=f, g=g, c=columns)} AS cell FROM evj" for k, (a, b) in enumerate(kinds) for r, (f, g) in enumerate(C.sketch_factors(rows, seed)))
+    return f""", tj AS (SELECT t, row_number() OVER (ORDER BY t) AS j FROM (SELECT DISTINCT t FROM ev)), evj AS (SELECT ev.*, j FROM ev JOIN tj USING (t)), ce AS ({cells}),
+pt AS (SELECT kind, row, cell, j, count(*) AS n FROM ce GROUP BY ALL),
+bf AS (SELECT a.kind, a.row, a.cell, a.j, coalesce(sum(b.n), 0) AS s, coalesce(sum(b.n * pow(0.5, a.j - b.j)), 0) AS a FROM pt a LEFT JOIN pt b ON a.kind = b.kind AND a.row = b.row AND a.cell = b.cell AND b.j < a.j GROUP BY ALL),
+up AS (SELECT seq, t, kind, bf.a + k AS a, bf.s + k AS s FROM (SELECT *, row_number() OVER (PARTITION BY kind, row, cell, j ORDER BY seq) AS k FROM ce) ce JOIN bf USING (kind, row, cell, j)),
+le AS (SELECT seq, t, kind, min(a) AS a, min(s) AS s FROM up GROUP BY ALL)
+SELECT seq, round(max(CASE WHEN t <= 1 THEN 0.0 ELSE pow((a - s / t) * t, 2) / (s * (t - 1)) END), 5) AS score FROM le GROUP BY seq"""
+
+
 SQL = {
     "edge_totals": with_sql("SELECT src, dst, sum(weight) AS total FROM ev GROUP BY ALL"),
     "activity_series": with_sql("SELECT t, sum(weight) AS activity FROM ev GROUP BY ALL"),
@@ -275,4 +290,5 @@ SQL = {
     "gin_aggregate": f"WITH {_VEC} SELECT a.node, list_transform(range(1, 65), lambda i: round(a.x[i] + coalesce(b.x[i], 0), 5) + 0.0) AS x FROM v a LEFT JOIN v b ON b.node = a.node + 1",
     "online_centroid_update": f"WITH {_VEC}, c AS (SELECT label, i, avg(y) FILTER (node % 2 = 0) AS c0, count(*) FILTER (node % 2 = 0) AS n0, avg(y) FILTER (node % 2 = 1) AS c1, count(*) FILTER (node % 2 = 1) AS n1 FROM (SELECT label, node, unnest(range(1, 65)) AS i, unnest(x) AS y FROM v) GROUP BY ALL) SELECT label, list(round((0.7 * c0 * n0 + 0.3 * c1 * n1) / (0.7 * n0 + 0.3 * n1), 5) + 0.0 ORDER BY i) AS x FROM c GROUP BY label",
     "cms_estimates": f"WITH {T.LI}, h AS (SELECT u, v, r, ((CASE WHEN w < 0 THEN w + {COLUMNS} ELSE w END)) AS c FROM (SELECT u, v, r, (((((u + 104729 * v + 2147483648) % 4294967296 - 2147483648) * p + q + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) % {COLUMNS} AS w FROM li, (VALUES (0, 16807, 11), (1, 48271, 7), (2, 69621, 3)) f(r, p, q))), cell AS (SELECT r, c, count(*) AS value FROM h GROUP BY ALL) SELECT u, v, n, min(value) AS estimate FROM (SELECT u, v, r, c, count(*) AS n FROM h GROUP BY ALL) JOIN cell USING (r, c) GROUP BY ALL",
+    "sketch_scores": with_sql(_sketch()),
 }

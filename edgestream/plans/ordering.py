@@ -7,10 +7,33 @@ CHUNK times fewer than the rows.
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
+#: Numbers of in_order() differ by this from one partition to the next.
+RANGE = 1 << 33
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the cluster's shared folder; only a local master without one (tests) gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="edgestream-"))
+    return df.checkpoint()
+
+
+def in_order(df: DataFrame, *order: str | Column, name: str = "_m") -> DataFrame:
+    """df with an ascending number in the given order, RANGE apart from one range partition to the next: with it
+    as seq and RANGE as chunk, the functions below run over any order. Checkpointed, so that the ranges, which are
+    sampled, stay as they are."""
+    return cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
 
 
 def _chunked(df: DataFrame, seq: str, chunk: int) -> DataFrame:
@@ -55,6 +78,21 @@ def global_max(df: DataFrame, value: Column, name: str, seq: str = "seq", chunk:
     return held.withColumn("_own", own).join(offsets, "_chunk").withColumn(name, F.greatest("_own", "_offset")).select(*df.columns, name)
 
 
+def global_last(df: DataFrame, columns: dict[str, str], seq: str = "seq", chunk: int = CHUNK, backwards: bool = False) -> DataFrame:
+    """df with, for each new name, the old column's last non-null value up to and with each row (backwards: the first one from it on)."""
+    held = _chunked(df, seq, chunk)
+    if backwards:
+        held = held.withColumn("_chunk", -F.col("_chunk"))
+    by = F.col(seq).desc() if backwards else F.col(seq)
+    order = Window.partitionBy("_chunk").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    key = -F.col(seq) if backwards else F.col(seq)
+    ends = held.groupBy("_chunk").agg(*(F.max_by(old, F.when(F.col(old).isNotNull(), key)).alias(f"_e_{new}") for new, old in columns.items()))
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_chunk", *(F.last(f"_e_{new}", ignorenulls=True).over(before).alias(f"_b_{new}") for new in columns))
+    own = held.withColumns({f"_o_{new}": F.last(old, ignorenulls=True).over(order) for new, old in columns.items()})
+    return own.join(carried, "_chunk").select(*df.columns, *(F.coalesce(f"_o_{new}", f"_b_{new}").alias(new) for new in columns))
+
+
 def global_number(df: DataFrame, name: str, seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
     """df with the 1-based position of each row by seq."""
     return global_sum(df, F.lit(1).cast("long"), name, seq, chunk)
