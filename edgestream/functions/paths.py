@@ -67,6 +67,6 @@ def is_private_ip(ip: Column) -> Column:
     return F.when(ip.contains(":"), F.lit(False)).otherwise(inside)
 
 
-def is_attack_label(label: Column) -> Column:
-    """0 for the two benign traffic names in any case, else 1."""
-    return F.when(F.lower(label).isin("nonvpn", "non-tor"), 0).otherwise(1)
+def is_attack_label(label: Column, benign: tuple[str, ...] = ("nonvpn", "non-tor")) -> Column:
+    """0 for the benign traffic names in any case, else 1."""
+    return F.when(F.lower(label).isin(*benign), 0).otherwise(1)

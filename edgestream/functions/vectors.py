@@ -88,3 +88,8 @@ def min_max(a: Column, low: Column, high: Column) -> Column:
     """abs(x) scaled into [0, 1] by dimension, the sign kept; a flat dimension gives 0."""
     scaled = F.zip_with(F.transform(a, F.abs), F.arrays_zip(low.alias("low"), high.alias("high")), lambda x, r: F.coalesce(F.try_divide(x - r["low"], r["high"] - r["low"]), F.lit(0.0)))
     return F.zip_with(scaled, a, lambda s, x: s * F.signum(x))
+
+
+def cosine_basis(dt: Column, frequencies: Column, phases: Column) -> Column:
+    """cos(dt * w + b) for given (learned) frequencies and phases."""
+    return F.zip_with(frequencies, phases, lambda w, b: F.cos(dt * w + b))

@@ -93,3 +93,17 @@ def drift_score(memory: Column, before: Column, rebuilt: Column) -> Column:
     from ..functions.vectors import cosine
 
     return (2 - cosine(memory, before) - cosine(memory, rebuilt)) / 4
+
+
+def edge_outliers(codes: DataFrame, centres: DataFrame, group: str = "label") -> DataFrame:
+    """u, v, t, part, score, outlier of edge codes (u, v, t, part, code): the distance to the nearest centre, and
+    whether it is above that of every training edge."""
+    keyed = codes.select(F.struct("u", "v", "t", "part").alias("node"), F.col("code").alias("x"))
+    scored = nearest_centre(keyed, centres, group).select("node.*", F.col("distance").alias("score"))
+    most = scored.where("part = 'train'").agg(F.max("score").alias("_most"))
+    return scored.crossJoin(F.broadcast(most)).withColumn("outlier", F.coalesce(F.col("score") > F.col("_most"), F.lit(True))).drop("_most")
+
+
+def snapshot_distance(scored: DataFrame, t: str = "t") -> DataFrame:
+    """t, score: the mean distance of a snapshot's edges."""
+    return scored.groupBy(t).agg(F.avg("score").alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import BITS, draw_int
 from ..plans.ordering import cut_lineage, with_scalars
 
 RESTART = 0.5
@@ -135,31 +136,15 @@ def carried_forward(scores: DataFrame, value: str, t: str = "t") -> DataFrame:
     return spine.withColumn(value, F.last(value, ignorenulls=True).over(Window.orderBy(t)))
 
 
-def random_walks(edges: DataFrame, starts: DataFrame, length: int, seed: int = 1) -> DataFrame:
-    """start, path: a uniform walk from each start (column node); it ends early at a node without out-edges.
-
-    Neighbours are numbered, and a step joins the hashed choice, so walks are reproducible and advance together.
-    """
-    numbered = edges.select("u", "v").distinct().withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy("v")) - 1)
-    fan = numbered.groupBy("u").agg(F.count("*").alias("fan"))
-    table = cut_lineage(numbered)
-    walks = starts.select(F.col("node").alias("start"), F.array("node").alias("path"), F.col("node").alias("at"))
-    for step in range(length):
-        chosen = walks.join(fan, walks["at"] == fan["u"], "left").drop("u").withColumn("pick", F.when(F.col("fan").isNotNull(), F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "start"), F.col("fan"))))
-        moved = chosen.join(table, (chosen["at"] == table["u"]) & (chosen["pick"] == table["k"]), "left")
-        walks = moved.select("start", F.when(F.col("v").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("v"))).alias("path"), F.coalesce("v", F.lit(None)).alias("at"))
-    return walks.select("start", "path")
-
-
 def reservoir(edges: DataFrame, size: int, seed: int = 1) -> DataFrame:
     """The size edges of highest weighted priority log(u) / weight, with seeded u."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "seq"), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
+    u = (draw_int(seed, "seq") + 1) / F.lit(float((1 << BITS) + 1))
     return edges.withColumn("priority", F.log10(u) / F.col("weight")).orderBy(F.desc("priority"), "seq").limit(size)
 
 
 def fixed_fanout(edges: DataFrame, fanout: int, seed: int = 1) -> DataFrame:
     """node, sample: fanout neighbours of each node, without replacement where there are enough, else in cycles."""
-    order = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64(F.lit(seed), "u", "v"), "v"))
+    order = F.row_number().over(Window.partitionBy("u").orderBy(draw_int(seed, "u", "v"), "v"))
     few = edges.select("u", "v").distinct().withColumn("k", order).where(F.col("k") <= fanout)
     listed = few.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("s"))
     cycle = F.transform(F.sequence(F.lit(0), F.lit(fanout - 1)), lambda i: F.element_at("s", (i % F.size("s") + 1).cast("int"))["v"])

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw, draw_int
 from ..plans.ordering import RANGE, global_number, in_order
 from .sequence import strictly_increasing
 
@@ -40,7 +41,7 @@ def continuous(benign: DataFrame, malicious: DataFrame, after_seq: int, clock: s
 def at_random(benign: DataFrame, malicious: DataFrame, seed: int = 1) -> DataFrame:
     """Malicious rows at seeded places among the benign ones."""
     n = benign.agg(F.max("seq").alias("_n"))
-    placed = malicious.crossJoin(F.broadcast(n)).withColumn("_p", F.pmod(F.xxhash64(F.lit(seed), "seq"), F.col("_n") + 1)).drop("_n")
+    placed = malicious.crossJoin(F.broadcast(n)).withColumn("_p", F.pmod(draw_int(seed, "seq"), F.col("_n") + 1)).drop("_n")
     both = benign.withColumn("_p", F.col("seq")).withColumn("_side", F.lit(0)).unionByName(placed.withColumn("_side", F.lit(1)))
     return renumbered(both, "_p", "_side", "seq").drop("_p", "_side")
 
@@ -80,9 +81,9 @@ def sparsify(series: DataFrame, percent: float) -> DataFrame:
 def rewire(stream: DataFrame, tick: int, share: float, seed: int = 1) -> DataFrame:
     """src, dst, t, change: a seeded share of tick's edges removed, each replaced by a past neighbour of its source not met at tick."""
     now = stream.where(F.col("t") == tick).select("src", "dst").distinct()
-    gone = now.where(F.pmod(F.xxhash64(F.lit(seed), "src", "dst"), F.lit(1000)) < int(share * 1000))
+    gone = now.where(draw(seed, "src", "dst") < share)
     past = stream.where(F.col("t") < tick).select("src", "dst").distinct().join(now, ["src", "dst"], "left_anti")
-    rank = lambda salt: F.row_number().over(Window.partitionBy("src").orderBy(F.xxhash64(F.lit(salt), "dst"), "dst"))
+    rank = lambda salt: F.row_number().over(Window.partitionBy("src").orderBy(draw_int(salt, "dst"), "dst"))
     added = past.withColumn("k", rank(seed)).join(gone.withColumn("k", rank(seed + 1)).select("src", "k"), ["src", "k"], "left_semi").select("src", "dst")
     t = F.lit(tick).cast("long").alias("t")
     return gone.select("src", "dst", t, F.lit("removed").alias("change")).unionAll(added.select("src", "dst", t, F.lit("added").alias("change")))
@@ -111,5 +112,4 @@ def block_model(spark, blocks: int, size: int, ticks: int, inside: float, across
     pairs = spark.range(n * n).select(F.expr(f"id div {n}").alias("u"), (F.col("id") % n).alias("v")).where("u < v")
     p: Column = F.when(F.expr(f"u div {size} = v div {size}"), inside).otherwise(across)
     grown = pairs.withColumn("p", p).select("u", "v", "p", F.explode(F.sequence(F.lit(1), F.lit(ticks))).alias("t"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "u", "v", "t"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return grown.where(draw < F.col("p")).select(F.col("u").cast("string").alias("src"), F.col("v").cast("string").alias("dst"), "t")
+    return grown.where(draw(seed, "u", "v", "t") < F.col("p")).select(F.col("u").cast("string").alias("src"), F.col("v").cast("string").alias("dst"), "t")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordering import RANGE, global_last, in_order, with_scalars
+from ..plans.ordering import RANGE, global_last, global_number, in_order, with_scalars
 
 
 def malicious_pairs(edges: DataFrame) -> DataFrame:
@@ -154,3 +154,76 @@ def reciprocal_rank(scores: DataFrame, group: str, positive: str = "positive") -
     """mrr: mean of one over the rank of each group's positive among its scores."""
     r = F.rank().over(Window.partitionBy(group).orderBy(F.desc("score")))
     return scores.withColumn("_r", r).where(positive).agg(F.avg(1 / F.col("_r")).alias("mrr"))
+
+
+def largest_graphs(edges: DataFrame, number: int, graph: str = "graph") -> DataFrame:
+    """graph, n_nodes, n_edges of the number largest graphs by nodes; the first one wins a tie."""
+    nodes = edges.select(graph, F.explode(F.array("src", "dst")).alias("node")).groupBy(graph).agg(F.count_distinct("node").alias("n_nodes"))
+    sizes = edges.groupBy(graph).agg(F.count("*").alias("n_edges")).join(nodes, graph)
+    return sizes.orderBy(F.desc("n_nodes"), graph).limit(number).select(graph, "n_nodes", "n_edges")
+
+
+def merged_graph(edges: DataFrame, chosen: DataFrame, graph: str = "graph") -> DataFrame:
+    """src, dst, n: the edges of the chosen graphs as one graph, with their multiplicity."""
+    return edges.join(chosen.select(graph), graph, "left_semi").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def merged_nodes(nodes: DataFrame, chosen: DataFrame, graph: str = "graph", order: str = "seq") -> DataFrame:
+    """id, value: nodes of the chosen graphs by id, though ids start again in each graph; the last one's value stays."""
+    held = nodes.join(chosen.select(graph), graph, "left_semi")
+    return held.groupBy("id").agg(F.max_by("value", order).alias("value"))
+
+
+def first_values(rows: DataFrame, column: str, number: int) -> DataFrame:
+    """The rows that hold one of the column's first distinct values."""
+    few = rows.select(column).distinct().orderBy(column).limit(number)
+    return rows.join(F.broadcast(few), column, "left_semi")
+
+
+def last_message(messages: DataFrame, t: str = "t") -> DataFrame:
+    """node, x, last: the mean of each node's messages (arrays x) by dimension, and their latest time."""
+    flat = messages.select("node", t, F.posexplode("x").alias("d", "v")).groupBy("node", "d").agg(F.avg("v").alias("v"), F.max(t).alias("last"))
+    return flat.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda s: s["v"]).alias("x"), F.max("last").alias("last"))
+
+
+def positions_in(rows: DataFrame, table: DataFrame, value: str, order: str) -> DataFrame:
+    """rows with position: the 1-based place of value among the table's distinct values in order of first occurrence, 0 if it is not there."""
+    firsts = table.groupBy(value).agg(F.min(order).alias("_first"))
+    placed = global_number(in_order(firsts, "_first", value), "position", "_m", RANGE).select(value, "position")
+    return rows.join(placed, value, "left").withColumn("position", F.coalesce("position", F.lit(0).cast("long")))
+
+
+def dense_adjacency(edges: DataFrame, size: int) -> DataFrame:
+    """u, row: the symmetric 0/1 matrix of a graph of nodes 1 .. size, a row each (size bounds a row, not the edges)."""
+    both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    held = both.groupBy("u").agg(F.collect_set("v").alias("_s"))
+    rows = edges.sparkSession.range(1, size + 1).select(F.col("id").alias("u")).join(held, "u", "left")
+    return rows.select("u", F.transform(F.sequence(F.lit(1).cast("long"), F.lit(size).cast("long")), lambda k: F.coalesce(F.array_contains("_s", k), F.lit(False)).cast("int")).alias("row"))
+
+
+def complement_pairs(left: DataFrame, right: DataFrame, edges: DataFrame) -> DataFrame:
+    """src, dst: all pairs of a left and another right node without an edge, as long as their product: the right
+    side's known targets are taken from the whole set by source, so no pair is joined only to be dropped."""
+    every = right.agg(F.array_sort(F.collect_set("node")).alias("_all"))
+    known = edges.groupBy(F.col("src").alias("node")).agg(F.collect_set("dst").alias("_known"))
+    held = left.select("node").distinct().join(known, "node", "left").crossJoin(F.broadcast(every))
+    rest = F.array_except("_all", F.array_append(F.coalesce("_known", F.array().cast("array<string>")), F.col("node")))
+    return held.select(F.col("node").alias("src"), F.explode(rest).alias("dst"))
+
+
+def injected_stream(stream: DataFrame, changes: DataFrame, t: str = "t") -> DataFrame:
+    """src, dst, t, label: the stream without the removed and with the added triplets of changes (src, dst, t, change);
+    a tick with a change is labelled."""
+    kept = stream.select("src", "dst", t).distinct().join(changes.where("change = 'removed'").select("src", "dst", t), ["src", "dst", t], "left_anti")
+    grown = kept.unionByName(changes.where("change = 'added'").select("src", "dst", t)).distinct()
+    marked = changes.select(t).distinct().withColumn("label", F.lit(1))
+    return grown.join(marked, t, "left").select("src", "dst", t, F.coalesce("label", F.lit(0)).alias("label"))
+
+
+def members(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, members: the ascending values of each group."""
+    return rows.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("members"))
+
+
+def group_sizes(rows: DataFrame, by: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.count("*").alias("n"))

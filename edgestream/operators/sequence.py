@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import path_depth
 from ..plans.ordering import RANGE, global_lag, global_lead, global_max, global_number, global_sum, in_order, with_scalars
 
 GAP = 301
@@ -224,3 +225,29 @@ def chained_rows(flows: DataFrame, minute: str = "minute") -> DataFrame:
     own = held.select(F.col(minute).alias("graph"), (2 * (F.col("_k") - 1)).alias("source"), (2 * F.col("_k") - 1).alias("target"))
     before = held.where("_k > 1").select(F.col(minute).alias("graph"), (2 * F.col("_k") - 3).alias("source"), (2 * F.col("_k") - 2).alias("target"))
     return own.unionAll(before)
+
+
+def scaled(rows: DataFrame, value: str) -> DataFrame:
+    """rows with standard, min_max and log of value, with statistics of all rows."""
+    x = F.col(value)
+    held = with_scalars(rows, _m=F.avg(value), _s=F.stddev_pop(value), _a=F.min(value), _z=F.max(value))
+    return held.withColumns({"standard": F.try_divide(x - F.col("_m"), F.col("_s")), "min_max": F.try_divide(x - F.col("_a"), F.col("_z") - F.col("_a")), "log": F.log1p(x)}).drop("_m", "_s", "_a", "_z")
+
+
+def both_directions(rows: DataFrame, value: str, seq: str = "seq") -> DataFrame:
+    """seq, direction, v: each row forward and backward; the sign of a value carries the direction."""
+    ways = F.array(F.struct(F.lit(1).alias("direction"), F.col(value).alias("v")), F.struct(F.lit(-1).alias("direction"), (-F.col(value)).alias("v")))
+    return rows.select(seq, F.inline(ways))
+
+
+def batch_summary(stream: DataFrame, size: int, clock: str = "clock") -> DataFrame:
+    """batch, n, mean_gap, mean_label of whole batches; a gap lies within a batch."""
+    held = batches(stream, size)
+    gap = F.col(clock) - F.lag(clock).over(Window.partitionBy("batch").orderBy("seq"))
+    return held.withColumn("gap", gap).groupBy("batch").agg(F.count("*").alias("n"), F.avg("gap").alias("mean_gap"), F.avg("label").alias("mean_label"))
+
+
+def depth_delta(paths: DataFrame) -> DataFrame:
+    """seq, delta: how the depth of consecutive paths differs."""
+    held = global_lag(paths, {"before": "path"}).where("before is not null")
+    return held.select("seq", F.abs(path_depth(F.col("path")) - path_depth(F.col("before"))).alias("delta"))

@@ -2,44 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import vectors as V
+from ..operators import learning as A
 from ..operators import relational as R
+from ..operators import sequence as S
 from ..sources import writers as K
 from . import frames as T
 from .catalog_relational import _FEATURED, _VEC, vectors
 from .catalog_sequence import ev, with_sql
-from .ordering import with_scalars
-
-
-def folds(s, d):
-    """Stratified folds: rows of a label dealt in turn, in the order of a key's digest."""
-    order = Window.partitionBy("label").orderBy(F.md5(F.col("seq").cast("string")))
-    return ev(s, d).select("seq", "label").withColumn("fold", (F.row_number().over(order) - 1) % 5)
-
-
-def split(s, d):
-    """70/15/15 by the rank of a seeded digest within a tick."""
-    share = F.percent_rank().over(Window.partitionBy("t").orderBy(F.md5(F.concat(F.lit("7-"), F.col("seq").cast("string")))))
-    return ev(s, d).select("seq", "t").withColumn("p", share).select("seq", F.when(F.col("p") < 0.7, "train").when(F.col("p") < 0.85, "valid").otherwise("test").alias("part"))
-
-
-def scaled(s, d):
-    held = with_scalars(T.events_clock(s, d), _m=F.avg("value"), _s=F.stddev_pop("value"), _a=F.min("value"), _z=F.max("value"))
-    return held.select("seq", F.round((F.col("value") - F.col("_m")) / F.col("_s"), 5).alias("standard"), F.round((F.col("value") - F.col("_a")) / (F.col("_z") - F.col("_a")), 6).alias("min_max"), F.round(F.log1p("value"), 6).alias("log"))
-
-
-def layer_lists(s, d):
-    return T.events_clock(s, d).select(F.expr(f"us div {T.HOUR_US}").alias("graph"), "event_type", "seq").groupBy("graph", "event_type").agg(F.sort_array(F.collect_list("seq")).alias("members"))
-
-
-def both_directions(s, d):
-    """Each event as a forward and a backward row; the sign of a value carries the direction."""
-    rows = F.array(F.struct(F.lit(1).alias("direction"), F.col("value").alias("v")), F.struct(F.lit(-1).alias("direction"), (-F.col("value")).alias("v")))
-    return T.events_clock(s, d).select("seq", F.inline(rows))
 
 
 QUERIES = {
@@ -49,15 +22,15 @@ QUERIES = {
     "interaction_rows": lambda s, d: K.interaction_rows(ev(s, d)),
     "query_truth_rows": lambda s, d: K.query_files(ev(s, d))[1],
     "md5_ids": lambda s, d: T.page_paths(s, d).select("seq", P.md5_mod(F.col("path")).alias("id")),
-    "attack_label": lambda s, d: T.events_clock(s, d).select("seq", F.when(F.lower("event_type").isin("view", "click"), 0).otherwise(1).alias("label")),
+    "attack_label": lambda s, d: T.events_clock(s, d).select("seq", P.is_attack_label(F.col("event_type"), ("view", "click")).alias("label")),
     "time_encoding": lambda s, d: ev(s, d).select("seq", F.transform(V.time_encoding(F.col("clock") % 1000, 4), lambda x: F.round(x, 5) + 0.0).alias("code")),
     "one_hot": lambda s, d: vectors(s, d).select("node", V.one_hot(F.col("label"), 10).alias("code")),
-    "stratified_folds": folds,
-    "random_split": split,
-    "scaled_values": scaled,
-    "layer_lists": layer_lists,
-    "both_directions": both_directions,
-    "group_sizes": lambda s, d: ev(s, d).groupBy("t").agg(F.count("*").alias("n")),
+    "stratified_folds": lambda s, d: A.stratified_folds(ev(s, d).select("seq", "label"), 5),
+    "random_split": lambda s, d: A.random_split(ev(s, d).select("seq", "t")).select("seq", "part"),
+    "scaled_values": lambda s, d: S.scaled(T.events_clock(s, d).select("seq", "value"), "value").select("seq", F.round("standard", 5).alias("standard"), F.round("min_max", 6).alias("min_max"), F.round("log", 6).alias("log")),
+    "layer_lists": lambda s, d: R.members(T.events_clock(s, d).select(F.expr(f"us div {T.HOUR_US}").alias("graph"), "event_type", "seq"), ["graph", "event_type"], "seq"),
+    "both_directions": lambda s, d: S.both_directions(T.events_clock(s, d), "value"),
+    "group_sizes": lambda s, d: R.group_sizes(ev(s, d), "t"),
     "endpoint_filter": lambda s, d: R.subset_nodes(ev(s, d), ev(s, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).where("n > 60")).select("seq"),
 }
 

@@ -155,7 +155,6 @@ QUERIES = {
     "cms_estimates": lambda s, d: C.sketch_estimates(li(s, d), SKETCH, COLUMNS),
     "sketch_scores": lambda s, d: C.sketch_scores(ev(s, d).select("seq", "t", F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"), F.lit(0).alias("stream_id")), fade=0.5).select("seq", F.round("score", 5).alias("score")),
     "reservoir_sample": lambda s, d: G.reservoir(ev(s, d), 200).select("seq", "src", "dst"),
-    "random_walks": lambda s, d: G.random_walks(G.both_ways(supplier_parts(s, d)), supplier_parts(s, d).select(F.col("u").alias("node")).distinct(), 4),
     "fixed_fanout": lambda s, d: G.fixed_fanout(li(s, d), 8),
     "bridge_score": lambda s, d: W.bridge_scores(ev(s, d).withColumn("stream_id", F.lit(0))),
     "frequency_factor": lambda s, d: W.factor_scores(ev(s, d).withColumn("stream_id", F.lit(0))),

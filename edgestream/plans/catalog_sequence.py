@@ -55,12 +55,12 @@ QUERIES = {
     "session_islands": lambda s, d: S.sessions(paths(s, d), 7200).select("seq", "stream_id", "session"),
     "gap_quartiles_by_count": lambda s, d: S.gap_quartiles_by_count(S.gap_rows(ev(s, d), "before")).select("seq", "quartile"),
     "gap_quartiles_by_position": lambda s, d: S.gap_quartiles_by_position(ev(s, d)).select("seq", "quartile"),
-    "batch_summary": lambda s, d: batch_summary(s, d),
+    "batch_summary": lambda s, d: S.batch_summary(ev(s, d), 64).select("batch", "n", *_r("mean_gap", "mean_label")),
     "batch_depths": lambda s, d: S.batches(urls(s, d), 40).select("seq", "batch", P.path_depth(F.col("path")).alias("depth")),
     "path_depth": lambda s, d: urls(s, d).select("seq", P.path_depth(F.col("path")).alias("depth")),
     "path_tree_distance": lambda s, d: global_lag(urls(s, d), {"before": "path"}).where("before is not null").select("seq", P.tree_distance(F.col("before"), F.col("path")).alias("distance")),
     "path_edges": lambda s, d: urls(s, d).select("seq", F.inline(P.path_edges(F.col("path")))),
-    "depth_delta": lambda s, d: global_lag(urls(s, d), {"before": "path"}).where("before is not null").select("seq", F.abs(P.path_depth(F.col("path")) - P.path_depth(F.col("before"))).alias("delta")),
+    "depth_delta": lambda s, d: S.depth_delta(urls(s, d)),
     "idle_padding": lambda s, d: S.idle_padding(ev(s, d), 300),
     "fill_pair_gaps": lambda s, d: S.fill_pair_gaps(ev(s, d), 20000).groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("clock").alias("first"), F.max("clock").alias("last")),
     "tail_padding": lambda s, d: S.tail_padding(ev(s, d), 10, 5),
@@ -82,14 +82,6 @@ def halves(s, d):
     return log.where("label = 0"), log.where("label = 1")
 
 
-def batch_summary(s, d):
-    from pyspark.sql import Window
-
-    held = S.batches(ev(s, d), 64)
-    gap = F.col("clock") - F.lag("clock").over(Window.partitionBy("batch").orderBy("seq"))
-    return held.withColumn("gap", gap).groupBy("batch").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 6).alias("mean_gap"), F.round(F.avg("label"), 6).alias("mean_label"))
-
-
 def second_difference(s, d):
     from ..operators.relational import activity
 

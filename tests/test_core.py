@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from edgestream.functions import paths as P
 from edgestream.functions import vectors as V
-from edgestream.operators import evaluation, graphs, injection, linkstream, memory, microcluster, relational, sequence, walkscore
-from edgestream.plans import catalog_relational, catalog_sequence, ordering
+from edgestream.operators import evaluation, graphs, injection, linkstream, memory, microcluster, relational, sampling, sequence, walkscore
+from edgestream.plans import catalog_graphs, catalog_relational, catalog_sequence, ordering
 from edgestream.sources import readers, writers
 
 
@@ -146,7 +146,7 @@ def test_relational_edge_cases(spark):
 def test_walks_follow_edges(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "a")], "u string, v string")
     known = {("a", "b"), ("b", "c"), ("b", "a")}
-    for r in graphs.random_walks(e, spark.createDataFrame([("a",), ("c",)], "node string"), 5).collect():
+    for r in sampling.walks(e, spark.createDataFrame([("a",), ("c",)], "node string"), 5).collect():
         assert all(p in known for p in zip(r.path, r.path[1:], strict=False)) and (r.start != "c" or r.path == ["c"])
 
 
@@ -274,7 +274,7 @@ def test_pagerank_queries_reach_the_limit_on_the_whole_graph(spark, monkeypatch)
         got = {r.node: r.rank for r in catalog_relational.QUERIES[name](spark, "").collect()}
         want = plain_ranks(named + [(v, u) for u, v in named], nodes, name == "pagerank_v2")
         assert got.keys() == nodes and sum(abs(got[n] - want[n]) for n in nodes) < 1e-3  # the reference's residual
-    assert {r.start for r in catalog_relational.QUERIES["random_walks"](spark, "").collect()} == {u for u, _ in named}
+    assert {r.start for r in catalog_graphs.QUERIES["random_walks"](spark, "").collect()} == {u for u, _ in named}
 
 
 def test_derivative_query_uses_the_operators_rounds(spark, monkeypatch):
