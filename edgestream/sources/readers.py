@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import chain_parts
+from ..plans.ordering import RANGE, global_number, in_order
 
 LOG = "id long, date string, time string, session_id long, depth int, path string"
 
@@ -77,7 +78,7 @@ def weighted_edges(spark: SparkSession, path: str, separator: str = ",") -> Data
 
 
 def column_split_stream(spark: SparkSession, features: str, labels: str, size: str | None = None) -> DataFrame:
-    """seq, u, v, t, label of two files aligned by line; the size file, if given, must agree. Each is one file."""
+    """seq, u, v, t, label of two files aligned by line; the size file, if given, must agree."""
     left = _lines(spark, features, "u long, v long, t long")
     right = _lines(spark, labels, "label double")
     held = left.join(right, "seq")
@@ -89,9 +90,11 @@ def column_split_stream(spark: SparkSession, features: str, labels: str, size: s
 
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file's rows with their line number from 0: wholetext keeps a file in one piece, and its lines are counted by place."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n+$", ""), "\n")).alias("seq", "line"))
-    return whole.select(F.col("seq").cast("long"), F.from_csv("line", schema).alias("r")).select("seq", "r.*")
+    """The rows of a file, or of part files in the order of their names, with their line number from 0: lines are
+    ordered by file, block and place in the block, and counted over the ranges."""
+    held = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_i"))
+    placed = global_number(in_order(held, "_f", "_s", "_i"), "_k", "_m", RANGE)
+    return placed.select((F.col("_k") - 1).alias("seq"), F.from_csv("line", schema).alias("r")).select("seq", "r.*")
 
 
 def spaced_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -149,7 +152,7 @@ def adjacency_lists(spark: SparkSession, path: str, comment: str = "#") -> DataF
     """u, v of lines "node neighbour neighbour ..."; comment lines are skipped."""
     f = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where(~F.trim("value").startswith(comment) & (F.trim("value") != ""))
-    return rows.select(f[0].cast("long").alias("u"), F.explode(F.slice(f, F.lit(2), F.size(f))).cast("long").alias("v"))
+    return rows.select(f[0].cast("long").alias("u"), F.explode(F.transform(F.slice(f, F.lit(2), F.size(f)), lambda x: x.cast("long"))).alias("v"))
 
 
 def edge_list(spark: SparkSession, path: str, comment: str = "%") -> DataFrame:

@@ -136,3 +136,44 @@ def node_link_rows(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def adjacency_lines(edges: DataFrame) -> DataFrame:
     """value: "node neighbour neighbour ..." of each source."""
     return edges.groupBy("u").agg(F.sort_array(F.collect_set("v")).alias("n")).select("u", F.concat_ws(" ", F.col("u").cast("string"), F.transform("n", lambda x: x.cast("string"))).alias("value"))
+
+
+def map_lines(ids: DataFrame, key: str, value: str) -> DataFrame:
+    """k, value: the lines of one JSON object of key to value, so that a map of any size is written in parts."""
+    from ..plans.ordering import RANGE, global_number, in_order, with_scalars
+
+    held = with_scalars(global_number(in_order(ids.select(key, value), key), "k", "_m", RANGE), _n=F.count("*"))
+    pair = F.concat(F.to_json(F.struct(F.col(key).cast("string").alias("x"))), F.lit(""))
+    name = F.expr("substring(p, 6, length(p) - 6)")
+    own = held.withColumn("p", pair).select("k", F.concat(name, F.lit(": "), F.col(value).cast("string"), F.when(F.col("k") < F.col("_n"), ",").otherwise("")).alias("value"))
+    ends = ids.sparkSession.createDataFrame([(0, "{"), ((1 << 62), "}")], "k long, value string")
+    return own.unionByName(ends)
+
+
+def write_map(ids: DataFrame, path: str, key: str, value: str) -> None:
+    map_lines(ids, key, value).orderBy("k").select("value").write.text(path)
+
+
+def graph_text(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """graph, value: the text block of each graph, "n label" and a line "tag degree neighbour ..." for each node
+    (rows graph, node, tag, neighbours; nodes from 0)."""
+    line = F.concat_ws(" ", F.col("tag").cast("string"), F.size("neighbours").cast("string"), F.transform("neighbours", lambda x: x.cast("string")))
+    own = nodes.select("graph", "node", line.alias("line")).groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("node", "line"))).alias("l"))
+    held = own.join(labels, "graph")
+    return held.select("graph", F.concat_ws("\n", F.concat_ws(" ", F.size("l").cast("string"), F.col("label").cast("string")), F.transform("l", lambda x: x["line"])).alias("value"))
+
+
+def write_graph_text(nodes: DataFrame, labels: DataFrame, path: str) -> None:
+    """One file: the number of graphs, then their blocks (a training set's file; it is sorted into one part)."""
+    blocks = graph_text(nodes, labels)
+    head = blocks.agg(F.count("*").cast("string").alias("value")).select(F.lit(0).alias("o"), F.lit(0).cast("long").alias("graph"), "value")
+    blocks.select(F.lit(1).alias("o"), F.col("graph").cast("long").alias("graph"), "value").unionByName(head).orderBy("o", "graph").coalesce(1).select("value").write.text(path)
+
+
+def write_node_links(nodes: DataFrame, links: DataFrame, path: str) -> None:
+    """One JSON document {"graphs": [...]}, a graph a line."""
+    rows = node_link_rows(nodes, links)
+    last = rows.agg(F.max("graph").alias("_last"))
+    body = rows.crossJoin(F.broadcast(last)).select(F.lit(1).alias("o"), F.col("graph").cast("string").alias("g"), F.concat("value", F.when(F.col("graph") < F.col("_last"), ",").otherwise("")).alias("value"))
+    ends = rows.sparkSession.createDataFrame([(0, "", '{"graphs": ['), (2, "", "]}")], "o int, g string, value string")
+    body.unionByName(ends).orderBy("o", "g").coalesce(1).select("value").write.text(path)
