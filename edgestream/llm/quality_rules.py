@@ -5,7 +5,7 @@ distinct normalised lines (A-Z folded, white space runs as one space), written a
 a row id. Lines are counted per host over distinct texts (exact copies of a text are one document, so
 a copied document is not mistaken for boilerplate) with map-side partial counts; only lines above the
 limit are joined back, an equi-join that adaptive execution broadcasts or splits where it is skewed.
-A document that keeps less than MIN_KEPT_PERCENT of its words is depleted, and rejected; of the others
+A document that keeps less than MIN_KEPT_PERCENT of its words, or fewer than MIN_WORDS, is depleted, and rejected; of the others
 keep_good() returns the text without those lines. Texts are shuffled only where the frequent lines are
 more than a task can hold.
 
@@ -175,7 +175,8 @@ def judge(measured: DataFrame, least: int = LEAST_LINE_DOCUMENTS, percent: float
     n, gone = F.col("n_words"), F.coalesce("n_removed", F.lit(0).cast("long"))
     out = measured.drop("lines").join(removed, "rid", "left").withColumn("n_removed", gone)
     out = out.withColumn("base_failed", (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n))
-    return out.withColumn("kept", ~F.col("base_failed") & (100 * (n - F.col("n_removed")) >= min_kept_percent * n))
+    left = n - F.col("n_removed")
+    return out.withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (100 * left >= min_kept_percent * n))
 
 
 def quality(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -247,7 +248,7 @@ def _clean_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.Recor
                     out[own] |= (lines.n_words[own] > 0) & np.isin(lines.name[own].view(np.int64), np.array(names, np.int64))
             removed = np.bincount(lines.doc[out], lines.n_words[out], len(n)).astype(np.int64)
             repeats = repeated_words(span_hashes(raw, starts, ends, None), first)
-            kept = (n >= MIN_WORDS) & (100 * repeats <= MAX_REPEAT_PERCENT * n) & (100 * (n - removed) >= MIN_KEPT_PERCENT * n)
+            kept = (n >= MIN_WORDS) & (100 * repeats <= MAX_REPEAT_PERCENT * n) & (n - removed >= MIN_WORDS) & (100 * (n - removed) >= MIN_KEPT_PERCENT * n)
             if (removed > 0).any():
                 row = _with_text(row, [_without(raw, lines, out, d) if removed[d] and kept[d] else texts[d].as_py() for d in range(len(n))])
             yield pa.RecordBatch.from_arrays([row], ["row"]).filter(pa.array(kept))

@@ -141,7 +141,7 @@ base AS (
   FROM d LEFT JOIN dup USING (rid) LEFT JOIN again USING (rid) LEFT JOIN gone USING (rid)),
 failed AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND 100 * (n_words - n_gone) >= {quality_rules.MIN_KEPT_PERCENT} * n_words AS kept
+       NOT base_failed AND n_words - n_gone >= {quality_rules.MIN_WORDS} AND 100 * (n_words - n_gone) >= {quality_rules.MIN_KEPT_PERCENT} * n_words AS kept
 FROM failed
 """
 
