@@ -44,7 +44,7 @@ SQL = {
     "column_split_rows": with_sql(", ends AS (SELECT src AS node, seq AS p FROM ev UNION ALL SELECT dst, seq + 1 + (SELECT max(seq) FROM ev) FROM ev), ids AS (SELECT node, row_number() OVER (ORDER BY min(p)) - 1 AS id FROM ends GROUP BY node) SELECT seq, a.id AS u, b.id AS v, clock AS t, label FROM ev JOIN ids a ON a.node = src JOIN ids b ON b.node = dst"),
     "interaction_rows": with_sql(_IDS + " SELECT u, v AS i, clock - (SELECT min(clock) FROM ev) + 1 AS ts, label, row_number() OVER (ORDER BY seq) - 1 AS idx FROM named"),
     "query_truth_rows": with_sql("SELECT src, dst, t, label FROM ev WHERE (src, dst) IN (SELECT (src, dst) FROM ev WHERE label = 1)"),
-    "md5_ids": f"WITH {T.URL} SELECT seq, CAST(('0x' || substr(md5(path), 1, 15))::BIGINT % 100000000 AS BIGINT) AS id FROM urls",
+    "md5_ids": f"WITH {T.URL} SELECT seq, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(8), lambda k: CAST('0x' || substr(md5(path), k * 4 + 1, 4) AS BIGINT))), lambda a, b: (a * 65536 + b) % 100000000) AS id FROM urls",
     "attack_label": with_sql("SELECT seq, CASE WHEN lower(event_type) IN ('view', 'click') THEN 0 ELSE 1 END AS label FROM clocked"),
     "time_encoding": with_sql("SELECT seq, list_transform(range(4), lambda k: round(cos(clock % 1000 * pow(10.0, -3.0 * k)), 5) + 0.0) AS code FROM ev"),
     "one_hot": f"WITH {_VEC} SELECT node, list_transform(range(10), lambda k: CAST(k = label AS INTEGER)) AS code FROM v",
@@ -56,7 +56,6 @@ SQL = {
     "group_sizes": with_sql("SELECT t, count(*) AS n FROM ev GROUP BY t"),
     "endpoint_filter": with_sql(", n AS (SELECT src AS node FROM ev GROUP BY src HAVING count(*) > 60) SELECT seq FROM ev WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)"),
 }
-del SQL["md5_ids"]  # a 128-bit modulus has no portable SQL; tests hold it against Python
 
 _STEP = "0.5 * (1 - 0.3 * (nu.a / (nu.a + 10)))"
 _ROUTE = ", ".join(f"{_STEP} * m.m{k} + (1 - {_STEP}) * nu.x{k} AS m{k}" for k in range(3))

@@ -197,6 +197,29 @@ m AS (SELECT u, v, CAST(count(*) AS DOUBLE) AS w FROM b GROUP BY ALL), sh AS (SE
 r AS (SELECT node, sum(mass) AS raw FROM ({every}) GROUP BY node) SELECT node, round(raw / (SELECT sum(raw) FROM r), 6) AS rank FROM r"""
 
 
+def _derivative(rounds: int = 10) -> str:
+    """Both ranks of the cumulative graph of each day, their first and second differences, normalised as they come."""
+    out = """, de AS (SELECT (t - 1) // 24 AS t, src, dst FROM ev), tk AS (SELECT DISTINCT t AS tick FROM de), nd AS (SELECT src AS node FROM de UNION SELECT dst FROM de),
+gr AS (SELECT src, dst, t, sum(n) OVER (PARTITION BY src, dst ORDER BY t) AS w, lead(t) OVER (PARTITION BY src, dst ORDER BY t) AS u FROM (SELECT src, dst, t, count(*) AS n FROM de GROUP BY ALL)),
+al AS (SELECT tick, src, dst, w FROM gr JOIN tk ON tick >= t AND (u IS NULL OR tick < u))"""
+    for k, share, start in (
+        (1, "1.0::DOUBLE / count(*) OVER (PARTITION BY tick, src)", "SELECT tick, node, 0.5::DOUBLE / (SELECT count(*) FROM nd) AS mass FROM nd, tk"),
+        (2, "w / sum(w) OVER (PARTITION BY tick, src)", "SELECT tick, src AS node, 0.5::DOUBLE * sum(w) / sum(sum(w)) OVER (PARTITION BY tick) AS mass FROM al GROUP BY tick, src"),
+    ):
+        flows = "".join(f", f{k}_{i + 1} AS (SELECT tick, dst AS node, sum(0.5::DOUBLE * mass * share) AS mass FROM f{k}_{i} JOIN sh{k} USING (tick) WHERE node = src GROUP BY tick, dst)" for i in range(rounds))
+        every = " UNION ALL ".join(f"SELECT * FROM f{k}_{i}" for i in range(rounds + 1))
+        out += f", sh{k} AS (SELECT tick, src, dst, {share} AS share FROM al), f{k}_0 AS ({start}){flows}, r{k} AS (SELECT tick, node, sum(mass) / sum(sum(mass)) OVER (PARTITION BY tick) AS r FROM ({every}) GROUP BY tick, node)"
+    names = ("d1", "e1", "d2", "e2")
+    out += """, fu AS (SELECT r1.tick AS t, r1.node, r1.r AS r1, coalesce(r2.r, 0) AS r2, row_number() OVER (PARTITION BY r1.node ORDER BY r1.tick) - 1 AS k FROM r1 LEFT JOIN r2 USING (tick, node)),
+df AS (SELECT *""" + "".join(f", CASE WHEN k > 0 THEN r{i} - lag(r{i}) OVER w ELSE 0.0 END AS d{i}, CASE WHEN k > 1 THEN r{i} - 2 * lag(r{i}) OVER w + lag(r{i}, 2) OVER w ELSE 0.0 END AS e{i}" for i in (1, 2)) + " FROM fu WINDOW w AS (PARTITION BY node ORDER BY t))"
+    out += ", st AS (SELECT t, " + ", ".join(f"{d}, avg({d}) OVER w AS {d}_m, avg({d} * {d}) OVER w AS {d}_v" for d in names) + " FROM df WINDOW w AS (PARTITION BY node ORDER BY t))"
+    sd = "sqrt(greatest(0.0, {0}_v - {0}_m * {0}_m))"
+    out += ", nm AS (SELECT t, " + ", ".join(f"CASE WHEN {sd.format(d)} > 1e-15 THEN ({d} - {d}_m) / {sd.format(d)} ELSE {d} END AS {d}" for d in names) + " FROM st)"
+    out += ", su AS (SELECT t, " + ", ".join(f"sum(abs({d})) AS {d}_s, max(abs({d})) AS {d}_x" for d in names) + " FROM nm GROUP BY t)"
+    parts = ", ".join(f"{d}_s * " + " * ".join(f"{o}_x" for o in names if o != d) for d in names)
+    return out + f" SELECT t, round(greatest({parts}), 4) AS score FROM su"
+
+
 def _relational_key(name: str, key: str) -> str:
     return f""", {name}k AS (SELECT {key} AS k, t, j, count(*) AS n FROM evj GROUP BY ALL),
 {name}h AS (SELECT a.k, a.t, coalesce(sum(b.n), 0) AS bs, coalesce(sum(b.n * pow(0.5, a.j - b.j)), 0) AS ba FROM {name}k a LEFT JOIN {name}k b ON a.k = b.k AND b.j < a.j GROUP BY ALL),
@@ -204,6 +227,18 @@ def _relational_key(name: str, key: str) -> str:
 
 
 _CHI = "CASE WHEN ev.t <= 1 THEN 0.0 ELSE pow(({0}.a - {0}.s / ev.t) * ev.t, 2) / ({0}.s * (ev.t - 1)) END"
+#: A key's total and current count before each tick of the stream, from its first one on; "score" is that of its last tick with edges.
+_FILTERING = """, tj AS (SELECT t, row_number() OVER (ORDER BY t) AS j, lag(t) OVER (ORDER BY t) AS p FROM (SELECT DISTINCT t FROM ev)),
+ks AS (SELECT seq, t, 'e' || src || ',' || dst AS key FROM ev UNION ALL SELECT seq, t, 's' || src FROM ev UNION ALL SELECT seq, t, 'd' || dst FROM ev),
+kc AS (SELECT key, t, count(*) AS n FROM ks GROUP BY ALL), kf AS (SELECT key, min(t) AS a, max(t) AS z FROM kc GROUP BY key),
+fo AS (SELECT key, j, t, z, 0.0::DOUBLE AS ba, 0.0::DOUBLE AS total, n::DOUBLE AS cur, 0.0::DOUBLE AS score FROM kf JOIN kc USING (key) JOIN tj USING (t) WHERE t = a
+  UNION ALL
+  SELECT key, j, t, z, cur, total, cur + n, CASE WHEN n = 0 THEN score WHEN total = 0 THEN 0.0 ELSE pow(cur + n + total - (cur + n) * t, 2) / (total * (t - 1)) END
+  FROM (SELECT fo.key, tj.j, tj.t, z, cur * 0.5 AS cur, score, coalesce(kc.n, 0) AS n,
+      total + CASE WHEN score < 1000 THEN cur WHEN tj.p > 1 THEN total * (1.0::DOUBLE / (tj.p - 1)) ELSE 0.0 END AS total
+    FROM fo JOIN tj ON tj.j = fo.j + 1 AND tj.t <= fo.z LEFT JOIN kc ON kc.key = fo.key AND kc.t = tj.t)),
+sk AS (SELECT seq, ks.t, fo.ba + row_number() OVER (PARTITION BY ks.key, ks.t ORDER BY seq) AS a, total AS s FROM ks JOIN fo ON fo.key = ks.key AND fo.t = ks.t)
+SELECT ev.seq, ev.t, ev.label, round(max(CASE WHEN s = 0 THEN 0.0 ELSE pow(a + s - a * sk.t, 2) / (s * (sk.t - 1)) END), 6) AS score FROM sk JOIN ev ON ev.seq = sk.seq GROUP BY ev.seq, ev.t, ev.label"""
 _LINK = """, q AS (SELECT DISTINCT src, dst FROM ev WHERE label = 1 AND {where}), h AS (SELECT DISTINCT src, dst, t FROM ev JOIN q USING (src, dst)),
 sp AS ({spine}), c AS (SELECT sp.src, sp.dst, sp.t, count(h.t) AS seen, min(h.t) AS a, max(h.t) AS z FROM sp LEFT JOIN h ON h.src = sp.src AND h.dst = sp.dst AND h.t >= sp.t - {w} AND h.t < sp.t GROUP BY ALL),
 x AS (SELECT c.*, CASE WHEN h.t IS NULL THEN 0 ELSE 1 END AS x, CASE WHEN a IS NULL OR z = a THEN 0.0 ELSE seen / (z - a + 1) END AS p FROM c LEFT JOIN h USING (src, dst, t))
@@ -290,4 +325,6 @@ SQL = {
     "online_centroid_update": f"WITH {_VEC}, c AS (SELECT label, i, avg(y) FILTER (node % 2 = 0) AS c0, count(*) FILTER (node % 2 = 0) AS n0, avg(y) FILTER (node % 2 = 1) AS c1, count(*) FILTER (node % 2 = 1) AS n1 FROM (SELECT label, node, unnest(range(1, 65)) AS i, unnest(x) AS y FROM v) GROUP BY ALL) SELECT label, list(round((0.7 * c0 * n0 + 0.3 * c1 * n1) / (0.7 * n0 + 0.3 * n1), 5) + 0.0 ORDER BY i) AS x FROM c GROUP BY label",
     "cms_estimates": f"WITH {T.LI}, h AS (SELECT u, v, r, ((CASE WHEN w < 0 THEN w + {COLUMNS} ELSE w END)) AS c FROM (SELECT u, v, r, (((((u + 104729 * v + 2147483648) % 4294967296 - 2147483648) * p + q + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) % {COLUMNS} AS w FROM li, (VALUES (0, 16807, 11), (1, 48271, 7), (2, 69621, 3)) f(r, p, q))), cell AS (SELECT r, c, count(*) AS value FROM h GROUP BY ALL) SELECT u, v, n, min(value) AS estimate FROM (SELECT u, v, r, c, count(*) AS n FROM h GROUP BY ALL) JOIN cell USING (r, c) GROUP BY ALL",
     "sketch_scores": with_sql(_sketch()),
+    "microcluster_filtering": f"WITH RECURSIVE {T.EV}{_FILTERING}",
+    "derivative_scores": with_sql(_derivative()),
 }
