@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance
 
 DECAY = 0.5
-#: Updates that a memory looks back: the decay is at most one half, so older ones weigh below 2^-64.
-FRAME = 64
+#: Updates of a chunk of a node's history. The decay is at most one half, so what lies before the last chunk weighs
+#: below 2^-64, and at least .35, so that weights within a chunk stay far from a double's limits.
+CHUNK = 64
+#: Values of a feature vector.
+WIDTH = 3
 
 
 def _ends(featured: DataFrame) -> DataFrame:
@@ -19,30 +22,36 @@ def _ends(featured: DataFrame) -> DataFrame:
     return both.withColumn("a", F.row_number().over(Window.partitionBy("node").orderBy("seq", "end")) - 1)
 
 
-def _fold(history: Column) -> Column:
-    """The memory after updates (a, f): the first value as it is, then d m + (1 - d) x, d = .5 (1 - .3 a / (a + 10))."""
+def _remembered(updates: DataFrame, width: int) -> DataFrame:
+    """updates (node, a, f, ...) with memory: the first f as it is, then d m + (1 - d) f, d = .5 (1 - .3 a / (a + 10)).
 
-    def step(m: Column, x: Column) -> Column:
-        d = DECAY * (1 - 0.3 * (x["a"] / (x["a"] + 10)))
-        return F.when(m.isNull(), x["f"]).otherwise(F.zip_with(m, x["f"], lambda p, q: d * p + (1 - d) * q))
-
-    return F.aggregate(history, F.lit(None).cast("array<double>"), step)
+    Within a chunk the memory is a running sum of weighted values times the decay so far; of the chunk before, its
+    last memory is carried over. No row gathers a history.
+    """
+    w = Window.partitionBy("node", "_c").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
+    d = DECAY * (1 - 0.3 * (F.col("a") / (F.col("a") + 10)))
+    held = updates.withColumn("_c", F.floor(F.col("a") / CHUNK)).withColumn("_d", F.exp(F.sum(F.log(d)).over(w)))
+    weight = F.when(F.col("a") == 0, F.lit(1.0)).otherwise(1 - d) / F.col("_d")
+    held = held.withColumns({f"_m{k}": F.col("_d") * F.sum(F.col("f")[k] * weight).over(w) for k in range(width)})
+    last = held.where(F.col("a") % CHUNK == CHUNK - 1).select("node", (F.col("_c") + 1).alias("_c"), *(F.col(f"_m{k}").alias(f"_b{k}") for k in range(width)))
+    carried = held.join(last, ["node", "_c"], "left")
+    memory = F.array(*(F.col(f"_m{k}") + F.col("_d") * F.coalesce(f"_b{k}", F.lit(0.0)) for k in range(width)))
+    return carried.select(*updates.columns, memory.alias("memory"))
 
 
-def memories(featured: DataFrame) -> DataFrame:
-    """node, seq, end, memory after each update (rows seq, src, dst, f array<double>)."""
-    w = Window.partitionBy("node").orderBy("seq", "end").rowsBetween(-(FRAME - 1), 0)
-    return _ends(featured).withColumn("h", F.collect_list(F.struct("a", "f")).over(w)).select("node", "seq", "end", _fold(F.col("h")).alias("memory"))
+def memories(featured: DataFrame, width: int = WIDTH) -> DataFrame:
+    """node, seq, end, memory after each update (rows seq, src, dst, f array<double> of width values)."""
+    return _remembered(_ends(featured), width).select("node", "seq", "end", "memory")
 
 
-def edge_scores(featured: DataFrame) -> DataFrame:
+def edge_scores(featured: DataFrame, width: int = WIDTH) -> DataFrame:
     """seq, score: distance of the two ends' memories after the edge's own updates."""
-    m = memories(featured)
+    m = memories(featured, width)
     both = m.groupBy("seq").agg(F.max(F.when(F.col("end") == 0, F.col("memory"))).alias("p"), F.max(F.when(F.col("end") == 1, F.col("memory"))).alias("q"))
     return both.select("seq", l2_distance(F.col("p"), F.col("q")).alias("score"))
 
 
-def window_scores(windowed: DataFrame, lag: int = 2) -> DataFrame:
+def window_scores(windowed: DataFrame, lag: int = 2, width: int = WIDTH) -> DataFrame:
     """window, score of rows (window, seq, src, dst, f): how far the memories moved since lag windows before.
 
     Windows overlap, and an edge updates again in each. The score is .5 p75 + .3 median + .2 mean of the
@@ -50,8 +59,8 @@ def window_scores(windowed: DataFrame, lag: int = 2) -> DataFrame:
     """
     both = windowed.select("window", "seq", F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0).alias("end")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("end")))).alias("e"), "f").select("window", "seq", "e.node", "e.end", "f")
     order = Window.partitionBy("node").orderBy("window", "seq", "end")
-    held = both.withColumn("a", F.row_number().over(order) - 1).withColumn("h", F.collect_list(F.struct("a", "f")).over(order.rowsBetween(-(FRAME - 1), 0)))
-    last = held.withColumn("k", F.row_number().over(Window.partitionBy("node", "window").orderBy(F.desc("seq"), F.desc("end")))).where("k = 1").select("node", "window", _fold(F.col("h")).alias("m"))
+    held = _remembered(both.withColumn("a", F.row_number().over(order) - 1), width)
+    last = held.groupBy("node", "window").agg(F.max_by("memory", "a").alias("m"))
     before = last.select("node", (F.col("window") + lag).alias("window"), F.col("m").alias("m0"))
     moved = last.join(before, ["node", "window"]).withColumn("d", l2_distance(F.col("m"), F.col("m0")))
     scores = moved.groupBy("window").agg((0.5 * F.percentile("d", F.lit(0.75)) + 0.3 * F.median("d") + 0.2 * F.avg("d")).alias("score"))

@@ -40,21 +40,17 @@ def decayed_counts(keyed: DataFrame, fade: float = FADE) -> DataFrame:
     return held.select("key", "t", "before_s", faded.alias("before_a"))
 
 
-def _key_scores(edges: DataFrame, key: Column, fade: float) -> DataFrame:
-    keyed = edges.withColumn("key", key)
-    k = F.row_number().over(Window.partitionBy("key", "t").orderBy("seq"))
-    held = keyed.withColumn("_k", k).join(decayed_counts(keyed, fade), ["key", "t"])
-    return held.select("seq", chi_score(F.col("before_a") + F.col("_k"), (F.col("before_s") + F.col("_k")).cast("double"), F.col("t")).alias("s"))
-
-
 def relational(edges: DataFrame, fade: float = FADE) -> DataFrame:
-    """seq, score: the largest of the scores of the edge, its source and its target, with decayed current counts."""
-    numbered = edges.join(F.broadcast(tick_numbers(edges)), "t")
-    keys = {"edge": F.struct("src", "dst"), "source": F.struct("src"), "target": F.struct("dst")}
-    out = edges.select("seq", "t", "label")
-    for name, key in keys.items():
-        out = out.join(_key_scores(numbered, key, fade).withColumnRenamed("s", name), "seq")
-    return out.select("seq", "t", "label", F.greatest(*keys).alias("score"))
+    """seq, score: the largest of the scores of the edge, its source and its target, with decayed current counts.
+
+    An edge's three keys go through one pass together, and its best one is aggregated back.
+    """
+    keys = F.array(*(F.struct(F.lit(k).alias("kind"), a.alias("a"), b.alias("b")) for k, (a, b) in enumerate(((F.col("src"), F.col("dst")), (F.col("src"), F.lit("")), (F.col("dst"), F.lit(""))))))
+    keyed = edges.join(tick_numbers(edges), "t").select("seq", "t", "j", "label", F.explode(keys).alias("key"))
+    in_tick = F.row_number().over(Window.partitionBy("key", "t").orderBy("seq"))
+    held = keyed.withColumn("_k", in_tick).join(decayed_counts(keyed, fade), ["key", "t"])
+    score = chi_score(F.col("before_a") + F.col("_k"), (F.col("before_s") + F.col("_k")).cast("double"), F.col("t"))
+    return held.groupBy("seq").agg(F.first("t").alias("t"), F.first("label").alias("label"), F.max(score).alias("score"))
 
 
 def _filter_fold(ticks: list[int], threshold: float, fade: float):

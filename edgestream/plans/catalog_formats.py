@@ -66,8 +66,9 @@ _MEMORIES = f"""
 m AS (SELECT nu.*, x0 AS m0, x1 AS m1, x2 AS m2 FROM nu WHERE a = 0 UNION ALL SELECT nu.*, {_ROUTE} FROM m JOIN nu ON nu.node = m.node AND nu.a = m.a + 1)"""
 _ONCE = "nu AS (SELECT node, ends.seq, e, x0, x1, x2, row_number() OVER (PARTITION BY node ORDER BY ends.seq, e) - 1 AS a FROM ends JOIN ft ON ft.seq = ends.seq),"
 _APART = "sqrt(pow(p.m0 - q.m0, 2) + pow(p.m1 - q.m1, 2) + pow(p.m2 - q.m2, 2))"
-SQL["edge_memory_score"] = f"{_MEMORY}{_ONCE}{_MEMORIES} SELECT p.seq, round({_APART}, 5) AS score FROM m p JOIN m q ON p.seq = q.seq AND p.e = 0 AND q.e = 1"
-SQL["node_memory_ema"] = f'{_MEMORY}{_ONCE}{_MEMORIES} SELECT node, seq, e AS "end", [round(m0, 8) + 0.0, round(m1, 8) + 0.0, round(m2, 8) + 0.0] AS memory FROM m'
+_SINGLE = "CAST(CAST({} AS FLOAT) AS DOUBLE) + 0.0"
+SQL["edge_memory_score"] = f"{_MEMORY}{_ONCE}{_MEMORIES} SELECT p.seq, round({_SINGLE.format(_APART)}, 9) AS score FROM m p JOIN m q ON p.seq = q.seq AND p.e = 0 AND q.e = 1"
+SQL["node_memory_ema"] = f'{_MEMORY}{_ONCE}{_MEMORIES} SELECT node, seq, e AS "end", [{", ".join(_SINGLE.format(f"m{k}") for k in range(3))}] AS memory FROM m'
 SQL["window_memory_score"] = f"""{_MEMORY}
 wi AS (SELECT unnest(range(0, ((SELECT count(*) FROM ev) - 800) // 400 + 1)) AS win), kk AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS k FROM ev),
 wk AS (SELECT win, seq FROM wi JOIN kk ON k >= win * 400 AND k < win * 400 + 800),

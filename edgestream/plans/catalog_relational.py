@@ -56,6 +56,11 @@ def rounded(name, digits=5):
     return F.transform(name, lambda x: F.round(x, digits) + 0.0).alias(name)
 
 
+def single(c):
+    """A double in single precision: unlike decimal digits, its steps do not meet the decimal values of the inputs halfway."""
+    return c.cast("float").cast("double") + 0.0
+
+
 def encoded(kind):
     return lambda s, d: E.encoded_edges(pairs(s, d), vectors(s, d), kind).select("u", "v", rounded("code"))
 
@@ -148,8 +153,8 @@ QUERIES = {
     "neighbour_mean": lambda s, d: E.aggregate_neighbours(pairs(s, d), vectors(s, d)).select("node", rounded("x")),
     "gin_aggregate": lambda s, d: E.gin_aggregate(pairs(s, d), vectors(s, d)).select("node", rounded("x")),
     "online_centroid_update": lambda s, d: moved(s, d),
-    "node_memory_ema": lambda s, d: N.memories(featured(s, d)).select("node", "seq", "end", rounded("memory", 8)),
-    "edge_memory_score": lambda s, d: N.edge_scores(featured(s, d)).select("seq", F.round("score", 5).alias("score")),
+    "node_memory_ema": lambda s, d: N.memories(featured(s, d)).select("node", "seq", "end", F.transform("memory", single).alias("memory")),
+    "edge_memory_score": lambda s, d: N.edge_scores(featured(s, d)).select("seq", F.round(single(F.col("score")), 9).alias("score")),
     "window_memory_score": lambda s, d: N.window_scores(S.sliding_windows(featured(s, d), 800, 400)).select("window", F.round("score", 5).alias("score")),
     "zscore_online": lambda s, d: N.z_scores(transitions(s, d), 1.5),
     "cms_estimates": lambda s, d: C.sketch_estimates(li(s, d), SKETCH, COLUMNS),
