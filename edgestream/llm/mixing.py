@@ -27,7 +27,7 @@ from .common import materialise
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
-BLOCK = 64
+BLOCK = 512
 #: Least sizes of the strata, from the largest documents down.
 STRATA = (512, 64, 1)
 SEED = 20_240_601
