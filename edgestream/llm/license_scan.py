@@ -143,7 +143,7 @@ NOTICES = (
     Rule("apache-2.0", 0, "apache org", r"(?:www )?apache org licenses license 2 0"),
     Rule("gpl", 0, "free software", r"this program is free software you can redistribute it and or modify it"),
     Rule("lgpl", 0, "free software", r"this library is free software you can redistribute it and or modify it"),
-    Rule("mpl-2.0", 0, "mozilla org", r"subject to the terms of the mozilla public licen[sc]e v 2 0"),
+    Rule("mpl-2.0", 0, "mozilla public", r"subject to the terms of the mozilla public licen[sc]e v 2 0"),
     Rule("zlib", 0, "altered source", r"altered source versions must be plainly marked as such"),
     Rule("bsl-1.0", 0, "boost org", r"(?:www )?boost org license 1 0"),
     Rule("unlicense", 0, "public domain", r"this is free and unencumbered software released into the public domain"),
@@ -153,6 +153,93 @@ NOTICES = (
     Rule("proprietary", 2, "all rights reserved", r"all rights reserved"),
     Rule("proprietary", 2, "proprietary", r"proprietary and confidential"),
     Rule("proprietary", 2, "unauthorized copying", r"unauthorized copying of this (?:file|work|document)"),
+    Rule("mit", 0, "substantial portions", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    Rule("mit", 1, "furnished to do so", r"to permit persons to whom the software is furnished to do so"),
+    Rule("mit-0", 0, "deal in the software", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software(?! and to permit persons to whom the software is furnished to do so subject)"),
+    Rule("x11", 0, "advertising or otherwise", r"(?:shall|may) not be used in advertising or otherwise to promote the sale use or other dealings"),
+    Rule("hpnd", 0, "and its documentation", r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted"),
+    Rule("0bsd", 0, "0bsd", r"0bsd"),
+    Rule("isc", 1, "copyright notice and this permission", r"provided that the above copyright notice and this permission notice appear in all copies"),
+    Rule("bsd", 1, "retain the above", r"redistributions of source code must retain the above copyright notice"),
+    Rule("bsd", 1, "in binary form", r"redistributions in binary form must reproduce the above copyright notice"),
+    Rule("bsd-2-clause", 1, "freebsd", r"the freebsd (?:copyright|licen[sc]e|project)"),
+    Rule("bsd-3-clause", 1, "regents", r"(?:the )?regents of the university of california"),
+    Rule("bsd-3-clause-clear", 0, "express or implied licenses", r"no express or implied licenses to any party s patent rights are granted"),
+    Rule("apache-2.0", 0, "licensed under the apache", r"licensed under the apache licen[sc]e version 2 0 the licen[sc]e you may not use this file except in compliance"),
+    Rule("apache-2.0", 0, "in compliance with", r"you may not use this file except in compliance with the licen[sc]e"),
+    Rule("apache-2.0", 1, "as is basis", r"distributed on an as is basis without warranties or conditions of any kind"),
+    Rule("apache-1.1", 0, "apache software foundation", r"this product includes software developed by the apache software foundation"),
+    Rule("apache-1.0", 0, "apache group", r"this product includes software developed by the apache group"),
+    Rule("gpl-2.0-or-later", 0, "any later version", r"either version 2(?: of the licen[sc]e)? or at your option any later version"),
+    Rule("gpl-3.0-or-later", 0, "any later version", r"either version 3(?: of the licen[sc]e)? or at your option any later version"),
+    Rule("lgpl-2.1-or-later", 0, "any later version", r"either version 2 1(?: of the licen[sc]e)? or at your option any later version"),
+    Rule("gpl", 1, "merchantability or fitness", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[sc]e"),
+    Rule("lgpl", 1, "gnu lesser", r"see the gnu lesser general public licen[sc]e for more details"),
+    Rule("gpl", 1, "51 franklin", r"51 franklin (?:street|st) fifth floor boston ma"),
+    Rule("gpl", 1, "temple place", r"59 temple place suite 330 boston ma"),
+    Rule("gpl", 1, "gnu org licenses", r"(?:www )?gnu org licenses(?: gpl(?: [23] 0)?)?"),
+    Rule("lgpl", 0, "gnu org licenses", r"(?:www )?gnu org licenses lgpl(?: [23] [01])?"),
+    Rule("agpl-3.0", 0, "gnu org licenses", r"(?:www )?gnu org licenses agpl(?: 3 0)?"),
+    Rule("gpl-2.0-classpath", 0, "classpath", r"(?:with (?:the )?)?classpath exception"),
+    Rule("gpl-linking-exception", 0, "special exception", r"as a special exception the copyright holders? (?:of this library )?give you permission to link"),
+    Rule("gcc-exception", 0, "runtime library exception", r"gcc runtime library exception"),
+    Rule("autoconf-exception", 0, "configuration script", r"a configuration script generated by autoconf"),
+    Rule("gfdl", 0, "invariant sections", r"with no invariant sections(?: with)? no front cover texts and (?:with )?no back cover texts"),
+    Rule("mpl-2.0", 0, "source code form", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
+    Rule("mpl-1.1", 0, "contents of this file", r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1"),
+    Rule("npl-1.1", 0, "netscape public", r"netscape public licen[sc]e(?: version 1 [01])?"),
+    Rule("epl", 0, "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    Rule("cddl", 0, "cddl", r"cddl(?: ?v?1 [01])?"),
+    Rule("cddl", 0, "contents of this file", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e"),
+    Rule("ms-pl", 0, "ms pl", r"ms pl"),
+    Rule("ms-rl", 0, "ms rl", r"ms rl"),
+    Rule("zlib", 1, "misrepresented", r"the origin of this software must not be misrepresented"),
+    Rule("zlib", 1, "held liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    Rule("libtiff", 0, "sam leffler", r"the names? of sam leffler(?: and silicon graphics)?"),
+    Rule("ijg", 0, "independent jpeg group", r"based in part on the work of the independent jpeg group"),
+    Rule("openssl", 0, "openssl toolkit", r"developed by the openssl project for use in the openssl toolkit"),
+    Rule("ssleay", 0, "eric young", r"this product includes cryptographic software written by eric young"),
+    Rule("curl", 0, "daniel stenberg", r"copyright c (?:[0-9]+ )*daniel stenberg"),
+    Rule("bsl-1.0", 1, "machine executable", r"machine executable object code generated by a source language processor"),
+    Rule("artistic", 1, "standard version", r"the standard version of the package"),
+    Rule("perl", 0, "as perl itself", r"under the same terms as (?:the )?perl(?: 5)?(?: programming language system)? itself"),
+    Rule("python-2.0", 0, "psf", r"psf licen[sc]e(?: agreement)?"),
+    Rule("cnri-python", 0, "cnri", r"cnri(?: open source)? licen[sc]e agreement"),
+    Rule("tcl", 0, "regents of the university", r"copyrighted by the regents of the university of california sun microsystems inc"),
+    Rule("postgresql", 0, "postgresql global development", r"postgresql global development group"),
+    Rule("vim", 0, "vim licen", r"(?:the )?vim licen[sc]e"),
+    Rule("beerware", 0, "beer", r"(?:the )?beer ?ware licen[sc]e"),
+    Rule("json", 0, "good not evil", r"the software shall be used for good not evil"),
+    Rule("sleepycat", 0, "sleepycat", r"sleepycat (?:software )?(?:public )?licen[sc]e"),
+    Rule("qpl-1.0", 0, "q public", r"(?:the )?q public licen[sc]e"),
+    Rule("ipl-1.0", 0, "ibm public", r"ibm public licen[sc]e"),
+    Rule("apsl", 0, "apple public", r"apple public source licen[sc]e"),
+    Rule("spl-1.0", 0, "sun public", r"sun public licen[sc]e"),
+    Rule("w3c", 0, "w3c", r"w3c (?:software|document)(?: notice)?(?: and)? licen[sc]e"),
+    Rule("ofl-1.1", 0, "reserved font name", r"with reserved font names?"),
+    Rule("cc0-1.0", 0, "waived all copyright", r"(?:has )?waived all copyright and related or neighboring rights"),
+    Rule("cc0-1.0", 0, "publicdomain zero", r"creativecommons org publicdomain zero 1 0"),
+    Rule("cc-by", 0, "licenses by", r"creativecommons org licenses by [1234] [05]"),
+    Rule("cc-by-sa", 0, "licenses by sa", r"creativecommons org licenses by sa [1234] [05]"),
+    Rule("cc-by-nc", 0, "licenses by nc", r"creativecommons org licenses by nc [1234] [05]"),
+    Rule("cc-by-nd", 0, "licenses by nd", r"creativecommons org licenses by nd [1234] [05]"),
+    Rule("cc-by-nc-sa", 0, "licenses by nc sa", r"creativecommons org licenses by nc sa [1234] [05]"),
+    Rule("cc-by-nc-nd", 0, "licenses by nc nd", r"creativecommons org licenses by nc nd [1234] [05]"),
+    Rule("odbl", 0, "opendatacommons", r"opendatacommons org licenses odbl"),
+    Rule("odc-by", 0, "opendatacommons", r"opendatacommons org licenses by"),
+    Rule("pddl", 0, "opendatacommons", r"opendatacommons org licenses pddl"),
+    Rule("public-domain", 1, "reserved", r"no (?:copy)?rights? (?:is |are )?reserved"),
+    Rule("public-domain", 1, "copyright to this source", r"(?:the )?authors? (?:hereby )?disclaims? copyright to this source code"),
+    Rule("us-government", 1, "work of the united states", r"work of the united states government"),
+    Rule("non-commercial", 2, "commercial", r"(?:for )?non ?commercial (?:use|purposes) only"),
+    Rule("non-commercial", 2, "commercial use", r"commercial use (?:is )?(?:strictly )?(?:prohibited|not permitted)"),
+    Rule("research-only", 2, "research purposes", r"for (?:academic |scientific )?research purposes only"),
+    Rule("evaluation", 2, "evaluation", r"for evaluation purposes only"),
+    Rule("proprietary", 2, "trade secrets", r"contains? (?:confidential information and )?trade secrets"),
+    Rule("proprietary", 2, "internal use", r"for internal use only"),
+    Rule("proprietary", 2, "end user", r"end user licen[sc]e agreement"),
+    Rule("proprietary", 2, "terms of", r"subject to (?:our|the) terms of (?:service|use)"),
+    Rule("proprietary", 2, "do not distribute", r"do not (?:re)?distribute"),
     Rule("proprietary", 2, "without permission", r"may not be (?:copied|reproduced|redistributed) without (?:prior )?(?:written )?permission"),
 )
 
