@@ -10,8 +10,9 @@ aimed at nobody stays below the threshold, a threat at somebody lies above it.
 
 Learned from labelled rows: the insult lexicon (words, and beginnings of words, that more toxic texts
 hold than chance allows, and more of them than clean ones; near copies count as one text; an entry weighs
-its precision), and the prices, whose prior is the grammar's own. The fit uses at most about SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents,
-chosen by a hash of their key, with whole texts, in one task.
+its precision), and the prices, whose prior is the grammar's own; whatever they come to, one insult or
+threat aimed at somebody decides. The fit uses at most about SAMPLE_TOXIC and SAMPLE_CLEAN labelled
+documents, chosen by a hash of their key, with whole texts.
 
 Defined results: null and empty texts match nothing and score the bias; without any labelled row the
 hand-written lexicon and prices are used; a document labelled twice counts by its larger label; repeated
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, NOT_ALNUM, buffer_of, crc32_remainder, in_arrow, mix, separators, span_hashes, steps, window_hashes, word_spans
+from .common import LOWER_BYTES, NOT_ALNUM, buffer_of, crc32_remainder, drop, in_arrow, materialise, mix, separators, span_hashes, steps, window_hashes, word_spans
 
 SAMPLE_TOXIC = 3000
 SAMPLE_CLEAN = 9000
@@ -319,31 +320,46 @@ def unique_pairs(docs: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np
     return docs[new], features[new]
 
 
-def choose_insults(pieces: list[pa.RecordBatch]) -> dict[int, float]:
-    """Features that the toxic texts of LEAST_TEXTS clusters or more hold, more than clean texts do, beyond chance."""
-    toxic_reads = [read(bad.column(1)) for p in pieces if (bad := p.filter(pc.equal(p.column(0), 1))).num_rows]
-    label = clusters(np.concatenate([alike(r) for r in toxic_reads]))
+class Candidates(NamedTuple):
+    """Features (ascending) that the toxic texts of LEAST_TEXTS clusters or more hold."""
+
+    features: np.ndarray
+    texts: np.ndarray  # clusters that hold each
+    clusters: int
+
+
+def candidates(pieces: list[pa.RecordBatch]) -> Candidates:
+    """From the toxic texts of the sample (column 1), near copies as one."""
+    reads = [read(p.column(1)) for p in pieces]
+    if not reads:
+        return Candidates(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
+    label = clusters(np.concatenate([alike(r) for r in reads]))
     docs, features, base = [], [], 0
-    for r in toxic_reads:
+    for r in reads:
         n = len(r.first) - 1
         d, f = distinct_features(r, label[base : base + n])
         docs.append(d)
         features.append(f)
         base += n
-    names, bad = np.unique(unique_pairs(np.concatenate(docs), np.concatenate(features))[1], return_counts=True)
-    names, bad = names[bad >= LEAST_TEXTS], bad[bad >= LEAST_TEXTS]
-    clean = np.zeros(len(names), np.int64)
-    n_clean = 0
-    for p in pieces:
-        good = p.filter(pc.equal(p.column(0), 0))
-        if good.num_rows and len(names):
-            n_clean += good.num_rows
-            _, f = distinct_features(read(good.column(1)), np.arange(good.num_rows))
-            at = _find(names, f)
-            clean += np.bincount(at[at >= 0], minlength=len(names))
-    chance = len(np.unique(label)) / max(len(np.unique(label)) + n_clean, 1)
-    real = (bad * np.log(chance) + np.log(max(len(names), 1)) < MOST_CHANCE) & (bad >= LEAST_PRECISION * (bad + clean))
-    return {int(h): float((t + 1) / (t + c + 2)) for h, t, c in zip(names[real], bad[real], clean[real], strict=True)}
+    names, texts = np.unique(unique_pairs(np.concatenate(docs), np.concatenate(features))[1], return_counts=True)
+    often = texts >= LEAST_TEXTS
+    return Candidates(names[often], texts[often], len(np.unique(label)))
+
+
+def held_by(text: pa.Array, features: np.ndarray) -> np.ndarray:
+    """How many of the texts hold each feature."""
+    _, found = distinct_features(read(text), np.arange(len(text)))
+    at = _find(features, found)
+    return np.bincount(at[at >= 0], minlength=len(features))
+
+
+def choose_insults(found: Candidates, clean: np.ndarray, n_clean: int) -> dict[int, float]:
+    """Candidates that toxic texts hold more than clean ones do (clean: texts that hold each), beyond chance."""
+    if not len(found.features):
+        return {}
+    chance = found.clusters / max(found.clusters + n_clean, 1)
+    real = (found.texts * np.log(chance) + np.log(len(found.features)) < MOST_CHANCE) & (found.texts >= LEAST_PRECISION * (found.texts + clean))
+    return {int(h): float((t + 1) / (t + c + 2)) for h, t, c in zip(found.features[real], found.texts[real], clean[real], strict=True)}
 
 
 def fit_prices(x: np.ndarray, y: np.ndarray, steps_: int = 60, spread: float = 3.0) -> tuple[np.ndarray, float]:
@@ -362,36 +378,62 @@ def fit_prices(x: np.ndarray, y: np.ndarray, steps_: int = 60, spread: float = 3
     return price, bias
 
 
-def fit(pieces: list[pa.RecordBatch]) -> Model:
-    """From the sample's rows (toxic, text)."""
-    toxic = np.concatenate([p.column(0).to_numpy(zero_copy_only=False) for p in pieces]).astype(bool) if pieces else np.zeros(0, bool)
-    if not toxic.any() or toxic.all():
-        return hand_model()
-    insults = choose_insults(pieces)
-    for h, weight in hand_model().insults.items():
-        insults.setdefault(h, weight)
-    lex, m = lexicon(insults), machine(PRIOR)
-    x = np.concatenate([clause_features(read(p.column(1)), lex, m) for p in pieces])
-    weights, bias = fit_prices(x, toxic.astype(float))
-    return Model(insults, weights, bias)
+def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = candidates([p for b in batches for p in steps(b)])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(found))], pa.binary())], ["found"])
+
 
+def _clean_batches(batches: Iterator[pa.RecordBatch], features) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(len(features.value), np.int64)
+    for b in batches:
+        for p in steps(b):
+            total += held_by(p.column(1), features.value)
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["place", "n"])
 
-def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model = fit([p for b in batches for p in steps(b)])
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(model))], pa.binary())], ["model"])
+
+def _matched_batches(batches: Iterator[pa.RecordBatch], insults) -> Iterator[pa.RecordBatch]:
+    lex, m = lexicon(insults.value), machine(PRIOR)
+    for b in batches:
+        for p in steps(b):
+            x = clause_features(read(p.column(1)), lex, m)
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
 
 
 def learn(labelled: DataFrame, most: tuple[int, int] = (SAMPLE_CLEAN, SAMPLE_TOXIC)) -> Model:
-    """Fit on at most about most[toxic] documents a class (rows doc_id, text, toxic 0 or 1), chosen by hash."""
+    """Fit on at most about most[toxic] documents a class (rows doc_id, text, toxic 0 or 1), chosen by hash.
+
+    The sample is written once. One task finds the candidates in its toxic texts; the clean texts that hold them
+    are counted, and all its clauses read, in as many tasks as it has; the driver fits the prices on the small
+    table of what each document's clauses matched.
+    """
     held = labelled.where("toxic in (0, 1)")
     counts = {r.toxic: r["count"] for r in held.groupBy("toxic").count().collect()}  # two rows
     if len(counts) < 2:
         return hand_model()
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000))
     share = F.when(F.col("toxic") == 1, min(1.0, most[1] / counts[1])).otherwise(min(1.0, most[0] / counts[0]))
-    chosen = held.where(draw < share * 1_000_000).select(F.col("toxic").cast("long"), "text")
-    row = in_arrow(chosen.repartition(1), _fit_batches, "model binary").first()  # bounded by the sample
-    return Model(*pickle.loads(row.model)) if row else hand_model()
+    chosen = held.where(draw < share * 1_000_000).select(F.col("toxic").cast("long").alias("toxic"), F.col("text").cast("string").alias("text"))
+    spark = labelled.sparkSession
+    sample = materialise(chosen.repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))), "sample")
+    row = in_arrow(sample.where("toxic = 1").repartition(1), _candidate_batches, "found binary").first()  # bounded by the sample
+    found = Candidates(*pickle.loads(row.found)) if row else candidates([])
+    sent = spark.sparkContext.broadcast(found.features)
+    clean = np.zeros(len(found.features), np.int64)
+    per = in_arrow(sample.where("toxic = 0"), lambda it: _clean_batches(it, sent), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    for r in per.collect():  # at most a row a candidate
+        clean[r.place] = r.n
+    insults = choose_insults(found, clean, sample.where("toxic = 0").count())
+    for h, weight in hand_model().insults.items():
+        insults.setdefault(h, weight)
+    known = spark.sparkContext.broadcast(insults)
+    rows = in_arrow(sample, lambda it: _matched_batches(it, known), "toxic long, x array<double>").orderBy("toxic", "x").collect()  # a row a sampled document
+    drop(sample)
+    toxic = np.array([r.toxic for r in rows], float)
+    if not toxic.any() or toxic.all():
+        return hand_model()
+    weights, bias = fit_prices(np.array([r.x for r in rows]), toxic)
+    return Model(insults, weights, bias)
 
 
 # --- scoring -----------------------------------------------------------------------------------
