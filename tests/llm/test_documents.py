@@ -143,6 +143,19 @@ def test_license_rules_compile_and_suppress():
     assert labels("Licensed under CC BY-NC 4.0") == ["cc-by-nc"]
     assert labels("GNU Lesser General Public License version 3") == ["lgpl-3.0"]
     assert labels("apache helicopter") == []
+    assert labels("in no event will the authors be held liable for any damages arising from the use of this software") == ["zlib"]
+    assert labels("Creativecommons.org/licenses/by-nc-sa/4.0") == ["cc-by-nc-sa"]
+
+
+def test_a_rule_cannot_match_without_its_keyword():
+    import re
+
+    alike = lambda t: t.replace("license", "licens").replace("licence", "licens")
+    for r in license_scan.all_rules():
+        plain = re.sub(r"\(\?[!<].*?\)", "", r.pattern).replace("[sc]", "s")
+        while (shorter := re.sub(r"\(\?:[^()]*\)\?", "", plain)) != plain:  # optional parts may be missing
+            plain = shorter
+        assert alike(r.keyword) in alike(re.sub(r"[a-z0-9 +]\?", "", plain)), r
 
 
 def plain_suppress(found):
