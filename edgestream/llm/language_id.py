@@ -35,6 +35,8 @@ from .common import LOWER, LOWER_BYTES, NOT_ALNUM, buffer_of, crc32_remainder, i
 SAMPLE_PER_LANGUAGE = 2000
 GRAMS = 1 << 16
 SMOOTHING = 0.5
+#: Text bytes of a step: the dynamic program goes through all of a step's mixed documents at once.
+PREDICTED_BYTES = 2 << 20
 #: Log ratio that a switch of language costs.
 SWITCH = 18.0
 #: A trigram's log ratio is held within this.
@@ -290,7 +292,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model, switch: float, with_spans
     own: Model = model.value
     kind = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("lang", pa.string())]))
     for batch in batches:
-        for piece in steps(batch):
+        for piece in steps(batch, most=PREDICTED_BYTES):
             predicted, share, spans = predict_piece(piece.column(1), own, switch, with_spans)
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(predicted, pa.string()), pa.array(share), pa.array(spans, kind)], ["row", "lang_pred", "score", "spans"])
 
