@@ -108,3 +108,45 @@ def class_predictions(vectors: DataFrame, seed: int = 1, rounds: int = 50) -> Da
     usual = train.groupBy("label").agg(F.count("*").alias("n")).agg(F.max_by("label", F.struct("n", "label")).alias("dummy"))
     told = model.transform(held.where("half = 1")).select("node", "label", F.col("prediction").alias("predicted"))
     return told.crossJoin(F.broadcast(usual))
+
+
+def gru(x: Column, h: Column, update: tuple, reset: tuple, new: tuple) -> Column:
+    """A gated update of the state h by the message x; each gate has weights (of x, of h) as rows of numbers."""
+    size = len(update[0])
+    rows = lambda gate: (dense(x, gate[0]), dense(h, gate[1]))
+    sigmoid = lambda v: 1 / (1 + F.exp(-v))
+    (zx, zh), (rx, rh), (nx, nh) = rows(update), rows(reset), rows(new)
+    out = []
+    for k in range(size):
+        z, r = sigmoid(zx[k] + zh[k]), sigmoid(rx[k] + rh[k])
+        out.append((1 - z) * F.tanh(nx[k] + r * nh[k]) + z * h[k])
+    return F.array(*out)
+
+
+def graph_predictions(edges: DataFrame, vectors: DataFrame, seed: int = 1, layers: int = 2) -> DataFrame:
+    """As class_predictions, on vectors that layers of mean aggregation over node and neighbours have mixed."""
+    from .embedding import gcn_aggregate
+
+    own = vectors
+    for _ in range(layers):
+        own = gcn_aggregate(edges, own.select("node", "x")).join(vectors.select("node", "label"), "node")
+    return class_predictions(own, seed)
+
+
+def walk_vectors(walked: DataFrame, size: int = 16, seed: int = 1, least: int = 1) -> DataFrame:
+    """node, x: vectors of nodes learned from walks as sentences, in place of an autoencoder over their cliques."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    sentences = walked.select(F.transform("path", lambda x: x.cast("string")).alias("words"))
+    model = Word2Vec(vectorSize=size, minCount=least, seed=seed, inputCol="words", outputCol="v", numPartitions=1).fit(sentences)
+    return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("x"))
+
+
+def spectral_clusters(edges: DataFrame, k: int, rounds: int = 20) -> DataFrame:
+    """node, cluster of a weighted undirected graph (u, v long, w), by the library's power iteration clustering."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    held = edges.select(F.col("u").cast("long").alias("src"), F.col("v").cast("long").alias("dst"), F.col("w").cast("double").alias("weight"))
+    found = PowerIterationClustering(k=k, maxIter=rounds, initMode="random", weightCol="weight").assignClusters(held)
+    return found.select(F.col("id").alias("node"), "cluster")

@@ -227,3 +227,9 @@ def members(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def group_sizes(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n"))
+
+
+def pool_queries(pool: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, node: every node of a pool beside each of a few stated queries, which travel as one array."""
+    few = queries.agg(F.array_sort(F.collect_set("query")).alias("_q"))
+    return pool.select("node").distinct().crossJoin(F.broadcast(few)).select(F.explode("_q").alias("query"), "node")

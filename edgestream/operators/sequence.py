@@ -251,3 +251,21 @@ def depth_delta(paths: DataFrame) -> DataFrame:
     """seq, delta: how the depth of consecutive paths differs."""
     held = global_lag(paths, {"before": "path"}).where("before is not null")
     return held.select("seq", F.abs(path_depth(F.col("path")) - path_depth(F.col("before"))).alias("delta"))
+
+
+def coded_log(log: DataFrame, stamp: str = "stamp", token: str = "token") -> DataFrame:
+    """seq, u, v, t, label of a log (seq, src, dst, stamp, token): t numbers the distinct time texts in their lexical
+    order from 1, u and v number all sources by first occurrence and then the new targets, and any token but "-" is an attack."""
+    stamps = global_number(in_order(log.select(F.col(stamp).alias("_s")).distinct(), "_s"), "t", "_m", RANGE).select("_s", "t")
+    ids = factorize_ends(log)
+    a, b = ids.withColumnsRenamed({"node": "src", "id": "u"}), ids.withColumnsRenamed({"node": "dst", "id": "v"})
+    named = log.join(a, "src").join(b, "dst").join(stamps, log[stamp] == stamps["_s"])
+    return named.select("seq", "u", "v", "t", (F.col(token) != "-").cast("int").alias("label"))
+
+
+def snapshot_schedule(edges: DataFrame, initial: float, size: int) -> DataFrame:
+    """edges with snapshot: 0 for the first share of them, then 1, 2, ... by size; the last one may be shorter."""
+    held = with_scalars(global_number(edges, "_k"), _n=F.count("*"))
+    first = F.floor(F.col("_n") * F.lit(initial))
+    place = F.col("_k") - 1 - first
+    return held.withColumn("snapshot", F.when(place < 0, F.lit(0).cast("long")).otherwise(F.floor(place / size) + 1)).drop("_k", "_n")

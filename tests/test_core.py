@@ -455,3 +455,32 @@ def test_node_sums_of_blocks_of_a_model_graph(spark):
     got = injection.block_model(spark, 2, 5, 200, 0.5, 0.1).withColumn("same", F.expr("int(src) div 5 = int(dst) div 5"))
     share = {r.same: r.n for r in got.groupBy("same").agg(F.count("*").alias("n")).collect()}
     assert abs(share[True] / (20 * 200) - 0.5) < 0.05 and abs(share[False] / (25 * 200) - 0.1) < 0.03
+
+
+def test_walk_vectors_and_spectral_clusters(spark):
+    from edgestream.operators import learning
+
+    inside = [(a, b) for block in (range(5), range(5, 10)) for a in block for b in block if a < b]
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in inside] + [(4, 5, 0.01)], "u long, v long, w double")
+    found = {r.node: r.cluster for r in learning.spectral_clusters(e, 2, 30).collect()}
+    assert len(found) == 10 and len({found[k] for k in range(5)}) == 1 and len({found[k] for k in range(5, 10)}) == 1
+    walked = sampling.walks(graphs.both_ways(e), spark.range(10).select(F.col("id").alias("node")), 6, per_start=4)
+    vectors = learning.walk_vectors(walked, 8)
+    assert {r.node for r in vectors.collect()} == {str(k) for k in range(10)} and all(len(r.x) == 8 for r in vectors.collect())
+
+
+def test_graph_predictions_use_the_neighbours(spark):
+    from edgestream.operators import learning
+
+    rows = [(i, [float(i % 2) if i < 200 else 0.5, 1.0], i % 2) for i in range(400)]  # the last half knows nothing of itself
+    v = spark.createDataFrame(rows, "node long, x array<double>, label int")
+    e = spark.createDataFrame([(i, (i + 200) % 400) for i in range(400)], "u long, v long")
+    told = learning.graph_predictions(e, v).collect()
+    assert sum(r.label == r.predicted for r in told) == len(told)
+
+
+def test_line_numbers_over_part_files(spark, tmp_path):
+    spark.range(5000).select(F.concat_ws(",", F.col("id").cast("string"), F.lit("1"), F.lit("2")).alias("v")).repartitionByRange(7, "id").write.text(f"{tmp_path}/a")
+    spark.range(5000).selectExpr("cast(id % 2 as string) v").coalesce(1).write.text(f"{tmp_path}/b")
+    got = readers.column_split_stream(spark, f"{tmp_path}/a", f"{tmp_path}/b").collect()
+    assert len(got) == 5000 and all(r.seq == r.u and r.label == r.u % 2 for r in got)
