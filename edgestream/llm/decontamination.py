@@ -31,7 +31,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, NOT_ALNUM, buffer_of, drop, in_arrow, materialise, span_hashes, steps, word_spans
+from .common import LOWER_BYTES, NOT_ALNUM, buffer_of, drop, drop_since, in_arrow, materialise, span_hashes, steps, word_spans, written
 
 WINDOW = 10
 #: Compiled questions (bytes) that every task holds in one pass over the index.
@@ -291,11 +291,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The documents without any hit, with all their columns. A text's hits are its own, so texts are named by
-    their digest, and rows whose text is one of the contaminated ones go."""
+    their digest, and rows whose text is one of the contaminated ones go; the index is deleted once these are known."""
+    start = written()
     name = F.sha2(F.col("text").cast("string"), 256)
     named = docs.select(name.alias("name"), "text")
     bad = materialise(contamination(named, benchmark, width, ("name",)).where("contaminated").select(F.col("row.name").alias("_contaminated")).distinct(), "contaminated")
     n = bad.count()
+    drop_since(start, but=(bad,))
     return docs.join(F.broadcast(bad) if n <= most_broadcast else bad, name == F.col("_contaminated"), "left_anti")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, buffer_of, in_arrow, materialise, mix, per_document, span_hashes, steps, window_hashes, word_spans
+from .common import SPACE, buffer_of, drop_since, in_arrow, materialise, mix, per_document, span_hashes, steps, window_hashes, word_spans, written
 
 #: Fixed value: the contract's symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -190,12 +190,14 @@ def keep_good(docs: DataFrame, host: str = "source", most_broadcast: int = MOST_
     Rows are judged again while they stream by. The frequent lines go to every task if their counted number
     is within most_broadcast; else the frequent lines of each text are joined to it, by the text's name.
     """
-    spark = docs.sparkSession
+    spark, start = docs.sparkSession, written()
     measured = measure(docs, host)
     frequent = materialise(frequent_lines(measured, least, percent), "frequent")
     small = frequent.count() <= most_broadcast
     known = line_keys([(r.host, r.line) for r in frequent.collect()]) if small else np.zeros(0, np.uint64)
     sent = spark.sparkContext.broadcast(known)
+    if small:
+        drop_since(start)
     text = F.col("text").cast("string")
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"), text.alias("text"))
     if small:
