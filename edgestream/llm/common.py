@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import suppress
 from functools import cache, lru_cache
 
 import numpy as np
@@ -36,7 +38,19 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name) != f"{BATCH_BYTES}b":
         conf.set(name, f"{BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(whole, schema)
+
+
+def release() -> None:
+    """Give back what a worker's allocators keep: workers live on from task to task, beside each other."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def scratch_dir(spark: SparkSession) -> str:
