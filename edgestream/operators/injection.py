@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, draw_int
 from ..plans.ordering import RANGE, global_number, in_order
+from .grouped import fold_groups
 from .sequence import strictly_increasing
 
 
@@ -49,33 +49,33 @@ def at_random(benign: DataFrame, malicious: DataFrame, seed: int = 1) -> DataFra
 def densify(series: DataFrame, percent: float) -> DataFrame:
     """src, dst, t: ticks added to each pair, each in the middle of the largest gap left (the first of equal ones)."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ticks, added = sorted(frame["t"].tolist()), []
-        for _ in range(int(len(ticks) * percent / 100)):
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
+        ticks, added = [t for (t,) in rows], []
+        for _ in range(int(len(rows) * percent / 100)):
             gaps = [b - a for a, b in zip(ticks, ticks[1:], strict=False)]
             if not gaps:
                 break
             k = gaps.index(max(gaps))
             ticks.insert(k + 1, ticks[k] + gaps[k] // 2)
-            added.append(ticks[k + 1])
-        return pd.DataFrame({"src": frame["src"].iloc[0], "dst": frame["dst"].iloc[0], "t": pd.Series(added, dtype="int64")})
+            added.append((*key, ticks[k + 1]))
+        return added
 
-    return series.select("src", "dst", "t").groupBy("src", "dst").applyInPandas(run, "src string, dst string, t long")
+    return fold_groups(series.select("src", "dst", "t"), ["src", "dst"], ["t"], fold, "src string, dst string, t long")
 
 
 def sparsify(series: DataFrame, percent: float) -> DataFrame:
     """src, dst, t: ticks taken from each pair, each the later end of the smallest gap left (the first of equal ones)."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ticks, gone = sorted(frame["t"].tolist()), []
-        for _ in range(int(len(ticks) * percent / 100)):
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
+        ticks, gone = [t for (t,) in rows], []
+        for _ in range(int(len(rows) * percent / 100)):
             gaps = [b - a for a, b in zip(ticks, ticks[1:], strict=False)]
             if not gaps:
                 break
-            gone.append(ticks.pop(gaps.index(min(gaps)) + 1))
-        return pd.DataFrame({"src": frame["src"].iloc[0], "dst": frame["dst"].iloc[0], "t": pd.Series(gone, dtype="int64")})
+            gone.append((*key, ticks.pop(gaps.index(min(gaps)) + 1)))
+        return gone
 
-    return series.select("src", "dst", "t").groupBy("src", "dst").applyInPandas(run, "src string, dst string, t long")
+    return fold_groups(series.select("src", "dst", "t"), ["src", "dst"], ["t"], fold, "src string, dst string, t long")
 
 
 def rewire(stream: DataFrame, tick: int, share: float, seed: int = 1) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import fold_groups
+
 FADE = 0.5
 #: Ticks of history that a decayed count looks back; 0.5^64 is below the precision of a double.
 FRAME = 64
@@ -54,30 +55,30 @@ def relational(edges: DataFrame, fade: float = FADE) -> DataFrame:
 
 
 def _filter_fold(ticks: list[int], threshold: float, fade: float):
-    order = {t: k for k, t in enumerate(ticks)}
+    """A key's state before each of its ticks, from its counts by tick (t, n) alone.
+
+    Between two of them, each tick of the stream either adds the fading current count to the total (a
+    geometric sum), or multiplies the total by 1 + 1 / (p - 1) for the tick p before (a quotient of products).
+    """
+    place = {t: k for k, t in enumerate(ticks)}
+    growth = np.cumprod([1.0, *(1.0 + (1.0 / (p - 1) if p > 1 else 0.0) for p in ticks[:-1])])
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        n_at = dict(zip(rows["t"], rows["n"], strict=True))
+    def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
         total = current = score = 0.0
-        out = []
-        reciprocal = 0.0
-        now = 1
-        for t in ticks[order[rows["t"].iloc[0]] :]:
-            if t > now:
-                if out or total or current:
-                    total += current if score < threshold else total * reciprocal
-                    current *= fade
-                reciprocal, now = 1.0 / (t - 1), t
-            if t in n_at:
-                out.append((t, current, total))
-                current += n_at[t]
-                score = 0.0 if total == 0 else (current + total - current * t) ** 2 / (total * (t - 1))
-                if len(out) == len(n_at):
-                    break
-        found = pd.DataFrame(out, columns=["t", "before_a", "total"])
-        found.insert(0, "key", rows["key"].iloc[0])
-        return found
+        out, before = [], place[rows[0][0]]
+        for t, n in rows:
+            now = place[t]
+            passed = fade ** (now - before)
+            if score < threshold:
+                total += current * ((1 - passed) / (1 - fade) if fade < 1 else now - before)
+            else:
+                total *= growth[now] / growth[before]
+            current *= passed
+            before = now
+            out.append((*key, t, current, total))
+            current += n
+            score = 0.0 if total == 0 else (current + total - current * t) ** 2 / (total * (t - 1))
+        return out
 
     return fold
 
@@ -85,20 +86,22 @@ def _filter_fold(ticks: list[int], threshold: float, fade: float):
 def filtering(edges: DataFrame, threshold: float, fade: float = FADE) -> DataFrame:
     """seq, score: totals take a tick's counts only when the tick is over, and not from keys that scored above threshold.
 
-    A key is folded over the stream's ticks (one number a tick is sent to the tasks) from its counts by
-    tick, so a hot key is as many rows as there are ticks.
+    A key is folded over its counts by tick (the stream's ticks, one number each, are sent to the tasks), so a
+    hot key is as many rows as there are ticks. The three keys of an edge go through one pass.
     """
     ticks = [r.t for r in edges.select("t").distinct().orderBy("t").collect()]
-    fold = _filter_fold(ticks, threshold, fade)
-    out = edges.select("seq", "t", "label")
-    for name, key in {"edge": F.concat_ws("\u0001", "src", "dst"), "source": F.col("src"), "target": F.col("dst")}.items():
-        keyed = edges.withColumn("key", key)
-        state = keyed.groupBy("key", "t").agg(F.count("*").alias("n")).groupBy("key").applyInPandas(fold, "key string, t long, before_a double, total double")
-        k = F.row_number().over(Window.partitionBy("key", "t").orderBy("seq"))
-        a, s = F.col("before_a") + F.col("_k"), F.col("total")
-        score = F.when(s == 0, F.lit(0.0)).otherwise(F.pow(a + s - a * F.col("t"), 2) / (s * (F.col("t") - 1)))
-        out = out.join(keyed.withColumn("_k", k).join(state, ["key", "t"]).select("seq", score.alias(name)), "seq")
-    return out.select("seq", "t", "label", F.greatest("edge", "source", "target").alias("score"))
+    if not ticks:
+        return edges.select("seq", "t", "label", F.lit(0.0).alias("score"))
+    joined = F.concat_ws("\u0001", "src", "dst")
+    keys = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in enumerate((joined, F.col("src"), F.col("dst")))))
+    keyed = edges.select("seq", "t", "label", F.explode(keys).alias("k")).select("seq", "t", "label", "k.*")
+    counts = keyed.groupBy("kind", "key", "t").agg(F.count("*").alias("n"))
+    state = fold_groups(counts, ["kind", "key"], ["t"], _filter_fold(ticks, threshold, fade), "kind int, key string, t long, before_a double, total double")
+    in_tick = F.row_number().over(Window.partitionBy("kind", "key", "t").orderBy("seq"))
+    a, s = F.col("before_a") + F.col("_k"), F.col("total")
+    score = F.when(s == 0, F.lit(0.0)).otherwise(F.pow(a + s - a * F.col("t"), 2) / (s * (F.col("t") - 1)))
+    held = keyed.withColumn("_k", in_tick).join(state, ["kind", "key", "t"])
+    return held.groupBy("seq").agg(F.first("t").alias("t"), F.first("label").alias("label"), F.max(score).alias("score"))
 
 
 # --- the sketch --------------------------------------------------------------------------------
