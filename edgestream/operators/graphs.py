@@ -53,23 +53,32 @@ def pagerank(edges: DataFrame, nodes: DataFrame, weighted: bool = False, rounds:
     merged = edges.groupBy("u", "v").agg(F.sum("w").alias("w"))
     out = merged.groupBy("u").agg(F.sum("w").alias("total"), F.count("*").alias("fan"))
     share = F.col("w") / F.col("total") if weighted else 1.0 / F.col("fan")
-    shares = cut_lineage(merged.join(out, "u").select("u", "v", share.alias("share")))
+    shares = merged.join(out, "u").select("u", "v", share.alias("share"))
     start = nodes.select("node").distinct().join(out.select(F.col("u").alias("node"), "total"), "node", "left").withColumn("total", F.coalesce("total", F.lit(0)))
     start = with_scalars(start, _n=F.count("*"), _m=F.sum("total"))
     mass = cut_lineage(start.select("node", (RESTART * (F.col("total") / F.col("_m") if weighted else 1.0 / F.col("_n"))).alias("mass")))
-    flow, collected = mass, [mass]
-    for k in range(rounds):
-        flow = flow.join(shares, F.col("node") == F.col("u")).groupBy("v").agg(F.sum((1 - RESTART) * F.col("mass") * F.col("share")).alias("mass")).withColumnRenamed("v", "node")
-        if (k + 1) % cut_every == 0:
-            flow = cut_lineage(flow)
-        collected.append(flow)
-    total = collected[0]
-    for part in collected[1:]:
-        total = total.unionAll(part)
-    rank = total.groupBy("node").agg(F.sum("mass").alias("raw"))
+    rank = _spread(mass, shares.withColumnsRenamed({"u": "node", "v": "other"}), [], rounds, cut_every)
     return with_scalars(rank, _all=F.sum("raw")).select("node", (F.col("raw") / F.col("_all")).alias("rank"))
 
 
+def _spread(mass: DataFrame, shares: DataFrame, by: list[str], rounds: int, cut_every: int = 5) -> DataFrame:
+    """by, node, raw: the mass that has been at each node, start included, after rounds of handing (1 - c) of it on.
+
+    Every node has a row to itself among the shares, which keeps what it has had: a round is one join and one
+    exchange, and refers to the round before once.
+    """
+    every = mass.select(*by, "node").unionAll(shares.select(*by, F.col("other").alias("node"))).distinct()
+    rows = cut_lineage(shares.select(*by, "node", "other", "share").unionAll(every.select(*by, "node", F.col("node").alias("other"), F.lit(None).cast("double").alias("share"))))
+    now = mass.select(*by, "node", "mass", F.lit(0.0).alias("raw"))
+    keeps = F.col("share").isNull()
+    for k in range(rounds):
+        dealt = now.join(rows, [*by, "node"]).select(*by, F.col("other").alias("node"), F.when(keeps, 0.0).otherwise((1 - RESTART) * F.col("mass") * F.col("share")).alias("mass"), F.when(keeps, F.col("raw") + F.col("mass")).otherwise(0.0).alias("raw"))
+        now = dealt.groupBy(*by, "node").agg(F.sum("mass").alias("mass"), F.sum("raw").alias("raw"))
+        if (k + 1) % cut_every == 0 and k + 1 < rounds:
+            now = cut_lineage(now)
+    return now.select(*by, "node", (F.col("raw") + F.col("mass")).alias("raw"))
+
+
 def snapshot_pageranks(edges: DataFrame, weighted: bool = False, rounds: int = 10, t: str = "t") -> DataFrame:
     """t, node, rank of the cumulative graph at each tick with edges: all snapshots advance together, a round a join."""
     ticks = edges.select(t).distinct()
@@ -87,13 +96,7 @@ def snapshot_pageranks(edges: DataFrame, weighted: bool = False, rounds: int = 1
     else:  # every tick's restart reaches every node: the spine of the result
         counted = with_scalars(nodes, n=F.count("*"))
         mass = counted.crossJoin(F.broadcast(spans)).select("tick", "node", (RESTART / F.col("n")).alias("mass"))
-    mass = cut_lineage(mass)
-    flow, total = mass, mass
-    for _ in range(rounds):
-        flow = flow.withColumnRenamed("node", "src").join(shares, ["tick", "src"]).groupBy("tick", F.col("dst").alias("node")).agg(F.sum((1 - RESTART) * F.col("mass") * F.col("share")).alias("mass"))
-        flow = cut_lineage(flow)
-        total = total.unionAll(flow)
-    raw = total.groupBy("tick", "node").agg(F.sum("mass").alias("raw"))
+    raw = _spread(cut_lineage(mass), shares.select("tick", F.col("src").alias("node"), F.col("dst").alias("other"), "share"), ["tick"], rounds)
     return raw.select(F.col("tick").alias("t"), "node", (F.col("raw") / F.sum("raw").over(Window.partitionBy("tick"))).alias("rank"))
 
 
