@@ -51,6 +51,8 @@ PART_SHINGLES = 1 << 22
 RANKED = 1 << 17
 #: Leader and member names that are broadcast to pick sets (8 bytes each); beyond it they are joined by shuffle.
 MOST_BROADCAST = 1 << 20
+#: Names of rows that drop_duplicates() broadcasts.
+MOST_NAMES = 1 << 18
 #: Members of a group that one row of the group's own set serves in step 4.
 SALTED = 256
 #: Members, and bytes of their differences, on each side of a tile in step 4.
@@ -265,7 +267,7 @@ def _by_part(df: DataFrame, parts: int) -> DataFrame:
 def frequent(texts: DataFrame, parts: int, most: int = MOST_FREQUENT) -> Order:
     """The levels of count that hold at most `most` shingles in all, from the highest down."""
     sent = in_arrow(texts, lambda it: _send_shingles(it, parts), "part int, blob binary, counts binary")
-    levels = materialise(in_arrow(_by_part(sent, parts), _count, "level int, n long, blob binary"), "counts")
+    levels = materialise(in_arrow(_by_part(sent, parts), _count, "level int, n long, blob binary").hint("rebalance"), "counts")
     del sent
     tidy(texts.sparkSession)
     total, least = 0, 1 << 30
@@ -485,8 +487,8 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answer()
 
 
-def links(texts: DataFrame, parts: int) -> DataFrame:
-    """Edges a, b between set names whose components are the classes of the join (texts: one column text)."""
+def groups_of(texts: DataFrame, parts: int) -> DataFrame:
+    """The leaders' groups, each member as its difference from the leader (texts: one column text), as a written table."""
     spark = texts.sparkSession
     order = spark.sparkContext.broadcast(frequent(texts, parts))
     postings = in_arrow(texts, lambda it: _send_postings(it, order, parts), "part int, keys binary, nodes binary, marks binary")
@@ -509,10 +511,7 @@ def links(texts: DataFrame, parts: int) -> DataFrame:
     del sets, placed, dealt, wanted
     drop(member, groups, needed)
     tidy(spark)
-    found = materialise(group_links(apart, parts), "links")
-    drop(apart)
-    tidy(spark)
-    return found
+    return apart
 
 
 def group_links(apart: DataFrame, parts: int) -> DataFrame:
@@ -546,9 +545,11 @@ def classes(docs: DataFrame) -> DataFrame:
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long"
     described = materialise(in_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), _describe, kind), "described")
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    edges = links(texts, partitions(described))
-    found = components(edges)
-    drop(edges)
+    parts = partitions(described)
+    apart = groups_of(texts, parts)
+    found = components(group_links(apart, parts))
+    drop(apart)
+    tidy(docs.sparkSession)
     # a set's least document, then a class's
     least = described.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = materialise(least.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("class_node"), "least"), "named")
@@ -560,16 +561,29 @@ def classes(docs: DataFrame) -> DataFrame:
     return full.unionAll(empty)
 
 
-def drop_duplicates(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def drop_duplicates(docs: DataFrame, most_broadcast: int = MOST_NAMES) -> DataFrame:
     """One document of each class, the least by doc_id, with all its columns; documents without words all stay.
 
-    The rows are numbered in a written table; the numbers of the dropped ones are broadcast if their
-    counted number is within most_broadcast (8 bytes each), else anti-joined by shuffle.
+    docs should be a written table, since it is read several times. Rows are named by 128 bits of key and text.
+    The names of dropped rows, and of those kept rows that are there more than once, are broadcast if their
+    counted number is within most_broadcast (some 60 bytes each), else joined by shuffle; of rows of one name,
+    which differ in other columns at most, the first one stays.
     """
     start = written()
-    numbered = materialise(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid")), "numbered")
-    found = classes(numbered.select(F.struct(F.col("row.doc_id").alias("id"), F.col("rid").alias("rid")).alias("doc_id"), F.col("row.text").alias("text")))
-    dropped = materialise(found.where("doc_id.rid <> component_id.rid").select("doc_id.rid"), "dropped")
-    n = dropped.count()
-    drop_since(start, but=(numbered, dropped))
-    return numbered.join(F.broadcast(dropped) if n <= most_broadcast else dropped, "rid", "left_anti").select("row.*")
+    text, key = F.col("text").cast("string"), F.col("doc_id")
+    name = {"_name_1": F.xxhash64(F.lit(1), key.isNull(), key, text), "_name_2": F.xxhash64(F.lit(2), text, key)}
+    found = classes(docs.select(F.struct(key.isNull().alias("none"), key.alias("id"), name["_name_1"].alias("a"), name["_name_2"].alias("b")).alias("doc_id"), text.alias("text")))
+    worded = found.where("n_shingles > 0").groupBy(F.col("doc_id.a").alias("_a"), F.col("doc_id.b").alias("_b"))
+    decided = worded.agg(F.first(F.col("doc_id") == F.col("component_id")).alias("_keep"), F.count("*").alias("_n")).where("not _keep or _n > 1").drop("_n")
+    decided = materialise(decided, "decided")
+    state = decided.agg(F.count("*").alias("n"), F.count_if("_keep").alias("repeated")).first()
+    drop_since(start, but=(decided,))
+    side = F.broadcast(decided) if state.n <= most_broadcast else decided
+    named = docs.select(F.struct(*docs.columns).alias("row"), *(c.alias(n) for n, c in name.items()))
+    same = (F.col("_name_1") == F.col("_a")) & (F.col("_name_2") == F.col("_b"))
+    if not state.repeated:
+        return named.join(side, same, "left_anti").select("row.*")
+    joined = named.join(side, same, "left")
+    once = joined.where("_keep is null").select("row")
+    again = joined.where("_keep").groupBy("_name_1", "_name_2").agg(F.first("row").alias("row")).select("row")
+    return once.unionAll(again).select("row.*")
