@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import BITS, draw_int
-from ..plans.ordering import cut_lineage, with_scalars
+from ..plans.ordering import cut_lineage, global_last, with_scalars
 
 RESTART = 0.5
 
@@ -136,7 +136,7 @@ def carried_forward(scores: DataFrame, value: str, t: str = "t") -> DataFrame:
     """A row for each tick of the span; a tick without one repeats the value before it. One row a tick."""
     span = scores.agg(F.min(t).alias("a"), F.max(t).alias("z")).where("a is not null")
     spine = span.select(F.explode(F.sequence("a", "z")).alias(t)).join(scores, t, "left")
-    return spine.withColumn(value, F.last(value, ignorenulls=True).over(Window.orderBy(t)))
+    return global_last(spine, {"_v": value}, t).withColumn(value, F.col("_v")).drop("_v")
 
 
 def reservoir(edges: DataFrame, size: int, seed: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordering import global_number
 from .grouped import fold_groups
 
 FADE = 0.5
@@ -28,7 +29,7 @@ def normal(edges: DataFrame) -> DataFrame:
 
 def tick_numbers(edges: DataFrame) -> DataFrame:
     """t, j: ticks of the whole stream, numbered; one row a tick."""
-    return edges.select("t").distinct().withColumn("j", F.row_number().over(Window.orderBy("t")))
+    return global_number(edges.select("t").distinct(), "j", "t")
 
 
 def decayed_counts(keyed: DataFrame, fade: float = FADE) -> DataFrame:

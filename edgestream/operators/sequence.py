@@ -158,7 +158,7 @@ def idle_padding(edges: DataFrame, width: int, clock: str = "clock") -> DataFram
     """bin, src, dst: for each bin without an edge, a self-loop of the source of the last edge before it."""
     binned = time_bin(edges, width, clock)
     last = binned.groupBy("bin").agg(F.max_by("src", "seq").alias("node"))
-    following = last.withColumn("_next", F.lead("bin").over(Window.orderBy("bin")))  # one row a bin
+    following = global_lead(last, {"_next": "bin"}, "bin")
     gaps = following.where(F.col("_next") > F.col("bin") + 1)
     return gaps.select(F.explode(F.sequence(F.col("bin") + 1, F.col("_next") - 1)).alias("bin"), F.col("node").alias("src"), F.col("node").alias("dst"))
 
