@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance
+from .embedding import drift_score
 
 DECAY = 0.5
 #: Updates of a chunk of a node's history. The decay is at most one half, so what lies before the last chunk weighs
@@ -97,3 +98,18 @@ def z_scores(log: DataFrame, threshold: float, compat: bool = False, stream: str
         return pd.DataFrame({"seq": frame["seq"], "predicted": out})
 
     return log.select(stream, "seq", "idle", "depth_delta", "time_delta").groupBy(stream).applyInPandas(run, "seq long, predicted int")
+
+
+def node_drift(featured: DataFrame, edges: DataFrame, t: str = "t", width: int = WIDTH) -> DataFrame:
+    """node, t, score of each tick that a node meets after its first: (2 - drift - recovery) / 4.
+
+    Drift compares its memory at the tick's end with the one at the end of its tick before, recovery with the mean
+    memory of those it met in the tick.
+    """
+    at = edges.select("seq", t)
+    last = memories(featured, width).join(at, "seq").groupBy("node", t).agg(F.max_by("memory", F.struct("seq", "end")).alias("m"))
+    held = last.withColumn("before", F.lag("m").over(Window.partitionBy("node").orderBy(t)))
+    met = edges.select(t, F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))).alias("e")).select(t, "e.*").distinct()
+    others = met.join(last.withColumnsRenamed({"node": "other", "m": "o"}), [t, "other"])
+    rebuilt = others.groupBy("node", t).agg(F.array(*(F.avg(F.col("o")[k]) for k in range(width))).alias("rebuilt"))
+    return held.where("before is not null").join(rebuilt, ["node", t]).select("node", t, drift_score(F.col("m"), F.col("before"), F.col("rebuilt")).alias("score"))

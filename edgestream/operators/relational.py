@@ -233,3 +233,9 @@ def pool_queries(pool: DataFrame, queries: DataFrame) -> DataFrame:
     """query, node: every node of a pool beside each of a few stated queries, which travel as one array."""
     few = queries.agg(F.array_sort(F.collect_set("query")).alias("_q"))
     return pool.select("node").distinct().crossJoin(F.broadcast(few)).select(F.explode("_q").alias("query"), "node")
+
+
+def first_rows(rows: DataFrame, key: str, order: str = "seq") -> DataFrame:
+    """Of the rows of each key the first one, as where vectors are saved once a node."""
+    held = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("_row"))
+    return held.select("_row.*")

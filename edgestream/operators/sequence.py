@@ -269,3 +269,10 @@ def snapshot_schedule(edges: DataFrame, initial: float, size: int) -> DataFrame:
     first = F.floor(F.col("_n") * F.lit(initial))
     place = F.col("_k") - 1 - first
     return held.withColumn("snapshot", F.when(place < 0, F.lit(0).cast("long")).otherwise(F.floor(place / size) + 1)).drop("_k", "_n")
+
+
+def padded_groups(stream: DataFrame, value: str, size: int) -> DataFrame:
+    """batch, members: consecutive groups of size values; the last one is filled up with nulls."""
+    held = batches(stream, size, keep_partial=True).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("seq", F.col(value).alias("v")))).alias("m"))
+    members = F.transform("m", lambda x: x["v"])
+    return held.select("batch", F.concat(members, F.array_repeat(F.lit(None).cast(stream.schema[value].dataType), size - F.size("m"))).alias("members"))

@@ -119,6 +119,7 @@ QUERIES = {
     "file_adjacency": through(lambda s, d, p: K.adjacency_lines(small_graph(s, d)).select("value").write.text(p), S.adjacency_lists),
     "file_edge_list": through(lambda s, d, p: small_graph(s, d).select(F.concat_ws(" ", F.col("u").cast("string"), F.col("v").cast("string")).alias("value")).write.text(p), lambda s, p: S.edge_list(s, p).drop("seq")),
     "file_graph_text": through(lambda s, d, p: K.write_graph_text(*numbered_graphs(s, d), p), lambda s, p: S.graph_blocks(s, p).select("graph", "label", "node", "tag", "neighbours")),
+    "file_classes": through(lambda s, d, p: ev(s, d).select(F.concat_ws("\t", F.col("seq").cast("string"), "src").alias("value"), (F.col("t") % 3).alias("kind")).write.partitionBy("kind").text(p), S.class_lookup),
     "file_id_map": through(lambda s, d, p: K.write_map(R.node_set(ev(s, d)).select("node", F.length("node").alias("n")), p, "node", "n"), lambda s, p: s.read.text(p, wholetext=False).where("value like '%: %'").select(F.regexp_extract("value", '^"(.*)": ', 1).alias("node"), F.regexp_extract("value", r": (\d+),?$", 1).cast("int").alias("n"))),
 }
 
@@ -150,5 +151,6 @@ SQL = {
     "file_adjacency": f"WITH {T.LI} SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM li WHERE u <> v",
     "file_edge_list": f"WITH {T.LI} SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM li WHERE u <> v",
     "file_graph_text": with_sql(_BOTH + ", nm AS (SELECT a.graph, a.node, a.u, list_sort(list(b.node)) AS neighbours FROM bw JOIN id a ON a.graph = bw.graph AND a.u = bw.u JOIN id b ON b.graph = bw.graph AND b.u = bw.v GROUP BY ALL) SELECT dense_rank() OVER (ORDER BY graph) - 1 AS graph, graph % 2 AS label, node, length(u) AS tag, neighbours FROM nm"),
+    "file_classes": with_sql("SELECT CAST(seq AS VARCHAR) AS item, t % 3 AS class FROM ev"),
     "file_id_map": with_sql("SELECT node, length(node) AS n FROM (SELECT src AS node FROM ev UNION SELECT dst FROM ev)"),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as M
 from ..operators import injection as I
 from ..operators import learning as A
+from ..operators import memory as N
 from ..operators import microcluster as C
 from ..operators import relational as R
 from ..operators import sequence as S
@@ -16,8 +17,9 @@ from ..operators import walkscore as K
 from ..streaming import engine
 from . import frames as T
 from .catalog_files import _folder
+from .catalog_formats import _MEMORIES, _MEMORY, _ONCE
 from .catalog_graphs import _walked, pairs, rounded, vectors, walked
-from .catalog_relational import _NORMAL, _VEC, li, nodes
+from .catalog_relational import _NORMAL, _VEC, featured, li, nodes
 from .catalog_sequence import _LOGS, _SPLICE, ev, halves, with_sql
 
 
@@ -118,6 +120,9 @@ QUERIES = {
     "graph_predictions": lambda s, d: A.graph_predictions(pairs(s, d), vectors(s, d)),
     "walk_vectors": lambda s, d: A.walk_vectors(walked(s, d, per_start=5)),
     "spectral_clusters": lambda s, d: A.spectral_clusters(li(s, d).groupBy("u", (F.col("v") + 1_000_000_000).alias("v")).agg(F.count("*").alias("w")), 4),
+    "node_drift": lambda s, d: N.node_drift(featured(s, d), by_day(s, d).withColumn("t", F.col("stream_id"))).select("node", "t", F.round("score", 5).alias("score")),
+    "first_rows": lambda s, d: R.first_rows(ev(s, d).select("src", "seq", "dst", "t"), "src"),
+    "padded_groups": lambda s, d: S.padded_groups(ev(s, d), "src", 300),
     "bridge_score_by_day": lambda s, d: K.bridge_scores(by_day(s, d), sample=100),
     "frequency_factor_by_day": lambda s, d: K.factor_scores(by_day(s, d), setup=6, every=6),
     "walk_lengths": lambda s, d: walked(s, d, 8, stop=0.3, per_start=2).groupBy(F.size("path").alias("length")).agg(F.count("*").alias("n")),
@@ -164,5 +169,13 @@ SQL = {
     "coded_log": with_sql(", ends AS (SELECT src AS node, seq AS p FROM ev UNION ALL SELECT dst, seq + 1 + (SELECT max(seq) FROM ev) FROM ev), ids AS (SELECT node, row_number() OVER (ORDER BY min(p)) - 1 AS id FROM ends GROUP BY node), st AS (SELECT stamp, row_number() OVER (ORDER BY stamp) AS t FROM (SELECT DISTINCT 'day ' || ((t - 1) // 24) AS stamp FROM ev)) SELECT seq, a.id AS u, b.id AS v, st.t, label FROM ev JOIN ids a ON a.node = src JOIN ids b ON b.node = dst JOIN st ON stamp = 'day ' || ((ev.t - 1) // 24)"),
     "snapshot_schedule": with_sql(", k AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS k, CAST(floor(count(*) OVER () * 0.3::DOUBLE) AS BIGINT) AS f FROM ev) SELECT seq, CASE WHEN k < f THEN 0 ELSE (k - f) // 500 + 1 END AS snapshot FROM k"),
     "walk_lengths": _walked(8, stop=0.3, per_start=2) + " SELECT len(path) AS length, count(*) AS n FROM w8 GROUP BY len(path)",
+    "node_drift": f"""{_MEMORY}{_ONCE}{_MEMORIES}, dy AS (SELECT seq, (t - 1) // 24 AS t, src, dst FROM ev),
+l AS (SELECT m.node, dy.t, m0, m1, m2 FROM m JOIN dy ON dy.seq = m.seq QUALIFY row_number() OVER (PARTITION BY m.node, dy.t ORDER BY m.seq DESC, m.e DESC) = 1),
+h AS (SELECT node, t, [m0, m1, m2] AS m, lag([m0, m1, m2]) OVER (PARTITION BY node ORDER BY t) AS b FROM l),
+mt AS (SELECT t, src AS node, dst AS other FROM dy UNION SELECT t, dst, src FROM dy),
+r AS (SELECT mt.node, mt.t, [avg(m0), avg(m1), avg(m2)] AS r FROM mt JOIN l ON l.t = mt.t AND l.node = mt.other GROUP BY ALL)
+SELECT h.node, h.t, round((2 - list_cosine_similarity(m, b) - list_cosine_similarity(m, r)) / 4, 5) AS score FROM h JOIN r ON r.node = h.node AND r.t = h.t WHERE b IS NOT NULL""",
+    "first_rows": with_sql("SELECT src, min(seq) AS seq, min_by(dst, seq) AS dst, min_by(t, seq) AS t FROM ev GROUP BY src"),
+    "padded_groups": with_sql(", k AS (SELECT src, seq, (row_number() OVER (ORDER BY seq) - 1) // 300 AS batch FROM ev), l AS (SELECT batch, list(src ORDER BY seq) AS m FROM k GROUP BY batch) SELECT batch, list_concat(m, list_transform(range(300 - len(m)), lambda i: CAST(NULL AS VARCHAR))) AS members FROM l"),
     "pool_queries": with_sql("SELECT query, node FROM (SELECT DISTINCT src AS query FROM ev WHERE label = 1), (SELECT DISTINCT dst AS node FROM ev)"),
 }

@@ -199,3 +199,11 @@ def coerced(df: DataFrame, **kinds: str) -> DataFrame:
     """Columns as numbers; rows in which one of them is none are dropped."""
     made: dict[str, Column] = {c: F.col(c).try_cast(k) for c, k in kinds.items()}
     return df.withColumns(made).dropna(subset=list(kinds))
+
+
+def class_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """item, class of tab-separated files, a folder a class below path: the class is the folder's place by name, from 0."""
+    f = F.split("value", "\t")
+    held = spark.read.option("recursiveFileLookup", "true").text(path).select(f[0].alias("item"), F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("folder"))
+    placed = global_number(in_order(held.select("folder").distinct(), "folder"), "k", "_m", RANGE).select("folder", (F.col("k") - 1).alias("class"))
+    return held.join(placed, "folder").select("item", "class")
