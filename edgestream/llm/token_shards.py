@@ -192,8 +192,8 @@ def _token_hash(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], bases, layout: Layout, ranks=None) -> Iterator[pa.RecordBatch]:
-    """Rows part, place, doc_id, tokens to pieces of sequences, with packed tokens if ranks are given. Documents
-    that follow one another share pieces."""
+    """Rows part, place, doc_id, tokens to pieces of sequences: packed tokens if ranks are given, else names and
+    documents. Documents that follow one another share pieces."""
     pack = ranks.value.pack if ranks is not None else None
     first, kind, order = bases.value, np.dtype(f"<u{layout.width}"), Permutation(max(layout.n_sequences, 1), layout.key)
     for batch in batches:
@@ -208,14 +208,17 @@ def _pieces(batches: Iterator[pa.RecordBatch], bases, layout: Layout, ranks=None
             bounds = np.r_[at, np.arange(at // layout.length + 1, -(-(at + len(tokens)) // layout.length)) * layout.length, at + len(tokens)]
             sequence = bounds[:-1] // layout.length
             slots = order.slot(sequence)
+            if pack:
+                runs = zip(slots.tolist(), sequence.tolist(), (bounds[:-1] % layout.length).tolist(), np.diff(bounds).tolist(), (bounds - at).tolist(), (bounds[1:] - at).tolist(), strict=False)
+                out += [(slot, s, begin, n, 0, (), pack(tokens[i:j])) for slot, s, begin, n, i, j in runs]
+                continue
             names = _token_hash(tokens, (np.arange(len(tokens)) + at) % layout.length)
             sums = np.add.reduceat(names, bounds[:-1] - at).view(np.int64)
             # documents that overlap a piece
             low = np.searchsorted(start[a:z] + size[a:z], bounds[:-1], "right") + a
             high = np.searchsorted(start[a:z], bounds[1:], "left") + a
             for k in range(len(sequence)):
-                run = tokens[bounds[k] - at : bounds[k + 1] - at]
-                out.append((int(slots[k]), int(sequence[k]), int(bounds[k] % layout.length), len(run), int(sums[k]), ids[low[k] : high[k]], pack(run) if pack else None))
+                out.append((int(slots[k]), int(sequence[k]), int(bounds[k] % layout.length), int(bounds[k + 1] - bounds[k]), int(sums[k]), ids[low[k] : high[k]], None))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(batch.schema.field(2).type), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], ["slot", "sequence", "begin", "n", "name", "doc_ids", "tokens"])
 
