@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, language_id, license_scan, mixing, quality_rules, token_counts, token_shards, toxicity, url_filters
+from . import (
+    decontamination,
+    hard_negatives,
+    jaccard_join,
+    language_id,
+    license_scan,
+    mixing,
+    quality_rules,
+    suffix_dedup,
+    token_counts,
+    token_shards,
+    toxicity,
+    url_filters,
+    vector_codes,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +67,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,6 +97,9 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,
         "op10_token_counts": op10_token_counts,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_suffix_dedup": op12_suffix_dedup,
+        "op13_hard_negatives": op13_hard_negatives,
         "pipeline": pipeline,
     }
 
@@ -146,5 +175,93 @@ FROM failed
 """
 
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op11() -> str:
+    """Squared distances as x.x - 2 x.e + e.e: all sums are integers below 2^53. Rounds are unrolled."""
+    n, rounds = vector_codes.ENTRIES, vector_codes.ROUNDS
+    out = [
+        f"""
+v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)) AS q FROM embeddings WHERE {_FINITE}),
+p AS MATERIALIZED (
+  SELECT vec_id, part, list_slice(q, part * w + 1, part * w + w) AS x
+  FROM (SELECT vec_id, q, len(q) // {vector_codes.PARTS} AS w, unnest(range({vector_codes.PARTS})) AS part FROM v)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS e FROM p QUALIFY entry < {n})"""
+    ]
+    for r in range(rounds + 1):
+        out.append(
+            f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, p.part, any_value(x) AS x, arg_min(entry, d * {n} + entry) AS entry, min(d) AS d
+  FROM (SELECT vec_id, p.part, x, entry, CAST(list_inner_product(x, x) - 2 * list_inner_product(x, e) + list_inner_product(e, e) AS BIGINT) AS d
+        FROM p JOIN b{r} ON p.part = b{r}.part) AS p GROUP BY vec_id, p.part)"""
+        )
+        if r < rounds:
+            out.append(
+                f"""
+m{r} AS (
+  SELECT part, entry, list(f ORDER BY k) AS e FROM (
+    SELECT part, entry, k, CAST(floor(sum(c) / count(*)) AS DOUBLE) AS f
+    FROM (SELECT part, entry, unnest(x) AS c, unnest(range(len(x))) AS k FROM a{r}) GROUP BY ALL) GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.e, b{r}.e) AS e FROM b{r} LEFT JOIN m{r} USING (part, entry))"""
+            )
+    return f"""
+WITH {",".join(out)},
+books AS (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, k)) AS codebooks_sha256
+          FROM (SELECT part, entry, unnest(e) AS c, unnest(range(len(e))) AS k FROM b{rounds})),
+coded AS (SELECT vec_id, string_agg(lower(format('{{:02x}}', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (vec_id), books
+"""
+
+
+_BYTES = "lower(hex(encode(coalesce(text, ''))))"
+_WIDE = 2 * suffix_dedup.LENGTH
+
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_BYTES} AS b FROM documents),
+places AS (SELECT rid, s, md5(substring(b, 2 * s + 1, {_WIDE})) AS w FROM (SELECT rid, b, unnest(range(length(b) // 2 - {suffix_dedup.LENGTH - 1})) AS s FROM d WHERE length(b) >= {_WIDE})),
+twice AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY w) AS n FROM places) WHERE n > 1),
+islands AS (
+  SELECT rid, min(s) AS a, max(s) + {suffix_dedup.LENGTH} AS z
+  FROM (SELECT rid, s, sum(new) OVER (PARTITION BY rid ORDER BY s) AS island
+        FROM (SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + {suffix_dedup.LENGTH} THEN 0 ELSE 1 END AS new FROM twice))
+  GROUP BY rid, island),
+kept AS (
+  SELECT rid, string_agg(substring(b, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS k FROM (
+    SELECT rid, z AS f, lead(a, 1, 1000000000) OVER (PARTITION BY rid ORDER BY a) AS t FROM islands
+    UNION ALL SELECT rid, 0, min(a) FROM islands GROUP BY rid) JOIN d USING (rid) GROUP BY rid),
+gone AS (SELECT rid, sum(z - a) AS n, count(*) AS spans FROM islands GROUP BY rid)
+SELECT doc_id, CAST(length(b) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k, b))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN gone USING (rid)
+"""
+
+_OP13 = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % {hard_negatives.MOVED_EVERY} = 0 THEN (label + 1) % {hard_negatives.LABELS} ELSE label END AS label,
+         list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+scores AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+  FROM v AS a JOIN v AS r ON a.vec_id <> r.vec_id WHERE a.vec_id % {hard_negatives.ANCHOR_EVERY} = 0),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {hard_negatives.POSITIVES})
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives AS p JOIN scores AS s ON p.anchor_id = s.anchor_id
+WHERE NOT same AND {hard_negatives.LEAST} * positive_score <= 100 * score AND 100 * score <= {hard_negatives.MOST} * positive_score
+QUALIFY rank <= {hard_negatives.NEGATIVES}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _OP4, "op7_url_filters": _op7(), "op8_quality_rules": _OP8}
+    return {
+        "op4_decontamination": _OP4,
+        "op7_url_filters": _op7(),
+        "op8_quality_rules": _OP8,
+        "op11_vector_codes": _op11(),
+        "op12_suffix_dedup": _OP12,
+        "op13_hard_negatives": _OP13,
+    }
