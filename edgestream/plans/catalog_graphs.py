@@ -173,7 +173,7 @@ QUERIES = {
     "chain_depth": lambda s, d: chains(s, d).select("seq", F.size(P.chain_parts(F.col("chain"))).alias("depth"), F.element_at(P.chain_parts(F.col("chain")), -1).alias("last")),
     "private_addresses": lambda s, d: addresses(s, d).select("seq", "ip", P.is_private_ip(F.col("ip")).alias("private")),
     "address_ids": lambda s, d: ev(s, d).select("seq", P.bytes_mod(F.col("src")).alias("id")),
-    "graph_spectrum": lambda s, d: L.node_scores(ev(s, d).where("t > 660"), nodes(s, d), 10, 700, with_spectrum=True).select("node", "t", F.size("spectrum").alias("n")),
+    "graph_spectrum": lambda s, d: L.node_scores(ev(s, d), nodes(s, d), 10, 100, with_spectrum=True).select("node", "t", "level", "place", *_r("value")),
     "top_bins": lambda s, d: R.top_frequencies(R.snapshot_rollup(C.normal(ev(s, d)), "max").select(F.col("t").cast("string").alias("src"), F.lit("").alias("dst"), F.round("score", 6).alias("f")), 10).select(F.col("src").alias("t"), "f"),
     "undirected_closure": lambda s, d: G.both_ways(li(s, d)).distinct(),
 }

@@ -98,6 +98,14 @@ def global_number(df: DataFrame, name: str, seq: str = "seq", chunk: int = CHUNK
     return global_sum(df, F.lit(1).cast("long"), name, seq, chunk)
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str = "number", size: str = "edges") -> DataFrame:
+    """df with each row's place in its group, from 0, and the group's rows. A group may span any number of tasks."""
+    placed = global_number(in_order(df, *group, *order), "_n", "_m", RANGE)
+    sizes = placed.groupBy(*group).agg(F.min("_n").alias("_first"), F.count("*").alias(size))
+    joined = placed.join(sizes, group) if group else placed.crossJoin(F.broadcast(sizes))
+    return joined.select(*df.columns, (F.col("_n") - F.col("_first")).alias(name), size)
+
+
 def with_scalars(df: DataFrame, **values: Column) -> DataFrame:
     """df with aggregates over all its rows as columns: one row is broadcast."""
     return df.crossJoin(F.broadcast(df.agg(*(v.alias(k) for k, v in values.items()))))

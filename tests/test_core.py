@@ -307,8 +307,12 @@ def test_queries_take_the_whole_table(spark, monkeypatch):
     assert got.keys() == set(range(64)) and all(math.isclose(got[k], c, abs_tol=1e-5) for k, c in enumerate(linkstream.haar_matrix(x[None])[0]))
 
 
-def plain_link_score(history, present):
-    """The reference's score by explicit basis vectors (history: oldest tick first)."""
+def plain_link_score(history, present, by_walk):
+    """The reference's score by explicit basis vectors (history: oldest tick first).
+
+    by_walk: of equally probable edges, the one that reached its count earlier in the walk back stands first
+    (an edge that counts once more changes places with the first of its old count); else they stand by number.
+    """
     n = 1 << max(0, (len(present) - 1).bit_length())
 
     def basis():
@@ -324,36 +328,65 @@ def plain_link_score(history, present):
     def leaves(x, order):
         return np.array([x[i] for i in order] + [0.0] * (n - len(order)))
 
-    def by_rank(p):
-        return sorted(range(len(p)), key=lambda i: (-p[i], i))
-
-    best, p = math.inf, np.zeros(len(present))
+    def ranked(window):
+        if not by_walk:
+            return sorted(range(len(present)), key=lambda i: (-sum(h[i] for h in window), i))
+        order, count = list(range(len(present))), [0] * len(present)
+        for now in reversed(window):
+            for e in (i for i, x in enumerate(now) if x):
+                first, at = next(k for k, i in enumerate(order) if count[i] == count[e]), order.index(e)
+                order[first], order[at] = order[at], order[first]
+                count[e] += 1
+        return order
+
+    best, p, order = math.inf, np.zeros(len(present)), list(range(len(present)))
     first = next((i for i, h in enumerate(history) if any(h)), len(history))
     for length in range(2, len(history) - first):
         window = history[-length:]
         if not any(map(any, window)):
             continue
-        q = np.array([sum(h[i] for h in window) / length for i in range(len(present))])
+        q, now = np.array([sum(h[i] for h in window) / length for i in range(len(present))]), ranked(window)
         gap = 0.0
         for b, part in basis():
-            xs = [float(leaves(h, by_rank(q)) @ b) for h in window]
-            gap += (leaves(q * (1 - q), by_rank(q))[part].mean() - np.var(xs)) ** 2
+            xs = [float(leaves(h, now) @ b) for h in window]
+            gap += (leaves(q * (1 - q), now)[part].mean() - np.var(xs)) ** 2
         if math.sqrt(gap) <= best + 1e-9:
-            best, p = min(best, math.sqrt(gap)), q
-    x, m, v = (leaves(y, by_rank(p)) for y in (present, p, p * (1 - p)))
+            best, p, order = min(best, math.sqrt(gap)), q, now
+    x, m, v = (leaves(y, order) for y in (present, p, p * (1 - p)))
     return sum(float((x - m) @ b) ** 2 / max(v[part].mean(), 0.01) for b, part in basis())
 
 
-def test_node_link_scores_match_a_plain_fit_on_every_tick(spark):
-    draw = np.random.default_rng(4)
-    rows = [(t, "a", o, 0) for t in range(1, 26) for k, o in enumerate("vwxyz") if t not in (13, 14, 22, 23, 24, 25) and draw.random() < (0.9, 0.5, 0.3, 0.2, 0.1)[k]]
-    e = stream(spark, [*rows, (27, "b", "c", 0)])
-    met = sorted({r[2] for r in rows})
-    there = lambda t: [float((t, "a", o, 0) in rows) for o in met]
-    got = {r.t: r.score for r in linkstream.node_scores(e, spark.createDataFrame([("a",)], "node string"), 8, 5).collect()}
-    assert got.keys() == set(range(5, 28))  # quiet ticks too, to the stream's last
-    assert all(math.isclose(got[t], plain_link_score([there(k) for k in range(t - 8, t)], there(t)), rel_tol=1e-6, abs_tol=1e-6) for t in got)
-    assert {r.t for r in linkstream.graph_scores(e, 8, 5).collect()} == set(range(5, 28))
+LINK_ROWS = [(t, "a", o, 0) for t in range(1, 26) for k, o in enumerate("vwxyz") if t not in (13, 14, 22, 23, 24, 25) and np.random.default_rng(100 * t + k).random() < (0.9, 0.5, 0.3, 0.2, 0.1)[k]]
+
+
+def close(a, b):
+    return a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-6, abs_tol=1e-6) for k in b)
+
+
+@pytest.mark.parametrize("span", [1, 8])
+def test_node_link_scores_match_a_plain_fit_on_every_tick(spark, span):
+    e = stream(spark, [*LINK_ROWS, (27, "b", "c", 0)])
+    met = sorted({r[2] for r in LINK_ROWS})
+    there = lambda t: [float((t, "a", o, 0) in LINK_ROWS) for o in met]
+    got = {r.t: r.score for r in linkstream.node_scores(e, spark.createDataFrame([("a",)], "node string"), 8, 5, span=span).collect()}
+    assert close(got, {t: plain_link_score([there(k) for k in range(t - 8, t)], there(t), True) for t in range(5, 28)})  # quiet ticks too, to the stream's last
+
+
+@pytest.mark.parametrize("bits", [1, 2, 12])
+def test_graph_link_scores_match_one_plain_tree_over_all_edges(spark, bits):
+    draw = np.random.default_rng(7)
+    more = [(t, f"n{k % 3}", f"m{k}", 0) for t in (*range(1, 12), *range(17, 26)) for k in range(6) if draw.random() < (0.8, 0.1, 0.3, 0.5, 0.05, 0.2)[k]]
+    rows = LINK_ROWS + more
+    edges = sorted({r[1:3] for r in rows})
+    there = lambda t: [float((t, *x, 0) in rows) for x in edges]
+    want = {t: plain_link_score([there(k) for k in range(t - 6, t)], there(t), False) for t in range(5, 28)}
+    got = {r.t: r.score for r in linkstream.graph_scores(stream(spark, [*rows, (27, "a", "v", 0)]), 6, 5, bits).collect()}
+    want[27] = plain_link_score([there(k) for k in range(21, 27)], [float(x == ("a", "v")) for x in edges], False)
+    assert close(got, want)
+    one = [(t, "a", "b", 0) for t in (1, 2, 4, 5, 9)]
+    got = {r.t: r.score for r in linkstream.graph_scores(stream(spark, one), 4, 3, bits).collect()}
+    assert close(got, {t: plain_link_score([[float((k, "a", "b", 0) in one)] for k in range(t - 4, t)], [float((t, "a", "b", 0) in one)], False) for t in range(3, 10)})
+    assert linkstream.graph_scores(stream(spark, one).limit(0), 4, 3).count() == 0
 
 
 def test_factor_scores_take_the_largest_of_edge_and_groups(spark):
