@@ -43,8 +43,10 @@ LENGTH = 400
 PLACES, GRAM = 256, 8
 #: Bytes after an anchor that all of its windows hold.
 CORE = LENGTH - PLACES
-#: Anchors of one hash that a task takes together; suffixes of a run; suffixes of a range (on average).
-HOT, RUN, RANGE = 20_000, 16_384, 65_536
+#: Suffixes of a run; suffixes of a range (on average).
+RUN, RANGE = 16_384, 65_536
+#: Anchors of one hash that a task takes together: no more than a range's.
+HOT = RANGE
 
 _HEAD = 8
 _WIDTH = _HEAD + LENGTH + PLACES
