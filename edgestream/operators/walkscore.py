@@ -1,130 +1,263 @@
-"""Bridge-edge scores by sampled walks, and frequency factorisation: scorers with one state a stream, parallel over streams."""
+"""Bridge-edge scores by walks over a priority sample: the sample's versions are found first, then its events scored in batches."""
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from ..functions.draws import BITS, draw_int
+from ..plans.ordering import cut_lineage, numbered
+from .grouped import fold_groups
 
-def bridge_scores(edges: DataFrame, sample: int = 500, restart: float = 0.15, rounds: int = 30, seed: int = 1, stream: str = "stream_id") -> DataFrame:
-    """seq, score: how much the edge raises the share of walk steps from src that are at dst (both directions averaged).
+#: Events of a batch: each batch is scored by itself, from the sample that stood when it began.
+BATCH = 4096
+
+
+def with_priority(edges: DataFrame, seed: int = 1, stream: str = "stream_id") -> DataFrame:
+    """edges with place (from 0 in its stream, by seq) and priority: log10(u) over the tick's rate, (t - the tick before) / events of t."""
+    counts = edges.groupBy(stream, "t").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.lag("t").over(Window.partitionBy(stream).orderBy("t")), F.lit(-1))  # a row a tick
+    rates = counts.select(stream, "t", ((F.col("t") - before) / F.col("_n")).alias("_rate"))
+    u = (draw_int(seed, "seq") + 1) / F.lit(float((1 << BITS) + 1))
+    placed = numbered(edges, [stream], ["seq"], "place", "_size").drop("_size")
+    return placed.join(rates, [stream, "t"]).withColumn("priority", F.log10(u) / F.col("_rate")).drop("_rate")
+
+
+def entrants(placed: DataFrame, sample: int, stream: str = "stream_id") -> DataFrame:
+    """stream, place, leave, src, dst, weight of all events that the priority sample ever held; leave: the place of the event that drove it out.
+
+    An event enters if fewer than sample of those before it have a higher priority. Places are cut where they double:
+    within a stretch only events above the sample-th priority of all stretches before can enter, which is about sample
+    of them, so few events remain to be replayed in order, one stream a task.
+    """
+    stretch = F.when(F.col("place") < sample, 0).otherwise(1 + F.floor(F.log2(F.floor(F.col("place") / sample).cast("double") + 1e-9))).cast("int")
+    held = placed.withColumn("_part", stretch)
+    best = Window.partitionBy(stream, "_part").orderBy(F.desc("priority"), "place")
+    top = held.select(stream, "_part", "priority", "place").withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= sample)
+    parts = held.select(stream, "_part").distinct()
+    later = top.select(stream, "priority", "place", F.col("_part").alias("_of")).join(parts, stream).where("_of < _part")
+    rank = Window.partitionBy(stream, "_part").orderBy(F.desc("priority"), "place")
+    bars = later.withColumn("_k", F.row_number().over(rank)).where(F.col("_k") == sample).select(stream, "_part", F.col("priority").alias("_bar"))
+    able = held.join(bars, [stream, "_part"], "left").where(F.col("_bar").isNull() | (F.col("priority") > F.col("_bar")))
+
+    def replay(key: tuple, rows: list[tuple]) -> list[tuple]:
+        heap: list[tuple[float, int]] = []
+        told = {place: (src, dst, weight) for place, _, src, dst, weight in rows}
+        out = []
+        for place, priority, *_ in rows:
+            if len(heap) < sample:
+                heapq.heappush(heap, (priority, place))
+            elif priority > heap[0][0]:
+                out.append((*key, heapq.heapreplace(heap, (priority, place))[1], place))
+        out += [(*key, place, None) for _, place in heap]
+        return [(k, place, leave, *told[place]) for k, place, leave in out]
+
+    kind = placed.schema[stream].dataType.simpleString()
+    return fold_groups(able.select(stream, "place", "priority", "src", "dst", "weight"), [stream], ["place"], replay, f"{stream} {kind}, place long, leave long, src string, dst string, weight double")
 
-    The edges held are a priority sample of fixed size; visits are the exact expectation of the walks, by
-    a truncated power iteration, in place of sampled ones. 0 until the sample is full.
+
+class AliasTable:
+    """Weighted draws in constant time; weights may grow and shrink, and the table is built anew only when it is asked for.
+
+    It depends on the weights alone, not on the order in which they came and went.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        draw = np.random.Generator(np.random.PCG64(seed))
-        held: list[tuple[float, int, str, str, float]] = []
-        slot: dict[str, int] = {}  # of the nodes held and the two at hand
-        uses, free = [0] * (2 * sample + 2), list(range(2 * sample + 2))
-        n = len(uses)
-        ends, weights = np.zeros((2, sample), np.int64), np.zeros(sample)  # of the edges held, by position
-        per_tick = frame.groupby("t")["seq"].count().to_dict()
-        ticks = sorted(per_tick)
-        before = dict(zip(ticks, [-1, *ticks[:-1]], strict=True))
-
-        def use(x: str) -> int:
-            if x not in slot:
-                slot[x] = free.pop()
-            uses[slot[x]] += 1
-            return slot[x]
-
-        def leave(x: str) -> None:
-            uses[slot[x]] -= 1
-            if not uses[slot[x]]:
-                free.append(slot.pop(x))
-
-        def visits(u: int, v: int, extra: float) -> np.ndarray:
-            """Shares at v from u and at u from v, each without and with the edge: four walks in copies of the graph."""
-            a, b = np.concatenate([ends[0], ends[1]]), np.concatenate([ends[1], ends[0]])
-            w = np.concatenate([weights, weights])
-            total = np.tile(np.bincount(a, w, n), 4)
-            total[[n + u, 3 * n + v]] += extra
-            x = np.concatenate([a, a + n, a + 2 * n, a + 3 * n, [n + u, 3 * n + v]])
-            y = np.concatenate([b, b + n, b + 2 * n, b + 3 * n, [n + v, 3 * n + u]])
-            share = (1 - restart) * np.concatenate([w, w, w, w, [extra, extra]]) / np.where(total[x] > 0, total[x], 1.0)
-            mass = np.zeros(4 * n)
-            mass[[u, n + u, 2 * n + v, 3 * n + v]] = 1.0
-            seen = np.zeros(4 * n)
-            for _ in range(rounds):
-                seen += mass
-                mass = np.bincount(y, mass[x] * share, 4 * n)
-            return seen[[v, n + v, 2 * n + u, 3 * n + u]] / seen.reshape(4, n).sum(axis=1)
-
-        scores = []
-        for seq, t, u, v, w in zip(frame["seq"], frame["t"], frame["src"], frame["dst"], frame["weight"], strict=True):
-            if len(held) == sample:
-                there, there_with, back, back_with = visits(use(u), use(v), w)
-                leave(u)
-                leave(v)
-                scores.append(float(max(0.0, there_with - there) + max(0.0, back_with - back)) / 2)
+    def __init__(self) -> None:
+        self.parts: dict[str, list[float]] = {}
+        self._built: tuple[list[str], np.ndarray, np.ndarray, float] | None = None
+
+    def increment(self, key: str, by: float) -> None:
+        self.parts.setdefault(key, []).append(by)
+        self._built = None
+
+    def decrement(self, key: str, by: float) -> None:
+        """Take one increment back."""
+        self.parts[key].remove(by)
+        if not self.parts[key]:
+            del self.parts[key]
+        self._built = None
+
+    def table(self) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+        """keys, the share of its slot that each key keeps, the place of the key that has the rest, and the whole weight."""
+        if self._built is None:
+            keys = sorted(self.parts)
+            w = np.array([math.fsum(self.parts[k]) for k in keys])
+            part, other = w * len(w) / w.sum(), np.arange(len(w))
+            poor, rich = [int(k) for k in np.flatnonzero(part < 1)], [int(k) for k in np.flatnonzero(part >= 1)]
+            keep = np.ones(len(w))
+            while poor and rich:
+                p, r = poor.pop(), rich.pop()
+                keep[p], other[p] = part[p], r
+                part[r] -= 1 - part[p]
+                (poor if part[r] < 1 else rich).append(r)
+            self._built = keys, keep, other, float(w.sum())
+        return self._built
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _uniform(seed: int, seq: np.ndarray, *place: np.ndarray | int) -> np.ndarray:
+    """A number in [0, 1) of the seed, the event and a place: the same in every batch and on every rerun."""
+    x = seq.astype(np.uint64) + np.uint64(seed)
+    for p in place:
+        x = (x + _STEP) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(p).astype(np.uint64)
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
+class Sample:
+    """The edges held, both ways."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.next: dict[str, AliasTable] = {}
+
+    def node(self, x: str) -> int:
+        return self.number.setdefault(x, len(self.number))
+
+    def add(self, src: str, dst: str, weight: float) -> None:
+        for a, b in ((src, dst), (dst, src)):
+            self.node(a)
+            self.next.setdefault(a, AliasTable()).increment(b, weight)
+
+    def drop(self, src: str, dst: str, weight: float) -> None:
+        for a, b in ((src, dst), (dst, src)):
+            self.next[a].decrement(b, weight)
+            if not self.next[a].parts:
+                del self.next[a]
+
+    def flat(self) -> tuple[np.ndarray, ...]:
+        """All tables one after the other: start, size and total weight of each node's, then keys, keep and other."""
+        n = len(self.number)
+        start, size, total, parts, at = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), [], 0
+        for x, table in self.next.items():
+            keys, keep, other, weight = table.table()
+            parts.append((np.array([self.number[k] for k in keys]), keep, other))
+            k = self.number[x]
+            start[k], size[k], total[k] = at, len(keys), weight
+            at += len(keys)
+        joined = [np.concatenate(p) for p in zip(*parts, strict=True)] or [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        return start, size, total, *joined
+
+
+def _walked(sample: Sample, seq: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, walks: int, restart: float, seed: int) -> np.ndarray:
+    """Visits at dst per step of walks from src, with the edge less without it, at least 0; all events of a version at once.
+
+    A walk has a geometric number of steps, all of which count, even if it ends where no edge leads on. The
+    event's own edge joins the draw at its source in proportion to its weight.
+    """
+    start, size, total, keys, keep, other = sample.flat()
+    n = len(seq) * walks
+    of, turn = np.repeat(np.arange(len(seq)), walks), np.tile(np.arange(walks), len(seq))
+    found = []
+    for virtual in (0, 1):
+        steps = 1 + np.floor(np.log1p(-_uniform(seed, seq[of], turn, virtual, 0)) / np.log1p(-restart)).astype(np.int64)
+        at, hits, live = src[of].copy(), np.zeros(n, np.int64), np.arange(n)
+        k = 0
+        while len(live):
+            e, here = of[live], at[live]
+            hits[live] += here == dst[e]
+            k += 1
+            u = [_uniform(seed, seq[e], turn[live], virtual, 3 * k + c) for c in range(3)]
+            own = np.zeros(len(live), bool)
+            if virtual:
+                here_total = total[here] + weight[e]
+                own = (here == src[e]) & (u[0] * here_total < weight[e])
+            can = size[here] > 0
+            slot = start[here] + np.minimum((u[1] * size[here]).astype(np.int64), np.maximum(size[here] - 1, 0))
+            slot = np.where(can, slot, 0)
+            if len(keys):
+                moved = np.where(u[2] < keep[slot], keys[slot], keys[start[here] * can + other[slot]])
+                at[live] = np.where(own, dst[e], moved)
             else:
-                scores.append(0.0)
-            rate = (t - before[t]) / per_tick[t]
-            priority = float(np.log10(max(draw.random(), 1e-300)) / rate)
-            if len(held) < sample or priority > min(held)[0]:
-                k = len(held)
-                if k == sample:
-                    _, _, a, b, _ = gone = min(held)
-                    k = held.index(gone)
-                    leave(a)
-                    leave(b)
-                held[k : k + 1] = [(priority, seq, u, v, w)]
-                ends[:, k], weights[k] = (use(u), use(v)), w
-        return pd.DataFrame({"seq": frame["seq"], "score": scores})
-
-    return edges.select(stream, "seq", "t", "src", "dst", "weight").groupBy(stream).applyInPandas(run, "seq long, score double")
-
-
-def factor_scores(edges: DataFrame, most: int = 100, alpha: float = 0.999, width: int = 8, setup: int = 24, every: int = 24, rounds: int = 30, rate: float = 0.05, seed: int = 1, stream: str = "stream_id") -> DataFrame:
-    """seq, score: the largest of a tick's counts of the edge, of its source's edges and of its target's edges, each over its rate.
-
-    An edge's rate is exp(h_s Q h_d) of a factorisation of decayed frequencies, refitted every few ticks; a group's
-    is the sum of the rates of its edges in the tick.
-    A stream keeps its `most` most frequent pairs. Scores are keyed by seq; before the first fit they are 0.
+                at[live] = dst[e]
+            live = live[(own | can) & (k < steps[live])]
+        found.append(np.bincount(of, hits, len(seq)) / np.bincount(of, steps, len(seq)))
+    return np.maximum(found[1] - found[0], 0.0)
+
+
+def _expected(sample: Sample, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, restart: float, rounds: int) -> np.ndarray:
+    """The same in expectation, event by event: visits by a power iteration over the edges held, per step of a walk."""
+    n = len(sample.number)
+    edges = [(sample.number[a], sample.number[b], w) for a, table in sample.next.items() for b, parts in table.parts.items() for w in parts]
+    x, y, w = (np.array(c) for c in zip(*edges, strict=True)) if edges else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    plain = np.bincount(x, w, n)
+    steps = sum((1 - restart) ** k for k in range(rounds))
+    out = np.zeros(len(src))
+    for k, (u, v, extra) in enumerate(zip(src, dst, weight, strict=True)):
+        total = np.concatenate([plain, plain])
+        total[n + u] += extra
+        a, b, c = np.concatenate([x, x + n, [n + u]]), np.concatenate([y, y + n, [n + v]]), np.concatenate([w, w, [extra]])
+        share = (1 - restart) * c / total[a]
+        mass = np.zeros(2 * n)
+        mass[[u, n + u]] = 1.0
+        seen = np.zeros(2)
+        for _ in range(rounds):
+            seen += mass[[v, n + v]]
+            mass = np.bincount(b, mass[a] * share, 2 * n)
+        out[k] = max(0.0, (seen[1] - seen[0]) / steps)
+    return out
+
+
+def bridge_scores(edges: DataFrame, sample: int = 500, restart: float = 0.15, rounds: int = 30, walks: int | None = None, seed: int = 1, batch: int = BATCH, stream: str = "stream_id") -> DataFrame:
+    """seq, score: how much the edge raises the share of walk steps from src that are at dst (both directions averaged).
+
+    The edges held are a priority sample of fixed size, as it stood just before the event; scores are 0 until it is
+    full. walks: so many sampled walks, by alias tables; None: their exact expectation, by a truncated power iteration.
+    (With w walks the sampled score's standard error is below 1 / sqrt(w), since a visit's share lies in [0, 1].)
+
+    Which events the sample holds, and until when, depends on priorities alone. So it is found first, and then
+    every batch of a stream's events is scored by itself, from the edges that were held when it began and
+    those that came and went during it: one stream is as many tasks as it has batches.
     """
+    placed = cut_lineage(with_priority(edges.select(stream, "seq", "t", "src", "dst", F.col("weight").cast("double").alias("weight")), seed, stream))
+    held = entrants(placed, sample, stream)
+    last = placed.groupBy(stream).agg(F.max("place").alias("_last"))
+    # an edge that came at place p and left at q is held before p + 1 .. q
+    until = F.coalesce("leave", "_last")
+    lives = held.join(last, stream).where(F.col("place") < until).select(stream, F.explode(F.sequence(F.expr(f"(place + 1) div {batch}"), F.floor(until / batch))).alias("batch"), F.col("place"), F.col("leave"), F.lit(None).cast("long").alias("seq"), "src", "dst", "weight")
+    events = placed.select(stream, F.expr(f"place div {batch}").alias("batch"), "place", F.lit(None).cast("long").alias("leave"), "seq", "src", "dst", "weight")
+
+    def score(key: tuple, rows: list[tuple]) -> list[tuple]:
+        held, now = [], []
+        for place, leave, seq, src, dst, weight in rows:
+            if seq is None or seq != seq:
+                held.append((int(place), None if leave is None or leave != leave else int(leave), src, dst, weight))
+            else:
+                now.append((int(place), int(seq), src, dst, weight))
+        ready = [x for x in now if x[0] >= sample]
+        out = [(x[1], 0.0) for x in now if x[0] < sample]
+        if not ready:
+            return out
+        state = Sample()
+        first = ready[0][0]
+        changes: dict[int, list[tuple]] = {}
+        for place, leave, *edge in held:
+            if leave is None or leave >= first:
+                changes.setdefault(max(place + 1, first), []).append((1, *edge))
+                if leave is not None:
+                    changes.setdefault(leave + 1, []).append((0, *edge))
+        k = 0
+        while k < len(ready):
+            begin = ready[k][0]
+            for come, *edge in sorted(changes.pop(begin, [])):  # those that leave first
+                (state.add if come else state.drop)(*edge)
+            end = min((p for p in changes if p > begin), default=None)
+            run = []
+            while k < len(ready) and (end is None or ready[k][0] < end):
+                run.append(ready[k])
+                k += 1
+            seq, weight = np.array([x[1] for x in run]), np.array([x[4] for x in run])
+            u, v = (np.array([state.node(x[c]) for x in run]) for c in (2, 3))
+            both = [_expected(state, a, b, weight, restart, rounds) if walks is None else _walked(state, seq, a, b, weight, walks, restart, 2 * seed + side) for side, (a, b) in enumerate(((u, v), (v, u)))]
+            out += zip(seq.tolist(), ((both[0] + both[1]) / 2).tolist(), strict=True)
+        return out
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        draw = np.random.Generator(np.random.PCG64(seed))
-        q = draw.normal(size=(width, width)) / width
-        vectors: dict[str, np.ndarray] = {}
-        held: dict[tuple[str, str], float] = {}
-        fitted, scores = False, {}
-        first = int(frame["t"].iloc[0])
-        due, last = first + setup, first
-
-        def vector(x: str) -> np.ndarray:
-            return vectors.setdefault(x, draw.normal(size=width) * 0.1)
-
-        for t, rows in frame.groupby("t"):
-            counts = rows.groupby(["src", "dst"])["seq"].count()
-            if fitted:
-                groups: dict[tuple, list[float]] = {}  # count and rate of each edge, source and target
-                for (s, d), n in counts.items():
-                    expected = float(np.exp(np.clip(vector(s) @ q @ vector(d), -20, 20)))
-                    for key in ((s, d), (s, None), (None, d)):
-                        both = groups.setdefault(key, [0.0, 0.0])
-                        both[0] += n
-                        both[1] += expected
-                for s, d in counts.index:
-                    scores[t, s, d] = max(n / max(expected, 1e-9) for n, expected in (groups[s, d], groups[s, None], groups[None, d]))
-            held = {k: f * alpha ** (t - last) for k, f in held.items()}
-            for pair, n in counts.items():
-                held[pair] = held.get(pair, 0.0) + (1 - alpha) * n
-            if len(held) > most:
-                held = dict(sorted(held.items(), key=lambda kv: (-kv[1], kv[0]))[:most])
-            last = t
-            if t >= due:
-                for _ in range(rounds):
-                    for (s, d), f in held.items():
-                        a, b = vector(s), vector(d)
-                        miss = np.clip(np.exp(np.clip(a @ q @ b, -20, 20)) - f, -5, 5)
-                        vectors[s], vectors[d] = a - rate * miss * (q @ b), b - rate * miss * (q.T @ a)
-                fitted, due = True, t + every
-        return pd.DataFrame({"seq": frame["seq"], "score": [scores.get((t, s, d), 0.0) for t, s, d in zip(frame["t"], frame["src"], frame["dst"], strict=True)]})
-
-    return edges.select(stream, "seq", "t", "src", "dst").groupBy(stream).applyInPandas(run, "seq long, score double")
+    return fold_groups(lives.unionByName(events), [stream, "batch"], ["place"], score, "seq long, score double")

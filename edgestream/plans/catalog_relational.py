@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import embedding as E
 from ..operators import evaluation as M
+from ..operators import factorise as Q
 from ..operators import graphs as G
 from ..operators import linkstream as L
 from ..operators import memory as N
@@ -162,7 +163,8 @@ QUERIES = {
     "reservoir_sample": lambda s, d: G.reservoir(ev(s, d), 200).select("seq", "src", "dst"),
     "fixed_fanout": lambda s, d: G.fixed_fanout(li(s, d), 8),
     "bridge_score": lambda s, d: W.bridge_scores(ev(s, d).withColumn("stream_id", F.lit(0))),
-    "frequency_factor": lambda s, d: W.factor_scores(ev(s, d).withColumn("stream_id", F.lit(0))),
+    "bridge_score_sampled": lambda s, d: W.bridge_scores(ev(s, d).withColumn("stream_id", F.lit(0)), walks=50),
+    "frequency_factor": lambda s, d: Q.factor_scores(ev(s, d), most=1000, setup=168, every=168),
 }
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as M
+from ..operators import factorise as Q
 from ..operators import injection as I
 from ..operators import learning as A
 from ..operators import memory as N
@@ -124,7 +125,7 @@ QUERIES = {
     "first_rows": lambda s, d: R.first_rows(ev(s, d).select("src", "seq", "dst", "t"), "src"),
     "padded_groups": lambda s, d: S.padded_groups(ev(s, d), "src", 300),
     "bridge_score_by_day": lambda s, d: K.bridge_scores(by_day(s, d), sample=100),
-    "frequency_factor_by_day": lambda s, d: K.factor_scores(by_day(s, d), setup=6, every=6),
+    "frequency_factor_by_day": lambda s, d: Q.fold_factor_scores(by_day(s, d), setup=6, every=6),
     "walk_lengths": lambda s, d: walked(s, d, 8, stop=0.3, per_start=2).groupBy(F.size("path").alias("length")).agg(F.count("*").alias("n")),
 }
 

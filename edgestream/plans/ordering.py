@@ -19,8 +19,12 @@ RANGE = 1 << 33
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the cluster's shared folder; only a local master without one (tests) gets a temporary folder."""
+    """df as a checkpoint in the cluster's shared folder; only a local master without one (tests) gets a temporary folder.
+
+    Spark's cleaner deletes its files once nothing refers to it any more.
+    """
     sc = df.sparkSession.sparkContext
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if not sc.getCheckpointDir():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.match(r"local(\[|$)", sc.master):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgestream.functions import paths as P
 from edgestream.functions import vectors as V
-from edgestream.operators import evaluation, graphs, injection, linkstream, memory, microcluster, relational, sampling, sequence, walkscore
+from edgestream.operators import evaluation, factorise, graphs, injection, linkstream, memory, microcluster, relational, sampling, sequence, walkscore
 from edgestream.plans import catalog_graphs, catalog_relational, catalog_sequence, ordering
 from edgestream.sources import readers, writers
 
@@ -182,42 +182,63 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
-def plain_bridge_scores(rows, sample, rounds, restart=0.15, seed=1):
-    draw, held, scores = np.random.Generator(np.random.PCG64(seed)), [], []
-    ticks = sorted({r[1] for r in rows})
+def plain_bridge_scores(rows, priority, sample, rounds, restart=0.15):
+    held, scores = [], []
 
-    def share(u, v, extra):
+    def visits(u, v, extra):
         out = {}
         for a, b, w in [e for _, _, a, b, w in held for e in ((a, b, w), (b, a, w))] + [(u, v, extra)]:
             if w:
                 out.setdefault(a, []).append((b, w))
-        mass, at, every = {u: 1.0}, 0.0, 0.0
+        mass, at = {u: 1.0}, 0.0
         for _ in range(rounds):
-            at, every, moved = at + mass.get(v, 0.0), every + sum(mass.values()), {}
+            at, moved = at + mass.get(v, 0.0), {}
             for x, m in mass.items():
                 total = sum(w for _, w in out.get(x, []))
                 for y, w in out.get(x, []):
                     moved[y] = moved.get(y, 0.0) + m * (1 - restart) * w / total
             mass = moved
-        return at / every
+        return at / sum((1 - restart) ** k for k in range(rounds))  # the walk's steps count, whether an edge leads on or not
 
-    for seq, t, u, v, w in rows:
+    for seq, _, u, v, w in rows:
         full = len(held) == sample
-        scores.append(sum(max(0.0, share(a, b, w) - share(a, b, 0.0)) for a, b in ((u, v), (v, u))) / 2 if full else 0.0)
-        k = ticks.index(t)
-        rate = (t - (ticks[k - 1] if k else -1)) / sum(r[1] == t for r in rows)
-        priority = float(np.log10(max(draw.random(), 1e-300)) / rate)
-        if not full or priority > min(held)[0]:
-            held = [h for h in held if not full or h != min(held)] + [(priority, seq, u, v, w)]
+        scores.append(sum(max(0.0, visits(a, b, w) - visits(a, b, 0.0)) for a, b in ((u, v), (v, u))) / 2 if full else 0.0)
+        if not full or priority[seq] > min(held)[0]:
+            held = [h for h in held if not full or h != min(held)] + [(priority[seq], seq, u, v, w)]
     return scores
 
 
-def test_bridge_scores_match_a_plain_walk(spark):
-    rows = [(i, 1 + i // 7, f"n{i * i % 13}", f"n{(i * 5 + i // 3) % 11}", 1.0 + i % 3) for i in range(80)]
+@pytest.mark.parametrize("batch", [7, 4096])
+def test_bridge_scores_match_a_plain_walk(spark, batch):
+    rows = [(i, 1 + i // 7, f"n{i * i % 13}", f"n{(i * 5 + i // 3) % 11}", 1.0 + i % 3) for i in range(120)]
     e = spark.createDataFrame([(*r, 0) for r in rows], "seq long, t long, src string, dst string, weight double, stream_id int")
-    got = column(walkscore.bridge_scores(e, 20, rounds=12), "score")
+    placed = walkscore.with_priority(e).collect()
+    priority = {r.seq: r.priority for r in placed}
+    ticks = [r[1] for r in rows]
+    assert all(r.place == r.seq and r.priority <= 0 for r in placed) and len(set(priority.values())) > 100
+    assert math.isclose(10 ** (priority[119] / ticks.count(ticks[119])), int(__import__("hashlib").md5(b"1-119").hexdigest()[:7], 16) / 2**28, abs_tol=1e-6)
+    want = plain_bridge_scores(rows, priority, 20, 12)
+    got = column(walkscore.bridge_scores(e, 20, rounds=12, batch=batch), "score")
     assert any(r[2] == r[3] for r in rows) and sum(x > 0 for x in got) > 10
-    assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got, plain_bridge_scores(rows, 20, 12), strict=True))
+    assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got, want, strict=True))
+    # sampled walks: the same for every cut into batches, and within their error of the expectation
+    sampled = column(walkscore.bridge_scores(e, 20, walks=900, batch=batch), "score")
+    assert sampled == column(walkscore.bridge_scores(e, 20, walks=900, batch=31), "score")
+    exact = column(walkscore.bridge_scores(e, 20, rounds=60, batch=batch), "score")
+    assert max(abs(a - b) for a, b in zip(sampled, exact, strict=True)) < 2 / 30
+
+
+def test_alias_tables_draw_by_weight_after_changes():
+    table = walkscore.AliasTable()
+    for key, by in (("c", 1.0), ("a", 2.0), ("b", 4.0), ("a", 1.0), ("d", 3.0)):
+        table.increment(key, by)
+    table.decrement("d", 3.0)
+    keys, keep, other, total = table.table()
+    assert table.table()[0] is keys  # built once
+    share = dict(zip(keys, (keep / 3).tolist(), strict=True))
+    for k, o in enumerate(other):
+        share[keys[o]] += (1 - keep[k]) / 3 if o != k else 0.0
+    assert total == 8.0 and share.keys() == {"a", "b", "c"} and all(math.isclose(share[k], w / 8) for k, w in (("c", 1), ("a", 3), ("b", 4)))
 
 
 def test_bridge_query_scores_every_event(spark, monkeypatch):
@@ -389,28 +410,75 @@ def test_graph_link_scores_match_one_plain_tree_over_all_edges(spark, bits):
     assert linkstream.graph_scores(stream(spark, one).limit(0), 4, 3).count() == 0
 
 
-def test_factor_scores_take_the_largest_of_edge_and_groups(spark):
-    quiet = [(t, f"s{t % 3}", f"d{t % 2}", 0) for t in range(1, 31)]
-    burst = [(31, "s0", f"d{k}", 0) for k in range(6) for _ in range(1 + k % 3)] + [(31, f"s{k}", "d0", 0) for k in range(1, 5)]
-    e = stream(spark, quiet + burst).withColumn("stream_id", F.lit(0))
-    # without fitting rounds the vectors are the draws, in order of use
-    got = column(walkscore.factor_scores(e, rounds=0), "score")
-    draw = np.random.Generator(np.random.PCG64(1))
-    q, vectors, want = draw.normal(size=(8, 8)) / 8, {}, []
-
-    def rate(s, d):
-        a, b = (vectors.setdefault(x, draw.normal(size=8) * 0.1) for x in (s, d))  # each use draws
-        return math.exp(a @ q @ b)
-
-    for t in range(1, 32):
-        now = [r[1:3] for r in quiet + burst if r[0] == t]
-        if t <= 25:
-            want += [0.0] * len(now)
-            continue
-        rates = {p: rate(*p) for p in sorted(set(now))}
-        parts = lambda s, d: ([p for p in rates if p == (s, d)], [p for p in rates if p[0] == s], [p for p in rates if p[1] == d])
-        want += [max(sum(now.count(p) for p in part) / sum(rates[p] for p in part) for part in parts(s, d)) for s, d in now]
-    assert len(got) == len(want) and all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, want, strict=True))
+def plain_factor_scores(rows, most, alpha, setup, every, by_tick, floor=0.001, width=8):
+    """Without fitting steps: vectors are the draws of the nodes that are held when they are first needed."""
+    q = factorise.mixing_matrix(width)
+    held, nodes, out, low = {}, None, {}, floor
+    first = min(r[1] for r in rows)
+    vector = lambda x: (lambda h: h / np.linalg.norm(h))(np.array([factorise.drawn(1, x, k) + 1e-9 for k in range(width)]))
+
+    def prune(t):
+        nonlocal held, low
+        ranked = sorted((-f * alpha ** (t - was), p) for p, (was, f) in held.items())
+        if len(ranked) >= most:
+            low = -ranked[most - 1][0]
+        held = {p: held[p] for f, p in ranked[:most] if -f >= low}
+
+    for t in range(first, max(r[1] for r in rows) + 1):
+        now = [r for r in rows if r[1] == t]
+        pairs = [r[2:] for r in now]
+        rate = {p: math.exp(vector(p[0]) @ q @ vector(p[1])) if nodes and {*p} <= nodes else low for p in pairs}
+        for k, (seq, _, s, d) in enumerate(now):
+            n = pairs.count((s, d))
+            f = n if (s, d) in pairs[:k] else low if (s, d) not in held else 1 / (t - held[s, d][0] - 1 + 1 / n)
+            groups = [sum(pairs.count(p) for p in rate if p[c] == x) / sum(rate[p] for p in rate if p[c] == x) for c, x in ((0, s), (1, d))]
+            out[seq] = 0.0 if nodes is None else max(f / rate[s, d], *groups)
+        for p in set(pairs):
+            was, f = held.get(p, (t, 0.0))
+            held[p] = t, f * alpha ** (t - was) + (1 - alpha) * pairs.count(p)
+        at_fit = t >= first + setup and (t - first - setup) % every == 0
+        if by_tick and now or not by_tick and at_fit:
+            prune(t)
+        if at_fit:
+            nodes = {x for p in held for x in p}
+    return out
+
+
+FACTOR_ROWS = [(t, f"s{t * t % 5}", f"d{k * t % 4}", 0) for t in range(1, 40) if t % 9 for k in range(1 + t % 4)] + [(40, "s0", f"d{k}", 0) for k in range(6) for _ in range(1 + k % 3)] + [(41, f"s{k}", "d0", 0) for k in range(1, 5)]
+
+
+@pytest.mark.parametrize("by_tick", [True, False])
+def test_factor_scores_take_the_largest_of_edge_and_groups(spark, by_tick):
+    e = stream(spark, FACTOR_ROWS).withColumn("stream_id", F.lit(0))
+    rows = [(i, *r[:3]) for i, r in enumerate(FACTOR_ROWS)]
+    rows.sort(key=lambda r: (r[1], r[0]))
+    want = plain_factor_scores(rows, 6, 0.9, 10, 12, by_tick)
+    score = factorise.fold_factor_scores(e, 6, 0.9, setup=10, every=12, steps=0) if by_tick else factorise.factor_scores(e, 6, 0.9, setup=10, every=12, epochs=0)
+    got = {r.seq: r.score for r in score.collect()}
+    assert close(got, want) and sum(x > 0 for x in want.values()) > 40
+
+
+def test_strata_lose_no_more_than_one_plain_fit(spark):
+    draw = np.random.default_rng(5)
+    pairs = {(f"n{a}", f"n{b}"): float(f) for a, b, f in zip(draw.integers(0, 30, 90), draw.integers(0, 30, 90), draw.random(90), strict=True) if a != b}
+    state = spark.createDataFrame([(*p, 1, f) for p, f in pairs.items()], "src string, dst string, t long, f double")
+    q = factorise.mixing_matrix(8)
+    start = ordering.cut_lineage(factorise.first_vectors(state.select(F.explode(F.array("src", "dst")).alias("node")), 8))
+    met = [sorted(p for r in factorise.rounds_of(6) for p in r), [{g for p in r for g in p} for r in factorise.rounds_of(6)]]
+    assert met == [[(a, b) for a in range(6) for b in range(a + 1, 6)], [set(range(6))] * 5]
+    names = {r.node: k for k, r in enumerate(start.orderBy("node").collect())}
+    h = np.array([r.h for r in start.orderBy("node").collect()])
+    freq = np.full((len(h), len(h)), 0.01)
+    for (s, d), f in pairs.items():
+        freq[names[s], names[d]] = f
+    wanted = ~np.eye(len(h), dtype=bool)
+    loss, g = factorise.block_loss(h, q, freq, wanted)
+    bumped = h.copy()
+    bumped[3, 2] += 1e-6
+    assert math.isclose((factorise.block_loss(bumped, q, freq, wanted)[0] - loss) / 1e-6, g[3, 2], rel_tol=1e-3)
+    plain = factorise.block_loss(factorise.fit_block(h, q, freq, wanted, 6, 0.1), q, freq, wanted)[0]
+    got = factorise.whole_loss(factorise.fit(start, state, 0.01, q, groups=4, epochs=6), state, 0.01, q)  # as often over all pairs
+    assert got <= plain < loss - 100
 
 
 def test_published_scores_have_their_published_auc(spark):
