@@ -141,7 +141,7 @@ def _steps(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.R
     for batch in batches:
         for k in range(0, batch.num_rows, STEP):
             piece = batch.slice(k, STEP)
-            yield piece, matrix(piece.column(piece.schema.get_field_index("q")), PARTS * width).reshape(-1, PARTS, width)
+            yield piece, matrix(piece.column(piece.schema.get_field_index("q")), PARTS * width).reshape(piece.num_rows, PARTS, width)
 
 
 def refined(rows: DataFrame, books: np.ndarray, width: int) -> np.ndarray:
