@@ -7,8 +7,8 @@ the words that a source gets stay exactly on target, up to one last document.
 
 The rounding is a reduction tree: documents fall by hash into blocks of about BLOCK of their source, a
 block folds its documents in order and leaves one fractional residual, and blocks of residuals fold in
-turn until a source has one, which a last draw settles. No task sees more than a block at once, however
-large a source is, and only the small rows of (document, size) are exchanged, never texts. The draws are
+turn until a source has one, which a last draw settles. Equal rows are counted first and are one item of the
+tree, so no task sees more than a block at once, however large a source is, and only the small rows of (document, size) are exchanged, never texts. The draws are
 hashes of the documents' keys, so reruns agree, whatever the layout of the input.
 
 Defined results: a null text has size 0; a document of size 0 takes 0 words, and a source of size 0 has
@@ -29,7 +29,7 @@ WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 BLOCK = 512
 #: Least sizes of the strata, from the largest documents down.
-STRATA = (512, 64, 1)
+STRATA = (1024, 256, 128, 64, 16, 1)
 SEED = 20_240_601
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -129,42 +129,71 @@ def _round(items: DataFrame, most_items: int, id_type: str, block: int) -> tuple
     return ups.unionAll(last.select("source", "rid", "doc_id", "size", "up")), last.select("source", (F.col("up") * F.col("size") - F.col("mass")).alias("error"))
 
 
+def _settled(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rid, copies of every row of sized(): a group of m equal rows shares its total of copies as evenly as can be.
+
+    Which of the equal rows has one more is told by their rank: counts by partition (the upper bits of rid) are
+    added up over the partitions, and ranks run within a partition, so no task sees a whole group.
+    """
+    single = groups.where("m = 1").select("rid", F.col("total").alias("copies"))
+    many = groups.where("m > 1").select(F.col("source").alias("g_source"), F.col("doc_id").alias("g_doc"), "h", F.col("size").alias("g_size"), F.col("rid").alias("g"), "m", "total")
+    same = F.col("source").eqNullSafe(F.col("g_source")) & F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col("size") == F.col("g_size"))
+    member = rows.join(many, "h").where(same).select("rid", "g", "m", "total", F.shiftrightunsigned("rid", 33).alias("part"))
+    counts = member.groupBy("g", "part").agg(F.count("*").alias("n"))
+    offset = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = member.join(counts.select("g", "part", offset.alias("offset")), ["g", "part"]).withColumn("rank", F.col("offset") + F.row_number().over(Window.partitionBy("g", "part").orderBy("rid")) - 1)
+    copies = F.floor(F.col("total") / F.col("m")) + (F.col("rank") < F.col("total") % F.col("m")).cast("long")
+    return single.unionAll(ranked.select("rid", copies.alias("copies")))
+
+
 def mixed(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, block: int = BLOCK, strata: Sequence[int] = STRATA) -> DataFrame:
     """rid, doc_id, size, source, source_size, target, copies, taken of every row of sized().
 
-    Strata of document sizes are rounded from the largest down. The error of a stratum's last draw is
-    taken out of the next stratum's shares, so a source ends within one of its smallest documents of
-    its target; the draw's expectation is zero, so expected shares stay.
+    Equal rows are one item: of m of them, with a share of s copies each, the whole part of m s is given and
+    the rest is rounded. Strata of document sizes are rounded from the largest down. What a stratum's last draw
+    misses by is taken out of the shares of the next one, which may so rise or fall by whole copies (from none
+    to the bound). So a source ends within one of its smallest documents of its target, unless the smaller
+    strata hold fewer words than a large document's draw missed by. A draw's expectation is zero.
     """
     id_type = sizes.schema["doc_id"].dataType.simpleString()
     goal = materialise(targets(sizes, weights, most), "targets")
     share = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     tops = [1 << 62, *strata[:-1]]
     inside = [(F.col("size") >= low) & (F.col("size") < top) for low, top in zip(strata, tops, strict=True)]
-    words = [F.sum(F.when(c, F.col("size"))).alias(f"w{k}") for k, c in enumerate(inside)]
+    groups = materialise(sizes.where(F.col("size") >= strata[-1]).groupBy("source", "h", "doc_id", "size").agg(F.count("*").alias("m"), F.min("rid").alias("rid")), "groups")
+    words = [F.sum(F.when(c, F.col("size") * F.col("m"))).alias(f"w{k}") for k, c in enumerate(inside)]
     counts = [F.count_if(c).alias(f"n{k}") for k, c in enumerate(inside)]
-    per = materialise(sizes.groupBy("source").agg(*words, *counts), "strata")
+    per = materialise(groups.groupBy("source").agg(*words, *counts), "strata")
     per = per.withColumnRenamed("source", "p_source")
-    state = goal.join(per, goal.source.eqNullSafe(per.p_source)).drop("p_source").withColumn("fraction", share - F.floor(share)).withColumn("error", F.lit(0.0))
+    state = goal.join(per, goal.source.eqNullSafe(per.p_source)).drop("p_source").withColumn("share", share).withColumn("error", F.lit(0.0))
     most_items = state.agg(*(F.max(f"n{k}") for k in range(len(strata)))).first()
-    out = sizes.where(F.col("size") < strata[-1]).select("source", "rid", "doc_id", "size", F.lit(0).alias("up"))
-    for k, chosen in enumerate(inside):
-        if not most_items[k]:
-            continue
-        p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fraction") - F.col("error") / F.col(f"w{k}")))
-        state = materialise(state.withColumn("p", F.when(F.col(f"w{k}") > 0, p)), "shares")
-        named = state.select(F.col("source").alias("g_source"), "p", F.ceil(F.col(f"n{k}") / block).alias("blocks"))
-        wanted = sizes.where(chosen).join(named, sizes.source.eqNullSafe(named.g_source))
-        items = wanted.select("source", F.pmod("h", "blocks").alias("block"), "h", "rid", "doc_id", "size", (F.col("p") * F.col("size")).alias("mass"))
-        ups, error = _round(items, most_items[k], id_type, block)
-        out = out.unionAll(ups)
-        left = F.col("error") - F.coalesce((F.col("fraction") - F.col("p")) * F.col(f"w{k}"), F.lit(0.0))
+    ups: DataFrame | None = None
+    used = [k for k in range(len(strata)) if most_items[k]]
+    for k in used:
+        s = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col("share") - F.col("error") / F.col(f"w{k}")))
+        state = materialise(state.withColumn(f"s{k}", F.when(F.col(f"w{k}") > 0, s)), "shares")
+        named = state.select(F.col("source").alias("g_source"), F.col(f"s{k}").alias("s"), F.ceil(F.col(f"n{k}") / block).alias("blocks"))
+        wanted = groups.where(inside[k]).join(named, groups.source.eqNullSafe(named.g_source))
+        mass = (F.col("m") * F.col("s") - F.floor(F.col("m") * F.col("s"))) * F.col("size")
+        items = wanted.select("source", F.pmod("h", "blocks").alias("block"), "h", "rid", "doc_id", "size", mass.alias("mass"))
+        found, error = _round(items, most_items[k], id_type, block)
+        ups = found if ups is None else ups.unionAll(found)
+        left = F.col("error") - F.coalesce((F.col("share") - F.col(f"s{k}")) * F.col(f"w{k}"), F.lit(0.0))
         drawn = error.select(F.col("source").alias("e_source"), F.col("error").alias("drawn"))
-        state = state.join(drawn, state.source.eqNullSafe(drawn.e_source), "left").withColumn("error", left + F.coalesce("drawn", F.lit(0.0))).drop("e_source", "drawn", "p")
-    named = goal.withColumnRenamed("source", "g_source")
-    out = out.join(named, out.source.eqNullSafe(named.g_source))
-    copies = F.when(F.col("size") > 0, F.floor(share) + F.col("up")).otherwise(0).cast("long")
-    return out.withColumn("copies", copies).select("rid", "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        state = state.join(drawn, state.source.eqNullSafe(drawn.e_source), "left").withColumn("error", left + F.coalesce("drawn", F.lit(0.0))).drop("e_source", "drawn")
+    named = goal.select(F.col("source").alias("g_source"), "source_size", "target")
+    if ups is None:
+        copied = sizes.withColumn("copies", F.lit(0).cast("long"))
+    else:
+        of_size = F.lit(None).cast("double")
+        for k in used:
+            of_size = F.when(inside[k], F.col(f"s{k}")).otherwise(of_size)
+        shares = state.select(F.col("source").alias("t_source"), *(f"s{k}" for k in used))
+        whole = groups.join(shares, groups.source.eqNullSafe(shares.t_source)).withColumn("whole", F.floor(F.col("m") * of_size)).select(*groups.columns, "whole")
+        totals = materialise(whole.join(ups.select("rid", "up"), "rid").select(*groups.columns, (F.col("whole") + F.col("up")).alias("total")), "totals")
+        copied = sizes.join(_settled(sizes, totals), "rid", "left").withColumn("copies", F.coalesce("copies", F.lit(0)).cast("long"))
+    out = copied.join(named, copied.source.eqNullSafe(named.g_source))
+    return out.select("rid", "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixture(docs: DataFrame, source: str = "source", weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:

@@ -165,6 +165,29 @@ def test_mixing(spark):
     assert mixed == Counter({r.doc_id: r.copies for r in rows if r.copies})
 
 
+def test_mixing_meets_targets_over_all_strata(spark):
+    draw = np.random.default_rng(11)
+    sizes = np.clip(np.exp(draw.normal(4.5, 1.6, 900)), 1, 2856).astype(int).tolist()
+    sources = [str(s) for s in draw.choice(["a", "b", "c"], 900)]
+    texts = [" ".join(["w"] * n) + f" {k}" for k, n in enumerate(sizes)]
+    docs = frame(spark, texts, sources=sources)
+    copies = docs.where("doc_id = 17").crossJoin(spark.range(400)).drop("id")  # equal rows, above a third of their source
+    docs = docs.unionAll(copies)
+    assert {k for n in sizes for k, low in enumerate(mixing.STRATA) if n + 1 >= low and (not k or n + 1 < mixing.STRATA[k - 1])} == set(range(len(mixing.STRATA)))
+    rows = mixing.mixed(mixing.sized(docs), block=16).collect()
+    taken, target, twins = defaultdict(int), {}, []
+    for r in rows:
+        assert 0 <= r.copies <= 3
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        if r.doc_id == 17:
+            twins.append(r.copies)
+    assert len(rows) == 1300 and len(twins) == 401 and max(twins) - min(twins) <= 1
+    assert all(abs(taken[s] - target[s]) <= 8 for s in target)
+    again = mixing.mixed(mixing.sized(docs.repartition(7)), block=16).collect()
+    assert Counter((r.doc_id, r.copies) for r in rows) == Counter((r.doc_id, r.copies) for r in again)
+
+
 def test_mixing_awkward(spark):
     docs = awkward(spark)
     rows = mixing.mixture(docs).collect()
