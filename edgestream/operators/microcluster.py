@@ -138,7 +138,7 @@ def sketch_estimates(edges: DataFrame, factors: list[tuple[int, int]], columns:
 PRIME = 2**31 - 1
 
 
-def _cells(rows: int, columns: int, seed: int, relational: bool) -> Column:
+def cells_of(rows: int, columns: int, seed: int, relational: bool) -> Column:
     """kind, row, cell of an edge (u, v): the pair's own sketch, and with relational those of its source and target."""
     p = F.lit(PRIME).cast("long")
     factors = sketch_factors(rows, seed)
@@ -165,7 +165,7 @@ def sketch_scores(edges: DataFrame, rows: int = 2, columns: int = 1024, fade: fl
     not in one task; an edge takes the least of its cells.
     """
     ticks = edges.select(stream, "t").distinct().withColumn("j", F.row_number().over(Window.partitionBy(stream).orderBy("t")))
-    keyed = edges.join(ticks, [stream, "t"]).select("seq", "t", "j", stream, F.inline(_cells(rows, columns, seed, fade is not None))).withColumn("key", F.struct(stream, "kind", "row", "cell"))
+    keyed = edges.join(ticks, [stream, "t"]).select("seq", "t", "j", stream, F.inline(cells_of(rows, columns, seed, fade is not None))).withColumn("key", F.struct(stream, "kind", "row", "cell"))
     in_tick = F.row_number().over(Window.partitionBy("key", "t").orderBy("seq")).cast("double")
     held = keyed.withColumn("_k", in_tick)
     if fade is None:

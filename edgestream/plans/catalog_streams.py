@@ -15,12 +15,12 @@ from ..operators import microcluster as C
 from ..operators import relational as R
 from ..operators import sequence as S
 from ..operators import walkscore as K
-from ..streaming import engine
+from ..streaming import engine, sketch
 from . import frames as T
 from .catalog_files import _folder
 from .catalog_formats import _MEMORIES, _MEMORY, _ONCE
 from .catalog_graphs import _walked, pairs, rounded, vectors, walked
-from .catalog_relational import _NORMAL, _VEC, featured, li, nodes
+from .catalog_relational import _NORMAL, _VEC, _sketch, featured, li, nodes
 from .catalog_sequence import _LOGS, _SPLICE, ev, halves, with_sql
 
 
@@ -66,6 +66,17 @@ def stream_batches(s, d):
     return s.read.parquet(f"{path}/out").groupBy("t").agg(F.sum("attacks").alias("attacks"))
 
 
+def sketched(s, d):
+    """The sketch scores of the events as a stream of two runs: the second one begins with what the first has left."""
+    path = _folder(s)
+    rows = ev(s, d).select("seq", "t", F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
+    middle = rows.agg(F.expr("(min(seq) + max(seq)) div 2")).first()[0] or 0
+    for part in (F.col("seq") <= middle, F.col("seq") > middle):
+        rows.where(part).write.mode("append").parquet(f"{path}/in")
+        sketch.sketch_stream(s.readStream.schema(rows.schema).parquet(f"{path}/in"), path, fade=0.5).awaitTermination()
+    return s.read.schema("seq long, score double").parquet(f"{path}/out/*").select("seq", F.round("score", 5).alias("score"))
+
+
 def grid(s, d):
     """The AUC of the relational scores for a few decays."""
     out = None
@@ -107,7 +118,8 @@ QUERIES = {
     "stream_edges": stream_edges,
     "stream_tumbling_counts": lambda s, d: _run(engine.tumbling_counts(_streamed(s, stamped(s, d).select("ts", "label")), "ts", "1 hour", "10 minutes"), s, "complete").select(F.unix_timestamp("start").alias("start"), "n", "attacks"),
     "stream_session_counts": lambda s, d: _run(engine.session_counts(_streamed(s, stamped(s, d).select("ts", "stream_id")), "ts", "10 minutes", "7200 seconds"), s, "complete").select("stream_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n"),
-    "stream_microcluster": lambda s, d: _run(engine.microcluster_scores(_streamed(s, ev(s, d).select("seq", "t", "src", "dst").coalesce(1))), s, "append").select("seq", F.round("score", 6).alias("score")),
+    "stream_microcluster": lambda s, d: _run(engine.microcluster_scores(_streamed(s, ev(s, d).select("seq", "t", "src", "dst"))), s, "append").select("seq", F.round("score", 6).alias("score")),
+    "stream_sketch_scores": sketched,
     "stream_batches": stream_batches,
     "microcluster_grid": grid,
     "percentile_injection": at_percentile,
@@ -160,6 +172,7 @@ SQL = {
     "stream_tumbling_counts": with_sql("SELECT clock // 3600 * 3600 AS start, count(*) AS n, CAST(sum(label) AS BIGINT) AS attacks FROM ev GROUP BY 1"),
     "stream_session_counts": with_sql(", o AS (SELECT src, clock, CASE WHEN clock - lag(clock) OVER (PARTITION BY src ORDER BY clock) <= 7200 THEN 0 ELSE 1 END AS fresh FROM ev), g AS (SELECT *, sum(fresh) OVER (PARTITION BY src ORDER BY clock ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT src AS stream_id, min(clock) AS start, max(clock) + 7200 AS \"end\", count(*) AS n FROM g GROUP BY src, k"),
     "stream_microcluster": with_sql(f"{_NORMAL} SELECT seq, score FROM sc"),
+    "stream_sketch_scores": with_sql(_sketch()),
     "stream_batches": with_sql("SELECT t, CAST(sum(label) AS BIGINT) AS attacks FROM ev GROUP BY t"),
     "microcluster_grid": " UNION ALL ".join(f"(WITH {T.EV}{_relational_sql(f)}{_AUC.format(fade=f)})" for f in (0.25, 0.5)),
     "percentile_injection": with_sql(_LOGS + f", spot AS (SELECT {_GAP} AS s)" + _SPLICE.replace("100, 1, seq", "(SELECT s FROM spot), 1, seq").format(clock="clock - (SELECT min(clock) FROM bad) + (SELECT clock FROM benign WHERE seq = (SELECT s FROM spot)) + 1") + " SELECT * FROM ordered"),

@@ -62,21 +62,21 @@ def binned_scores(edges: DataFrame, width: int, limit: int, late: str = "fold")
 def microcluster_scores(edges: DataFrame) -> DataFrame:
     """seq, score of each edge as it arrives, from its pair's count in the tick and so far (state: three numbers a pair).
 
-    A late tick does not rewind the state; its score uses the late tick.
+    A late tick does not rewind the state; its score uses the late tick. A pair's rows of a micro-batch are
+    put in order together, whichever files they came from. sketch_stream() has a state that does not grow with the pairs.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, a, s = state.get if state.exists else (1, 0.0, 0.0)
-        for frame in frames:
-            frame = frame.sort_values("seq")
-            scores = []
-            for t in frame["t"]:
-                if t > now:
-                    now, a = int(t), 0.0
-                a, s = a + 1, s + 1
-                scores.append(0.0 if t <= 1 else float(((a - s / t) * t) ** 2 / (s * (t - 1))))
-            yield pd.DataFrame({"seq": frame["seq"], "score": scores})
+        frame = pd.concat(list(frames)).sort_values("seq")
+        scores = []
+        for t in frame["t"]:
+            if t > now:
+                now, a = int(t), 0.0
+            a, s = a + 1, s + 1
+            scores.append(0.0 if t <= 1 else float(((a - s / t) * t) ** 2 / (s * (t - 1))))
         state.update((now, a, s))
+        yield pd.DataFrame({"seq": frame["seq"], "score": scores})
 
     return edges.groupBy("src", "dst").applyInPandasWithState(run, "seq long, score double", "now long, a double, s double", "append", GroupStateTimeout.NoTimeout)
 

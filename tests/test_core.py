@@ -12,6 +12,7 @@ from edgestream.functions import vectors as V
 from edgestream.operators import evaluation, factorise, graphs, injection, linkstream, memory, microcluster, relational, sampling, sequence, walkscore
 from edgestream.plans import catalog_graphs, catalog_relational, catalog_sequence, ordering
 from edgestream.sources import readers, writers
+from edgestream.streaming import sketch
 
 
 def stream(spark, rows):
@@ -182,6 +183,27 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
+@pytest.mark.parametrize("fade", [None, 0.5])
+def test_sketch_stream_equals_the_batch_form_with_a_state_of_fixed_size(spark, tmp_path, fade):
+    rows = [(i, 1 + i // 9 * 2, i * i % 13, (i * 5 + i // 3) % 11) for i in range(300)]
+    e = spark.createDataFrame(rows, "seq long, t long, u long, v long")
+    source, folder, sizes = str(tmp_path / "in"), str(tmp_path / "run"), []
+    for a, b in ((0, 95), (95, 95), (95, 200), (200, 300)):  # cuts within a tick, an empty file
+        e.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.mode("append").parquet(source)
+        sketch.sketch_stream(spark.readStream.schema(e.schema).parquet(source), folder, 2, 8, fade).awaitTermination()
+        held = sketch.SketchState(spark, folder + "/cells")
+        sizes.append(held.before(1 << 30).count())
+    want = {r.seq: r.score for r in microcluster.sketch_scores(e.withColumn("stream_id", F.lit(0)), 2, 8, fade).collect()}
+    out = spark.read.parquet(folder + "/out/*").collect()
+    assert len(out) == 300 and close({r.seq: r.score for r in out}, want)
+    assert max(sizes) <= 2 * 8 * (3 if fade else 1) and len(held.versions()) <= 2
+    # a batch that runs again reads the version before its own; a late edge rewinds nothing
+    state = held.before(1 << 30)
+    late = spark.createDataFrame([(300, 5, 1, 1), (301, 69, 1, 1)], "seq long, t long, u long, v long")
+    scores, after = sketch.score_batch(late, state, 2, 8, fade, 7)
+    assert after.agg(F.max("t")).first()[0] == 69 and scores.count() == 2
+
+
 def plain_bridge_scores(rows, priority, sample, rounds, restart=0.15):
     held, scores = [], []
 
