@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import BITS, draw_int
-from ..plans.ordering import cut_lineage, global_last, with_scalars
+from ..plans.ordering import cut_lineage, global_last, numbered, with_scalars
 
 RESTART = 0.5
 
@@ -81,11 +81,11 @@ def _spread(mass: DataFrame, shares: DataFrame, by: list[str], rounds: int, cut_
 
 def snapshot_pageranks(edges: DataFrame, weighted: bool = False, rounds: int = 10, t: str = "t") -> DataFrame:
     """t, node, rank of the cumulative graph at each tick with edges: all snapshots advance together, a round a join."""
-    ticks = edges.select(t).distinct()
-    grown = cumulative_adjacency(edges, t).withColumn("until", F.lead(t).over(Window.partitionBy("src", "dst").orderBy(t)))
-    # a pair holds its weight from one growth to the next: expanded over the ticks of the stream
-    spans = ticks.withColumnRenamed(t, "tick")
-    alive = grown.join(F.broadcast(spans), (F.col("tick") >= F.col(t)) & (F.col("until").isNull() | (F.col("tick") < F.col("until")))).select("tick", "src", "dst", "weight")
+    ticks = cut_lineage(numbered(edges.select(t).distinct(), [], [t], "tick", "ticks"))
+    held = cumulative_adjacency(edges, t).join(ticks, t)
+    # a pair holds its weight from one growth to the next: expanded over the ticks' numbers
+    until = F.coalesce(F.lead("tick").over(Window.partitionBy("src", "dst").orderBy("tick")), F.col("ticks"))
+    alive = held.withColumn("until", until).select(F.explode(F.sequence(F.col("tick"), F.col("until") - 1)).alias("tick"), "src", "dst", "weight")
     w = Window.partitionBy("tick", "src")
     share = F.col("weight") / F.sum("weight").over(w) if weighted else 1.0 / F.count("*").over(w)
     shares = cut_lineage(alive.select("tick", "src", "dst", "weight", share.alias("share")))
@@ -95,9 +95,11 @@ def snapshot_pageranks(edges: DataFrame, weighted: bool = False, rounds: int = 1
         mass = outs.select("tick", "node", (RESTART * F.col("total") / F.sum("total").over(Window.partitionBy("tick"))).alias("mass"))
     else:  # every tick's restart reaches every node: the spine of the result
         counted = with_scalars(nodes, n=F.count("*"))
-        mass = counted.crossJoin(F.broadcast(spans)).select("tick", "node", (RESTART / F.col("n")).alias("mass"))
+        count = ticks.count()
+        mass = counted.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("tick"), "node", (RESTART / F.col("n")).alias("mass"))
     raw = _spread(cut_lineage(mass), shares.select("tick", F.col("src").alias("node"), F.col("dst").alias("other"), "share"), ["tick"], rounds)
-    return raw.select(F.col("tick").alias("t"), "node", (F.col("raw") / F.sum("raw").over(Window.partitionBy("tick"))).alias("rank"))
+    whole = raw.groupBy("tick").agg(F.sum("raw").alias("all"))
+    return raw.join(whole, "tick").join(ticks.select(F.col(t).alias("t"), "tick"), "tick").select("t", "node", (F.col("raw") / F.col("all")).alias("rank"))
 
 
 def derivative_scores(ranks: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, draw_int
-from ..plans.ordering import RANGE, global_number, in_order
+from ..plans.ordering import RANGE, cut_lineage, global_number, in_order, numbered
 from .grouped import fold_groups
 from .sequence import strictly_increasing
 
@@ -51,13 +53,14 @@ def densify(series: DataFrame, percent: float) -> DataFrame:
 
     def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
         ticks, added = [t for (t,) in rows], []
-        for _ in range(int(len(rows) * percent / 100)):
-            gaps = [b - a for a, b in zip(ticks, ticks[1:], strict=False)]
-            if not gaps:
-                break
-            k = gaps.index(max(gaps))
-            ticks.insert(k + 1, ticks[k] + gaps[k] // 2)
-            added.append((*key, ticks[k + 1]))
+        gaps = [(a - b, a) for a, b in zip(ticks, ticks[1:], strict=False)]  # the largest first, then the first
+        heapq.heapify(gaps)
+        for _ in range(int(len(rows) * percent / 100) if gaps else 0):
+            gap, a = gaps[0]
+            middle = a + -gap // 2
+            heapq.heapreplace(gaps, (a - middle, a))
+            heapq.heappush(gaps, (middle - a + gap, middle))
+            added.append((*key, middle))
         return added
 
     return fold_groups(series.select("src", "dst", "t"), ["src", "dst"], ["t"], fold, "src string, dst string, t long")
@@ -68,11 +71,18 @@ def sparsify(series: DataFrame, percent: float) -> DataFrame:
 
     def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
         ticks, gone = [t for (t,) in rows], []
-        for _ in range(int(len(rows) * percent / 100)):
-            gaps = [b - a for a, b in zip(ticks, ticks[1:], strict=False)]
-            if not gaps:
-                break
-            gone.append((*key, ticks.pop(gaps.index(min(gaps)) + 1)))
+        after = list(range(1, len(ticks) + 1))  # the next tick that is left
+        gaps = [(b - a, k) for k, (a, b) in enumerate(zip(ticks, ticks[1:], strict=False))]
+        heapq.heapify(gaps)
+        while gaps and len(gone) < int(len(rows) * percent / 100):
+            gap, k = heapq.heappop(gaps)
+            late = after[k] if k >= 0 and after[k] is not None else None
+            if late is None or late >= len(ticks) or ticks[late] - ticks[k] != gap:
+                continue  # one of its ends is gone, or it has grown
+            gone.append((*key, ticks[late]))
+            after[k], after[late] = after[late], None
+            if after[k] < len(ticks):
+                heapq.heappush(gaps, (ticks[after[k]] - ticks[k], k))
         return gone
 
     return fold_groups(series.select("src", "dst", "t"), ["src", "dst"], ["t"], fold, "src string, dst string, t long")
@@ -91,25 +101,29 @@ def rewire(stream: DataFrame, tick: int, share: float, seed: int = 1) -> DataFra
 
 def spread_over_out_edges(weights: DataFrame, node: str, number: int) -> DataFrame:
     """src, dst, extra: number dealt over a node's out-edges by whole shares, the rest to the first."""
-    own = weights.where(F.col("src") == node).withColumn("_k", F.row_number().over(Window.orderBy("dst"))).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    own = numbered(weights.where(F.col("src") == node), [], ["dst"], "_k", "_n")
     share = F.expr(f"{number} div _n")
-    return own.select("src", "dst", (share + F.when(F.col("_k") == 1, number - share * F.col("_n")).otherwise(0)).alias("extra")).where("extra > 0")
+    return own.select("src", "dst", (share + F.when(F.col("_k") == 0, number - share * F.col("_n")).otherwise(0)).alias("extra")).where("extra > 0")
 
 
 def clique(nodes: DataFrame) -> DataFrame:
-    """src, dst of every pair of a few given nodes (a stated set), the smaller one first."""
-    return nodes.select(F.col("node").alias("src")).join(nodes.select(F.col("node").alias("dst")), F.col("src") < F.col("dst"))
-
-
-def evenly_spaced(first: int, last: int, number: int) -> list[int]:
-    """The ticks at which to inject."""
-    return [first + k * (last - first) // number for k in range(number)] if number else []
-
-
-def block_model(spark, blocks: int, size: int, ticks: int, inside: float, across: float, seed: int = 1) -> DataFrame:
-    """src, dst, t of a synthetic stream: nodes in blocks, a pair's presence at a tick by its blocks' probability."""
-    n = blocks * size
-    pairs = spark.range(n * n).select(F.expr(f"id div {n}").alias("u"), (F.col("id") % n).alias("v")).where("u < v")
-    p: Column = F.when(F.expr(f"u div {size} = v div {size}"), inside).otherwise(across)
-    grown = pairs.withColumn("p", p).select("u", "v", "p", F.explode(F.sequence(F.lit(1), F.lit(ticks))).alias("t"))
-    return grown.where(draw(seed, "u", "v", "t") < F.col("p")).select(F.col("u").cast("string").alias("src"), F.col("v").cast("string").alias("dst"), "t")
+    """src, dst of every pair of the given nodes, the smaller one first: each node names those before it, so no pair is formed twice."""
+    placed = cut_lineage(numbered(nodes.select("node").distinct(), [], ["node"]))
+    later = placed.where("number > 0").select(F.col("node").alias("dst"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("number") - 1)).alias("number"))
+    return later.join(placed.select(F.col("node").alias("src"), "number"), "number").select("src", "dst")
+
+
+def even_ticks(stream: DataFrame, number: int, first: int | None = None) -> DataFrame:
+    """t: number ticks at which to inject, evenly spaced from first (or the stream's first tick) up to its last."""
+    span = stream.agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a is not null")
+    held = span.withColumn("a", F.lit(first).cast("long")) if first is not None else span
+    return held.select("a", "z", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("k")).select(F.expr(f"a + k * (z - a) div {number}").alias("t"))
+
+
+def block_model(nodes: DataFrame, ticks: int, inside: float, across: float, seed: int = 1) -> DataFrame:
+    """src, dst, t of a synthetic stream over the given nodes (node, block): a pair's presence at a tick by its blocks' probability."""
+    blocks = nodes.select("node", "block")
+    pairs = clique(nodes).join(blocks.withColumnsRenamed({"node": "src", "block": "_a"}), "src").join(blocks.withColumnsRenamed({"node": "dst", "block": "_b"}), "dst")
+    p: Column = F.when(F.col("_a").eqNullSafe(F.col("_b")), inside).otherwise(across)
+    grown = pairs.select("src", "dst", p.alias("p"), F.explode(F.sequence(F.lit(1), F.lit(ticks))).alias("t"))
+    return grown.where(draw(seed, "src", "dst", "t") < F.col("p")).select("src", "dst", "t")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
-from ..plans.ordering import CHUNK, global_lag, global_lead, global_number
+from ..plans.ordering import CHUNK, global_lag, global_lead, global_number, numbered
 from .embedding import aggregate_neighbours
 
 RELU = "relu"
@@ -16,15 +16,15 @@ RELU = "relu"
 
 def stratified_folds(rows: DataFrame, k: int, label: str = "label", key: str = "seq") -> DataFrame:
     """rows with fold 0 .. k - 1: the rows of a label dealt in turn, in the order of their key's digest."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")))
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    placed = numbered(rows, [label], [F.md5(F.col(key).cast("string"))], "_n", "_size")
+    return placed.withColumn("fold", F.col("_n") % k).drop("_n", "_size")
 
 
 def random_split(rows: DataFrame, train: float = 0.7, valid: float = 0.85, group: str = "t", key: str = "seq", seed: int = 7) -> DataFrame:
     """rows with part train, valid or test, by the rank of a seeded digest within each group."""
-    rank = F.percent_rank().over(Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))))
-    held = rows.withColumn("_p", rank)
-    return held.withColumn("part", F.when(F.col("_p") < train, "train").when(F.col("_p") < valid, "valid").otherwise("test")).drop("_p")
+    placed = numbered(rows, [group], [F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))], "_n", "_size")
+    p = F.when(F.col("_size") > 1, F.col("_n") / (F.col("_size") - 1)).otherwise(0.0)
+    return placed.withColumn("part", F.when(p < train, "train").when(p < valid, "valid").otherwise("test")).drop("_n", "_size")
 
 
 def train_edges(edges: DataFrame, parts: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordering import global_number
+from ..plans.ordering import global_number, global_sum
 from .grouped import fold_groups
 
 FADE = 0.5
@@ -55,27 +57,25 @@ def relational(edges: DataFrame, fade: float = FADE) -> DataFrame:
     return held.groupBy("seq").agg(F.first("t").alias("t"), F.first("label").alias("label"), F.max(score).alias("score"))
 
 
-def _filter_fold(ticks: list[int], threshold: float, fade: float):
-    """A key's state before each of its ticks, from its counts by tick (t, n) alone.
+def _filter_fold(threshold: float, fade: float):
+    """A key's state before each of its ticks, from its counts by tick alone: (t, n, number of the tick, growth).
 
     Between two of them, each tick of the stream either adds the fading current count to the total (a
-    geometric sum), or multiplies the total by 1 + 1 / (p - 1) for the tick p before (a quotient of products).
+    geometric sum), or multiplies the total by 1 + 1 / (p - 1) for the tick p before; growth is the sum of these
+    factors' logarithms over all ticks before.
     """
-    place = {t: k for k, t in enumerate(ticks)}
-    growth = np.cumprod([1.0, *(1.0 + (1.0 / (p - 1) if p > 1 else 0.0) for p in ticks[:-1])])
 
     def fold(key: tuple, rows: list[tuple]) -> list[tuple]:
         total = current = score = 0.0
-        out, before = [], place[rows[0][0]]
-        for t, n in rows:
-            now = place[t]
+        out, before, grown = [], rows[0][2], rows[0][3]
+        for t, n, now, growth in rows:
             passed = fade ** (now - before)
             if score < threshold:
                 total += current * ((1 - passed) / (1 - fade) if fade < 1 else now - before)
             else:
-                total *= growth[now] / growth[before]
+                total *= math.exp(growth - grown)
             current *= passed
-            before = now
+            before, grown = now, growth
             out.append((*key, t, current, total))
             current += n
             score = 0.0 if total == 0 else (current + total - current * t) ** 2 / (total * (t - 1))
@@ -87,17 +87,16 @@ def _filter_fold(ticks: list[int], threshold: float, fade: float):
 def filtering(edges: DataFrame, threshold: float, fade: float = FADE) -> DataFrame:
     """seq, score: totals take a tick's counts only when the tick is over, and not from keys that scored above threshold.
 
-    A key is folded over its counts by tick (the stream's ticks, one number each, are sent to the tasks), so a
-    hot key is as many rows as there are ticks. The three keys of an edge go through one pass.
+    A key is folded over its counts by tick, which bring the tick's number and growth along, so a hot key is
+    as many rows as there are ticks. The three keys of an edge go through one pass.
     """
-    ticks = [r.t for r in edges.select("t").distinct().orderBy("t").collect()]
-    if not ticks:
-        return edges.select("seq", "t", "label", F.lit(0.0).alias("score"))
+    factor = F.log(1 + F.when(F.col("t") > 1, 1 / (F.col("t") - 1)).otherwise(0.0))
+    ticks = global_sum(tick_numbers(edges), factor, "upto", "t").select("t", "j", (F.col("upto") - factor).alias("growth"))
     joined = F.concat_ws("\u0001", "src", "dst")
     keys = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in enumerate((joined, F.col("src"), F.col("dst")))))
     keyed = edges.select("seq", "t", "label", F.explode(keys).alias("k")).select("seq", "t", "label", "k.*")
-    counts = keyed.groupBy("kind", "key", "t").agg(F.count("*").alias("n"))
-    state = fold_groups(counts, ["kind", "key"], ["t"], _filter_fold(ticks, threshold, fade), "kind int, key string, t long, before_a double, total double")
+    counts = keyed.groupBy("kind", "key", "t").agg(F.count("*").alias("n")).join(ticks, "t").select("kind", "key", "t", "n", "j", "growth")
+    state = fold_groups(counts, ["kind", "key"], ["t"], _filter_fold(threshold, fade), "kind int, key string, t long, before_a double, total double")
     in_tick = F.row_number().over(Window.partitionBy("kind", "key", "t").orderBy("seq"))
     a, s = F.col("before_a") + F.col("_k"), F.col("total")
     score = F.when(s == 0, F.lit(0.0)).otherwise(F.pow(a + s - a * F.col("t"), 2) / (s * (F.col("t") - 1)))

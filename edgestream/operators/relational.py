@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordering import RANGE, global_last, global_number, in_order, with_scalars
+from ..plans.ordering import RANGE, cut_lineage, global_last, global_number, in_order, with_scalars
+
+#: Nodes of a block of complement_pairs().
+BLOCK = 4096
 
 
 def malicious_pairs(edges: DataFrame) -> DataFrame:
@@ -196,17 +199,27 @@ def positions_in(rows: DataFrame, table: DataFrame, value: str, order: str) -> D
 def dense_adjacency(edges: DataFrame, size: int) -> DataFrame:
     """u, row: the symmetric 0/1 matrix of a graph of nodes 1 .. size, a row each (size bounds a row, not the edges)."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    held = both.groupBy("u").agg(F.collect_set("v").alias("_s"))
-    rows = edges.sparkSession.range(1, size + 1).select(F.col("id").alias("u")).join(held, "u", "left")
-    return rows.select("u", F.transform(F.sequence(F.lit(1).cast("long"), F.lit(size).cast("long")), lambda k: F.coalesce(F.array_contains("_s", k), F.lit(False)).cast("int")).alias("row"))
+    held = both.where(F.col("v").between(1, size)).groupBy("u").agg(F.collect_set("v").alias("_s"))
+    rows = edges.sparkSession.range(1, size + 1).select(F.col("id").alias("u")).join(held, "u", "left").withColumn("_s", F.sort_array(F.coalesce("_s", F.array().cast("array<bigint>"))))
+    zeros = lambda n: F.array_repeat(F.lit(0), n.cast("int"))
+    before = F.concat(F.array(F.lit(0).cast("long")), F.col("_s"))  # one more than there are: zip_with fills up with null
+    parts = F.zip_with(F.col("_s"), before, lambda s, p: F.when(s.isNull(), zeros(F.lit(size) - p)).otherwise(F.concat(zeros(s - p - 1), F.array(F.lit(1)))))
+    return rows.select("u", F.flatten(parts).alias("row"))
 
 
 def complement_pairs(left: DataFrame, right: DataFrame, edges: DataFrame) -> DataFrame:
-    """src, dst: all pairs of a left and another right node without an edge, as long as their product: the right
-    side's known targets are taken from the whole set by source, so no pair is joined only to be dropped."""
-    every = right.agg(F.array_sort(F.collect_set("node")).alias("_all"))
-    known = edges.groupBy(F.col("src").alias("node")).agg(F.collect_set("dst").alias("_known"))
-    held = left.select("node").distinct().join(known, "node", "left").crossJoin(F.broadcast(every))
+    """src, dst: all pairs of a left and another right node without an edge, which are as many as their product.
+
+    The right side is dealt into blocks of about BLOCK nodes. A left node meets each block once, as one array, from
+    which those it has an edge to are taken; so no row holds more than a block, and no pair is joined to be dropped.
+    """
+    others = cut_lineage(right.select("node").distinct())
+    blocks = max(1, -(-others.count() // BLOCK))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias("_block")
+    every = others.groupBy(block("node")).agg(F.collect_set("node").alias("_all"))
+    known = edges.groupBy(F.col("src").alias("node"), block("dst")).agg(F.collect_set("dst").alias("_known"))
+    asked = left.select("node").distinct().withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    held = asked.join(known, ["node", "_block"], "left").join(every, "_block")
     rest = F.array_except("_all", F.array_append(F.coalesce("_known", F.array().cast("array<string>")), F.col("node")))
     return held.select(F.col("node").alias("src"), F.explode(rest).alias("dst"))
 

@@ -138,6 +138,13 @@ def sliding_windows(stream: DataFrame, size: int, stride: int) -> DataFrame:
     return held.withColumn("window", F.explode(F.sequence("_first", "_last"))).drop("_k", "_n", "_first", "_last")
 
 
+def labelled_windows(stream: DataFrame, size: int, stride: int) -> DataFrame:
+    """sliding_windows() with attack: whether more than half of the window's rows are labelled."""
+    held = sliding_windows(stream, size, stride)
+    marks = held.groupBy("window").agg((2 * F.sum("label") > size).alias("attack"))
+    return held.join(marks, "window")
+
+
 def features(edges: DataFrame, depth: Column) -> DataFrame:
     """f: (depth / 10, since_last / 10000, (degree - mean) / std), with statistics of the whole stream."""
     held = running_degree(since_last(edges))

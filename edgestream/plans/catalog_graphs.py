@@ -45,9 +45,12 @@ def upto(s, d, tick):
 
 
 def updated_walks(s, d):
-    old = W.walks(upto(s, d, 300), upto(s, d, 300).select(F.col("u").alias("node")), 3)
-    touched = ev(s, d).where("t = 301").select(F.col("src").alias("node"))
-    return W.regenerated_walks(old, upto(s, d, 301), touched, 3, seed=2)
+    """The walks of the whole stream, from those before its last tick."""
+    last = ev(s, d).agg(F.max("t")).first()[0] or 0
+    before = upto(s, d, last - 1)
+    old = W.walks(before, before.select(F.col("u").alias("node")), 3)
+    touched = ev(s, d).where(F.col("t") == last).select(F.col("src").alias("node"))
+    return W.regenerated_walks(old, upto(s, d, last), touched, 3, seed=2)
 
 
 def asked(s, d):
@@ -158,7 +161,7 @@ QUERIES = {
     "rewire": rewired,
     "injected_stream": lambda s, d: R.injected_stream(ev(s, d), rewired(s, d)),
     "random_injection": lambda s, d: I.at_random(*halves(s, d)).select("seq", "clock", "path", "label"),
-    "block_model": lambda s, d: I.block_model(s, 3, 8, 10, 0.3, 0.05),
+    "block_model": lambda s, d: I.block_model(T.table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("node"), F.col("s_nationkey").alias("block")), 10, 0.3, 0.05),
     "star_spread": lambda s, d: I.spread_over_out_edges(weighted(s, d).select(F.col("u").alias("src"), F.col("v").alias("dst")), "s1", 1000),
     "clique_edges": lambda s, d: I.clique(ev(s, d).where("label = 1").select(F.col("dst").alias("node")).distinct()),
     "attention": lambda s, d: E.attention(pairs(s, d).unionAll(pairs(s, d).select(F.col("v").alias("u"), F.col("u").alias("v"))), vectors(s, d)).select("node", rounded("x")),
@@ -230,7 +233,7 @@ SQL = {
     "walk_lines": _walked(per_start=3) + " SELECT array_to_string(path, ' ') AS line FROM w4",
     "context_pairs": _walked(per_start=3) + " SELECT start AS node, context FROM (SELECT start, unnest(path[2:]) AS context FROM w4) WHERE start <> context",
     "neighbour_reservoirs": with_sql(f", b AS (SELECT seq, 0 AS e, src AS node, dst AS other FROM ev UNION ALL SELECT seq, 1, dst, src FROM ev), a AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY seq, e) AS d FROM b), k AS (SELECT *, unnest(range(4)) AS slot FROM a) SELECT node, slot, max_by(other, d) AS other FROM k WHERE {draw_sql(1, 'node', 'slot', 'd')} * d < 1 GROUP BY node, slot"),
-    "regenerated_walks": with_sql(", o AS (SELECT src AS u, dst AS v FROM ev WHERE t <= 300), g AS (SELECT src AS u, dst AS v FROM ev WHERE t <= 301), os AS (SELECT u AS node FROM o), ts AS (SELECT DISTINCT src AS node FROM ev WHERE t = 301)" + _neighbours("nt", "o") + _neighbours("mt", "g") + _walks("w", "os", "nt", 3) + _walks("y", "ts", "mt", 3, seed=2) + " SELECT start, walk, path FROM w3 WHERE start NOT IN (FROM ts) UNION ALL SELECT start, walk, path FROM y3"),
+    "regenerated_walks": with_sql(", o AS (SELECT src AS u, dst AS v FROM ev WHERE t < (SELECT max(t) FROM ev)), g AS (SELECT src AS u, dst AS v FROM ev), os AS (SELECT u AS node FROM o), ts AS (SELECT DISTINCT src AS node FROM ev WHERE t = (SELECT max(t) FROM ev))" + _neighbours("nt", "o") + _neighbours("mt", "g") + _walks("w", "os", "nt", 3) + _walks("y", "ts", "mt", 3, seed=2) + " SELECT start, walk, path FROM w3 WHERE start NOT IN (FROM ts) UNION ALL SELECT start, walk, path FROM y3"),
     "multi_hop_fanout": f"WITH {_GRAPH}{_neighbours('nt', 'b')}, fa AS (SELECT DISTINCT u, fan FROM nt), h0 AS (SELECT node AS root, 0 AS hop, CAST(0 AS BIGINT) AS place, node FROM st)"
     + "".join(f", p{h} AS (SELECT root, place * {n} + i AS place, node, fan FROM h{h - 1} JOIN fa ON u = node, (SELECT unnest(range({n})) AS i)), h{h} AS (SELECT root, {h} AS hop, place, v AS node FROM p{h} JOIN nt ON nt.u = p{h}.node AND nt.k = {draw_int_sql(1, 'root', str(h), 'place')} % p{h}.fan)" for h, n in ((1, 3), (2, 2)))
     + " SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2",
@@ -262,7 +265,7 @@ SQL = {
     "rewire": with_sql(_REWIRE + " SELECT * FROM rw"),
     "injected_stream": with_sql(_REWIRE + " SELECT src, dst, t, CAST(t IN (SELECT t FROM rw) AS INTEGER) AS label FROM (SELECT src, dst, t FROM ev EXCEPT SELECT src, dst, t FROM rw WHERE change = 'removed' UNION SELECT src, dst, t FROM rw WHERE change = 'added')"),
     "random_injection": with_sql(f"{_LOGS}, al AS (SELECT seq AS p, 0 AS side, seq, clock, path, label FROM benign UNION ALL SELECT {draw_int_sql(1, 'seq')} % ((SELECT max(seq) FROM benign) + 1), 1, seq, clock, path, label FROM bad) SELECT row_number() OVER (ORDER BY p, side, seq) AS seq, clock, path, label FROM al"),
-    "block_model": f"WITH n AS (SELECT unnest(range(24)) AS k), t AS (SELECT unnest(range(1, 11)) AS t) SELECT CAST(a.k AS VARCHAR) AS src, CAST(b.k AS VARCHAR) AS dst, t FROM n a, n b, t WHERE a.k < b.k AND {draw_sql(1, 'a.k', 'b.k', 't')} < CASE WHEN a.k // 8 = b.k // 8 THEN 0.3 ELSE 0.05 END",
+    "block_model": f"WITH n AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, s_nationkey AS b FROM supplier), t AS (SELECT unnest(range(1, 11)) AS t) SELECT a.k AS src, c.k AS dst, t FROM n a, n c, t WHERE a.k < c.k AND {draw_sql(1, 'a.k', 'c.k', 't')} < CASE WHEN a.b IS NOT DISTINCT FROM c.b THEN 0.3 ELSE 0.05 END",
     "star_spread": f"WITH {_GRAPH}, o AS (SELECT v, row_number() OVER (ORDER BY v) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT v FROM b WHERE u = 's1')) SELECT 's1' AS src, v AS dst, 1000 // n + CASE WHEN k = 1 THEN 1000 - 1000 // n * n ELSE 0 END AS extra FROM o WHERE 1000 // n + CASE WHEN k = 1 THEN 1000 - 1000 // n * n ELSE 0 END > 0",
     "clique_edges": with_sql(", k AS (SELECT DISTINCT dst AS node FROM ev WHERE label = 1) SELECT a.node AS src, b.node AS dst FROM k a JOIN k b ON a.node < b.node"),
     "attention": _PAIR + ", y AS (SELECT u, v, p, q FROM e UNION ALL SELECT v, u, q, p FROM e), s AS (SELECT u, q, list_sum(list_transform(range(1, 65), lambda i: p[i] * q[i])) / 8 AS s FROM y), w AS (SELECT u, q, exp(s - max(s) OVER (PARTITION BY u)) AS w FROM s), z AS (SELECT u, i, sum(w * q[i]) / sum(w) AS y FROM (SELECT *, unnest(range(1, 65)) AS i FROM w) GROUP BY ALL) SELECT u AS node, list(round(y, 5) + 0.0 ORDER BY i) AS x FROM z GROUP BY u",

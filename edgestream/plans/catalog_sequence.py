@@ -62,10 +62,10 @@ QUERIES = {
     "path_edges": lambda s, d: urls(s, d).select("seq", F.inline(P.path_edges(F.col("path")))),
     "depth_delta": lambda s, d: S.depth_delta(urls(s, d)),
     "idle_padding": lambda s, d: S.idle_padding(ev(s, d), 300),
-    "fill_pair_gaps": lambda s, d: S.fill_pair_gaps(ev(s, d), 20000).groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("clock").alias("first"), F.max("clock").alias("last")),
+    "fill_pair_gaps": lambda s, d: S.fill_pair_gaps(ev(s, d), 20000),
     "tail_padding": lambda s, d: S.tail_padding(ev(s, d), 10, 5),
-    "fill_seconds": lambda s, d: S.fill_seconds(ev(s, d)).select("seq", "clock").groupBy("seq").agg(F.count("*").alias("n"), F.max("clock").alias("last")),
-    "sliding_windows": lambda s, d: S.sliding_windows(ev(s, d), 800, 200).groupBy("window").agg(F.count("*").alias("n"), F.min("seq").alias("first"), (2 * F.sum("label") > 800).alias("attack")),
+    "fill_seconds": lambda s, d: S.fill_seconds(ev(s, d)).select("seq", "clock"),
+    "sliding_windows": lambda s, d: S.labelled_windows(ev(s, d), 800, 200).select("window", "seq", "attack"),
     "attack_spans": lambda s, d: S.attack_spans(ev(s, d)),
     "temporal_split": lambda s, d: S.temporal_split(ev(s, d), 0.7, 0.85).select("seq", "part"),
     "strictly_increasing_clock": lambda s, d: S.strictly_increasing(ev(s, d).withColumn("clock", F.expr("clock div 900"))).select("seq", "fixed"),
@@ -132,10 +132,10 @@ SELECT seq, round(label / 10.0, 6) AS f0, round(gap / 10000.0, 6) AS f1, round((
     "path_edges": _URL + " SELECT seq, p[i] AS parent, p[i + 1] AS child FROM (SELECT seq, p, unnest(range(1, len(p))) AS i FROM parts)",
     "depth_delta": _URL + " SELECT * FROM (SELECT seq, abs(len(p) - lag(len(p)) OVER (ORDER BY seq)) AS delta FROM parts) WHERE delta IS NOT NULL",
     "idle_padding": with_sql(", b AS (SELECT (clock - (SELECT min(clock) FROM ev)) // 300 AS bin, src, seq FROM ev), l AS (SELECT bin, max_by(src, seq) AS node FROM b GROUP BY bin), n AS (SELECT bin, node, lead(bin) OVER (ORDER BY bin) AS nxt FROM l) SELECT unnest(range(bin + 1, nxt)) AS bin, node AS src, node AS dst FROM n WHERE nxt > bin + 1"),
-    "fill_pair_gaps": with_sql(", n AS (SELECT src, dst, clock, lead(clock) OVER (PARTITION BY src, dst ORDER BY clock, seq) AS nxt FROM ev), f AS (SELECT src, dst, unnest(range(clock + 20000, nxt, 20000)) AS clock FROM n WHERE nxt - clock > 20000) SELECT src, dst, count(*) AS n, min(clock) AS first, max(clock) AS last FROM f GROUP BY ALL"),
+    "fill_pair_gaps": with_sql(", n AS (SELECT src, dst, clock, lead(clock) OVER (PARTITION BY src, dst ORDER BY clock, seq) AS nxt FROM ev), f AS (SELECT src, dst, unnest(range(clock + 20000, nxt, 20000)) AS clock FROM n WHERE nxt - clock > 20000) SELECT src, dst, clock FROM f"),
     "tail_padding": with_sql("SELECT max_by(dst, seq) AS src, max_by(dst, seq) AS dst, max_by(clock, seq) + 5 * k AS clock FROM ev, (SELECT unnest(range(1, 11)) AS k) GROUP BY k"),
-    "fill_seconds": with_sql("SELECT seq, greatest(1, coalesce(nxt - clock, 1)) AS n, greatest(clock, coalesce(nxt - 1, clock)) AS last FROM (SELECT seq, clock, lead(clock) OVER (ORDER BY seq) AS nxt FROM ev)"),
-    "sliding_windows": with_sql(", k AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS k FROM ev), w AS (SELECT unnest(range(0, ((SELECT count(*) FROM ev) - 800) // 200 + 1)) AS win) SELECT win AS \"window\", count(*) AS n, min(seq) AS first, 2 * sum(label) > 800 AS attack FROM w JOIN k ON k >= win * 200 AND k < win * 200 + 800 GROUP BY win"),
+    "fill_seconds": with_sql("SELECT seq, unnest(range(clock, greatest(clock, coalesce(nxt - 1, clock)) + 1)) AS clock FROM (SELECT seq, clock, lead(clock) OVER (ORDER BY seq) AS nxt FROM ev)"),
+    "sliding_windows": with_sql(", k AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS k FROM ev), w AS (SELECT unnest(range(0, ((SELECT count(*) FROM ev) - 800) // 200 + 1)) AS win) SELECT win AS \"window\", seq, 2 * sum(label) OVER (PARTITION BY win) > 800 AS attack FROM w JOIN k ON k >= win * 200 AND k < win * 200 + 800"),
     "attack_spans": with_sql(", k AS (SELECT label, row_number() OVER (ORDER BY seq) - 1 AS k FROM ev), i AS (SELECT k, k - row_number() OVER (ORDER BY k) AS island FROM k WHERE label = 1) SELECT min(k) AS first, max(k) AS last FROM i GROUP BY island"),
     "temporal_split": with_sql("SELECT seq, CASE WHEN clock <= (SELECT quantile_cont(clock, 0.7) FROM ev) THEN 'train' WHEN clock <= (SELECT quantile_cont(clock, 0.85) FROM ev) THEN 'valid' ELSE 'test' END AS part FROM ev"),
     "strictly_increasing_clock": with_sql(", k AS (SELECT seq, clock // 900 AS s, row_number() OVER (ORDER BY seq) AS k FROM ev) SELECT seq, max(s - k) OVER (ORDER BY seq) + k AS fixed FROM k"),

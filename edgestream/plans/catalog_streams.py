@@ -99,10 +99,11 @@ GATES = [([[g[k] + 0.1 * n for k in range(4)] for g in GATE], [[g[k] - 0.1 * n f
 
 
 def gated(s, d):
-    cut = lambda c: F.slice(c, 1, 4)
-    left = vectors(s, d).select(F.col("node").alias("u"), cut("x").alias("p"))
-    right = vectors(s, d).select(F.col("node").alias("v"), cut("x").alias("q"))
-    return pairs(s, d).join(left, "u").join(right, "v").select("u", A.gru(F.col("p"), F.col("q"), *GATES).alias("x")).select("u", rounded("x"))
+    """All values of the vectors, four at a time by the same gates."""
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.expr("size(x) div 4 - 1")), lambda k: F.slice(x, k * 4 + 1, F.lit(4)))
+    held = vectors(s, d).select("node", F.posexplode(cut(F.col("x"))).alias("part", "p"))
+    left, right = held.withColumnRenamed("node", "u"), held.select(F.col("node").alias("v"), "part", F.col("p").alias("q"))
+    return pairs(s, d).join(left, "u").join(right, ["v", "part"]).select("u", "part", A.gru(F.col("p"), F.col("q"), *GATES).alias("x")).select("u", "part", rounded("x"))
 
 
 def by_day(s, d):
@@ -123,7 +124,7 @@ QUERIES = {
     "stream_batches": stream_batches,
     "microcluster_grid": grid,
     "percentile_injection": at_percentile,
-    "even_ticks": lambda s, d: s.createDataFrame([(t,) for t in I.evenly_spaced(10, 700, 13)], "t long"),
+    "even_ticks": lambda s, d: I.even_ticks(ev(s, d), 13, 10),
     "densify": lambda s, d: I.densify(ev(s, d), 60),
     "sparsify": lambda s, d: I.sparsify(ev(s, d), 60),
     "gated_update": gated,
@@ -164,7 +165,8 @@ def _gru_sql() -> str:
     for k in range(4):
         z, r = sig(f"{row('p', zx[k])} + {row('q', zh[k])}"), sig(f"{row('p', rx[k])} + {row('q', rh[k])}")
         cells.append(f"round((1 - {z}) * tanh({row('p', nx[k])} + {r} * {row('q', nh[k])}) + {z} * q[{k + 1}], 5) + 0.0")
-    return f"WITH {_VEC} SELECT a.node AS u, [{', '.join(cells)}] AS x FROM (SELECT node, x AS p FROM v) a JOIN (SELECT node, x AS q FROM v) b ON b.node = a.node + 1"
+    slices = "SELECT node, CAST(part AS INTEGER) AS part, x[4 * part + 1 : 4 * part + 4] AS {0} FROM (SELECT node, x, unnest(range(len(x) // 4)) AS part FROM v)"
+    return f"WITH {_VEC} SELECT a.node AS u, a.part, [{', '.join(cells)}] AS x FROM ({slices.format('p')}) a JOIN ({slices.format('q')}) b ON b.node = a.node + 1 AND a.part = b.part"
 
 
 SQL = {
@@ -176,7 +178,7 @@ SQL = {
     "stream_batches": with_sql("SELECT t, CAST(sum(label) AS BIGINT) AS attacks FROM ev GROUP BY t"),
     "microcluster_grid": " UNION ALL ".join(f"(WITH {T.EV}{_relational_sql(f)}{_AUC.format(fade=f)})" for f in (0.25, 0.5)),
     "percentile_injection": with_sql(_LOGS + f", spot AS (SELECT {_GAP} AS s)" + _SPLICE.replace("100, 1, seq", "(SELECT s FROM spot), 1, seq").format(clock="clock - (SELECT min(clock) FROM bad) + (SELECT clock FROM benign WHERE seq = (SELECT s FROM spot)) + 1") + " SELECT * FROM ordered"),
-    "even_ticks": "SELECT 10 + k * 690 // 13 AS t FROM (SELECT unnest(range(13)) AS k)",
+    "even_ticks": with_sql("SELECT 10 + k * (z - 10) // 13 AS t FROM (SELECT max(t) AS z FROM ev), (SELECT unnest(range(13)) AS k)"),
     "densify": f"WITH RECURSIVE {T.EV}{_TICKS}, g AS (SELECT src, dst, ts, todo, CAST(NULL AS BIGINT) AS t FROM p UNION ALL SELECT src, dst, list_concat(ts[:k], [m], ts[k + 1:]), todo - 1, m FROM (SELECT *, ts[k] + ({_GAPS})[k] // 2 AS m FROM (SELECT src, dst, ts, todo, list_position({_GAPS}, list_max({_GAPS})) AS k FROM g WHERE todo > 0 AND len(ts) > 1))) SELECT src, dst, t FROM g WHERE t IS NOT NULL",
     "sparsify": f"WITH RECURSIVE {T.EV}{_TICKS}, g AS (SELECT src, dst, ts, todo, CAST(NULL AS BIGINT) AS t FROM p UNION ALL SELECT src, dst, list_concat(ts[:k], ts[k + 2:]), todo - 1, ts[k + 1] FROM (SELECT src, dst, ts, todo, list_position({_GAPS}, list_min({_GAPS})) AS k FROM g WHERE todo > 0 AND len(ts) > 1)) SELECT src, dst, t FROM g WHERE t IS NOT NULL",
     "gated_update": _gru_sql(),

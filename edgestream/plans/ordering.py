@@ -104,10 +104,17 @@ def global_number(df: DataFrame, name: str, seq: str = "seq", chunk: int = CHUNK
 
 def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str = "number", size: str = "edges") -> DataFrame:
     """df with each row's place in its group, from 0, and the group's rows. A group may span any number of tasks."""
-    placed = global_number(in_order(df, *group, *order), "_n", "_m", RANGE)
-    sizes = placed.groupBy(*group).agg(F.min("_n").alias("_first"), F.count("*").alias(size))
-    joined = placed.join(sizes, group) if group else placed.crossJoin(F.broadcast(sizes))
-    return joined.select(*df.columns, (F.col("_n") - F.col("_first")).alias(name), size)
+    placed = global_number(in_order(df, *group, *order, name="_numbered_m"), "_numbered_n", "_numbered_m", RANGE)
+    sizes = placed.groupBy(*group).agg(F.min("_numbered_n").alias("_numbered_first"), F.count("*").alias(size))
+    if group:
+        sizes = sizes.withColumnsRenamed({g: f"_numbered_{k}" for k, g in enumerate(group)})
+        same = F.lit(True)
+        for k, g in enumerate(group):
+            same = same & F.col(g).eqNullSafe(F.col(f"_numbered_{k}"))
+        joined = placed.join(sizes, same)
+    else:
+        joined = placed.crossJoin(F.broadcast(sizes))  # one row
+    return joined.select(*df.columns, (F.col("_numbered_n") - F.col("_numbered_first")).alias(name), size)
 
 
 def with_scalars(df: DataFrame, **values: Column) -> DataFrame:

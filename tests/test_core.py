@@ -338,7 +338,10 @@ def test_queries_take_the_whole_table(spark, monkeypatch):
     for module in (catalog_relational, catalog_sequence):
         monkeypatch.setattr(module, "ev", lambda s, d: e)
     ask = lambda name, module=catalog_relational: module.QUERIES[name](spark, "").collect()
-    assert {r.seq: r.n for r in ask("fill_seconds", catalog_sequence)} == {i: 1001 if i == 10400 else 1 for i in range(10600)}
+    filled = {}
+    for r in ask("fill_seconds", catalog_sequence):
+        filled[r.seq] = filled.get(r.seq, 0) + 1
+    assert filled == {i: 1001 if i == 10400 else 1 for i in range(10600)}
     assert {r.t for r in ask("empty_slices")} == set(range(174, 190))
     assert {r.t: r.label for r in ask("spine_labels")} == {t: int(t == 3) for t in range(1, 16)}
     assert {r.target: r.position for r in ask("nearest_gap")} == dict.fromkeys(range(0, 10600, 250), 10400)
@@ -575,7 +578,8 @@ def test_classifiers_beat_the_most_frequent_class(spark):
 
 
 def test_node_sums_of_blocks_of_a_model_graph(spark):
-    got = injection.block_model(spark, 2, 5, 200, 0.5, 0.1).withColumn("same", F.expr("int(src) div 5 = int(dst) div 5"))
+    nodes = spark.range(10).select(F.col("id").cast("string").alias("node"), F.expr("id div 5").alias("block"))
+    got = injection.block_model(nodes, 200, 0.5, 0.1).withColumn("same", F.expr("int(src) div 5 = int(dst) div 5"))
     share = {r.same: r.n for r in got.groupBy("same").agg(F.count("*").alias("n")).collect()}
     assert abs(share[True] / (20 * 200) - 0.5) < 0.05 and abs(share[False] / (25 * 200) - 0.1) < 0.03
 
