@@ -1,12 +1,15 @@
 """Operator 9, toxicity: a weighted finite-state grammar over clauses.
 
-Words are read as classes: insult, threat, target, negation, report, other. Four transducers rewrite a
-clause's classes (negation marks what follows it closely, reported speech marks the rest of its clause,
-a near target before an insult or threat marks it, and one after it is marked itself as aimed at), and a
-weighted acceptor prices the marked symbols. The machines are composed once into one table, which then
-runs over those clauses only that hold an insult or a threat. A text's score is a logistic value of what
-its clauses matched, added over at most MOST_CLAUSES of a kind: by its own prices, one insult that is
-aimed at nobody stays below the threshold, a threat at somebody lies above it.
+Words are read as classes: insult, threat, target, negation, report, article, other. Transducers rewrite a
+clause's classes. Read from right to left, a threat that a negation closely follows is taken back. Read from
+left to right, a threat whose subject is a thing ("the movie beat them all") is none; negation marks what follows it
+closely, reported speech marks the rest of its clause, a near target before an insult or threat marks
+it, and one after it is marked itself as aimed at; and a weighted acceptor prices the marked symbols. The machines
+are composed once into one table, which then runs over those clauses only that hold an insult or a threat.
+A text's score is a logistic value of what its clauses matched, added over at most MOST_CLAUSES of a kind: by
+its own prices, one insult that is aimed at nobody stays below the threshold, a threat at somebody lies above
+it; and however many words are aimed at nobody, and whatever was learned, they never outweigh one insult or threat
+that is aimed at somebody. `verdicts_by_machine` counts the verdicts that each machine changes.
 
 Learned from labelled rows: the insult lexicon (words, and beginnings of words, that more toxic texts
 hold than chance allows, and more of them than clean ones; near copies count as one text; an entry weighs
@@ -56,10 +59,11 @@ WORDS = {
     "threat": "kill hurt destroy punch strangle beat murder shoot stab töten umbringen schlagen verprügeln tuer tuerai frapper frapperai égorger matar mataré golpear golpearé",
     "target": "you your yours he she they him her them du dich dir sie ihr euch bist tu te toi vous il elle ils tú te usted ustedes él ella ellos eres hijo hija",
     "negation": "not never no nobody cannot nicht nie kein keine pas jamais aucun nunca jamás ningún",
+    "article": "the a an this that these der die das ein eine dieser diese le la les un une ce cette el los las una este esta",
     "report": "said says say wrote quoted claimed called alleged sagte sagt behauptet dit déclare affirme dijo dice afirma",
     "insult": "idiot moron stupid worthless pathetic scum loser clown trash disgusting bitch bastard asshole imbecile dummkopf arschloch wichser abschaum versager trottel idiote stupide connard connasse salope imbécile crétin idiota estúpido estúpida imbécil puta puto cabrón pendejo gilipollas basura",
 }
-CLASSES = ("other", "insult", "threat", "target", "negation", "report")
+CLASSES = ("other", "insult", "threat", "target", "negation", "report", "article")
 _CODE = {c: k for k, c in enumerate(CLASSES)}
 _ENDS_CLAUSE = separators(b'.!?;:\n"')
 _ENDS_WORD = NOT_ALNUM[np.frombuffer(LOWER_BYTES, np.uint8)]
@@ -69,6 +73,8 @@ PRIOR = {"insult": 2.2, "insult+target": 5.5, "insult+aimed": 1.0, "insult+negat
 KINDS = tuple(PRIOR)
 #: Kinds of which one clause decides, and the log odds it then leads to at least.
 DECISIVE, DECIDES = ("insult+target", "threat+aimed"), 0.5
+#: Kinds that are aimed at somebody; all others together stay this far below what one decisive clause comes to.
+AIMED, BELOW = ("insult+target", "insult+aimed", "threat+target", "threat+aimed"), 0.1
 BIAS = -3.5
 
 
@@ -103,6 +109,24 @@ class Fst:
         return out
 
 
+def taken_back(reach: int = 2) -> Fst:
+    """Read from right to left: a threat that a negation follows within reach words is none."""
+    f = Fst(0)
+    for left in range(reach + 1):
+        for c in CLASSES:
+            f.arc(left, c, reach if c == "negation" else max(left - 1, 0), "other" if left and c == "threat" else c)
+    return f
+
+
+def things(reach: int = 2) -> Fst:
+    """A threat within reach words after an article has a thing, or whoever is told of, as its subject: it is none."""
+    f = Fst(0)
+    for left in range(reach + 1):
+        for c in CLASSES:
+            f.arc(left, c, reach if c == "article" else max(left - 1, 0), "other" if left and c == "threat" else c)
+    return f
+
+
 def negation(reach: int = 3) -> Fst:
     """Marks insults and threats within reach words after a negation."""
     f = Fst(0)
@@ -170,14 +194,26 @@ class Machine(NamedTuple):
     to: list[list[int]]
     kind: list[list[int]]
     weight: list[list[float]]
+    back: list[list[tuple[int, int]]]  # next state and class of the machine that reads from right to left
 
 
-def machine(weights: dict[str, float]) -> Machine:
-    whole = negation().compose(reported()).compose(targeted()).compose(aimed()).compose(prices(weights))
+#: The machines in the order in which they read; the first one reads from right to left.
+MACHINES = {"taken back": taken_back, "things": things, "negation": negation, "reported": reported, "targeted": targeted, "aimed": aimed}
+
+
+def machine(weights: dict[str, float], without: str = "") -> Machine:
+    """The grammar, or what is left of it without one of its machines."""
+    used = [f() for name, f in MACHINES.items() if name not in (without, "taken back")]
+    whole = used[0]
+    for f in [*used[1:], prices(weights)]:
+        whole = whole.compose(f)
+    first = taken_back(0) if without == "taken back" else taken_back()
+    rows = sorted({s for s, _ in first.arcs})
+    back = [[(rows.index(first.arcs[s, c][0]), _CODE[first.arcs[s, c][1]]) for c in CLASSES] for s in rows]
     states = [whole.start, *sorted({s for s, _ in whole.arcs} - {whole.start}, key=repr)]
     number = {s: k for k, s in enumerate(states)}
     arcs = [[whole.arcs[s, c] for c in CLASSES] for s in states]
-    return Machine([[number[a[0]] for a in row] for row in arcs], [[KINDS.index(a[1]) if a[1] in KINDS else -1 for a in row] for row in arcs], [[a[2] for a in row] for row in arcs])
+    return Machine([[number[a[0]] for a in row] for row in arcs], [[KINDS.index(a[1]) if a[1] in KINDS else -1 for a in row] for row in arcs], [[a[2] for a in row] for row in arcs], back)
 
 
 # --- reading -----------------------------------------------------------------------------------
@@ -199,7 +235,7 @@ class Lexicon(NamedTuple):
 
 
 def lexicon(insults: dict[int, float]) -> Lexicon:
-    words = {int(h): _CODE[c] for c in ("report", "negation", "target", "threat") for h in _hash_of(WORDS[c].split())}
+    words = {int(h): _CODE[c] for c in ("article", "report", "negation", "target", "threat") for h in _hash_of(WORDS[c].split())}
     keys, own = np.array(sorted(words), np.uint64), np.array(sorted(insults), np.uint64)
     return Lexicon(keys, np.array([words[int(k)] for k in keys], np.int64), own, np.array([insults[int(k)] for k in own]))
 
@@ -249,13 +285,19 @@ def clause_features(r: Read, lex: Lexicon, m: Machine) -> np.ndarray:
     classes, weight = classify(r, lex)
     out = np.zeros((len(r.first) - 1, len(KINDS)))
     hot = np.flatnonzero((classes == _CODE["insult"]) | (classes == _CODE["threat"]))
-    insult = _CODE["insult"]
+    insult, threat = _CODE["insult"], _CODE["threat"]
     for c in np.unique(r.clause[hot]):
         a, z = np.searchsorted(r.clause, c), np.searchsorted(r.clause, c, "right")
         doc = int(np.searchsorted(r.first, a, "right") - 1)
         state, found = 0, [0.0] * len(KINDS)
         last = min(z, int(hot[np.searchsorted(hot, z) - 1]) + 1 + REACH_AFTER)  # what it is aimed at may follow
-        for k, code in enumerate(classes[a:last].tolist(), a):
+        codes, behind = classes[a:last].tolist(), 0
+        if threat in codes:
+            for k, code in zip(range(z - a - 1, -1, -1), classes[a:z][::-1].tolist(), strict=True):
+                behind, code = m.back[behind][code]
+                if k < len(codes):
+                    codes[k] = code
+        for k, code in enumerate(codes, a):
             kind = m.kind[state][code]
             if kind >= 0:
                 found[kind] += weight[k] if code == insult else 1.0
@@ -273,6 +315,15 @@ class Model(NamedTuple):
     bias: float
 
 
+def log_odds(x: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """Of documents x kinds: what is aimed at nobody adds up to less than one decisive clause does."""
+    own = np.isin(KINDS, AIMED)
+    unaimed = np.minimum(x[:, ~own] @ weights[~own] + bias, max(DECIDES - BELOW, bias))
+    decided = (x[:, np.isin(KINDS, DECISIVE)] > 0).any(axis=1)
+    total = unaimed + x[:, own] @ weights[own]
+    return np.where(decided, np.maximum(total, DECIDES), total)
+
+
 def hand_model() -> Model:
     return Model({int(h): 1.0 for h in _hash_of(WORDS["insult"].split())}, np.array([PRIOR[k] for k in KINDS]), BIAS)
 
@@ -445,7 +496,7 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for piece in steps(batch):
             x = clause_features(read(piece.column(1)), lex, m)
-            score = 1 / (1 + np.exp(-np.clip(x @ own.weights + own.bias, -30, 30)))
+            score = 1 / (1 + np.exp(-np.clip(log_odds(x, own.weights, own.bias), -30, 30)))
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["row", "score", "predicted"])
 
 
@@ -456,14 +507,43 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -
     return in_arrow(rows, lambda it: _score(it, sent), f"row {rows.schema['row'].dataType.simpleString()}, score double, predicted int")
 
 
-def held_out_toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (SAMPLE_CLEAN, SAMPLE_TOXIC)) -> DataFrame:
-    """doc_id, held_out, score, predicted: labels learned only from rows whose crc32(doc_id) mod 4 is not 2."""
+def _compared(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    own: Model = model.value
+    lex, priced = lexicon(own.insults), dict(zip(KINDS, own.weights, strict=True))
+    turns = {name: machine(priced, name) for name in ("", *MACHINES)}
+    gate = float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    for batch in batches:
+        for piece in steps(batch):
+            r = read(piece.column(1))
+            flags = {name: log_odds(clause_features(r, lex, m), own.weights, own.bias) >= gate for name, m in turns.items()}
+            words = clause_features(r, lex, turns[""])
+            words[:, [k for k, kind in enumerate(KINDS) if kind != "insult"]] = 0.0
+            flags["only isolated insults"] = log_odds(words, own.weights, own.bias) >= gate
+            for name, flag in flags.items():
+                yield pa.RecordBatch.from_pydict({"without": [name or "nothing"], "flagged": [int(flag.sum())], "freed": [int((flags[""] & ~flag).sum())], "added": [int((flag & ~flags[""]).sum())]})
+
+
+def verdicts_by_machine(docs: DataFrame, model: Model) -> DataFrame:
+    """without, flagged, freed, added: documents flagged without each machine, and how many of them that frees or adds."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.lit(0).alias("row"), F.col("text").cast("string").alias("text"))
+    counts = in_arrow(rows, lambda it: _compared(it, sent), "without string, flagged long, freed long, added long")
+    return counts.groupBy("without").agg(*(F.sum(c).alias(c) for c in ("flagged", "freed", "added")))
+
+
+def learned(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (SAMPLE_CLEAN, SAMPLE_TOXIC)) -> Model:
+    """The model of the rows whose crc32(doc_id) mod 4 is not 2."""
     marked = labels.where(F.expr(crc32_remainder()) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
     counts = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000))
     share = F.when(F.col("toxic") == 1, min(1.0, most[1] / max(counts.get(1, 1), 1))).otherwise(min(1.0, most[0] / max(counts.get(0, 1), 1)))
     chosen = marked.where(draw < share * 1_000_000)  # its expected size is sum(most): a bounded side
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    model = learn(texts.join(F.broadcast(chosen), "doc_id"), most)
+    return learn(texts.join(F.broadcast(chosen), "doc_id"), most)
+
+
+def held_out_toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (SAMPLE_CLEAN, SAMPLE_TOXIC)) -> DataFrame:
+    """doc_id, held_out, score, predicted: labels learned only from rows whose crc32(doc_id) mod 4 is not 2."""
+    model = learned(docs, labels, most)
     held = docs.select("doc_id", "text", F.coalesce(F.expr(crc32_remainder()) == 2, F.lit(False)).alias("held_out"))
     return score(held, model, ("doc_id", "held_out")).select("row.doc_id", "row.held_out", "score", "predicted")

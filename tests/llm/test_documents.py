@@ -351,18 +351,18 @@ def test_toxicity_is_of_clauses_and_not_of_words():
     lex, m = toxicity.lexicon(model.insults), toxicity.machine(dict(zip(toxicity.KINDS, model.weights, strict=True)))
 
     def flagged(text):
-        x = toxicity.clause_features(toxicity.read(pa.array([text])), lex, m) @ model.weights + model.bias
+        x = toxicity.log_odds(toxicity.clause_features(toxicity.read(pa.array([text])), lex, m), model.weights, model.bias)
         return float(1 / (1 + np.exp(-x[0]))) >= toxicity.THRESHOLD
 
     for text in ("you are an idiot", "i will kill you", "we will kill them all", "hijo de puta", "tu es stupide", "du bist ein trottel", "what a moron. what a clown"):
         assert flagged(text), text
-    for text in ("idiot", "take out the trash", "you are not an idiot", "i will never kill you", "he said he will kill you", "she said you are an idiot", "killing time", "you. idiot", "", "hello"):
+    for text in ("idiot", "take out the trash", "you are not an idiot", "i will never kill you", "he said he will kill you", "she said you are an idiot", "killing time", "you. idiot", "", "hello", "the movie beat them all", "i hurt you not", "la película golpea a ellos"):
         assert not flagged(text), text
 
 
 def test_the_composed_machine_equals_its_parts_in_turn():
     draw = __import__("random").Random(2)
-    parts = [toxicity.negation(), toxicity.reported(), toxicity.targeted(), toxicity.aimed()]
+    parts = [toxicity.things(), toxicity.negation(), toxicity.reported(), toxicity.targeted(), toxicity.aimed()]
     m = toxicity.machine(toxicity.PRIOR)
     for _ in range(300):
         read = draw.choices(toxicity.CLASSES, k=draw.randrange(1, 15))
@@ -379,3 +379,22 @@ def test_the_composed_machine_equals_its_parts_in_turn():
             got.append((m.kind[state][code], m.weight[state][code]))
             state = m.to[state][code]
         assert got == [(toxicity.KINDS.index(s) if s in toxicity.KINDS else -1, toxicity.PRIOR.get(s, 0.0)) for s in marked]
+        behind, taken = 0, []
+        for c in reversed(read):
+            behind, code = m.back[behind][toxicity.CLASSES.index(c)]
+            taken.insert(0, toxicity.CLASSES[code])
+        assert taken == ["other" if c == "threat" and "negation" in read[k + 1 : k + 3] else c for k, c in enumerate(read)]
+
+
+def test_words_aimed_at_nobody_never_outweigh_one_that_is_aimed(spark):
+    # learned from words alone, so isolated insults cost much and aimed ones were never seen
+    texts = [f"word{i} moron scum stupid more{i * i}" for i in range(60)] + [f"word{i} plain talk more{i * 3}" for i in range(120)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i < 60)) for i in range(180)], "doc_id long, quality int, toxic int")
+    model = toxicity.learned(docs, labels)
+    probe = ["moron. scum! stupid. moron moron. idiot scum", "you are a moron", "i will kill you"]
+    s = {r.row.doc_id: r.score for r in toxicity.score(frame(spark, probe), model).collect()}
+    assert s[0] < s[1] and s[0] < s[2]
+    told = {r["without"]: r for r in toxicity.verdicts_by_machine(frame(spark, [*probe, "he said you are a moron", "you are not a moron", "the movie beat them", "i kill you not"]), toxicity.hand_model()).collect()}
+    assert told["nothing"].freed == told["nothing"].added == 0
+    assert all(told[k].added == 1 for k in ("things", "taken back", "negation", "reported")) and told["targeted"].freed == 1 and told["aimed"].freed == 1
