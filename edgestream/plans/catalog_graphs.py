@@ -186,6 +186,9 @@ QUERIES = {
 _GRAPH = f"{T.LI}, sg AS (SELECT 's' || u AS u, 'p' || v AS v FROM li), b AS (SELECT u, v FROM sg UNION ALL SELECT v, u FROM sg), st AS (SELECT DISTINCT u AS node FROM sg)"
 
 
+_RESERVOIRS = f", b AS (SELECT seq, 0 AS e, src AS node, dst AS other FROM ev UNION ALL SELECT seq, 1, dst, src FROM ev), a AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY seq, e) AS d FROM b), k AS (SELECT *, unnest(range(4)) AS slot FROM a), rs AS (SELECT node, slot, max_by(other, d) AS other FROM k WHERE {draw_sql(1, 'node', 'slot', 'd')} * d < 1 GROUP BY node, slot)"
+
+
 def _neighbours(name: str, edges: str) -> str:
     return f", {name} AS (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY u) AS fan FROM (SELECT DISTINCT u, v FROM {edges}))"
 
@@ -232,7 +235,7 @@ SQL = {
     "walk_words": _walked(per_start=3) + " SELECT node, count(*) AS n FROM (SELECT unnest(path) AS node FROM w4) GROUP BY node",
     "walk_lines": _walked(per_start=3) + " SELECT array_to_string(path, ' ') AS line FROM w4",
     "context_pairs": _walked(per_start=3) + " SELECT start AS node, context FROM (SELECT start, unnest(path[2:]) AS context FROM w4) WHERE start <> context",
-    "neighbour_reservoirs": with_sql(f", b AS (SELECT seq, 0 AS e, src AS node, dst AS other FROM ev UNION ALL SELECT seq, 1, dst, src FROM ev), a AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY seq, e) AS d FROM b), k AS (SELECT *, unnest(range(4)) AS slot FROM a) SELECT node, slot, max_by(other, d) AS other FROM k WHERE {draw_sql(1, 'node', 'slot', 'd')} * d < 1 GROUP BY node, slot"),
+    "neighbour_reservoirs": with_sql(_RESERVOIRS + " SELECT * FROM rs"),
     "regenerated_walks": with_sql(", o AS (SELECT src AS u, dst AS v FROM ev WHERE t < (SELECT max(t) FROM ev)), g AS (SELECT src AS u, dst AS v FROM ev), os AS (SELECT u AS node FROM o), ts AS (SELECT DISTINCT src AS node FROM ev WHERE t = (SELECT max(t) FROM ev))" + _neighbours("nt", "o") + _neighbours("mt", "g") + _walks("w", "os", "nt", 3) + _walks("y", "ts", "mt", 3, seed=2) + " SELECT start, walk, path FROM w3 WHERE start NOT IN (FROM ts) UNION ALL SELECT start, walk, path FROM y3"),
     "multi_hop_fanout": f"WITH {_GRAPH}{_neighbours('nt', 'b')}, fa AS (SELECT DISTINCT u, fan FROM nt), h0 AS (SELECT node AS root, 0 AS hop, CAST(0 AS BIGINT) AS place, node FROM st)"
     + "".join(f", p{h} AS (SELECT root, place * {n} + i AS place, node, fan FROM h{h - 1} JOIN fa ON u = node, (SELECT unnest(range({n})) AS i)), h{h} AS (SELECT root, {h} AS hop, place, v AS node FROM p{h} JOIN nt ON nt.u = p{h}.node AND nt.k = {draw_int_sql(1, 'root', str(h), 'place')} % p{h}.fan)" for h, n in ((1, 3), (2, 2)))

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw_int_sql
 from ..operators import evaluation as M
 from ..operators import factorise as Q
 from ..operators import injection as I
@@ -16,10 +17,12 @@ from ..operators import relational as R
 from ..operators import sequence as S
 from ..operators import walkscore as K
 from ..streaming import engine, sketch
+from ..streaming import walks as follow
+from ..streaming.versions import Versions
 from . import frames as T
 from .catalog_files import _folder
 from .catalog_formats import _MEMORIES, _MEMORY, _ONCE
-from .catalog_graphs import _walked, pairs, rounded, vectors, walked
+from .catalog_graphs import _RESERVOIRS, _walked, pairs, rounded, vectors, walked
 from .catalog_relational import _NORMAL, _VEC, _sketch, featured, li, nodes
 from .catalog_sequence import _LOGS, _SPLICE, ev, halves, with_sql
 
@@ -77,6 +80,17 @@ def sketched(s, d):
     return s.read.schema("seq long, score double").parquet(f"{path}/out/*").select("seq", F.round("score", 5).alias("score"))
 
 
+def followed(s, d):
+    """The state of the walks and reservoirs after the events as a stream of two runs."""
+    path = _folder(s)
+    rows = ev(s, d).select("seq", "src", "dst")
+    middle = rows.agg(F.expr("(min(seq) + max(seq)) div 2")).first()[0] or 0
+    for part in (F.col("seq") <= middle, F.col("seq") > middle):
+        rows.where(part).write.mode("append").parquet(f"{path}/in")
+        follow.walk_stream(s.readStream.schema(rows.schema).parquet(f"{path}/in"), path).awaitTermination()
+    return Versions(s, f"{path}/state", {"slots": follow.SLOTS, "walks": follow.WALKS}).before()
+
+
 def grid(s, d):
     """The AUC of the relational scores for a few decays."""
     out = None
@@ -121,6 +135,8 @@ QUERIES = {
     "stream_session_counts": lambda s, d: _run(engine.session_counts(_streamed(s, stamped(s, d).select("ts", "stream_id")), "ts", "10 minutes", "7200 seconds"), s, "complete").select("stream_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n"),
     "stream_microcluster": lambda s, d: _run(engine.microcluster_scores(_streamed(s, ev(s, d).select("seq", "t", "src", "dst"))), s, "append").select("seq", F.round("score", 6).alias("score")),
     "stream_sketch_scores": sketched,
+    "stream_reservoirs": lambda s, d: followed(s, d)["slots"],
+    "stream_walks": lambda s, d: followed(s, d)["walks"],
     "stream_batches": stream_batches,
     "microcluster_grid": grid,
     "percentile_injection": at_percentile,
@@ -175,6 +191,8 @@ SQL = {
     "stream_session_counts": with_sql(", o AS (SELECT src, clock, CASE WHEN clock - lag(clock) OVER (PARTITION BY src ORDER BY clock) <= 7200 THEN 0 ELSE 1 END AS fresh FROM ev), g AS (SELECT *, sum(fresh) OVER (PARTITION BY src ORDER BY clock ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT src AS stream_id, min(clock) AS start, max(clock) + 7200 AS \"end\", count(*) AS n FROM g GROUP BY src, k"),
     "stream_microcluster": with_sql(f"{_NORMAL} SELECT seq, score FROM sc"),
     "stream_sketch_scores": with_sql(_sketch()),
+    "stream_reservoirs": with_sql(_RESERVOIRS + " SELECT * FROM rs"),
+    "stream_walks": with_sql(_RESERVOIRS + ", w0 AS (SELECT DISTINCT node AS start, 0 AS walk, [node] AS path FROM rs)" + "".join(f", w{k + 1} AS (SELECT start, walk, list_append(path, other) AS path FROM w{k} JOIN rs ON node = path[-1] AND slot = {draw_int_sql(1, 'start', 'walk', str(k))} % 4)" for k in range(4)) + " SELECT * FROM w4"),
     "stream_batches": with_sql("SELECT t, CAST(sum(label) AS BIGINT) AS attacks FROM ev GROUP BY t"),
     "microcluster_grid": " UNION ALL ".join(f"(WITH {T.EV}{_relational_sql(f)}{_AUC.format(fade=f)})" for f in (0.25, 0.5)),
     "percentile_injection": with_sql(_LOGS + f", spot AS (SELECT {_GAP} AS s)" + _SPLICE.replace("100, 1, seq", "(SELECT s FROM spot), 1, seq").format(clock="clock - (SELECT min(clock) FROM bad) + (SELECT clock FROM benign WHERE seq = (SELECT s FROM spot)) + 1") + " SELECT * FROM ordered"),

@@ -8,42 +8,18 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.microcluster import FRAME, cells_of, chi_score
 from ..plans.ordering import cut_lineage, global_max, global_number
+from .versions import Versions
 
 CELL = ["kind", "row", "cell"]
 STATE = "kind int, row int, cell long, a double, s double, j long, t long"
 
 
-class SketchState:
-    """Versions of the cells under a shared folder: kind, row, cell, current value a and total s, as of tick number j (tick t).
+def cell_state(spark: SparkSession, folder: str) -> Versions:
+    """Versions of the cells: kind, row, cell, current value a and total s, as of tick number j (tick t).
 
-    A cell that no edge has met has no row, so a version has kinds x rows x columns rows at the most, whatever has
-    passed. A batch reads the version before its own and writes its own, so a batch that is run again gives the same.
+    A cell that no edge has met has no row, so a version has kinds x rows x columns rows at the most, whatever has passed.
     """
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self.root = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        self.files = self.root.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        if not self.files.exists(self.root):
-            return []
-        names = [x.getPath().getName() for x in self.files.listStatus(self.root)]
-        done = [int(n.partition("=")[2]) for n in names if n.startswith("version=")]
-        return sorted(v for v in done if self.files.exists(self._path(v, "_SUCCESS")))
-
-    def _path(self, version: int, name: str = ""):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/version={version}" + (f"/{name}" if name else ""))
-
-    def before(self, batch: int) -> DataFrame:
-        last = [v for v in self.versions() if v < batch]
-        return self.spark.read.schema(STATE).parquet(f"{self.folder}/version={last[-1]}") if last else self.spark.createDataFrame([], STATE)
-
-    def put(self, cells: DataFrame, batch: int) -> None:
-        cells.write.mode("overwrite").parquet(f"{self.folder}/version={batch}")
-        for v in self.versions():
-            if v < batch - 1:
-                self.files.delete(self._path(v), True)
+    return Versions(spark, folder, {"cells": STATE})
 
 
 def score_batch(edges: DataFrame, state: DataFrame, rows: int, columns: int, fade: float | None, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -88,12 +64,12 @@ def sketch_stream(stream: DataFrame, folder: str, rows: int = 2, columns: int =
     State is rows x columns cells (three times that with fade: pairs, sources, targets), however long the
     stream: it has no row for a pair or a node. The result equals sketch_scores() of the whole stream.
     """
-    held = SketchState(stream.sparkSession, f"{folder}/cells")
+    held = cell_state(stream.sparkSession, f"{folder}/state")
 
     def apply(batch: DataFrame, number: int) -> None:
         edges = cut_lineage(batch.select("seq", F.col("t").cast("long").alias("t"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")))
-        scores, after = score_batch(edges, held.before(number), rows, columns, fade, seed)
+        scores, after = score_batch(edges, held.before(number)["cells"], rows, columns, fade, seed)
         scores.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-        held.put(after, number)
+        held.put(number, cells=after)
 
     return stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(**(options or {"availableNow": True})).foreachBatch(apply).start()

@@ -13,6 +13,7 @@ from edgestream.operators import evaluation, factorise, graphs, injection, links
 from edgestream.plans import catalog_graphs, catalog_relational, catalog_sequence, ordering
 from edgestream.sources import readers, writers
 from edgestream.streaming import sketch
+from edgestream.streaming import walks as follow
 
 
 def stream(spark, rows):
@@ -191,19 +192,40 @@ def test_sketch_stream_equals_the_batch_form_with_a_state_of_fixed_size(spark, t
     for a, b in ((0, 95), (95, 95), (95, 200), (200, 300)):  # cuts within a tick, an empty file
         e.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.mode("append").parquet(source)
         sketch.sketch_stream(spark.readStream.schema(e.schema).parquet(source), folder, 2, 8, fade).awaitTermination()
-        held = sketch.SketchState(spark, folder + "/cells")
-        sizes.append(held.before(1 << 30).count())
+        held = sketch.cell_state(spark, folder + "/state")
+        sizes.append(held.before()["cells"].count())
     want = {r.seq: r.score for r in microcluster.sketch_scores(e.withColumn("stream_id", F.lit(0)), 2, 8, fade).collect()}
     out = spark.read.parquet(folder + "/out/*").collect()
     assert len(out) == 300 and close({r.seq: r.score for r in out}, want)
-    assert max(sizes) <= 2 * 8 * (3 if fade else 1) and len(held.versions()) <= 2
+    assert max(sizes) <= 2 * 8 * (3 if fade else 1) and len(held.done()) <= 2
     # a batch that runs again reads the version before its own; a late edge rewinds nothing
-    state = held.before(1 << 30)
+    state = held.before()["cells"]
     late = spark.createDataFrame([(300, 5, 1, 1), (301, 69, 1, 1)], "seq long, t long, u long, v long")
     scores, after = sketch.score_batch(late, state, 2, 8, fade, 7)
     assert after.agg(F.max("t")).first()[0] == 69 and scores.count() == 2
 
 
+def test_walk_stream_equals_the_batch_forms_after_every_batch(spark, tmp_path):
+    rows = [(i, f"n{i * i % 17}", f"n{(i * 5 + i // 3) % 13}") for i in range(160)]
+    e = spark.createDataFrame(rows, "seq long, src string, dst string")
+    source, folder, told = str(tmp_path / "in"), str(tmp_path / "run"), []
+    as_set = lambda df: {(r.start, r.walk, tuple(r.path)) for r in df.collect()}
+    before = set()
+    for number, (a, b) in enumerate(((0, 40), (40, 43), (43, 43), (43, 160))):
+        e.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.mode("append").parquet(source)
+        follow.walk_stream(spark.readStream.schema(e.schema).parquet(source), folder, 5, 3, 2).awaitTermination()
+        now = follow.Versions(spark, folder + "/state", {"slots": follow.SLOTS, "walks": follow.WALKS}).before()
+        slots = sampling.neighbour_reservoirs(e.where(F.col("seq") < b), 3)
+        assert {tuple(r) for r in now["slots"].collect()} == {tuple(r) for r in slots.collect()}
+        walks = as_set(now["walks"])
+        assert walks == as_set(follow.reservoir_walks(slots, 5, 3, 2)) and all(len(p) == 6 for _, _, p in walks)
+        out = as_set(spark.read.schema(follow.WALKS).parquet(f"{folder}/out/batch={number}")) if b > a else set()
+        assert walks - before <= out <= walks
+        told.append((len(out), len(walks)))
+        before = walks
+    assert told[1][0] < told[1][1] / 2  # three edges change few walks
+
+
 def plain_bridge_scores(rows, priority, sample, rounds, restart=0.15):
     held, scores = [], []
 
