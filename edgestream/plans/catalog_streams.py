@@ -12,6 +12,7 @@ from ..operators import factorise as Q
 from ..operators import injection as I
 from ..operators import learning as A
 from ..operators import memory as N
+from ..operators import memory_model as B
 from ..operators import microcluster as C
 from ..operators import relational as R
 from ..operators import sequence as S
@@ -91,6 +92,14 @@ def followed(s, d):
     return Versions(s, f"{path}/state", {"slots": follow.SLOTS, "walks": follow.WALKS}).before()
 
 
+def trained_memory(s, d):
+    """Drift of every node and batch of three days, by a model trained on the first 70 % of the ticks."""
+    edges = ev(s, d)
+    cut = edges.agg(F.expr("min(t) + (max(t) - min(t)) * 7 div 10")).first()[0] or 0
+    weights, _ = B.train(edges.where(F.col("t") <= cut), 72)
+    return B.drift_scores(edges, weights, 72).select("batch", "node", F.round("score", 6).alias("score"))
+
+
 def grid(s, d):
     """The AUC of the relational scores for a few decays."""
     out = None
@@ -137,6 +146,7 @@ QUERIES = {
     "stream_sketch_scores": sketched,
     "stream_reservoirs": lambda s, d: followed(s, d)["slots"],
     "stream_walks": lambda s, d: followed(s, d)["walks"],
+    "memory_model_scores": trained_memory,
     "stream_batches": stream_batches,
     "microcluster_grid": grid,
     "percentile_injection": at_percentile,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgestream.functions import paths as P
 from edgestream.functions import vectors as V
-from edgestream.operators import evaluation, factorise, graphs, injection, linkstream, memory, microcluster, relational, sampling, sequence, walkscore
+from edgestream.operators import evaluation, factorise, graphs, injection, linkstream, memory, memory_model, microcluster, relational, sampling, sequence, walkscore
 from edgestream.plans import catalog_graphs, catalog_relational, catalog_sequence, ordering
 from edgestream.sources import readers, writers
 from edgestream.streaming import sketch
@@ -633,3 +633,40 @@ def test_line_numbers_over_part_files(spark, tmp_path):
     spark.range(5000).selectExpr("cast(id % 2 as string) v").coalesce(1).write.text(f"{tmp_path}/b")
     got = readers.column_split_stream(spark, f"{tmp_path}/a", f"{tmp_path}/b").collect()
     assert len(got) == 5000 and all(r.seq == r.u and r.label == r.u % 2 for r in got)
+
+
+def test_memory_model_learns_in_time_order_and_scores_frozen(spark):
+    draw = np.random.default_rng(12)
+    rows = [(1 + i // 20, f"n{draw.integers(6)}", f"m{draw.integers(5)}", 0) for i in range(240)]
+    e = stream(spark, rows)
+    w = memory_model.first_weights(3, 2)
+    x, m = draw.normal(size=(5, 4)), draw.normal(size=(5, 3))
+    new, loss, g = memory_model.loss_and_gradient(w, x, m, m.mean(axis=0))
+    flat = w.flat()
+    for k in range(0, len(flat), 5):
+        up, down = flat.copy(), flat.copy()
+        up[k], down[k] = up[k] + 1e-6, down[k] - 1e-6
+        slope = (memory_model.loss_and_gradient(w.like(up), x, m, m.mean(axis=0))[1] - memory_model.loss_and_gradient(w.like(down), x, m, m.mean(axis=0))[1]) / 2e-6
+        assert math.isclose(slope, g[k], rel_tol=1e-4, abs_tol=1e-6)
+    # the frozen model by DataFrame functions equals a plain fold in time order
+    nodes = sorted({n for r in rows for n in r[1:3]})
+    h = {n: np.array([factorise.drawn(1, n, k) + 1e-9 for k in range(3)]) for n in nodes}
+    state, want = {n: v / np.linalg.norm(v) for n, v in h.items()}, {}
+    for b in range(4):
+        met = {}
+        for t, u, v, _ in rows:
+            if (t - 1) // 3 == b:
+                met.setdefault(u, []).append(v)
+                met.setdefault(v, []).append(u)
+        moved = {}
+        for n, others in met.items():
+            msg = np.array([*np.mean([state[o] for o in others], axis=0), math.log1p(len(others))])
+            moved[n] = memory_model.loss_and_gradient(w, msg[None], state[n][None], np.zeros(3))[0][0]
+            c = lambda p, q: p @ q / np.linalg.norm(p) / np.linalg.norm(q)
+            want[b, n] = (2 - c(moved[n], state[n]) - c(moved[n], w.back @ msg)) / 4
+        state |= moved
+    got = {(r.batch, r.node): r.score for r in memory_model.drift_scores(e, w, 3).collect()}
+    assert close(got, want)
+    trained, losses = memory_model.train(e, 3, width=3, epochs=3, seed=2)
+    assert losses[2] < losses[1] < losses[0] and not np.allclose(trained.flat(), flat)
+    assert memory_model.drift_scores(e.limit(0), w, 3).count() == 0
