@@ -16,6 +16,7 @@ from ..operators import memory_model as B
 from ..operators import microcluster as C
 from ..operators import relational as R
 from ..operators import sequence as S
+from ..operators import temporal as Y
 from ..operators import walkscore as K
 from ..streaming import engine, sketch
 from ..streaming import walks as follow
@@ -100,6 +101,15 @@ def trained_memory(s, d):
     return B.drift_scores(edges, weights, 72).select("batch", "node", F.round("score", 6).alias("score"))
 
 
+def attended(s, d):
+    """Nodes at the times of their links through two hops of attention, by seeded vectors and weights and a time code fitted to the stream."""
+    edges = ev(s, d)
+    codes = Y.fitted_frequencies(Y.link_histories(edges, 5), 4)
+    layers = [Y.first_layer(4, codes, 4, 1), Y.first_layer(4, codes, 4, 2)]
+    known = Q.first_vectors(R.node_set(edges), 4).withColumnRenamed("h", "x")
+    return Y.temporal_attention(edges, known, layers, 5).select("node", "clock", rounded("x"))
+
+
 def grid(s, d):
     """The AUC of the relational scores for a few decays."""
     out = None
@@ -147,6 +157,7 @@ QUERIES = {
     "stream_reservoirs": lambda s, d: followed(s, d)["slots"],
     "stream_walks": lambda s, d: followed(s, d)["walks"],
     "memory_model_scores": trained_memory,
+    "temporal_attention": attended,
     "stream_batches": stream_batches,
     "microcluster_grid": grid,
     "percentile_injection": at_percentile,

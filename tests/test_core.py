@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgestream.functions import paths as P
 from edgestream.functions import vectors as V
-from edgestream.operators import evaluation, factorise, graphs, injection, linkstream, memory, memory_model, microcluster, relational, sampling, sequence, walkscore
+from edgestream.operators import evaluation, factorise, graphs, injection, linkstream, memory, memory_model, microcluster, relational, sampling, sequence, temporal, walkscore
 from edgestream.plans import catalog_graphs, catalog_relational, catalog_sequence, ordering
 from edgestream.sources import readers, writers
 from edgestream.streaming import sketch
@@ -670,3 +670,39 @@ def test_memory_model_learns_in_time_order_and_scores_frozen(spark):
     trained, losses = memory_model.train(e, 3, width=3, epochs=3, seed=2)
     assert losses[2] < losses[1] < losses[0] and not np.allclose(trained.flat(), flat)
     assert memory_model.drift_scores(e.limit(0), w, 3).count() == 0
+
+
+def test_temporal_attention_equals_a_plain_forward_pass(spark):
+    draw = np.random.default_rng(14)
+    rows = [(1 + i // 3, f"n{draw.integers(5)}", f"m{draw.integers(4)}", 0) for i in range(60)] + [(40, "late", "n0", 0)]
+    e = stream(spark, rows)
+    nodes = sorted({x for r in rows for x in r[1:3]})
+    x = {k: draw.normal(size=3) for k in nodes}
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in x.items()], "node string, x array<double>")
+    links = temporal.link_histories(e, 4)
+    frequencies = temporal.fitted_frequencies(links, 3)
+    assert frequencies == sorted(frequencies, reverse=True) and frequencies[0] <= 1
+    layers = [temporal.first_layer(3, frequencies, 4, 1), temporal.first_layer(4, frequencies, 4, 2)]
+    events = {}
+    for seq, (t, u, v, _) in enumerate(rows):
+        events.setdefault(u, []).append((t, seq, 0, v))
+        events.setdefault(v, []).append((t, seq, 1, u))
+
+    def embed(node, t, depth):
+        if not depth:
+            return x[node]
+        w = layers[depth - 1]
+        past = [(o, a) for a, _, _, o in sorted(events[node]) if a < t][-4:]
+        if not past:
+            return np.zeros(4)
+        rows_ = np.array([np.concatenate([embed(o, a, depth - 1), np.cos((t - a) * w.frequencies)]) for o, a in past])
+        q, k, v = w.query @ np.ones(3), rows_ @ w.key.T, rows_ @ w.value.T
+        out = []
+        for h in (slice(0, 2), slice(2, 4)):
+            s = np.exp(k[:, h] @ q[h] / np.sqrt(2))
+            out.append(s @ v[:, h] / s.sum())
+        return w.out @ np.concatenate(out)
+
+    got = {(r.node, r.clock, k): c for r in temporal.temporal_attention(e, vectors, layers, 4).collect() for k, c in enumerate(r.x)}
+    want = {(n, t, k): c for n in nodes for t in {a for a, *_ in events[n]} for k, c in enumerate(embed(n, t, 2))}
+    assert close(got, want) and all(got["late", 40, k] == 0.0 for k in range(4))
