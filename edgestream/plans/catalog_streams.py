@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_int_sql
+from ..operators import clique_model as O
 from ..operators import evaluation as M
 from ..operators import factorise as Q
 from ..operators import injection as I
@@ -169,6 +170,7 @@ QUERIES = {
     "snapshot_schedule": lambda s, d: S.snapshot_schedule(ev(s, d).select("seq"), 0.3, 500),
     "pool_queries": lambda s, d: R.pool_queries(ev(s, d).select(F.col("dst").alias("node")), nodes(s, d).select(F.col("node").alias("query"))),
     "graph_predictions": lambda s, d: A.graph_predictions(pairs(s, d), vectors(s, d)),
+    "clique_vectors": lambda s, d: O.clique_vectors(walked(s, d, per_start=3))[0].select("node", rounded("x")),
     "walk_vectors": lambda s, d: A.walk_vectors(walked(s, d, per_start=5)),
     "spectral_clusters": lambda s, d: A.spectral_clusters(li(s, d).groupBy("u", (F.col("v") + 1_000_000_000).alias("v")).agg(F.count("*").alias("w")), 4),
     "node_drift": lambda s, d: N.node_drift(featured(s, d), by_day(s, d).withColumn("t", F.col("stream_id"))).select("node", "t", F.round("score", 5).alias("score")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgestream.functions import paths as P
 from edgestream.functions import vectors as V
-from edgestream.operators import evaluation, factorise, graphs, injection, linkstream, memory, memory_model, microcluster, relational, sampling, sequence, temporal, walkscore
+from edgestream.operators import clique_model, evaluation, factorise, graphs, injection, linkstream, memory, memory_model, microcluster, relational, sampling, sequence, temporal, walkscore
 from edgestream.plans import catalog_graphs, catalog_relational, catalog_sequence, ordering
 from edgestream.sources import readers, writers
 from edgestream.streaming import sketch
@@ -706,3 +706,37 @@ def test_temporal_attention_equals_a_plain_forward_pass(spark):
     got = {(r.node, r.clock, k): c for r in temporal.temporal_attention(e, vectors, layers, 4).collect() for k, c in enumerate(r.x)}
     want = {(n, t, k): c for n in nodes for t in {a for a, *_ in events[n]} for k, c in enumerate(embed(n, t, 2))}
     assert close(got, want) and all(got["late", 40, k] == 0.0 for k in range(4))
+
+
+def test_clique_vectors_learn_and_bring_cliques_together(spark):
+    draw = np.random.default_rng(15)
+    terms, walk = clique_model.Terms(), np.array([3, 3, 3, 4, 7, 7])
+    code, out, others = draw.normal(size=(6, 4)), draw.normal(size=(6, 5)), draw.normal(size=(6, 2, 5))
+    mean = np.full(4, 0.4)
+    _, g_code, g_out, g_far = clique_model.loss_and_gradient(terms, mean, walk, code, out, others)
+    rho, h = terms.activity, lambda c: clique_model.sigmoid(c)
+
+    def plain(c, o, f):  # the sparse term by its slope at the fixed mean
+        x = np.concatenate([h(c), np.ones((6, 1))], axis=1)
+        fit = sum(np.log1p(np.exp(-x[i] @ o[i])) + sum(np.log1p(np.exp(x[i] @ f[i, k])) for k in range(2)) for i in range(6))
+        pairs = sum(((h(c)[i] - h(c)[j]) ** 2).sum() for i in range(6) for j in range(i) if walk[i] == walk[j])
+        return fit + terms.clique * pairs + terms.sparsity * (h(c) * ((1 - rho) / (1 - mean) - rho / mean)).sum()
+
+    for array, g, place in ((code, g_code, (1, 2)), (code, g_code, (4, 0)), (out, g_out, (2, 4)), (others, g_far, (5, 1, 3))):
+        values = []
+        for sign in (1, -1):
+            was = array[place]
+            array[place] = was + sign * 1e-6
+            values.append(plain(code, out, others))
+            array[place] = was
+        assert math.isclose((values[0] - values[1]) / 2e-6, g[place], rel_tol=1e-4, abs_tol=1e-6)
+    walks = [(f"{side}{k}", w, [f"{side}{int(draw.integers(5))}" for _ in range(5)]) for side in "ab" for k in range(5) for w in range(4)] + [("a0", 9, ["a0", "b0"])]
+    df = spark.createDataFrame(walks, "start string, walk int, path array<string>")
+    found, losses = clique_model.clique_vectors(df, 4, 12, parts=3)
+    x = {r.node: np.array(r.x) for r in found.collect()}
+    assert len(x) == 10 and losses[-1] < losses[0] and all(((v > 0) & (v < 1)).all() for v in x.values())
+    gap = lambda same: np.mean([((x[p] - x[q]) ** 2).sum() for p in x for q in x if p < q and (p[0] == q[0]) == same])
+    assert gap(True) < gap(False) / 2
+    again, more = clique_model.clique_vectors(df, 4, 2, parts=5)
+    assert np.allclose(more, losses[:2])
+    assert clique_model.clique_vectors(df.limit(0), 4, 2)[0].count() == 0
