@@ -234,10 +234,11 @@ def chained_rows(flows: DataFrame, minute: str = "minute") -> DataFrame:
     return own.unionAll(before)
 
 
-def scaled(rows: DataFrame, value: str) -> DataFrame:
-    """rows with standard, min_max and log of value, with statistics of all rows."""
+def scaled(rows: DataFrame, value: str, fit: Column | None = None) -> DataFrame:
+    """rows with standard, min_max and log of value, with statistics of all rows, or of those that fit holds for (a training part)."""
     x = F.col(value)
-    held = with_scalars(rows, _m=F.avg(value), _s=F.stddev_pop(value), _a=F.min(value), _z=F.max(value))
+    seen = F.when(fit, x) if fit is not None else x
+    held = with_scalars(rows, _m=F.avg(seen), _s=F.stddev_pop(seen), _a=F.min(seen), _z=F.max(seen))
     return held.withColumns({"standard": F.try_divide(x - F.col("_m"), F.col("_s")), "min_max": F.try_divide(x - F.col("_a"), F.col("_z") - F.col("_a")), "log": F.log1p(x)}).drop("_m", "_s", "_a", "_z")
 
 

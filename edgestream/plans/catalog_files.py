@@ -109,6 +109,8 @@ QUERIES = {
     "file_log": through(lambda s, d, p: K.write_log(log_rows(s, d).withColumn("seq", F.col("id")), p), lambda s, p: S.access_log(s, p, S.role_label("malicious")).drop("seq")),
     "file_path_chains": through(lambda s, d, p: chain_lines(s, d).write.text(p), lambda s, p: S.path_chain_log(s, p).drop("seq")),
     "file_scores": through(lambda s, d, p: K.write_scores(scored(s, d).withColumn("score", F.col("score").cast("decimal(30,6)")), p), lambda s, p: S.score_or_topk(s, p)),
+    "file_result": through(lambda s, d, p: K.write_result(scored(s, d).withColumn("score", F.col("score").cast("decimal(30,6)")), p, ["seq"]), lambda s, p: s.read.csv(p, schema="seq long, score double")),
+    "file_roc": through(lambda s, d, p: K.write_roc(M.roc_points(scored(s, d)).withColumns({k: F.round(k, 6) for k in ("fpr", "tpr")}), p), lambda s, p: s.read.csv(p, header=True, schema="fpr double, tpr double")),
     "file_topk": through(lambda s, d, p: K.write_topk(M.top_k(scored(s, d), list(range(50, 801, 50))), p), lambda s, p: S.score_or_topk(s, p)),
     "file_spreadsheet": through(lambda s, d, p: K.write_spreadsheet(ev(s, d).select("seq", "label", F.concat(F.lit("<&"), "src").alias("src")), p, ["seq", "label", "src"], "seq"), lambda s, p: s.read.text(p).where("value like '<Row>%'")),
     "file_by_minute": through(lambda s, d, p: K.write_by_minute(ev(s, d).select("seq", "src", F.expr("clock div 36000").alias("minute")), p), lambda s, p: s.read.schema("seq long, src string, minute long").csv(p)),
@@ -141,6 +143,8 @@ SQL = {
     "file_log": with_sql("SELECT seq AS id, '2024-01-02' AS date, '03:04:' || lpad(CAST(clock % 60 AS VARCHAR), 2, '0') AS time, clock AS session_id, 1 AS depth, path, 1 AS label FROM paths"),
     "file_path_chains": f"WITH {T.URL}, c AS (SELECT seq, list_filter(string_split(replace(path, ',', '_'), '/'), lambda x: x <> '') AS p FROM urls) SELECT p[-1] AS src, 'x' AS dst, len(p) AS src_depth, len(p) + 1 AS dst_depth, seq + 0.5::DOUBLE AS ts, 1 AS label FROM c WHERE len(p) > 0",
     "file_scores": with_sql(f"{_NORMAL} SELECT 'score' AS kind, NULL::INT AS k, NULL::DOUBLE AS precision, NULL::DOUBLE AS recall, score, label FROM sc"),
+    "file_result": with_sql(f"{_NORMAL} SELECT seq, score FROM sc"),
+    "file_roc": with_sql(f"{_CUM} SELECT round(fpr, 6) AS fpr, round(recall, 6) AS tpr FROM pr"),
     "file_topk": with_sql(f"{_NORMAL}, r AS (SELECT label, row_number() OVER (ORDER BY score DESC, seq) AS r FROM sc), k AS (SELECT unnest(range(50, 801, 50)) AS k), h AS (SELECT k, sum(label) AS tp, count(*) AS n, (SELECT sum(label) FROM sc) AS ap FROM k JOIN r ON r.r <= k GROUP BY k) SELECT 'topk' AS kind, CAST(k AS INT) AS k, round(tp / n, 6) AS precision, round(tp / ap, 6) AS recall, NULL::DOUBLE AS score, NULL::INT AS label FROM h"),
     "file_spreadsheet": with_sql("""SELECT '<Row><Cell><Data ss:Type="Number">' || seq || '</Data></Cell><Cell><Data ss:Type="Number">' || label || '</Data></Cell><Cell><Data ss:Type="String">&lt;&amp;' || src || '</Data></Cell></Row>' AS value FROM ev"""),
     "file_by_minute": with_sql("SELECT seq, src, clock // 36000 AS minute FROM ev"),

@@ -27,6 +27,7 @@ QUERIES = {
     "one_hot": lambda s, d: vectors(s, d).select("node", V.one_hot(F.col("label"), 10).alias("code")),
     "stratified_folds": lambda s, d: A.stratified_folds(ev(s, d).select("seq", "label"), 5),
     "random_split": lambda s, d: A.random_split(ev(s, d).select("seq", "t")).select("seq", "part"),
+    "scaled_by_train": lambda s, d: S.scaled(S.temporal_split(T.events_clock(s, d).select("seq", "clock", "value"), 0.7, 0.85), "value", F.col("part") == "train").select("seq", "part", F.round("standard", 5).alias("standard"), F.round("min_max", 6).alias("min_max")),
     "scaled_values": lambda s, d: S.scaled(T.events_clock(s, d).select("seq", "value"), "value").select("seq", F.round("standard", 5).alias("standard"), F.round("min_max", 6).alias("min_max"), F.round("log", 6).alias("log")),
     "layer_lists": lambda s, d: R.members(T.events_clock(s, d).select(F.expr(f"us div {T.HOUR_US}").alias("graph"), "event_type", "seq"), ["graph", "event_type"], "seq"),
     "both_directions": lambda s, d: S.both_directions(T.events_clock(s, d), "value"),
@@ -50,6 +51,7 @@ SQL = {
     "one_hot": f"WITH {_VEC} SELECT node, list_transform(range(10), lambda k: CAST(k = label AS INTEGER)) AS code FROM v",
     "stratified_folds": with_sql("SELECT seq, label, (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(seq AS VARCHAR))) - 1) % 5 AS fold FROM ev"),
     "random_split": with_sql(", p AS (SELECT seq, percent_rank() OVER (PARTITION BY t ORDER BY md5('7-' || seq)) AS p FROM ev) SELECT seq, CASE WHEN p < 0.7 THEN 'train' WHEN p < 0.85 THEN 'valid' ELSE 'test' END AS part FROM p"),
+    "scaled_by_train": with_sql(", c AS (SELECT quantile_cont(clock, 0.7) AS a, quantile_cont(clock, 0.85) AS b FROM ev), p AS (SELECT seq, value, CASE WHEN clock <= a THEN 'train' WHEN clock <= b THEN 'valid' ELSE 'test' END AS part FROM ev JOIN clocked USING (seq), c), f AS (SELECT avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi FROM p WHERE part = 'train') SELECT seq, part, round((value - m) / s, 5) AS standard, round((value - lo) / (hi - lo), 6) AS min_max FROM p, f"),
     "scaled_values": with_sql("SELECT seq, round((value - (SELECT avg(value) FROM clocked)) / (SELECT stddev_pop(value) FROM clocked), 5) AS standard, round((value - (SELECT min(value) FROM clocked)) / ((SELECT max(value) FROM clocked) - (SELECT min(value) FROM clocked)), 6) AS min_max, round(ln(1 + value), 6) AS log FROM clocked"),
     "layer_lists": with_sql(f"SELECT us // {T.HOUR_US} AS graph, event_type, list_sort(list(seq)) AS members FROM clocked GROUP BY ALL"),
     "both_directions": with_sql("SELECT seq, 1 AS direction, value AS v FROM clocked UNION ALL SELECT seq, -1, -value FROM clocked"),

@@ -92,6 +92,16 @@ def write_scores(scored: DataFrame, path: str, order: str = "t") -> None:
     write_columns(scored, path, ["score", "label"], " ", order)
 
 
+def write_result(scored: DataFrame, path: str, keys: list[str], score: str = "score") -> None:
+    """A result file: "key,..,score" lines in the order of the keys, without a header."""
+    write_columns(scored, path, [*keys, score], order=keys[0])
+
+
+def write_roc(points: DataFrame, path: str) -> None:
+    """A ROC file: a header and "fpr,tpr" lines, from the highest score down; range-sorted, so the parts follow one another."""
+    points.repartitionByRange(F.col("score").desc()).sortWithinPartitions(F.col("score").desc()).select("fpr", "tpr").write.csv(path, header=True)
+
+
 def topk_lines(measures: DataFrame) -> DataFrame:
     """value: "[TOPk] precision:.., recall:.." of rows (k, precision, recall)."""
     return measures.select("k", F.format_string("[TOP%d] precision:%.6f, recall:%.6f", "k", "precision", "recall").alias("value"))
