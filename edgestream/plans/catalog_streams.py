@@ -14,6 +14,7 @@ from ..operators import injection as I
 from ..operators import learning as A
 from ..operators import memory as N
 from ..operators import memory_model as B
+from ..operators import message_passing as Z
 from ..operators import microcluster as C
 from ..operators import relational as R
 from ..operators import sequence as S
@@ -111,6 +112,13 @@ def attended(s, d):
     return Y.temporal_attention(edges, known, layers, 5).select("node", "clock", rounded("x"))
 
 
+def passed(s, d):
+    """Classes of the vectors by trained message passing over their pairs; a digest of the node says which ones train."""
+    held = vectors(s, d).select("node", "x", "label", (F.pmod(F.xxhash64("node"), F.lit(10)) < 7).alias("train"))
+    model, _ = Z.train(pairs(s, d), held, 10, layers=1, epochs=6)
+    return Z.predictions(pairs(s, d), held, model).join(held, "node").select("node", "label", "train", "predicted")
+
+
 def grid(s, d):
     """The AUC of the relational scores for a few decays."""
     out = None
@@ -169,6 +177,7 @@ QUERIES = {
     "coded_log": lambda s, d: S.coded_log(stamped_log(s, d)),
     "snapshot_schedule": lambda s, d: S.snapshot_schedule(ev(s, d).select("seq"), 0.3, 500),
     "pool_queries": lambda s, d: R.pool_queries(ev(s, d).select(F.col("dst").alias("node")), nodes(s, d).select(F.col("node").alias("query"))),
+    "message_passing_classes": passed,
     "graph_predictions": lambda s, d: A.graph_predictions(pairs(s, d), vectors(s, d)),
     "clique_vectors": lambda s, d: O.clique_vectors(walked(s, d, per_start=3))[0].select("node", rounded("x")),
     "walk_vectors": lambda s, d: A.walk_vectors(walked(s, d, per_start=5)),

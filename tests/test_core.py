@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgestream.functions import paths as P
 from edgestream.functions import vectors as V
-from edgestream.operators import clique_model, evaluation, factorise, graphs, injection, linkstream, memory, memory_model, microcluster, relational, sampling, sequence, temporal, walkscore
+from edgestream.operators import clique_model, evaluation, factorise, graphs, injection, linkstream, memory, memory_model, message_passing, microcluster, relational, sampling, sequence, temporal, walkscore
 from edgestream.plans import catalog_graphs, catalog_relational, catalog_sequence, ordering
 from edgestream.sources import readers, writers
 from edgestream.streaming import sketch
@@ -740,3 +740,46 @@ def test_clique_vectors_learn_and_bring_cliques_together(spark):
     again, more = clique_model.clique_vectors(df, 4, 2, parts=5)
     assert np.allclose(more, losses[:2])
     assert clique_model.clique_vectors(df.limit(0), 4, 2)[0].count() == 0
+
+
+def plain_message_loss(model, edges, x, label, train):
+    h, hs = x, [x]
+    for layer in model.layers:
+        p = (1 + layer.eps[0]) * h
+        for u, v in edges:
+            p[u] += h[v]
+        z = np.maximum(p @ layer.first.T, 0) @ layer.second.T
+        h = np.maximum(layer.scale * (z - z.mean(axis=0)) / np.sqrt(z.var(axis=0) + message_passing.SMALL) + layer.shift, 0)
+        hs.append(h)
+    logits = sum(a @ u.T for a, u in zip(hs, model.read, strict=True))
+    logs = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    return -logs[np.arange(len(x)), label][train].mean(), logits.argmax(axis=1)
+
+
+def test_message_passing_has_the_plain_gradient_and_learns_from_neighbours(spark):
+    draw = np.random.default_rng(16)
+    bits = draw.integers(0, 2, 240)
+    label = np.concatenate([bits[:120] ^ bits[120:], bits])  # of a centre: whether its two leaves differ, which no mean tells
+    x = np.concatenate([np.tile([0.5, 0.0], (120, 1)), np.stack([bits, np.ones(240)], axis=1)])
+    train = np.arange(360) % 3 > 0
+    edges = [(c, leaf) for c in range(120) for leaf in (120 + c, 240 + c)]
+    e = spark.createDataFrame(edges, "u long, v long")
+    nodes = spark.createDataFrame([(i, x[i].tolist(), int(label[i]), bool(train[i])) for i in range(360)], "node long, x array<double>, label int, train boolean")
+    model = message_passing.first_model(2, 2, 6, 2, 3)
+    model.layers[1].eps[0] = 0.3
+    loss, g = message_passing.loss_and_gradient(e, nodes, model)
+    assert math.isclose(loss, plain_message_loss(model, edges, x.copy(), label, train)[0], rel_tol=1e-9)
+    flat = model.flat()
+    for k in range(0, len(flat), 9):
+        up, down = flat.copy(), flat.copy()
+        up[k], down[k] = up[k] + 1e-6, down[k] - 1e-6
+        slope = (plain_message_loss(model.like(up), edges, x.copy(), label, train)[0] - plain_message_loss(model.like(down), edges, x.copy(), label, train)[0]) / 2e-6
+        assert math.isclose(slope, g[k], rel_tol=1e-3, abs_tol=1e-6), k
+    model, losses = message_passing.train(e, nodes, 2, 8, 1, 14, 0.1)
+    told = {r.node: r.predicted for r in message_passing.predictions(e, nodes, model).collect()}
+    right = np.mean([told[i] == label[i] for i in range(120) if not train[i]])
+    from edgestream.operators import learning
+
+    head = {r.node: r.predicted for r in learning.graph_predictions(e, nodes.where("train").select("node", "x", "label"), layers=1).collect()}
+    assert losses[-1] < losses[0] / 2 and right > 0.9
+    assert np.mean([head[i] == label[i] for i in head if i < 120]) < right  # even on what it has learned from
