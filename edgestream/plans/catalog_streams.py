@@ -96,11 +96,11 @@ def followed(s, d):
 
 
 def trained_memory(s, d):
-    """Drift of every node and batch of three days, by a model trained on the first 70 % of the ticks."""
+    """Drift of every node and batch of five days, by a model trained on the first 70 % of the ticks."""
     edges = ev(s, d)
     cut = edges.agg(F.expr("min(t) + (max(t) - min(t)) * 7 div 10")).first()[0] or 0
-    weights, _ = B.train(edges.where(F.col("t") <= cut), 72)
-    return B.drift_scores(edges, weights, 72).select("batch", "node", F.round("score", 6).alias("score"))
+    weights, _ = B.train(edges.where(F.col("t") <= cut), 120)
+    return B.drift_scores(edges, weights, 120).select("batch", "node", F.round("score", 6).alias("score"))
 
 
 def attended(s, d):
