@@ -783,3 +783,36 @@ def test_message_passing_has_the_plain_gradient_and_learns_from_neighbours(spark
     head = {r.node: r.predicted for r in learning.graph_predictions(e, nodes.where("train").select("node", "x", "label"), layers=1).collect()}
     assert losses[-1] < losses[0] / 2 and right > 0.9
     assert np.mean([head[i] == label[i] for i in head if i < 120]) < right  # even on what it has learned from
+
+
+def test_heaps_blocks_and_numbers_equal_their_plain_forms(spark, monkeypatch):
+    draw = np.random.default_rng(17)
+    rows = [(int(t), f"a{k}", "b", 0) for k in range(6) for t in np.sort(draw.integers(1, 40, 1 + 4 * k))]
+    series = {k: sorted(t for t, u, _, _ in rows if u == f"a{k}") for k in range(6)}
+    thick, thin = set(), set()
+    for k, ticks in series.items():
+        now, left = list(ticks), list(ticks)
+        for n in range(int(len(ticks) * 0.6)):
+            if len(now) > 1:
+                gaps = [b - a for a, b in zip(now, now[1:], strict=False)]
+                at = gaps.index(max(gaps))
+                now.insert(at + 1, now[at] + gaps[at] // 2)
+                thick.add((f"a{k}", n, now[at + 1]))
+            if len(left) > 1:
+                gaps = [b - a for a, b in zip(left, left[1:], strict=False)]
+                thin.add((f"a{k}", n, left.pop(gaps.index(min(gaps)) + 1)))
+    told = lambda s: sorted((k, t) for k, _, t in s)
+    assert sorted((r.src, r.t) for r in injection.densify(stream(spark, rows), 60).collect()) == told(thick)
+    assert sorted((r.src, r.t) for r in injection.sparsify(stream(spark, rows), 60).collect()) == told(thin)
+    monkeypatch.setattr(relational, "BLOCK", 2)
+    left = spark.createDataFrame([("a",), ("b",), ("x",)], "node string")
+    right = spark.createDataFrame([(c,) for c in "uvwxyz"], "node string")
+    edges = spark.createDataFrame([("a", "u"), ("a", "z"), ("b", "q")], "src string, dst string")
+    got = {(r.src, r.dst) for r in relational.complement_pairs(left, right, edges).collect()}
+    assert got == {(a, b) for a in "abx" for b in "uvwxyz" if a != b} - {("a", "u"), ("a", "z")}
+    matrix = relational.dense_adjacency(spark.createDataFrame([(1, 3), (3, 4), (0, 2), (2, 2)], "u long, v long"), 5)
+    assert {r.u: r.row for r in matrix.collect()} == {1: [0, 0, 1, 0, 0], 2: [0, 1, 0, 0, 0], 3: [1, 0, 0, 1, 0], 4: [0, 0, 1, 0, 0], 5: [0] * 5}
+    from edgestream.operators import learning
+
+    folds = learning.stratified_folds(spark.createDataFrame([(i, None if i % 3 else 1) for i in range(30)], "seq long, label int"), 5)
+    assert all(r.n == (4 if r.label is None else 2) for r in folds.groupBy("label", "fold").agg(F.count("*").alias("n")).collect())
