@@ -331,14 +331,19 @@ def _runs(n_ranges: int):
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
-    """Text, names and marks (h, at, least, most) of each row."""
+    """Text, names and marks (h, at, least, most) of each row. Of equal texts that follow one another, two stand for all."""
+    last, times = None, 0
     for batch in batches:
         column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
         for i in range(batch.num_rows):
+            name = column["g1"][i].as_py(), column["g2"][i].as_py()
+            last, times = name, times + 1 if name == last else 1
+            if times > 2:
+                continue
             marks = column["marks"][i].values
             own = np.stack([marks.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "at", "least", "most")], axis=1)
             text = np.frombuffer(column["text"][i].as_buffer(), np.uint8)
-            yield text, column["g1"][i].as_py(), column["g2"][i].as_py(), own
+            yield text, *name, own
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,8 +381,11 @@ def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     out = in_arrow(sorted_runs.repartition(n_ranges, "range").sortWithinPartitions("range"), _merge, "g1 long, g2 long, first int, last int")
     if state["hot"]:
         digests = materialise(in_arrow(marked(F.col("hot")), _digests, "w1 long, w2 long, g1 long, g2 long, first int"), "digests")
-        twice = digests.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-        out = out.unionAll(digests.join(twice, ["w1", "w2"], "left_semi").select("g1", "g2", "first", F.col("first").alias("last")))
+        # both written first: a window that very many texts hold is then a key that Spark can split in the join
+        twice = materialise(digests.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "twice")
+        hit = materialise(digests.join(twice, ["w1", "w2"], "left_semi").select("g1", "g2", "first", F.col("first").alias("last")), "hit")
+        drop(digests, twice)
+        out = out.unionAll(hit)
     return out.distinct()
 
 

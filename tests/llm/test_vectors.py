@@ -143,7 +143,7 @@ def planted():
     edge = passage[:400]
     texts = [word(60) + passage + word(30), passage, word(3) + passage, near, edge, edge[:399], word(200), "a" * 1500, "a" * 401, "ha " * 300, "x" + "ha " * 200, "é日😀" * 150, "日😀é" * 150]
     twin = word(300)
-    texts += [twin, twin, twin[50:700] + word(100) + twin[:500], "\x00" * 450, "\x00" * 900, "b" * 399, None, "", passage[40:445] + word(50), word(20) + passage[60:470]]
+    texts += [twin, twin, twin, twin, twin[50:700] + word(100) + twin[:500], "\x00" * 450, "\x00" * 900, "b" * 399, None, "", passage[40:445] + word(50), word(20) + passage[60:470]]
     return texts + [word(5) + edge[k:] + word(40) for k in range(0, 12, 3)]
 
 
