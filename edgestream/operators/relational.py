@@ -61,7 +61,7 @@ def recent_neighbours(edges: DataFrame, n: int, clock: str = "clock") -> DataFra
 
 
 def nearest(points: DataFrame, targets: DataFrame, point: str = "position", target: str = "target") -> DataFrame:
-    """target, position: the nearest point of each target, the upper one at a tie.
+    """target, position: the nearest point of each target, the upper one at a tie; no row where there is no point.
 
     Points and targets are merged into one order, cut into ranges, and the last point below and the first one
     above are carried along it: no pair is formed, and no task sees all rows.
@@ -70,7 +70,7 @@ def nearest(points: DataFrame, targets: DataFrame, point: str = "position", targ
     ordered = in_order(merged, "x", "k")  # a point at a target's place comes before it, so it counts as below
     found = global_last(global_last(ordered, {"below": "p"}, "_m", RANGE), {"above": "p"}, "_m", RANGE, backwards=True).where("k = 1")
     choice = F.when(F.col("below").isNull() | (F.col("above") - F.col("q") <= F.col("q") - F.col("below")), F.coalesce("above", "below")).otherwise(F.col("below"))
-    return found.select(F.col("q").cast("long").alias(target), choice.alias(point))
+    return found.select(F.col("q").cast("long").alias(target), choice.alias(point)).where(F.col(point).isNotNull())
 
 
 def edge_totals(edges: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def sequential_time(edges: DataFrame, clock: str = "clock") -> DataFrame:
 def gap_rows(log: DataFrame, side: str = "before", gap: int = GAP, clock: str = "clock") -> DataFrame:
     """The rows at a gap of at least gap: those before it, or those after it, with the gap's size."""
     other = global_lead(log, {"_other": clock}) if side == "before" else global_lag(log, {"_other": clock})
-    size = F.abs(F.col("_other") - F.col(clock))
+    size = F.col("_other") - F.col(clock) if side == "before" else F.col(clock) - F.col("_other")  # a clock set back is no gap
     return other.withColumn("gap", size).where(F.col("gap") >= gap).drop("_other")
 
 

@@ -139,6 +139,14 @@ def test_sketch_is_never_below_the_count(spark):
     assert rows and all(r.estimate >= r.n for r in rows)
 
 
+def test_nearest_without_points_has_no_rows(spark):
+    log = spark.createDataFrame(list(enumerate([5, 6, 2000, 3, 4])), "seq long, clock long")
+    assert column(sequence.gap_rows(log, "before", 900), "seq") == [1]  # the clock set back is no gap
+    assert column(sequence.gap_rows(log, "after", 900), "seq") == [2]
+    targets = spark.createDataFrame([(0,), (5,)], "target long")
+    assert relational.nearest(log.where("clock > 5000").select(F.col("seq").alias("position")), targets).count() == 0
+
+
 def test_relational_edge_cases(spark):
     near = relational.nearest(spark.createDataFrame([(2,), (8,)], "position long"), spark.createDataFrame([(0,), (5,), (9,)], "target long"))
     assert {r.target: r.position for r in near.collect()} == {0: 2, 5: 8, 9: 8}
