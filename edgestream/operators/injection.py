@@ -19,18 +19,22 @@ def organised(benign: DataFrame, malicious: DataFrame, clock: str = "clock") ->
     return renumbered(both, clock, "_side", "seq").drop("_side")
 
 
-def renumbered(df: DataFrame, *order: str) -> DataFrame:
+def renumbered(df: DataFrame, *order: str | Column) -> DataFrame:
     """df with seq replaced by 1, 2, ... in the given order: range partitions, with their counts carried over."""
     return global_number(in_order(df, *order), "_new", "_m", RANGE).withColumn("seq", F.col("_new").cast("long")).drop("_m", "_new")
 
 
-def into_gap(benign: DataFrame, malicious: DataFrame, after_seq: int, clock: str = "clock") -> DataFrame:
-    """The malicious log spliced in behind one benign row, its clock shifted to begin one tick after it."""
-    anchor = benign.where(F.col("seq") == after_seq).select(F.col(clock).alias("_at"))
+def into_gap(benign: DataFrame, malicious: DataFrame, after_seq: int | None, clock: str = "clock") -> DataFrame:
+    """The malicious log spliced in behind one benign row, its clock shifted to begin one tick after it.
+
+    No row is lost where there is nothing to begin at: without that benign row the clock is null, and with no place
+    at all (None) the malicious log comes last.
+    """
+    anchor = benign.where(F.col("seq") == after_seq).agg(F.max(clock).alias("_at"))
     first = malicious.agg(F.min(clock).alias("_first"))
     moved = malicious.crossJoin(F.broadcast(anchor)).crossJoin(F.broadcast(first)).withColumn(clock, F.col(clock) - F.col("_first") + F.col("_at") + 1).drop("_at", "_first")
     both = benign.withColumn("_p", F.col("seq")).withColumn("_side", F.lit(0)).unionByName(moved.withColumn("_p", F.lit(after_seq).cast("long")).withColumn("_side", F.lit(1)))
-    return renumbered(both, "_p", "_side", "seq").drop("_p", "_side")
+    return renumbered(both, F.col("_p").asc_nulls_last(), "_side", "seq").drop("_p", "_side")
 
 
 def continuous(benign: DataFrame, malicious: DataFrame, after_seq: int, clock: str = "clock") -> DataFrame:

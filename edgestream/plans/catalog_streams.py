@@ -129,11 +129,11 @@ def grid(s, d):
 
 
 def at_percentile(s, d):
-    """The attack log behind the gap nearest to a quarter of the benign log."""
+    """The attack log behind the gap nearest to a quarter of the benign log; at its end, without a clock, if there is no gap."""
     benign, bad = halves(s, d)
     target = benign.agg(F.floor(0.25 * F.count("*")).alias("target"))
     place = R.nearest(S.gap_rows(benign, "before", 900).select(F.col("seq").alias("position")), target).first()
-    return I.into_gap(benign, bad, place.position).select("seq", "clock", "path", "label")
+    return I.into_gap(benign, bad, place and place.position).select("seq", "clock", "path", "label")
 
 
 GATE = [[round(math.sin(7 * r + k), 3) for k in range(4)] for r in range(4)]

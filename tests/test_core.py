@@ -133,6 +133,15 @@ def test_injection_keeps_benign_rows(spark):
     assert [r.t for r in injection.sparsify(series, 25).collect()] == [32]
 
 
+def test_injection_without_a_gap_keeps_all_rows(spark):
+    log = spark.createDataFrame([(i, c, f"p{i}", 0) for i, c in enumerate([1, 2, 3])], "seq long, clock long, path string, label int")
+    bad = spark.createDataFrame([(0, 9000, "x", 1), (1, 9003, "y", 1)], log.schema)
+    got = injection.into_gap(log, bad, None).orderBy("seq").collect()
+    assert [(r.path, r.clock) for r in got] == [("p0", 1), ("p1", 2), ("p2", 3), ("x", None), ("y", None)]
+    got = injection.into_gap(log.where("seq <> 1"), bad, 1).orderBy("seq").collect()
+    assert [(r.path, r.clock) for r in got] == [("p0", 1), ("x", None), ("y", None), ("p2", 3)]
+
+
 def test_sketch_is_never_below_the_count(spark):
     e = spark.range(3000).selectExpr("id % 37 AS u", "id % 91 AS v")
     rows = microcluster.sketch_estimates(e, [(16807, 11), (48271, 7)], 97).collect()
