@@ -10,7 +10,10 @@ Sets are named by a 64-bit hash of their content, so exact copies are one set fr
    set size (a size band meets only itself and the next), and a block in which every posting is late is
    skipped: two sets that link have their first common shingle at positions that add up to at most
    (n + m) / 9, so one of the two is early there.
-3. Leaders. A block sends no pairs: each member goes to the block's leader, a row each.
+3. Leaders. A block sends no pairs: each member goes to the block's leader, a row each. Before any set is sent,
+   a leader's group falls into the parts within which sets may link at all: each set has a sketch of parity bits
+   (a shingle flips one), and two sketches differ in no more bits than their sets differ in shingles. Chance
+   meetings end there; a part is led by one of its own members.
 4. Derived answers. A leader's group holds each member as its difference from the leader, D. From these,
    |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)| gives every answer within the group without the sets, and
    x, y link where 9 |x ^ y| <= n + m. Members that link with the leader are one class already; only the
@@ -58,6 +61,10 @@ SALTED = 256
 #: Members, and bytes of their differences, on each side of a tile in step 4.
 TILE = 1024
 TILE_BYTES = 4 << 20
+#: Members of a group that is cut by sketches; a larger one stays whole.
+KIN = 4096
+#: Bits of the largest sketch.
+SKETCH_BITS = 1 << 15
 #: Names of sets sent that a task remembers, so that copies are not sent again.
 REMEMBERED = 1 << 18
 
@@ -108,6 +115,16 @@ def distinct_sets(s: Sets) -> Sets:
     return Sets(s.shingles[mask], np.concatenate([[0], np.cumsum(size[keep])]), s.names[keep])
 
 
+def sketches(s: Sets) -> list[bytes]:
+    """The parity bits of each set: a shingle flips the bit of its hash modulo a power of two, the set's size or more (64 to SKETCH_BITS)."""
+    size = np.diff(s.bounds)
+    bits = np.minimum(1 << np.ceil(np.log2(np.maximum(size, 64))).astype(np.int64), SKETCH_BITS)
+    at = np.concatenate([[0], np.cumsum(bits)])
+    flipped = np.repeat(at[:-1], size) + (mix(s.shingles) & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(flipped, minlength=at[-1]) & 1).astype(np.uint8), bitorder="little")
+    return [packed[a // 8 : z // 8].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)]
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from steps(batch)
@@ -123,7 +140,7 @@ def _text_column(piece: pa.RecordBatch) -> pa.Array:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in _pieces(batches):
         s = shingle_sets(_text_column(piece))
-        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(s.bounds).astype(np.int64)), pa.array(s.names.view(np.int64))], ["doc_id", "n_shingles", "node"])
+        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(s.bounds).astype(np.int64)), pa.array(s.names.view(np.int64)), pa.array(sketches(s), pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
 
 
 # --- step 1: the order -------------------------------------------------------------------------
@@ -414,6 +431,71 @@ def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- steps 3 and 4: groups ---------------------------------------------------------------------
 
 
+def kin(sizes: np.ndarray, sketched: list[np.ndarray]) -> np.ndarray:
+    """For each set of a group the place of its part's first one; sets of different parts cannot link."""
+    width = np.array([len(x) for x in sketched])
+    # a sketch folds onto a shorter one's length, since lengths are powers of two
+    folded = {w: np.array([np.bitwise_xor.reduce(x.reshape(-1, w), axis=0) if len(x) >= w else np.zeros(w, np.uint64) for x in sketched]) for w in np.unique(width)}
+
+    def near(x: int, others: np.ndarray) -> np.ndarray:
+        apart = np.abs(sizes[others] - sizes[x])
+        common = np.minimum(width[others], width[x])
+        for w in np.unique(common):
+            at = common == w
+            apart[at] = np.maximum(apart[at], np.bitwise_count(folded[w][others[at]] ^ folded[w][x]).sum(axis=1, dtype=np.int64))
+        return others[9 * apart <= sizes[others] + sizes[x]]
+
+    part = np.full(len(sizes), -1)
+    for first in range(len(sizes)):
+        if part[first] >= 0:
+            continue
+        part[first], todo = first, [first]
+        left = np.flatnonzero(part < 0)
+        while todo and len(left):
+            found = near(todo.pop(), left)
+            part[found] = first
+            todo.extend(found.tolist())
+            left = left[part[left] < 0]
+    return part
+
+
+def _kin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (leader, role, member, n, sketch), sorted by the first three: each part's leader and its other members."""
+    now, held = None, []
+
+    def answer() -> pa.RecordBatch:
+        member, n, sketch = zip(*held, strict=True)
+        part = kin(np.array(n, np.int64), [np.frombuffer(x, np.uint64) for x in sketch])
+        member, others = np.array(member, np.int64), np.flatnonzero(part != np.arange(len(part)))
+        return pa.RecordBatch.from_arrays([pa.array(member[part[others]]), pa.array(member[others])], ["leader", "member"])
+
+    for batch in batches:
+        for leader, _, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if leader != now:
+                if held:
+                    yield answer()
+                now, held = leader, []
+            held.append(row)
+    if held:
+        yield answer()
+
+
+def kindred(member: DataFrame, described: DataFrame, parts: int) -> DataFrame:
+    """The groups (leader, member) cut into parts by the sketches of described (n_shingles, node, sketch), as a written table."""
+    sizes = member.groupBy("leader").agg(F.count("*").alias("size"))
+    both = member.join(sizes, "leader")
+    small = both.where(F.col("size") < KIN)
+    rows = small.select("leader", F.lit(1).alias("role"), "member").unionAll(sizes.where(F.col("size") < KIN).select("leader", F.lit(0), "leader"))
+    needed = materialise(rows.select(F.col("member").alias("node")).distinct(), "needed")
+    wanted = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed
+    known = described.select("node", F.col("n_shingles").alias("n"), "sketch").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    dealt = rows.join(known, F.col("member") == F.col("node")).select("leader", "role", "member", "n", "sketch").repartition(parts, "leader").sortWithinPartitions("leader", "role", "member")
+    cut = in_arrow(dealt, _kin, "leader long, member long").unionAll(both.where(F.col("size") >= KIN).select("leader", "member"))
+    out = materialise(cut.distinct(), "kindred")
+    drop(needed)
+    return out
+
+
 def _send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sent = _EMPTY  # names of the sets that this task has sent lately
     for piece in _pieces(batches):
@@ -487,15 +569,17 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answer()
 
 
-def groups_of(texts: DataFrame, parts: int) -> DataFrame:
+def groups_of(texts: DataFrame, described: DataFrame, parts: int) -> DataFrame:
     """The leaders' groups, each member as its difference from the leader (texts: one column text), as a written table."""
     spark = texts.sparkSession
     order = spark.sparkContext.broadcast(frequent(texts, parts))
     postings = in_arrow(texts, lambda it: _send_postings(it, order, parts), "part int, keys binary, nodes binary, marks binary")
     rows = in_arrow(_by_part(postings, parts), lambda it: _lead(it, parts), "part int, leaders binary, members binary")
-    member = materialise(in_arrow(_by_part(rows, parts), _memberships, "leader long, member long"), "members")
+    met = materialise(in_arrow(_by_part(rows, parts), _memberships, "leader long, member long"), "members")
     del postings, rows
     tidy(spark)
+    member = kindred(met, described, parts)
+    drop(met)
     # a leader is a member of its own group; every set is joined to its groups once
     sizes = member.groupBy("leader").agg(F.count("*").alias("size"))
     led = sizes.select("leader", F.floor((F.col("size") + SALTED - 1) / SALTED).cast("int").alias("salts"))
@@ -542,11 +626,11 @@ def partitions(described: DataFrame, per_part: int = PART_SHINGLES) -> int:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, node (the set's name), class_node of every row."""
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long"
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, sketch binary"
     described = materialise(in_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), _describe, kind), "described")
     texts = docs.select(F.col("text").cast("string").alias("text"))
     parts = partitions(described)
-    apart = groups_of(texts, parts)
+    apart = groups_of(texts, described, parts)
     found = components(group_links(apart, parts))
     drop(apart)
     tidy(docs.sparkSession)

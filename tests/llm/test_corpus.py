@@ -64,6 +64,42 @@ def test_jaccard_classes(spark, monkeypatch, seed, tile):
     assert got == plain_classes(rows)
 
 
+def test_sketches_part_only_sets_that_cannot_link():
+    draw = np.random.default_rng(7)
+    sets = []
+    for size in (3, 40, 60, 70, 300, 900, 1100):
+        base = draw.integers(0, 2**63, size).astype(np.uint64)
+        for keep in (1, 0.95, 0.9, 0.85, 0.5):
+            sets.append(np.unique(np.r_[base[draw.random(size) < keep], base[:2], draw.integers(0, 2**63, int(draw.integers(0, 4))).astype(np.uint64)]))
+    bounds = np.cumsum([0, *map(len, sets)])
+    sketched = [np.frombuffer(x, np.uint64) for x in jaccard_join.sketches(jaccard_join.Sets(np.concatenate(sets), bounds, np.arange(len(sets)).astype(np.uint64)))]
+    size = np.diff(bounds)
+    part = jaccard_join.kin(size, sketched)
+    for i in range(len(sets)):
+        for j in range(i):
+            n = len(np.intersect1d(sets[i], sets[j]))
+            assert 100 * n < 80 * (size[i] + size[j] - n) or part[i] == part[j]
+    assert len(set(part)) > 10
+
+
+def test_chance_meetings_send_no_sets(spark):
+    draw = np.random.default_rng(9)
+    passage, vocabulary = [f"p{i}" for i in range(80)], [f"w{i}" for i in range(5000)]
+    texts = [" ".join([*draw.choice(vocabulary, 160), *passage]) for _ in range(12)]
+    docs = frame(spark, [*texts, texts[0] + " tail"])
+    described = jaccard_join.in_arrow(docs.select("doc_id", "text"), jaccard_join._describe, "doc_id long, n_shingles long, node long, sketch binary")
+    apart = jaccard_join.groups_of(docs.select("text"), described, 4).collect()
+    assert len(apart) == 1  # of 12 sets that share a passage and one near copy: the copy alone
+
+
+@pytest.mark.parametrize("most", [2, 4096])
+def test_large_groups_stay_whole(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "KIN", most)
+    docs = frame(spark, near_copies(4, 6, 20, 120, 10))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.classes(docs).collect())
+    assert got == plain_classes([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_derived_answers_equal_direct_ones():
     draw = np.random.default_rng(3)
     leader = np.unique(draw.integers(0, 2**60, 200).astype(np.uint64))
