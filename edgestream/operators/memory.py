@@ -31,7 +31,7 @@ def _remembered(updates: DataFrame, width: int) -> DataFrame:
     """
     w = Window.partitionBy("node", "_c").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
     d = DECAY * (1 - 0.3 * (F.col("a") / (F.col("a") + 10)))
-    held = updates.withColumn("_c", F.floor(F.col("a") / CHUNK)).withColumn("_d", F.exp(F.sum(F.log(d)).over(w)))
+    held = updates.withColumn("_c", F.floor(F.col("a") / CHUNK)).withColumn("_d", F.product(d).over(w))
     weight = F.when(F.col("a") == 0, F.lit(1.0)).otherwise(1 - d) / F.col("_d")
     held = held.withColumns({f"_m{k}": F.col("_d") * F.sum(F.col("f")[k] * weight).over(w) for k in range(width)})
     last = held.where(F.col("a") % CHUNK == CHUNK - 1).select("node", (F.col("_c") + 1).alias("_c"), *(F.col(f"_m{k}").alias(f"_b{k}") for k in range(width)))

@@ -123,6 +123,17 @@ def test_memory_scores_match_a_fold(spark):
     assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(got, expected, strict=True))
 
 
+def test_memories_keep_a_double_s_precision(spark):
+    f = np.random.default_rng(4).random((1000, 3)).tolist()
+    got = memory._remembered(spark.createDataFrame([("n", a, x) for a, x in enumerate(f)], "node string, a long, f array<double>"), 3)
+    m = f[0]
+    for a, r in enumerate(got.orderBy("a").collect()):
+        if a:
+            d = 0.5 * (1 - 0.3 * (a / (a + 10)))
+            m = [d * p + (1 - d) * q for p, q in zip(m, f[a], strict=True)]
+        assert all(math.isclose(p, q, rel_tol=1e-15) for p, q in zip(r.memory, m, strict=True))
+
+
 def test_injection_keeps_benign_rows(spark):
     log = spark.createDataFrame([(i, c, f"p{i}", 0) for i, c in enumerate([1, 2, 500, 501])], "seq long, clock long, path string, label int")
     bad = spark.createDataFrame([(0, 9000, "x", 1), (1, 9003, "y", 1)], log.schema)
