@@ -134,6 +134,14 @@ def test_memories_keep_a_double_s_precision(spark):
         assert all(math.isclose(p, q, rel_tol=1e-15) for p, q in zip(r.memory, m, strict=True))
 
 
+def test_decimal_weights_are_added_exactly(spark):
+    weights = spark.range(1000).select(F.col("id").alias("node"), F.lit("0.1").cast("decimal(18, 6)").alias("weight"))
+    draws = spark.range(1000).select("id", (F.col("id") / 1000).alias("x"))  # each at an end of a share
+    upper = np.arange(1, 1001) / 10
+    got = sampling.weighted_choice(weights, draws).select("id", "node").collect()
+    assert len(got) == 1000 and all(r.node == np.searchsorted(upper, r.id / 1000 * upper[-1], "right") for r in got)
+
+
 def test_injection_keeps_benign_rows(spark):
     log = spark.createDataFrame([(i, c, f"p{i}", 0) for i, c in enumerate([1, 2, 500, 501])], "seq long, clock long, path string, label int")
     bad = spark.createDataFrame([(0, 9000, "x", 1), (1, 9003, "y", 1)], log.schema)
