@@ -101,15 +101,17 @@ class AliasTable:
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _uniform(seed: int, seq: np.ndarray, *place: np.ndarray | int) -> np.ndarray:
-    """A number in [0, 1) of the seed, the event and a place: the same in every batch and on every rerun."""
-    x = seq.astype(np.uint64) + np.uint64(seed)
-    for p in place:
-        x = (x + _STEP) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(p).astype(np.uint64)
-        x ^= x >> np.uint64(30)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return (x >> np.uint64(11)).astype(np.float64) / 2.0**53
+def _stirred(x: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+    x = (x + _STEP) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(place).astype(np.uint64)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _uniform(x: np.ndarray, place: int) -> np.ndarray:
+    """A number in [0, 1) of what was stirred so far and a place: the same in every batch and on every rerun."""
+    return (_stirred(x, place) >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
 class Sample:
@@ -157,53 +159,105 @@ def _walked(sample: Sample, seq: np.ndarray, src: np.ndarray, dst: np.ndarray, w
     n = len(seq) * walks
     of, turn = np.repeat(np.arange(len(seq)), walks), np.tile(np.arange(walks), len(seq))
     found = []
+    key = _stirred((seq.astype(np.uint64) + np.uint64(seed))[of], turn)
     for virtual in (0, 1):
-        steps = 1 + np.floor(np.log1p(-_uniform(seed, seq[of], turn, virtual, 0)) / np.log1p(-restart)).astype(np.int64)
+        walk = _stirred(key, virtual)  # of the seed, the event, the walk and its kind
+        steps = 1 + np.floor(np.log1p(-_uniform(walk, 0)) / np.log1p(-restart)).astype(np.int64)
         at, hits, live = src[of].copy(), np.zeros(n, np.int64), np.arange(n)
         k = 0
         while len(live):
-            e, here = of[live], at[live]
-            hits[live] += here == dst[e]
+            hits[live] += at[live] == dst[of[live]]
             k += 1
-            u = [_uniform(seed, seq[e], turn[live], virtual, 3 * k + c) for c in range(3)]
-            own = np.zeros(len(live), bool)
-            if virtual:
-                here_total = total[here] + weight[e]
-                own = (here == src[e]) & (u[0] * here_total < weight[e])
+            live = live[k < steps[live]]
+            e, here = of[live], at[live]
             can = size[here] > 0
-            slot = start[here] + np.minimum((u[1] * size[here]).astype(np.int64), np.maximum(size[here] - 1, 0))
-            slot = np.where(can, slot, 0)
-            if len(keys):
-                moved = np.where(u[2] < keep[slot], keys[slot], keys[start[here] * can + other[slot]])
-                at[live] = np.where(own, dst[e], moved)
+            if virtual:
+                own = here == src[e]
+                to = live[own]
+                own[own] = _uniform(walk[to], 3 * k) * (total[at[to]] + weight[of[to]]) < weight[of[to]]
+                at[live[own]] = dst[e[own]]
+                can &= ~own
+                live = live[own | can]
             else:
-                at[live] = dst[e]
-            live = live[(own | can) & (k < steps[live])]
+                live = live[can]
+            # only those that follow an edge held draw one
+            e, here = e[can], here[can]
+            to = live if not virtual else live[can[own | can]]
+            x = walk[to]
+            slot = start[here] + np.minimum((_uniform(x, 3 * k + 1) * size[here]).astype(np.int64), size[here] - 1)
+            at[to] = np.where(_uniform(x, 3 * k + 2) < keep[slot], keys[slot], keys[start[here] + other[slot]])
         found.append(np.bincount(of, hits, len(seq)) / np.bincount(of, steps, len(seq)))
     return np.maximum(found[1] - found[0], 0.0)
 
 
-def _expected(sample: Sample, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, restart: float, rounds: int) -> np.ndarray:
-    """The same in expectation, event by event: visits by a power iteration over the edges held, per step of a walk."""
-    n = len(sample.number)
+#: Nodes whose walks are followed together.
+_TOGETHER = 256
+
+
+def _arrivals(sample: Sample, u: np.ndarray, v: np.ndarray, restart: float, rounds: int) -> tuple[np.ndarray, ...]:
+    """Mass by step (rows) that is at u and at v of what leaves u, and at u and at v of what leaves v, over the edges held; and both ends' weights.
+
+    Each different node that has edges is followed once, whatever number of events names it.
+    """
     edges = [(sample.number[a], sample.number[b], w) for a, table in sample.next.items() for b, parts in table.parts.items() for w in parts]
-    x, y, w = (np.array(c) for c in zip(*edges, strict=True)) if edges else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    plain = np.bincount(x, w, n)
-    steps = sum((1 - restart) ** k for k in range(rounds))
-    out = np.zeros(len(src))
-    for k, (u, v, extra) in enumerate(zip(src, dst, weight, strict=True)):
-        total = np.concatenate([plain, plain])
-        total[n + u] += extra
-        a, b, c = np.concatenate([x, x + n, [n + u]]), np.concatenate([y, y + n, [n + v]]), np.concatenate([w, w, [extra]])
-        share = (1 - restart) * c / total[a]
-        mass = np.zeros(2 * n)
-        mass[[u, n + u]] = 1.0
-        seen = np.zeros(2)
-        for _ in range(rounds):
-            seen += mass[[v, n + v]]
-            mass = np.bincount(b, mass[a] * share, 2 * n)
-        out[k] = max(0.0, (seen[1] - seen[0]) / steps)
-    return out
+    uu, uv, vu, vv = out = np.zeros((4, rounds, len(u)))
+    uu[0], vv[0], uv[0], vu[0] = 1.0, 1.0, u == v, u == v
+    if not edges:
+        return *out, np.zeros(len(u)), np.zeros(len(u))
+    x, y, w = (np.array(c) for c in zip(*edges, strict=True))
+    plain = np.bincount(x, w, len(sample.number))
+    known = np.unique(x)  # edges are held both ways, so these are all ends
+    place = np.full(len(sample.number), -1)
+    place[known] = np.arange(len(known))
+    order = np.argsort(y, kind="stable")
+    a, b, share = place[x[order]], place[y[order]], ((1 - restart) * w / plain[x])[order, None]
+    heads = np.flatnonzero(np.diff(b, prepend=-1))
+    pu, pv = place[u], place[v]
+    asked = np.unique(np.concatenate([pu, pv]))
+    asked = asked[asked >= 0]
+    for k in range(0, len(asked), _TOGETHER):
+        now = asked[k : k + _TOGETHER]
+        col = np.full(len(known) + 1, -1)
+        col[now] = np.arange(len(now))
+        takes = []
+        for one, other, own, cross in ((pu, pv, uu, uv), (pv, pu, vv, vu)):
+            e = np.flatnonzero(col[one] >= 0)
+            met = e[other[e] >= 0]
+            takes.append((own, e, one[e], col[one[e]], cross, met, other[met], col[one[met]]))
+        mass = np.zeros((len(known), len(now)))
+        mass[now, np.arange(len(now))] = 1.0
+        for step in range(1, rounds):
+            mass = np.add.reduceat(mass[a] * share, heads, axis=0)
+            for own, e, row, c, cross, met, end, d in takes:
+                own[step, e] = mass[row, c]
+                cross[step, met] = mass[end, d]
+    return *out, plain[u], plain[v]
+
+
+def _gain(uu: np.ndarray, uv: np.ndarray, vu: np.ndarray, vv: np.ndarray, total: np.ndarray, weight: np.ndarray, restart: float) -> np.ndarray:
+    """How much more mass is ever at v of what leaves u once the edge stands beside u's others, per step of a walk.
+
+    The edge changes one row of the transitions, so what it changes follows from the plain arrivals: as power series in
+    the step, the gain is uu * c / (1 - d), where c and d are the change of u's row carried on to v and to u.
+    """
+    rounds, whole = len(uu), total + weight
+    part = np.divide(weight, whole, out=np.zeros(len(whole)), where=whole > 0)
+    to = (1 - restart) * part
+    c, d = -part * uv, -part * uu
+    c[0] = d[0] = 0.0
+    c[1:] += to * vv[:-1]
+    d[1:] += to * vu[:-1]
+    ratio = np.zeros_like(c)
+    for k in range(1, rounds):
+        ratio[k] = c[k] + (d[1:k] * ratio[k - 1 : 0 : -1]).sum(axis=0)
+    gain = (ratio * np.cumsum(uu, axis=0)[::-1]).sum(axis=0)
+    return np.maximum(gain, 0.0) / sum((1 - restart) ** k for k in range(rounds))
+
+
+def _expected(sample: Sample, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, restart: float, rounds: int) -> list[np.ndarray]:
+    """The same in expectation, both ways: visits by a power iteration over the edges held, per step of a walk; all events of a version at once."""
+    uu, uv, vu, vv, at_u, at_v = _arrivals(sample, src, dst, restart, rounds)
+    return [_gain(uu, uv, vu, vv, at_u, weight, restart), _gain(vv, vu, uv, uu, at_v, weight, restart)]
 
 
 def bridge_scores(edges: DataFrame, sample: int = 500, restart: float = 0.15, rounds: int = 30, walks: int | None = None, seed: int = 1, batch: int = BATCH, stream: str = "stream_id") -> DataFrame:
@@ -256,7 +310,10 @@ def bridge_scores(edges: DataFrame, sample: int = 500, restart: float = 0.15, ro
                 k += 1
             seq, weight = np.array([x[1] for x in run]), np.array([x[4] for x in run])
             u, v = (np.array([state.node(x[c]) for x in run]) for c in (2, 3))
-            both = [_expected(state, a, b, weight, restart, rounds) if walks is None else _walked(state, seq, a, b, weight, walks, restart, 2 * seed + side) for side, (a, b) in enumerate(((u, v), (v, u)))]
+            if walks is None:
+                both = _expected(state, u, v, weight, restart, rounds)
+            else:
+                both = [_walked(state, seq, a, b, weight, walks, restart, 2 * seed + side) for side, (a, b) in enumerate(((u, v), (v, u)))]
             out += zip(seq.tolist(), ((both[0] + both[1]) / 2).tolist(), strict=True)
         return out
 

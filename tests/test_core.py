@@ -308,6 +308,39 @@ def test_bridge_scores_match_a_plain_walk(spark, batch):
     assert max(abs(a - b) for a, b in zip(sampled, exact, strict=True)) < 2 / 30
 
 
+def test_events_of_a_version_share_their_power_iteration(monkeypatch):
+    draw, rounds, restart = np.random.default_rng(5), 9, 0.15
+    held = walkscore.Sample()
+    for a, b, w in [*zip(draw.integers(0, 25, 40), draw.integers(20, 40, 40), draw.integers(1, 4, 40), strict=True), (3, 3, 2)]:
+        held.add(f"n{a}", f"n{b}", float(w))
+    named = [(f"n{a}", f"n{b}") for a, b in draw.integers(0, 45, (300, 2))] + [("n3", "n3"), ("new", "new"), ("new", "n3"), ("n3", "other")]
+    u, v = (np.array([held.node(x[k]) for x in named]) for k in (0, 1))
+    weight = draw.integers(1, 4, len(u)).astype(float)
+    n, plain = len(held.number), np.zeros((len(held.number),) * 2)
+    for a, table in held.next.items():
+        for b, parts in table.parts.items():
+            plain[held.number[a], held.number[b]] = sum(parts)
+
+    def visits(w, a, b):
+        total = w.sum(axis=1, keepdims=True)
+        step = np.divide((1 - restart) * w, total, out=np.zeros_like(w), where=total > 0)
+        return sum(np.linalg.matrix_power(step, k)[a, b] for k in range(rounds)) / sum((1 - restart) ** k for k in range(rounds))
+
+    def gain(a, b, extra):
+        more = plain.copy()
+        more[a, b] += extra
+        return max(0.0, visits(more, a, b) - visits(plain, a, b))
+
+    calls, real = [], np.add.reduceat
+    monkeypatch.setattr(walkscore.np, "add", type("Counted", (), {"reduceat": staticmethod(lambda *a, **b: calls.append(1) or real(*a, **b))}))
+    got = walkscore._expected(held, u, v, weight, restart, rounds)
+    monkeypatch.undo()
+    assert len(calls) == rounds - 1  # however many events there are
+    for side, (a, b) in enumerate(((u, v), (v, u))):
+        assert np.allclose(got[side], [gain(x, y, w) for x, y, w in zip(a, b, weight, strict=True)], rtol=0, atol=1e-12)
+    assert n > 40 and (got[0] > 0).sum() > 100
+
+
 def test_alias_tables_draw_by_weight_after_changes():
     table = walkscore.AliasTable()
     for key, by in (("c", 1.0), ("a", 2.0), ("b", 4.0), ("a", 1.0), ("d", 3.0)):
