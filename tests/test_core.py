@@ -363,6 +363,21 @@ def test_bridge_query_scores_every_event(spark, monkeypatch):
     assert all(r.score == 0.0 for r in got[:500]) and any(r.score > 0.0 for r in got[500:])  # the operator's own sample of 500
 
 
+def test_scores_of_every_tick_exchange_the_pairs_ticks_only(spark):
+    rows = [(3, "a", "b"), (5, "a", "b"), (5, "a", "b"), (6, "a", "b"), (12, "a", "b"), (4, "c", "d"), (20, "e", "f")]
+    e = spark.createDataFrame(rows, "t long, src string, dst string")
+    scores = linkstream.edge_scores(e, e.where("src < 'e'").select("src", "dst").distinct(), 4, 6)
+    got = {(r.src, r.t): r.score for r in scores.collect()}
+    assert got.keys() == {(x, t) for x in "ac" for t in range(6, 13)}
+    for (src, t), score in got.items():
+        ticks = {r[0] for r in rows if r[1] == src}
+        near = [k for k in ticks if t - 4 <= k < t]
+        p = len(near) / (max(near) - min(near) + 1) if len(near) > 1 else 0.0
+        assert math.isclose(score, ((t in ticks) - p) ** 2 / max(p * (1 - p), 0.01))
+    above = scores._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert "Window" not in above and "hashpartitioning" not in above  # what is formed of the ticks stays in its task
+
+
 def test_link_queries_take_every_malicious_pair_and_node(spark, monkeypatch):
     rows = [(t, f"{k}", f"k{(t + k) % 3}", int((t * k) % 4 == 1)) for t in (*range(1, 31), 101, 299, *range(301, 306)) for k in range(9, 16)]
     e = stream(spark, rows).withColumn("seq", F.col("seq") + 950)
