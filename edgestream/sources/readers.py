@@ -6,6 +6,7 @@ in its file as the reader sees it (numbered()); within one file it ascends with
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -161,23 +162,34 @@ def edge_list(spark: SparkSession, path: str, comment: str = "%") -> DataFrame:
     return rows.select("seq", f[0].cast("long").alias("u"), f[1].cast("long").alias("v"))
 
 
-def graph_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """graph, label, node, tag, neighbours, features of graph-classification text; each file is parsed in its task."""
+def graph_blocks(spark: SparkSession, path: str, most: int = 1 << 14) -> DataFrame:
+    """graph, label, node, tag, neighbours, features of graph-classification text; each file is parsed in its task.
+
+    A file's graphs are numbered from 0, or from k if it stands in a folder first=k. Rows are handed on after every
+    most neighbours and features, so that a task holds its text but not the rows of it.
+    """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["graph", "label", "node", "tag", "neighbours", "features"]
         for frame in frames:
-            for text in frame["value"]:
-                lines = iter(text.split("\n"))
-                rows = []
+            for text, first in zip(frame["value"], frame["first"], strict=True):
+                lines = (x.group() for x in re.finditer(r"[^\n]+", text))
+                rows, held = [], 0
                 for g in range(int(next(lines))):
                     n, label = map(int, next(lines).split()[:2])
                     for node in range(n):
                         tokens = next(lines).split()
                         fan = int(tokens[1])
-                        rows.append((g, label, node, int(tokens[0]), list(map(int, tokens[2 : 2 + fan])), list(map(float, tokens[2 + fan :]))))
-                yield pd.DataFrame(rows, columns=["graph", "label", "node", "tag", "neighbours", "features"])
-
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, "graph int, label int, node int, tag int, neighbours array<int>, features array<double>")
+                        rows.append((int(first) + g, label, node, int(tokens[0]), list(map(int, tokens[2 : 2 + fan])), list(map(float, tokens[2 + fan :]))))
+                        held += len(tokens)
+                        if held >= most:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, held = [], 0
+                yield pd.DataFrame(rows, columns=names)
+
+    texts = spark.read.text(path, wholetext=True)
+    texts = texts.select("value", (F.col("first") if "first" in texts.columns else F.lit(0)).cast("long").alias("first"))
+    return texts.mapInPandas(parse, "graph int, label int, node int, tag int, neighbours array<int>, features array<double>")
 
 
 def interactions(spark: SparkSession, path: str) -> DataFrame:

@@ -900,3 +900,29 @@ def test_heaps_blocks_and_numbers_equal_their_plain_forms(spark, monkeypatch):
 
     folds = learning.stratified_folds(spark.createDataFrame([(i, None if i % 3 else 1) for i in range(30)], "seq long, label int"), 5)
     assert all(r.n == (4 if r.label is None else 2) for r in folds.groupBy("label", "fold").agg(F.count("*").alias("n")).collect())
+
+
+def test_node_link_graphs_are_written_in_pieces(spark, tmp_path):
+    links = spark.createDataFrame([("a", i, (i * 7 + 1) % 60) for i in range(60)] + [("b", 1, 2)], "graph string, source long, target long")
+    ids = links.select("graph", F.explode(F.array("source", "target")).alias("id")).distinct()
+    nodes = ids.select("graph", "id", F.array(F.col("id").cast("double")).alias("features"), F.lit(1).alias("label"), (F.col("id") % 7 == 0).alias("test"), F.lit(False).alias("val"), F.lit("ip").alias("ip"), F.lit("f").alias("flow_id"))
+    held = [(r.graph, __import__("json").loads(r.value)) for r in writers.node_link_rows(nodes, links, 10).collect()]
+    assert all(x["graph"]["timestamp"] == g and len(x["nodes"]) < 30 and len(x["links"]) < 30 for g, x in held) and len(held) > 5
+    assert sorted((g, e["source"], e["target"]) for g, x in held for e in x["links"]) == sorted(map(tuple, links.collect()))
+    writers.write_node_links(nodes, links, f"{tmp_path}/g")
+    assert len([*tmp_path.glob("g/**/part-*")]) == 2  # a document for each graph, not one for all
+    got, linked = readers.node_link_graphs(spark, f"{tmp_path}/g")
+    assert {(r.graph, r.id) for r in got.collect()} == {(r.graph, r.id) for r in ids.collect()} and got.count() == ids.count()
+    assert {(r.graph, r.source, r.target): r.train_removed for r in linked.collect()} == {(g, a, b): a % 7 == 0 or b % 7 == 0 for g, a, b in map(tuple, links.collect())}
+
+
+def test_graph_blocks_are_written_by_graph_and_read_in_parts(spark, tmp_path):
+    rows = [(g, k, g + k, [(k + 1) % (g + 2), (k + 2) % (g + 2)]) for g in (5, 9, 30) for k in range(g + 2)]
+    nodes = spark.createDataFrame(rows, "graph long, node int, tag int, neighbours array<int>")
+    writers.write_graph_text(nodes, nodes.select("graph", (F.col("graph") % 2).alias("label")).distinct(), f"{tmp_path}/g")
+    assert len([*tmp_path.glob("g/**/part-*")]) == 3
+    for most in (5, 1 << 14):
+        got = readers.graph_blocks(spark, f"{tmp_path}/g", most)
+        assert sorted((r.graph, r.label, r.node, r.tag, r.neighbours) for r in got.collect()) == [((5, 9, 30).index(g), g % 2, *rest) for g, *rest in rows]
+    (tmp_path / "one.txt").write_text("2\n1 0\n4 0\n2 1\n3 1 1 0.5\n3 1 0\n")
+    assert [tuple(r) for r in readers.graph_blocks(spark, f"{tmp_path}/one.txt").orderBy("graph", "node").collect()] == [(0, 0, 0, 4, [], []), (1, 1, 0, 3, [1], [0.5]), (1, 1, 1, 3, [0], [])]
