@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordering import global_number, global_sum
+from ..plans.ordering import cut_lineage, global_number, global_sum
 from .grouped import fold_groups
 
 FADE = 0.5
@@ -126,11 +126,17 @@ def sketch_counts(edges: DataFrame, factors: list[tuple[int, int]], columns: int
 
 
 def sketch_estimates(edges: DataFrame, factors: list[tuple[int, int]], columns: int) -> DataFrame:
-    """u, v, estimate, n: the least cell of each pair beside its exact count. The cells are a bounded table."""
-    pairs = edges.groupBy("u", "v").agg(F.count("*").alias("n"))
-    cells = F.broadcast(sketch_counts(edges, factors, columns))
-    keyed = pairs.select("u", "v", "n", F.inline(F.array(*(F.struct(F.lit(r).alias("row"), sketch_column(F.col("u"), F.col("v"), p, q, columns).alias("column")) for r, (p, q) in enumerate(factors)))))
-    return keyed.join(cells, ["row", "column"]).groupBy("u", "v", "n").agg(F.min("value").alias("estimate"))
+    """u, v, n, estimate: the exact count of each pair beside its least cell. The cells are a bounded table.
+
+    Each row of the sketch is looked up beside the pair, so pairs are grouped once.
+    """
+    found = edges.groupBy("u", "v").agg(F.count("*").alias("n"))
+    cells = cut_lineage(sketch_counts(edges, factors, columns))
+    for r, (p, q) in enumerate(factors):
+        own = cells.where(F.col("row") == r).select(F.col("column").alias(f"_c{r}"), F.col("value").alias(f"_v{r}"))
+        found = found.withColumn(f"_c{r}", sketch_column(F.col("u"), F.col("v"), p, q, columns)).join(F.broadcast(own), f"_c{r}")
+    values = [f"_v{r}" for r in range(len(factors))]
+    return found.select("u", "v", "n", (F.least(*values) if len(values) > 1 else F.col(*values)).alias("estimate"))
 
 
 #: Sketch columns of scores are taken modulo this prime first.

@@ -167,6 +167,20 @@ def test_sketch_is_never_below_the_count(spark):
     assert rows and all(r.estimate >= r.n for r in rows)
 
 
+def test_sketch_estimates_group_the_pairs_once(spark):
+    rows = [(k % 37, k % 91) for k in range(700)]
+    held = microcluster.sketch_estimates(spark.createDataFrame(rows, "u long, v long"), [(16807, 11), (48271, 7)], 19)
+    cells = [{}, {}]
+    place = lambda u, v, r: ((u + 104729 * v) * (16807, 48271)[r] + (11, 7)[r] + 2**31) % 2**32 - 2**31
+    column_of = lambda u, v, r: (abs(place(u, v, r)) % 19 * (1 if place(u, v, r) >= 0 else -1)) % 19
+    for u, v in rows:
+        for r in (0, 1):
+            cells[r][column_of(u, v, r)] = cells[r].get(column_of(u, v, r), 0) + 1
+    assert {(r.u, r.v, r.n, r.estimate) for r in held.collect()} == {(u, v, rows.count((u, v)), min(cells[r][column_of(u, v, r)] for r in (0, 1))) for u, v in rows}
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Generate" not in plan  # a pair's cells are not rows of their own
+
+
 def test_nearest_without_points_has_no_rows(spark):
     log = spark.createDataFrame(list(enumerate([5, 6, 2000, 3, 4])), "seq long, clock long")
     assert column(sequence.gap_rows(log, "before", 900), "seq") == [1]  # the clock set back is no gap
