@@ -151,9 +151,11 @@ def node_link_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 def adjacency_lists(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
     """u, v of lines "node neighbour neighbour ..."; comment lines are skipped."""
-    f = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where(~F.trim("value").startswith(comment) & (F.trim("value") != ""))
-    return rows.select(f[0].cast("long").alias("u"), F.explode(F.transform(F.slice(f, F.lit(2), F.size(f)), lambda x: x.cast("long"))).alias("v"))
+    real = ~F.trim("value").startswith(comment) & (F.trim("value") != "")
+    # a line is cut once, below the explode; named beside it, its first word would be cut out anew for every neighbour
+    cut = spark.read.text(path).select(F.when(real, F.split(F.trim("value"), r"\s+")).alias("f"))
+    lines = cut.select(F.col("f")[0].cast("long").alias("u"), F.transform(F.slice("f", F.lit(2), F.size("f")), lambda x: x.cast("long")).alias("n"))
+    return lines.select("u", F.explode("n").alias("v"))
 
 
 def edge_list(spark: SparkSession, path: str, comment: str = "%") -> DataFrame:

@@ -940,3 +940,11 @@ def test_graph_blocks_are_written_by_graph_and_read_in_parts(spark, tmp_path):
         assert sorted((r.graph, r.label, r.node, r.tag, r.neighbours) for r in got.collect()) == [((5, 9, 30).index(g), g % 2, *rest) for g, *rest in rows]
     (tmp_path / "one.txt").write_text("2\n1 0\n4 0\n2 1\n3 1 1 0.5\n3 1 0\n")
     assert [tuple(r) for r in readers.graph_blocks(spark, f"{tmp_path}/one.txt").orderBy("graph", "node").collect()] == [(0, 0, 0, 4, [], []), (1, 1, 0, 3, [1], [0.5]), (1, 1, 1, 3, [0], [])]
+
+
+def test_adjacency_lines_are_cut_once(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("# a comment\n1 2 3\n\n 7  1 5 9 \n8\n")
+    held = readers.adjacency_lists(spark, f"{tmp_path}/a.txt")
+    assert sorted(map(tuple, held.collect())) == [(1, 2), (1, 3), (7, 1), (7, 5), (7, 9)]
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in plan.split("Generate")[0]  # not once more for each neighbour
