@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,18 @@ def draw(seed: int | str, *keys: Column | str) -> Column:
     return draw_int(seed, *keys) / F.lit(float(1 << BITS))
 
 
+def bound(p: float) -> str:
+    """What the digest of a draw stands before, as text, exactly if the draw is less than p."""
+    least = math.ceil(p * (1 << BITS))
+    return "" if least <= 0 else "g" if least >= 1 << BITS else f"{least:0{BITS // 4}x}"
+
+
+def drawn_below(bounds: Column, seed: int | str, *keys: Column | str) -> Column:
+    """draw(seed, *keys) < p where bounds is bound(p): texts are compared, no number is read from a digest."""
+    parts = [F.lit(str(seed)), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys)]
+    return F.md5(F.concat_ws("-", *parts)) < bounds
+
+
 def draw_sql(seed: int | str, *keys: str) -> str:
     """The same in SQL."""
     return f"(CAST('0x' || substr(md5(concat_ws('-', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, {BITS // 4}) AS BIGINT) / {float(1 << BITS)})"

@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw, draw_int
+from ..functions.draws import bound, draw, draw_int, drawn_below
 from ..plans.ordering import RANGE, cut_lineage, global_number, in_order, numbered
 from .grouped import fold_groups
 from .sequence import strictly_increasing
@@ -124,10 +124,19 @@ def even_ticks(stream: DataFrame, number: int, first: int | None = None) -> Data
     return held.select("a", "z", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("k")).select(F.expr(f"a + k * (z - a) div {number}").alias("t"))
 
 
-def block_model(nodes: DataFrame, ticks: int, inside: float, across: float, seed: int = 1) -> DataFrame:
-    """src, dst, t of a synthetic stream over the given nodes (node, block): a pair's presence at a tick by its blocks' probability."""
-    blocks = nodes.select("node", "block")
-    pairs = clique(nodes).join(blocks.withColumnsRenamed({"node": "src", "block": "_a"}), "src").join(blocks.withColumnsRenamed({"node": "dst", "block": "_b"}), "dst")
-    p: Column = F.when(F.col("_a").eqNullSafe(F.col("_b")), inside).otherwise(across)
-    grown = pairs.select("src", "dst", p.alias("p"), F.explode(F.sequence(F.lit(1), F.lit(ticks))).alias("t"))
-    return grown.where(draw(seed, "src", "dst", "t") < F.col("p")).select("src", "dst", "t")
+def block_model(nodes: DataFrame, ticks: int, inside: float, across: float, seed: int = 1, tile: int = 256) -> DataFrame:
+    """src, dst, t of a synthetic stream over the given nodes (node, block): a pair's presence at a tick by its blocks' probability.
+
+    Nodes stand in tiles by name, and what is dealt out is pairs of tiles: a pair of nodes is formed, drawn for and mostly
+    dropped within its task.
+    """
+    placed = numbered(nodes.where("node is not null").select("node", "block"), [], ["node", "block"])
+    tiles = cut_lineage(placed.groupBy(F.expr(f"number div {tile}").alias("tile")).agg(F.collect_list(F.struct("node", "block")).alias("held")))
+    n = tiles.count()
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * (n + 1) // 16)
+    firsts = tiles.select("tile", F.col("held").alias("_a"), F.explode(F.sequence("tile", F.lit(n - 1).cast("long"))).alias("other")) if n else tiles.select("tile", F.col("held").alias("_a"), F.col("tile").alias("other"))
+    dealt = firsts.join(tiles.select(F.col("tile").alias("other"), F.col("held").alias("_b")), "other").repartition(parts, "tile", "other")
+    pairs = dealt.select("_b", F.explode("_a").alias("a")).select("a", F.explode("_b").alias("b")).where("a.node < b.node")
+    p = F.when(F.col("a.block").eqNullSafe(F.col("b.block")), bound(inside)).otherwise(bound(across))
+    grown = pairs.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), p.alias("p"), F.explode(F.sequence(F.lit(1), F.lit(ticks))).alias("t"))
+    return grown.where(drawn_below(F.col("p"), seed, "src", "dst", "t")).select("src", "dst", "t")

@@ -704,6 +704,22 @@ def test_node_sums_of_blocks_of_a_model_graph(spark):
     assert abs(share[True] / (20 * 200) - 0.5) < 0.05 and abs(share[False] / (25 * 200) - 0.1) < 0.03
 
 
+def test_block_model_draws_in_many_tasks(spark):
+    import hashlib
+
+    held = [(str(k), k % 3 or None) for k in range(600)] + [("7", 2), (None, 1)]
+    nodes = spark.createDataFrame(held, "node string, block int")
+    got = injection.block_model(nodes, 2, 0.3, 0.05)
+    drawn = lambda a, b, t: int(hashlib.md5(f"1-{a}-{b}-{t}".encode()).hexdigest()[:7], 16) / (1 << 28)
+    known = [x for x in held if x[0] is not None]
+    want = sorted((a, b, t) for a, p in known for b, q in known if a < b for t in (1, 2) if drawn(a, b, t) < (0.3 if p == q else 0.05))
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.src, r.dst, r.t) for r in rows) == want
+    assert len({r.task for r in rows}) > 1  # the draws were one task's
+    assert injection.block_model(nodes, 1, 1.0, 0.0).count() == sum(a < b and p == q for a, p in known for b, q in known)
+    assert injection.block_model(nodes.limit(0), 2, 0.3, 0.05).count() == 0
+
+
 def test_walk_vectors_and_spectral_clusters(spark):
     from edgestream.operators import learning
 
