@@ -84,6 +84,13 @@ def sketched(s, d):
     return s.read.schema("seq long, score double").parquet(f"{path}/out/*").select("seq", F.round("score", 5).alias("score"))
 
 
+def paired(s, d):
+    """The microcluster scores of the events as a stream, with exact counts."""
+    path = _folder(s)
+    engine.microcluster_stream(_streamed(s, ev(s, d).select("seq", "t", "src", "dst")), path).awaitTermination()
+    return s.read.schema("seq long, score double").parquet(f"{path}/out/*").select("seq", F.round("score", 6).alias("score"))
+
+
 def followed(s, d):
     """The state of the walks and reservoirs after the events as a stream of two runs."""
     path = _folder(s)
@@ -161,7 +168,7 @@ QUERIES = {
     "stream_edges": stream_edges,
     "stream_tumbling_counts": lambda s, d: _run(engine.tumbling_counts(_streamed(s, stamped(s, d).select("ts", "label")), "ts", "1 hour", "10 minutes"), s, "complete").select(F.unix_timestamp("start").alias("start"), "n", "attacks"),
     "stream_session_counts": lambda s, d: _run(engine.session_counts(_streamed(s, stamped(s, d).select("ts", "stream_id")), "ts", "10 minutes", "7200 seconds"), s, "complete").select("stream_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n"),
-    "stream_microcluster": lambda s, d: _run(engine.microcluster_scores(_streamed(s, ev(s, d).select("seq", "t", "src", "dst"))), s, "append").select("seq", F.round("score", 6).alias("score")),
+    "stream_microcluster": paired,
     "stream_sketch_scores": sketched,
     "stream_reservoirs": lambda s, d: followed(s, d)["slots"],
     "stream_walks": lambda s, d: followed(s, d)["walks"],

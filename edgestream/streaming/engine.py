@@ -6,10 +6,15 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.microcluster import chi_score
+from ..plans.ordering import cut_lineage
+from .versions import Versions
+
 EDGE = "seq long, t long, src string, dst string, label int"
 
 
@@ -81,6 +86,42 @@ def microcluster_scores(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").applyInPandasWithState(run, "seq long, score double", "now long, a double, s double", "append", GroupStateTimeout.NoTimeout)
 
 
+PAIRS = "src string, dst string, now long, a double, s double"
+
+
+def score_pairs(edges: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seq, score) of a batch (seq, t, src, dst) and the state after it (PAIRS), as microcluster_scores() has them.
+
+    A pair's state stands before its rows of the batch, in one window for all pairs: no function is called for a pair.
+    """
+    one = F.lit(1.0)
+    own = edges.select("src", "dst", F.lit(1).alias("side"), "seq", "t", F.greatest("t", F.lit(1).cast("long")).alias("now"), one.alias("a"), one.alias("s"))
+    before = state.select("src", "dst", F.lit(0).alias("side"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("t"), "now", "a", "s")
+    so_far = lambda *keys: Window.partitionBy(*keys).orderBy("side", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    timed = own.unionAll(before).withColumns({"now": F.max("now").over(so_far("src", "dst")), "s": F.sum("s").over(so_far("src", "dst"))})
+    held = cut_lineage(timed.withColumn("a", F.sum("a").over(so_far("src", "dst", "now"))))
+    scores = held.where("side = 1").select("seq", chi_score(F.col("a"), F.col("s"), F.col("t")).alias("score"))
+    after = held.groupBy("src", "dst").agg(F.max_by(F.struct("now", "a", "s"), F.struct("side", "seq")).alias("last"))
+    return scores, after.select("src", "dst", "last.*")
+
+
+def microcluster_stream(stream: DataFrame, folder: str, **options: bool | str) -> StreamingQuery:
+    """Score a stream of edges (seq, t, src, dst) batch by batch into folder/out, as microcluster_scores() does.
+
+    The state is a table with a row for each pair in folder (shared), a version for each micro-batch; microcluster_scores()
+    calls a function for each pair of a micro-batch, which suits batches of few pairs.
+    """
+    held = Versions(stream.sparkSession, f"{folder}/state", {"pairs": PAIRS})
+
+    def apply(batch: DataFrame, number: int) -> None:
+        edges = batch.select("seq", F.col("t").cast("long").alias("t"), "src", "dst")
+        scores, after = score_pairs(edges, held.before(number)["pairs"])
+        scores.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        held.put(number, pairs=after)
+
+    return stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(**(options or {"availableNow": True})).foreachBatch(apply).start()
+
+
 def in_batches(stream: DataFrame, apply: Any, checkpoint: str) -> Any:
     """A query that hands each micro-batch (frame, id) to apply, exactly once per id if apply is idempotent by id."""
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply).start()

@@ -234,6 +234,26 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
 
 
+def test_microcluster_stream_calls_no_function_for_a_pair(spark, tmp_path):
+    from edgestream.plans import catalog_streams
+    from edgestream.streaming import engine
+
+    rows = [(i, t, f"u{i % 3}", None if i % 5 == 0 else f"v{i % 2}") for i, t in enumerate([1, 1, 2, 2, 2, 4, 3, 5, 5, 4, 4, 6, 6, 6, 1, 7, 7, 7, 7, 9])]
+    e = spark.createDataFrame(rows, "seq long, t long, src string, dst string")
+    source, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    for a, b in ((0, 6), (6, 6), (6, 13), (13, 20)):  # cuts within a tick, an empty file, late ticks
+        e.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.mode("append").parquet(source)
+        engine.microcluster_stream(spark.readStream.schema(e.schema).parquet(source), folder).awaitTermination()
+    state, want = {}, {}
+    for seq, t, *pair in rows:
+        now, a, s = state.get(tuple(pair), (1, 0, 0))
+        now, a, s = (t, 1, s + 1) if t > now else (now, a + 1, s + 1)
+        state[tuple(pair)] = now, a, s
+        want[seq] = 0.0 if t <= 1 else ((a - s / t) * t) ** 2 / (s * (t - 1))
+    assert close({r.seq: r.score for r in spark.read.parquet(folder + "/out/*").collect()}, want)
+    assert "microcluster_stream" in catalog_streams.QUERIES["stream_microcluster"].__code__.co_names
+
+
 @pytest.mark.parametrize("fade", [None, 0.5])
 def test_sketch_stream_equals_the_batch_form_with_a_state_of_fixed_size(spark, tmp_path, fade):
     rows = [(i, 1 + i // 9 * 2, i * i % 13, (i * 5 + i // 3) % 11) for i in range(300)]
