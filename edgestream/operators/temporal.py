@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_basis, dot
 from ..plans.ordering import cut_lineage
-from .learning import dense
 
 
 class Layer(NamedTuple):
@@ -59,21 +59,24 @@ def attended(histories: DataFrame, features: DataFrame, layer: Layer, heads: int
     Each head weighs the links by the softmax of its part of query and key; a place without a link has no weight, and
     a node without links gives zeros.
     """
-    size = layer.query.shape[0]
-    part = size // heads
-    code = lambda dt: cosine_basis(dt.cast("double"), F.array(*map(F.lit, layer.frequencies.tolist())), F.array(*map(F.lit, layer.phases.tolist())))
-    asked = (layer.query @ np.cos(layer.phases)).tolist()  # the query is the time code of now
+    size, width = layer.key.shape
+    part, first = size // heads, width - len(layer.frequencies)
+    asked = layer.query @ np.cos(layer.phases)  # the query is the time code of now
+    weighs = [(asked[h * part : (h + 1) * part] @ layer.key[h * part : (h + 1) * part] / np.sqrt(part)).tolist() for h in range(heads)]
     links = histories.select("node", "clock", F.explode("links").alias("l")).select("node", "clock", "l.*")
-    met = links.join(features, ["other", "at"] if "at" in features.columns else "other")
-    seen = met.withColumn("_in", F.concat("x", code(F.col("clock") - F.col("at")))).withColumns({"_key": dense(F.col("_in"), layer.key.tolist()), "_value": dense(F.col("_in"), layer.value.tolist())})
-    weigh = lambda h: dot(F.slice("_key", h * part + 1, part), F.array(*(F.lit(float(q)) for q in asked[h * part : (h + 1) * part]))) / float(np.sqrt(part))
-    scored = seen.select("node", "clock", "_value", *(weigh(h).alias(f"_s{h}") for h in range(heads)))
-    top = scored.groupBy("node", "clock").agg(*(F.max(f"_s{h}").alias(f"_m{h}") for h in range(heads)))
-    weighed = scored.join(top, ["node", "clock"]).withColumns({f"_w{h}": F.exp(F.col(f"_s{h}") - F.col(f"_m{h}")) for h in range(heads)})
-    mixed = weighed.groupBy("node", "clock").agg(*((F.sum(F.col(f"_w{k // part}") * F.col("_value")[k]) / F.sum(f"_w{k // part}")).alias(f"_v{k}") for k in range(size)))
-    found = mixed.select("node", "clock", dense(F.array(*(f"_v{k}" for k in range(size))), layer.out.tolist()).alias("x"))
+    met = links.join(features, ["other", "at"] if "at" in features.columns else "other", "left")
+    dt = (F.col("clock") - F.col("at")).cast("double")
+    code = [F.cos(dt * F.lit(float(w)) + F.lit(float(p))) for w, p in zip(layer.frequencies, layer.phases, strict=True)]
+    seen = met.select("node", "clock", *(F.col("x")[k].alias(f"_i{k}") for k in range(first)), *(F.when(F.col("x").isNotNull(), c).alias(f"_i{first + k}") for k, c in enumerate(code)))
+    weighed = lambda name, row: reduce(add, (F.col(f"{name}{k}") * F.lit(float(w)) for k, w in enumerate(row)))
+    scored = seen.select("node", "clock", *(weighed("_i", row).alias(f"_s{h}") for h, row in enumerate(weighs)), *(weighed("_i", row).alias(f"_v{k}") for k, row in enumerate(layer.value)))
+    # a moment's links are exchanged once: their greatest scores and sums are taken where they meet
+    moment = Window.partitionBy("node", "clock")
+    shares = scored.select("node", "clock", *(F.exp(F.col(f"_s{h}") - F.max(f"_s{h}").over(moment)).alias(f"_w{h}") for h in range(heads)), *(f"_v{k}" for k in range(size)))
+    mixed = shares.groupBy("node", "clock").agg(*((F.sum(F.col(f"_w{k // part}") * F.col(f"_v{k}")) / F.sum(f"_w{k // part}")).alias(f"_m{k}") for k in range(size)))
     none: Column = F.array_repeat(F.lit(0.0), size)
-    return histories.select("node", "clock").join(found, ["node", "clock"], "left").withColumn("x", F.coalesce("x", none))
+    found = mixed.select("node", "clock", F.when(F.col("_m0").isNull(), none).otherwise(F.array(*(weighed("_m", row) for row in layer.out))).alias("x"))
+    return found.unionAll(histories.where(F.size("links") == 0).select("node", "clock", none.alias("x")))
 
 
 def temporal_attention(edges: DataFrame, vectors: DataFrame, layers: Sequence[Layer], n: int = 5, heads: int = 2, clock: str = "clock") -> DataFrame:

@@ -842,6 +842,18 @@ def test_temporal_attention_equals_a_plain_forward_pass(spark):
     assert close(got, want) and all(got["late", 40, k] == 0.0 for k in range(4))
 
 
+def test_attention_exchanges_a_moments_links_once(spark):
+    e = stream(spark, [(k, f"a{k % 3}", f"b{k % 2}", 0) for k in range(1, 20)])
+    histories = temporal.link_histories(e, 3)
+    known = spark.createDataFrame([(f"a{k}", [float(k), 1.0]) for k in range(3)], "other string, x array<double>")  # none of b
+    found = temporal.attended(histories, known, temporal.first_layer(2, [1.0, 0.1], 4, 1))
+    rows = {(r.node, r.clock): r.x for r in found.collect()}
+    assert rows.keys() == {(r.node, r.clock) for r in histories.collect()} and all(len(x) == 4 for x in rows.values())
+    assert rows["a1", 1] == rows["a1", 19] == [0.0] * 4 and any(rows["b1", 19])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # there were three, and the links were worked on twice
+
+
 def test_clique_vectors_learn_and_bring_cliques_together(spark):
     draw = np.random.default_rng(15)
     terms, walk = clique_model.Terms(), np.array([3, 3, 3, 4, 7, 7])
