@@ -78,12 +78,21 @@ def in_batches(edges: DataFrame, every: int) -> DataFrame:
 
 
 def messages(links: DataFrame, state: DataFrame, width: int) -> DataFrame:
-    """node, x, m: each node's message of a batch's links (node, other), and its memory (state: node, m)."""
+    """node, x, m: each node's message of a batch's links (node, other), and its memory (state: node, m).
+
+    Every batch joins the state anew: it is merged (so are _kept()'s tables), as what is broadcast goes through the driver.
+    """
+    state = state.hint("merge")
     met = links.join(state.select(F.col("node").alias("other"), F.col("m").alias("_o")), "other")
     mean = met.groupBy("node").agg(*(F.avg(F.col("_o")[k]).alias(f"_{k}") for k in range(width)), F.log1p(F.count("*").cast("double")).alias("_n"))
     return mean.select("node", F.array(*(f"_{k}" for k in range(width)), "_n").alias("x")).join(state, "node")
 
 
+def _kept(state: DataFrame, moved: DataFrame) -> DataFrame:
+    """The state after a batch: moved (node, m), and the rest as it was."""
+    return state.join(moved.hint("merge"), "node", "left_anti").unionByName(moved.select("node", "m"))
+
+
 def _step(w: Weights, others: list[float], scale: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, loss, n = np.zeros(w.flat().size), 0.0, 0
@@ -122,7 +131,7 @@ def train(edges: DataFrame, every: int, width: int = 8, epochs: int = 2, rate: f
             size = 0.9 * size + 0.1 * g * g
             w = w.like(w.flat() - rate * g / (np.sqrt(size) + 1e-8))
             moved = done.where("node is not null").select("node", F.col("v").alias("m"))
-            state = cut_lineage(state.join(moved, "node", "left_anti").unionByName(moved))
+            state = cut_lineage(_kept(state, moved))
         told.append(losses / max(nodes, 1))
     return w, told
 
@@ -144,5 +153,5 @@ def drift_scores(edges: DataFrame, w: Weights, every: int, seed: int = 1) -> Dat
         done = cut_lineage(rows.select("node", F.col("m").alias("_before"), updated(F.col("x"), F.col("m"), w).alias("m"), dense(F.col("x"), w.back.tolist()).alias("_rebuilt")))
         scored = done.select(F.lit(k).cast("long").alias("batch"), "node", drift_score(F.col("m"), F.col("_before"), F.col("_rebuilt")).alias("score"))
         out = scored if out is None else out.unionAll(scored)
-        state = cut_lineage(state.join(done, "node", "left_anti").unionByName(done.select("node", "m")))
+        state = cut_lineage(_kept(state, done))
     return out if out is not None else edges.sparkSession.createDataFrame([], "batch long, node string, score double")

@@ -806,6 +806,14 @@ def test_memory_model_learns_in_time_order_and_scores_frozen(spark):
     assert memory_model.drift_scores(e.limit(0), w, 3).count() == 0
 
 
+def test_memories_are_not_broadcast(spark):
+    links = ordering.cut_lineage(spark.createDataFrame([(f"n{k % 5}", f"n{k % 3}") for k in range(20)], "node string, other string"))
+    state = ordering.cut_lineage(spark.createDataFrame([(f"n{k}", [1.0 * k, 2.0]) for k in range(6)], "node string, m array<double>"))
+    for frame, n in ((memory_model.messages(links, state, 2), 5), (memory_model._kept(state, state.where("node < 'n2'")), 6)):
+        assert len(frame.collect()) == n
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_temporal_attention_equals_a_plain_forward_pass(spark):
     draw = np.random.default_rng(14)
     rows = [(1 + i // 3, f"n{draw.integers(5)}", f"m{draw.integers(4)}", 0) for i in range(60)] + [(40, "late", "n0", 0)]
