@@ -859,7 +859,7 @@ def test_attention_exchanges_a_moments_links_once(spark):
     assert rows.keys() == {(r.node, r.clock) for r in histories.collect()} and all(len(x) == 4 for x in rows.values())
     assert rows["a1", 1] == rows["a1", 19] == [0.0] * 4 and any(rows["b1", 19])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join") == 1  # there were three, and the links were worked on twice
+    assert plan.count("Join") == 1  # there were four, and the links were worked on twice
 
 
 def test_clique_vectors_learn_and_bring_cliques_together(spark):
