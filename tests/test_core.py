@@ -575,6 +575,20 @@ def test_graph_link_scores_match_one_plain_tree_over_all_edges(spark, bits):
     assert linkstream.graph_scores(stream(spark, one).limit(0), 4, 3).count() == 0
 
 
+def test_graph_link_scores_send_a_few_nodes_of_each_run_of_leaves(spark):
+    draw = np.random.default_rng(5)
+    there = (draw.random((3, 5000)) < 0.4).astype(float)
+    parts, pieces = linkstream._fit_pieces(77, there, there.sum(axis=0) ** 2)
+    assert len(pieces) <= 2 * 13 and sum(1 << p[0] for p in pieces) == 5000  # each leaf was a row before, for every window
+    one, more = linkstream._fit_pieces(77, there[:, :1], there.sum(axis=0)[:1] ** 2)
+    assert not one.any() and more == [(0, 77, there[:, 0].tolist(), there[:, 0].sum() ** 2)] and parts.all()
+    score, pieces = linkstream._score_pieces(3, 1 << 20, np.array([3, 4, 70000]), np.array([1.0, -1.0, 0.5]), np.zeros(3))
+    assert len(pieces) <= 3 and math.isclose(score + sum(g * g / 2.0**j / 0.01 for j, _, g, _ in pieces), 225.0)  # no coefficient is lost
+    rows = [(t, "a", o, 0) for t in range(1, 9) for o in "wxyz"]  # one run is the whole tree
+    got = {r.t: r.score for r in linkstream.graph_scores(stream(spark, rows), 4, 3).collect()}
+    assert close(got, {t: plain_link_score([[float(k > 0)] * 4 for k in range(t - 4, t)], [1.0] * 4, False) for t in range(3, 9)})
+
+
 def plain_factor_scores(rows, most, alpha, setup, every, by_tick, floor=0.001, width=8):
     """Without fitting steps: vectors are the draws of the nodes that are held when they are first needed."""
     q = factorise.mixing_matrix(width)
