@@ -86,10 +86,7 @@ def ranked(weighted):
 
 def derivative(s, d):
     e = ev(s, d).withColumn("t", F.expr("(t - 1) div 24"))
-    r1 = G.snapshot_pageranks(e).withColumnRenamed("rank", "r1")
-    r2 = G.snapshot_pageranks(e, True).withColumnRenamed("rank", "r2")
-    full = r1.join(r2, ["t", "node"], "left").na.fill(0.0, ["r2"])  # r1 has every tick and node
-    return G.derivative_scores(full).select("t", F.round("score", 4).alias("score"))
+    return G.derivative_scores(G.both_snapshot_pageranks(e)).select("t", F.round("score", 4).alias("score"))
 
 
 QUERIES = {

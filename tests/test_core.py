@@ -461,6 +461,27 @@ def test_pagerank_queries_reach_the_limit_on_the_whole_graph(spark, monkeypatch)
     assert {r.start for r in catalog_graphs.QUERIES["random_walks"](spark, "").collect()} == {u for u, _ in named}
 
 
+def test_rounds_of_pagerank_exchange_the_mass_alone(spark):
+    pairs = [(f"s{k}", f"p{k * k % 11}") for k in range(40)]
+    rows = graphs.both_ways(spark.createDataFrame(pairs, "u string, v string")).select(F.lit(0).alias("tick"), F.col("u").alias("node"), F.col("v").alias("other"), F.lit(0.25).alias("share"))
+    shares = graphs.laid_out(graphs.dealt_by(rows, "tick", "node").sortWithinPartitions("tick", "node"))
+    mass = rows.select("tick", "node").distinct().withColumn("mass", F.lit(0.5))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        found = graphs._spread(mass, shares, ["tick"], 3)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plan.count("Exchange hashpartitioning") == 5  # what is handed on, and the mass but for the start; the shares were exchanged as well
+    mine = [(t, "a", "b", 0) for t in (1, 2)] + [(2, "b", "c", 0)]
+    both = {(r.t, r.node): (r.r1, r.r2) for r in graphs.both_snapshot_pageranks(stream(spark, mine)).collect()}
+    for k, weighted in enumerate((False, True)):
+        alone = {(r.t, r.node): r["rank"] for r in graphs.snapshot_pageranks(stream(spark, mine), weighted).collect()}
+        assert all(math.isclose(both[key][k], alone.get(key, 0.0), abs_tol=1e-12) for key in both) and alone.keys() <= both.keys() and len(both) == 6
+
+
 def test_derivative_query_uses_the_operators_rounds(spark, monkeypatch):
     rows = [(1 + 24 * (i // 4), f"n{i * i % 7}", f"n{(i * 3 + 1) % 5}", 0) for i in range(24)]
     e = stream(spark, rows)
