@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +14,10 @@ from ..functions.vectors import l2_distance
 from .embedding import drift_score
 
 DECAY = 0.5
-#: Updates of a chunk of a node's history. The decay is at most one half, so what lies before the last chunk weighs
-#: below 2^-64, and at least .35, so that weights within a chunk stay far from a double's limits.
-CHUNK = 64
+#: Updates of a chunk of a node's history, and updates before it that its fold begins with. The decay is at most one
+#: half, so what lies before these weighs below 2^-1280: less than the smallest double holds of any value up to 2^200.
+CHUNK = 1 << 14
+BEFORE = 1280
 #: Values of a feature vector.
 WIDTH = 3
 
@@ -26,18 +31,36 @@ def _ends(featured: DataFrame) -> DataFrame:
 def _remembered(updates: DataFrame, width: int) -> DataFrame:
     """updates (node, a, f, ...) with memory: the first f as it is, then d m + (1 - d) f, d = .5 (1 - .3 a / (a + 10)).
 
-    Within a chunk the memory is a running sum of weighted values times the decay so far; of the chunk before, its
-    last memory is carried over. No row gathers a history.
+    A history is cut into chunks, each followed in order by one task from BEFORE updates before its own. Small values are
+    kept too: a feature that stays 0 leaves the memory at what has decayed, however little that is.
     """
-    w = Window.partitionBy("node", "_c").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
-    d = DECAY * (1 - 0.3 * (F.col("a") / (F.col("a") + 10)))
-    held = updates.withColumn("_c", F.floor(F.col("a") / CHUNK)).withColumn("_d", F.product(d).over(w))
-    weight = F.when(F.col("a") == 0, F.lit(1.0)).otherwise(1 - d) / F.col("_d")
-    held = held.withColumns({f"_m{k}": F.col("_d") * F.sum(F.col("f")[k] * weight).over(w) for k in range(width)})
-    last = held.where(F.col("a") % CHUNK == CHUNK - 1).select("node", (F.col("_c") + 1).alias("_c"), *(F.col(f"_m{k}").alias(f"_b{k}") for k in range(width)))
-    carried = held.join(last, ["node", "_c"], "left")
-    memory = F.array(*(F.col(f"_m{k}") + F.col("_d") * F.coalesce(f"_b{k}", F.lit(0.0)) for k in range(width)))
-    return carried.select(*updates.columns, memory.alias("memory"))
+    own = F.expr(f"a div {CHUNK}")
+    chunks = F.when(F.col("a") % CHUNK >= CHUNK - BEFORE, F.array(own, own + 1)).otherwise(F.array(own))
+    values = {f"_x{k}": F.coalesce(F.col("f")[k], F.lit(0.0)) for k in range(width)}
+    begins = F.col("a") == F.greatest(F.col("_c") * CHUNK - BEFORE, F.lit(0))
+    laid = updates.withColumns(values).withColumn("_c", F.explode(chunks)).withColumns({"_begins": begins, "_kept": own == F.col("_c")})
+    names = updates.columns
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [0.0] * width
+        for batch in batches:
+            a, begins = batch.column("a").to_numpy(zero_copy_only=False), batch.column("_begins").to_numpy(zero_copy_only=False)
+            d = DECAY * (1 - 0.3 * (a / (a + 10)))
+            out = np.empty((len(a), width))
+            for k in range(width):
+                x = batch.column(f"_x{k}").to_numpy(zero_copy_only=False)
+                m, new = held[k], []
+                for fade, y, first in zip(d.tolist(), np.where(begins, x, (1 - d) * x).tolist(), begins.tolist(), strict=True):
+                    m = y if first else fade * m + y
+                    new.append(m)
+                held[k], out[:, k] = m, new
+            kept = batch.column("_kept").to_numpy(zero_copy_only=False)
+            memory = pa.array(list(out[kept]), pa.list_(pa.float64()))
+            rows = batch.filter(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), memory], names=[*names, "memory"])
+
+    schema = updates.select("*", F.array(F.lit(0.0)).alias("memory")).schema
+    return laid.repartition("node", "_c").sortWithinPartitions("node", "_c", "a").mapInArrow(follow, schema)
 
 
 def memories(featured: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -134,6 +134,20 @@ def test_memories_keep_a_double_s_precision(spark):
         assert all(math.isclose(p, q, rel_tol=1e-15) for p, q in zip(r.memory, m, strict=True))
 
 
+def test_memories_keep_what_is_left_of_old_values(spark, monkeypatch):
+    monkeypatch.setattr(memory, "CHUNK", 2048)
+    f = [[0.1 if a % 700 == 0 else 0.0, 1.0, float(a % 997 == 3)] for a in range(5000)]
+    got = memory._remembered(spark.createDataFrame([("n", a, x) for a, x in enumerate(f)], "node string, a long, f array<double>"), 3)
+    m = f[0]
+    rows = got.orderBy("a").collect()
+    assert len(rows) == len(f)
+    for a, r in enumerate(rows):
+        if a:
+            d = 0.5 * (1 - 0.3 * (a / (a + 10)))
+            m = [d * p + (1 - d) * q for p, q in zip(m, f[a], strict=True)]
+        assert r.memory == m
+
+
 def test_decimal_weights_are_added_exactly(spark):
     weights = spark.range(1000).select(F.col("id").alias("node"), F.lit("0.1").cast("decimal(18, 6)").alias("weight"))
     draws = spark.range(1000).select("id", (F.col("id") / 1000).alias("x"))  # each at an end of a share
