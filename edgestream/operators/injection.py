@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from itertools import chain, groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import bound, draw, draw_int, drawn_below
+from ..functions.draws import draw, draw_int, draws_of, least
 from ..plans.ordering import RANGE, cut_lineage, global_number, in_order, numbered
 from .grouped import fold_groups
 from .sequence import strictly_increasing
@@ -124,19 +128,58 @@ def even_ticks(stream: DataFrame, number: int, first: int | None = None) -> Data
     return held.select("a", "z", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("k")).select(F.expr(f"a + k * (z - a) div {number}").alias("t"))
 
 
+def _drawn_pairs(firsts: pa.Array, lasts: pa.Array, ticks: int, limits: tuple[int, int], seed: int, rows: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in firsts, places in lasts and ticks of the pairs drawn, of nodes (node, name, block), a step of draws at a time."""
+    a, b = ([x.field(k).to_pylist() for k in ("node", "name", "block")] for x in (firsts, lasts))
+    order = {x: k for k, x in enumerate(sorted({*a[0], *b[0]}))}
+    low, high = (np.array([order[x] for x in side[0]]) for side in (a, b))
+    kinds = {x: k for k, x in enumerate({*a[2], *b[2]})}
+    mine, yours = (np.array([kinds[x] for x in side[2]]) for side in (a, b))
+    heads = [f"{seed}-{x}-".encode() for x in a[1]]
+    tails = [(k, t, f"{x}-{t}".encode()) for k, x in enumerate(b[1]) for t in range(1, ticks + 1)]
+    by_length = lambda held: [list(g) for _, g in groupby(sorted(range(len(held)), key=lambda k: len(held[k])), key=lambda k: len(held[k]))]
+    for same_tails in by_length([x for _, _, x in tails]):
+        for tail in (same_tails[k : k + rows] for k in range(0, len(same_tails), rows)):
+            place, tick = np.array([tails[k][0] for k in tail]), np.array([tails[k][1] for k in tail], np.int32)
+            for head in by_length(heads):
+                step = max(1, rows // len(tail))
+                for some in (np.array(head[k : k + step]) for k in range(0, len(head), step)):
+                    some = some[low[some] < high[place].max()]
+                    if not len(some):
+                        continue
+                    drawn = draws_of([heads[k] for k in some], [tails[k][2] for k in tail])
+                    limit = np.where(mine[some, None] == yours[None, place], np.uint32(limits[0]), np.uint32(limits[1]))
+                    i, j = np.nonzero((drawn < limit) & (low[some, None] < high[None, place]))
+                    yield some[i], place[j], tick[j]
+
+
 def block_model(nodes: DataFrame, ticks: int, inside: float, across: float, seed: int = 1, tile: int = 256) -> DataFrame:
     """src, dst, t of a synthetic stream over the given nodes (node, block): a pair's presence at a tick by its blocks' probability.
 
-    Nodes stand in tiles by name, and what is dealt out is pairs of tiles: a pair of nodes is formed, drawn for and mostly
-    dropped within its task.
+    Nodes stand in tiles by name, and what is dealt out is pairs of tiles: the digests of all their pairs and ticks are drawn as
+    arrays, a step at a time, and only the pairs drawn become rows.
     """
     placed = numbered(nodes.where("node is not null").select("node", "block"), [], ["node", "block"])
-    tiles = cut_lineage(placed.groupBy(F.expr(f"number div {tile}").alias("tile")).agg(F.collect_list(F.struct("node", "block")).alias("held")))
+    held = F.struct("node", F.col("node").cast("string").alias("name"), "block")
+    tiles = cut_lineage(placed.groupBy(F.expr(f"number div {tile}").alias("tile")).agg(F.collect_list(held).alias("held")))
     n = tiles.count()
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * (n + 1) // 16)
     firsts = tiles.select("tile", F.col("held").alias("_a"), F.explode(F.sequence("tile", F.lit(n - 1).cast("long"))).alias("other")) if n else tiles.select("tile", F.col("held").alias("_a"), F.col("tile").alias("other"))
     dealt = firsts.join(tiles.select(F.col("tile").alias("other"), F.col("held").alias("_b")), "other").repartition(parts, "tile", "other")
-    pairs = dealt.select("_b", F.explode("_a").alias("a")).select("a", F.explode("_b").alias("b")).where("a.node < b.node")
-    p = F.when(F.col("a.block").eqNullSafe(F.col("b.block")), bound(inside)).otherwise(bound(across))
-    grown = pairs.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), p.alias("p"), F.explode(F.sequence(F.lit(1), F.lit(ticks))).alias("t"))
-    return grown.where(drawn_below(F.col("p"), seed, "src", "dst", "t")).select("src", "dst", "t")
+    limits = least(inside), least(across)
+
+    def draw_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                first, last = batch.column("_a")[k].values, batch.column("_b")[k].values
+                names, held, size = (first.field("node"), last.field("node")), [], 0
+                for found in chain(_drawn_pairs(first, last, ticks, limits, seed), [None]):
+                    if found:
+                        held, size = [*held, found], size + len(found[0])
+                    if size >= 1 << 16 or size and not found:
+                        i, j, t = (pa.array(np.concatenate(x)) for x in zip(*held, strict=True))
+                        yield pa.RecordBatch.from_arrays([names[0].take(i), names[1].take(j), t], names=["src", "dst", "t"])
+                        held, size = [], 0
+
+    schema = dealt.select(F.col("_a")[0]["node"].alias("src"), F.col("_b")[0]["node"].alias("dst"), F.lit(1).alias("t")).schema
+    return dealt.select("_a", "_b").mapInArrow(draw_all, schema)

@@ -789,6 +789,24 @@ def test_block_model_draws_in_many_tasks(spark):
     assert injection.block_model(nodes.limit(0), 2, 0.3, 0.05).count() == 0
 
 
+def test_draws_as_arrays_are_the_digest_s(spark):
+    import hashlib
+
+    from edgestream.functions import draws
+
+    random = np.random.default_rng(2)
+    for p, q in ((0, 1), (3, 5), (10, 45), (10, 46), (55, 1), (64, 64), (1, 120)):  # up to and beyond a block
+        firsts, lasts = ([random.bytes(size) for _ in range(n)] for size, n in ((p, 3), (q, 4)))
+        want = [[int(hashlib.md5(a + b).hexdigest()[:7], 16) for b in lasts] for a in firsts]
+        assert draws.draws_of(firsts, lasts).tolist() == want
+    assert [draws.least(x) for x in (-1.0, 0.0, 0.5, 1.0, 2.0)] == [0, 0, 1 << 27, 1 << 28, 1 << 28]
+    nodes = spark.createDataFrame([("é" * k, k % 2) for k in range(1, 40)], "node string, block int")  # lengths differ
+    known = [(r.node, r.block) for r in nodes.collect()]
+    drawn = lambda a, b, t: int(hashlib.md5(f"1-{a}-{b}-{t}".encode()).hexdigest()[:7], 16) / (1 << 28)
+    want = sorted((a, b, t) for a, x in known for b, y in known if a < b for t in range(1, 12) if drawn(a, b, t) < (0.3 if x == y else 0.05))
+    assert sorted((r.src, r.dst, r.t) for r in injection.block_model(nodes, 11, 0.3, 0.05).collect()) == want
+
+
 def test_walk_vectors_and_spectral_clusters(spark):
     from edgestream.operators import learning
 
