@@ -819,6 +819,22 @@ def test_walk_vectors_and_spectral_clusters(spark):
     assert {r.node for r in vectors.collect()} == {str(k) for k in range(10)} and all(len(r.x) == 8 for r in vectors.collect())
 
 
+def test_spectral_clusters_are_found_by_joins(spark, monkeypatch):
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    from edgestream.operators import learning
+
+    def whole(*_args, **_named):
+        raise AssertionError("the library holds the graph in memory")
+
+    monkeypatch.setattr(PowerIterationClustering, "assignClusters", whole)
+    inside = [(20 * b + i, 20 * b + j, 1.0) for b in range(3) for i in range(20) for j in range(i)]
+    e = spark.createDataFrame([*inside, (7, 7, 5.0), (90, 90, 1.0)], "u long, v long, w double")  # loops count for nothing
+    found = {r.node: r.cluster for r in learning.spectral_clusters(e, 3).collect()}
+    assert len(found) == 60 and all(len({found[20 * b + i] for i in range(20)}) == 1 for b in range(3)) and len(set(found.values())) == 3
+    assert learning.spectral_clusters(e.limit(0), 3).count() == 0
+
+
 def test_graph_predictions_use_the_neighbours(spark):
     from edgestream.operators import learning
 
