@@ -835,6 +835,25 @@ def test_spectral_clusters_are_found_by_joins(spark, monkeypatch):
     assert learning.spectral_clusters(e.limit(0), 3).count() == 0
 
 
+def test_walk_vectors_stay_out_of_the_driver(spark, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+
+    from edgestream.operators import learning
+
+    def whole(*_args, **_named):
+        raise AssertionError("the library holds all names and vectors in the driver")
+
+    monkeypatch.setattr(Word2Vec, "fit", whole)
+    paths = [[10 * b + (i + k * s) % 10 for k in range(5)] for b in range(2) for i in range(10) for s in (1, 3, 7)]
+    walked = spark.createDataFrame([(p[0], k, p) for k, p in enumerate([*paths, [99]])], "start long, walk int, path array<long>")
+    x = {r.node: np.array(r.x) for r in learning.walk_vectors(walked, 4).collect()}
+    assert x.keys() == {*map(str, range(20)), "99"} and not x["99"].any()  # alone
+    near = lambda a, b: x[str(a)] @ x[str(b)] / np.linalg.norm(x[str(a)]) / np.linalg.norm(x[str(b)])
+    assert min(near(a, b) for a in range(10) for b in range(10)) > max(near(a, b) for a in range(10) for b in range(10, 20))
+    assert {r.node for r in learning.walk_vectors(walked, 4, least=2).collect()} == {*map(str, range(20))}
+    assert learning.walk_vectors(walked.limit(0), 4).count() == 0
+
+
 def test_graph_predictions_use_the_neighbours(spark):
     from edgestream.operators import learning
 
