@@ -593,6 +593,28 @@ def test_node_link_scores_match_a_plain_fit_on_every_tick(spark, span):
     assert close(got, {t: plain_link_score([there(k) for k in range(t - 8, t)], there(t), True) for t in range(5, 28)})  # quiet ticks too, to the stream's last
 
 
+def test_node_links_of_one_pattern_are_fitted_once(spark):
+    draw = np.random.default_rng(3)
+    seen = {}
+    linkstream._quiet.cache_clear(), linkstream._known_window.cache_clear()
+    for edges in range(1, 40):
+        for _ in range(8):
+            history = [sorted(draw.choice(edges, min(edges, n), replace=False).tolist()) if (n := draw.poisson(0.3)) else [] for _ in range(9)]
+            oldest = max((k for k, now in enumerate(history) if now), default=0)
+            names = {}
+            events = tuple((m, names.setdefault(e, len(names))) for m in range(1, oldest + 1) for e in history[m - 1])
+            whole = sorted(linkstream.spectrum(history, [], edges))
+            height = (edges - 1).bit_length()
+            assert seen.setdefault((height, oldest, events), whole) == whole  # whatever the edges are called
+            assert sorted(linkstream._quiet(height, oldest, events)) == whole
+    again = linkstream._quiet.cache_info()
+    assert again.hits > 0 and again.hits + again.misses == 39 * 8
+    rows = [(t, f"n{k}", f"m{(k + t) % 3}", 0) for k in range(30) for t in (1, 5, 6, 40)]
+    e = stream(spark, rows)
+    scored = linkstream.node_scores(e, e.select(F.col("src").alias("node")).distinct(), 8, 1)
+    assert scored.rdd.getNumPartitions() == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes were put in one task
+
+
 @pytest.mark.parametrize("bits", [1, 2, 12])
 def test_graph_link_scores_match_one_plain_tree_over_all_edges(spark, bits):
     draw = np.random.default_rng(7)
